@@ -36,7 +36,7 @@ def summary(df: DataFrame, *, readable: Column | None = None, signer: str | None
         (F.sum(F.col("_size") * F.col("_classes")) / F.sum("_classes")).alias("mean_samples_per_class"),
         F.min("_size").alias("min_samples_per_class"),
         F.max("_size").alias("max_samples_per_class"),
-        F.percentile("_size", 0.5, "_classes").alias("median_samples_per_class"),
+        F.percentile("_size", 0.5, F.col("_classes")).alias("median_samples_per_class"),
     )
     if signer is not None:
         signers = df.groupBy("dataset").agg(F.count_distinct(signer).alias("num_signers"))
@@ -176,7 +176,7 @@ def imbalance(counts: DataFrame, fraction: float = 0.10) -> DataFrame:
         F.max("size").alias("max_samples"),
         F.min("size").alias("min_samples"),
         (total / n).alias("mean_samples"),
-        F.percentile("size", 0.5, "classes").alias("median_samples"),
+        F.percentile("size", 0.5, F.col("classes")).alias("median_samples"),
         F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), variance))).otherwise(F.lit(0.0)).alias("std_samples"),
         _gini().alias("gini"),
         _tail_share(fraction, True).alias("top_share"),

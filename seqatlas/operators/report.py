@@ -42,7 +42,7 @@ def label_sparsity(counts: DataFrame, limits: Sequence[int] = (2, 5, 10)) -> Dat
     return sizes.groupBy(*DATASET).agg(
         F.sum("_c").alias("labels"),
         videos.alias("videos"),
-        F.percentile("_s", 0.5, "_c").alias("median_samples"),
+        F.percentile("_s", 0.5, F.col("_c")).alias("median_samples"),
         (videos / F.sum("_c")).alias("mean_samples"),
         F.min("_s").alias("min_samples"),
         F.max("_s").alias("max_samples"),
