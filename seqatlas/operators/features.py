@@ -269,7 +269,7 @@ def frame_location(y: Column, nose: Column, shoulder: Column, hip: Column) -> Co
 
 def _most_common(names: Sequence[str], prefix: str) -> Column:
     """Name with the largest count column; the earlier name wins ties."""
-    best = F.array_max(F.array(*[F.struct(F.col(f"{prefix}{n}"), F.lit(-i), F.lit(n).alias("name")) for i, n in enumerate(names)]))
+    best = F.array_max(F.array(*[F.struct(F.col(f"{prefix}{n}").alias("n"), F.lit(-i).alias("place"), F.lit(n).alias("name")) for i, n in enumerate(names)]))
     return best["name"]
 
 
