@@ -245,7 +245,7 @@ def ts_preprocess_pipeline(t):
 
 def parts_sql() -> str:
     """Raw centers of four parts from one event, each with its own gaps."""
-    return f"""{FRAMES}, raw AS (SELECT user_id, frame, lv, rv, frame % 11 <> 5 AS pv, frame % 13 <> 6 AS fv, x AS lx, y AS ly, y AS rx, x AS ry, (x + y) / 4 AS bx, (x + y) / 8 AS byy, y / 3 AS fx, x / 3 AS fy,
+    return f"""{FRAMES}, raw AS (SELECT user_id, frame, lv, rv, frame % 11 <> 5 AS pok, frame % 13 <> 6 AS fok, x AS lx, y AS ly, y AS rx, x AS ry, (x + y) / 4 AS bx, (x + y) / 8 AS byy, y / 3 AS fx, x / 3 AS fy,
        CASE WHEN user_id % 3 = 0 THEN NULL ELSE y / 10 END AS sd FROM g)"""
 
 
@@ -257,14 +257,14 @@ def _filled(part, ok, x, y):
 def features_sql() -> str:
     d = lambda a, b: f"sqrt(({a}x - {b}x) ** 2 + ({a}y - {b}y) ** 2)"
     st = lambda p: f"sqrt(({p}x - lag({p}x) OVER {W}) ** 2 + ({p}y - lag({p}y) OVER {W}) ** 2)"
-    miss = ", ".join(f"1 - avg(CAST({ok} AS INT)) AS {p}_frame_missing_ratio" for p, ok in (("left", "lv"), ("right", "rv"), ("pose", "pv"), ("face", "fv")))
+    miss = ", ".join(f"1 - avg(CAST({ok} AS INT)) AS {p}_frame_missing_ratio" for p, ok in (("left", "lv"), ("right", "rv"), ("pose", "pok"), ("face", "fok")))
     pool = lambda n, a, b: f"(coalesce(sum({a}), 0) + coalesce(sum({b}), 0)) / nullif(count({a}) + count({b}), 0) AS {n}_dist_mean"
-    return f"""WITH {parts_sql()}, {_filled('l', 'lv', 'lx', 'ly')}, {_filled('r', 'rv', 'rx', 'ry')}, {_filled('q', 'pv', 'bx', 'byy')}, {_filled('c', 'fv', 'fx', 'fy')},
-j AS (SELECT raw.user_id, raw.frame, lv, rv, pv, fv, sd, l_x, l_y, r_x, r_y, q_x, q_y, c_x, c_y, CASE WHEN pv THEN bx END AS ox, CASE WHEN pv THEN byy END AS oy
+    return f"""WITH {parts_sql()}, {_filled('l', 'lv', 'lx', 'ly')}, {_filled('r', 'rv', 'rx', 'ry')}, {_filled('q', 'pok', 'bx', 'byy')}, {_filled('c', 'fok', 'fx', 'fy')},
+j AS (SELECT raw.user_id, raw.frame, lv, rv, pok, fok, sd, l_x, l_y, r_x, r_y, q_x, q_y, c_x, c_y, CASE WHEN pok THEN bx END AS ox, CASE WHEN pok THEN byy END AS oy
       FROM raw JOIN l USING (user_id, frame) JOIN r USING (user_id, frame) JOIN q USING (user_id, frame) JOIN c USING (user_id, frame)),
 sc AS (SELECT user_id, coalesce(median(sd) FILTER (sd > 1e-6), CASE WHEN count(ox) + count(l_x) + count(r_x) > 2 THEN
          greatest(greatest(max(ox), max(l_x), max(r_x)) - least(min(ox), min(l_x), min(r_x)), greatest(max(oy), max(l_y), max(r_y)) - least(min(oy), min(l_y), min(r_y))) END) AS scale FROM j GROUP BY user_id),
-nm AS (SELECT user_id, frame, lv, rv, pv, fv, scale, {', '.join(f"({p}_{a} - coalesce(q_{a}, 0)) / scale AS {p}{a}" for p in 'lrqc' for a in 'xy')} FROM j JOIN sc USING (user_id)),
+nm AS (SELECT user_id, frame, lv, rv, pok, fok, scale, {', '.join(f"({p}_{a} - coalesce(q_{a}, 0)) / scale AS {p}{a}" for p in 'lrqc' for a in 'xy')} FROM j JOIN sc USING (user_id)),
 st AS (SELECT *, {st('l')} AS ld, {st('r')} AS rd FROM nm),
 mo AS (SELECT *, CASE WHEN coalesce(ld, rd) IS NOT NULL THEN coalesce(ld, 0) + coalesce(rd, 0) END AS m FROM st),
 ve AS (SELECT *, m * 25 AS v FROM mo), ac AS (SELECT *, v - lag(v) OVER {W} AS a, {d('l', 'c')} AS lc, {d('r', 'c')} AS rc, {d('l', 'q')} AS lb, {d('r', 'q')} AS rb, {d('l', 'r')} AS lr FROM ve),

@@ -1 +1,299 @@
-from catalog import query
+from pyspark.sql import functions as F
+
+from catalog import R, query, r6, rounded
+from catalog.joins import mapping, MAPPING, sides
+from seqatlas.distribution import small_side
+from seqatlas.functions import text as X
+from seqatlas.operators import (
+    clusters as CL, features as FE, joins as J, ranking as RK, report as P, scaling as SC, separability as SE, similarity as SI, variation as VA,
+)
+
+DS = "'D' || CAST(vec_id % 2 AS VARCHAR)"
+# One row per value, with every 37th value missing.
+CELLS = f"""v AS (SELECT vec_id, {DS} AS dataset, label AS gloss, CAST(k AS INTEGER) AS dim, CASE WHEN (vec_id * 7 + k) % 37 = 0 THEN NULL ELSE CAST(embedding[k+1] AS DOUBLE) END AS x FROM embeddings, range(64) t(k))"""
+
+
+def rows(t, planted=True):
+    value = lambda v, i: F.when((F.col("vec_id") * 7 + i) % 37 != 0, v.cast("double")) if planted else v.cast("double")
+    return t("embeddings").select(
+        "vec_id", F.concat(F.lit("D"), (F.col("vec_id") % 2).cast("string")).alias("dataset"), F.col("label").alias("gloss"),
+        F.transform("embedding", value).alias("features"),
+    )
+
+
+def scaled_sql(by: str = "dim", fill: str = "median", std: str = "stddev_pop") -> str:
+    return f"""{CELLS}, q AS (SELECT {by}, coalesce({'median' if fill == 'median' else 'avg'}(x), 0) AS q FROM v GROUP BY {by}), f AS (SELECT v.* EXCLUDE x, coalesce(x, q) AS x FROM v JOIN q USING ({by})),
+m AS (SELECT {by}, avg(x) AS m, {std}(x) AS s FROM f GROUP BY {by}), z AS (SELECT vec_id, dataset, gloss, dim, (x - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS z FROM f JOIN m USING ({by}))"""
+
+
+def cells(df, *keys, column="scaled"):
+    return df.select(*keys, F.posexplode(column).alias("dim", "z"))
+
+
+@query("ml_scale_mean", f"WITH {scaled_sql(fill='mean')} SELECT vec_id, dim, {R('z')} AS z FROM z")
+def ml_scale_mean(t):
+    return rounded(cells(SC.scale(rows(t), "features", fill="mean"), "vec_id"))
+
+
+@query("ml_scale_median", f"WITH {scaled_sql(by='dataset, dim')} SELECT vec_id, dim, {R('z')} AS z FROM z")
+def ml_scale_median(t):
+    return rounded(cells(SC.scale(rows(t), "features", by=["dataset"]), "vec_id"))
+
+
+@query("ml_scale_sample", f"""
+WITH {CELLS.replace('(vec_id * 7 + k) % 37 = 0', '(vec_id * 7 + k) % 37 = 0 OR (vec_id % 10 = 0 AND k < 14)').replace('v AS', 'v0 AS')},
+k AS (SELECT vec_id FROM v0 GROUP BY vec_id HAVING count(x) / 64.0 >= 0.8), v AS (SELECT * FROM v0 JOIN k USING (vec_id)), {scaled_sql(std='stddev_samp').split('), ', 1)[1].replace('f AS', 'f AS', 1)}
+SELECT vec_id, dim, {R('z')} AS z FROM z""")
+def ml_scale_sample(t):
+    thin = F.transform("features", lambda v, i: F.when((F.col("vec_id") % 10 != 0) | (i >= 14), v))
+    kept = SC.keep_covered(rows(t).withColumn("features", thin), "features")
+    return rounded(cells(SC.scale(kept, "features", sample=True), "vec_id"))
+
+
+@query("sep_scaled_snapshot", f"WITH {scaled_sql(by='dataset, dim')} SELECT dataset, gloss, vec_id, {R('max(z) FILTER (dim = 0)')} AS f0, {R('max(z) FILTER (dim = 63)')} AS f63, {R('sum(z * z)')} AS squares FROM z GROUP BY ALL")
+def sep_scaled_snapshot(t):
+    s = SC.scale(rows(t), "features", by=["dataset"])
+    return rounded(s.select("dataset", "gloss", "vec_id", SC.item("scaled", 0).alias("f0"), SC.item("scaled", 63).alias("f63"), SC.dot("scaled", "scaled").alias("squares")))
+
+
+def distance_sql(by: str, cosine: bool = False) -> str:
+    """Scaled distances to the label centroid, as CTE ``d`` (dataset, gloss, vec_id, d)."""
+    value = "1 - sum(z * c) / (sqrt(sum(z * z)) * sqrt(sum(c * c)))" if cosine else "sqrt(sum((z - c) * (z - c)))"
+    return f"""{scaled_sql(by=by)}, c AS (SELECT dataset, gloss, dim, avg(z) AS c FROM z GROUP BY ALL), d AS (SELECT dataset, gloss, vec_id, {value} AS d FROM z JOIN c USING (dataset, gloss, dim) GROUP BY ALL)"""
+
+
+STATS = f"count(*) AS num_samples, {R('avg(d)')} AS mean_distance, {R('median(d)')} AS median_distance, {R('stddev_pop(d)')} AS std_distance, {R('var_pop(d)')} AS within_class_variance, {R('max(d)')} AS max_distance"
+
+
+@query("var_signer", f"WITH {distance_sql('dim')} SELECT dataset, gloss, {STATS} FROM d GROUP BY ALL")
+def var_signer(t):
+    s = SC.scale(rows(t), "features")
+    return RK.ranked(rounded(VA.signer_variation(s, "scaled", "vec_id")), ["D1", "D0"], "mean_distance", "gloss")
+
+
+@query("var_signer_cosine", f"WITH {distance_sql('dataset, dim', cosine=True)} SELECT dataset, gloss, {STATS} FROM d GROUP BY ALL")
+def var_signer_cosine(t):
+    s = SC.scale(rows(t), "features", by=["dataset"])
+    return rounded(VA.signer_variation(s, "scaled", "vec_id", metric="cosine"))
+
+
+COMPACT = f"{distance_sql('dataset, dim')}, k AS (SELECT dataset, gloss, count(*) AS num_samples, avg(d) AS compactness, median(d) AS median_distance, stddev_pop(d) AS std_distance, max(d) AS max_distance FROM d GROUP BY ALL)"
+
+
+def by_dataset(t):
+    return SC.scale(rows(t), "features", by=["dataset"])
+
+
+@query("sep_compactness", f"""WITH {COMPACT}, o AS (SELECT dataset, avg(compactness) AS m, median(compactness) AS md, stddev_pop(compactness) AS s FROM k GROUP BY dataset)
+SELECT dataset, gloss, num_samples, {R('compactness')} AS compactness, {R('median_distance')} AS median_distance, {R('std_distance')} AS std_distance, {R('max_distance')} AS max_distance,
+  {R('m')} AS compactness_mean, {R('md')} AS compactness_median, {R('s')} AS compactness_std FROM k JOIN o USING (dataset)""")
+def sep_compactness(t):
+    k = SE.compactness(by_dataset(t), "scaled", "vec_id")
+    overall = SE.overall(k, "compactness", "compactness")
+    return rounded(k.join(small_side(overall), "dataset"))
+
+
+PAIRS = f"""{scaled_sql(by='dataset, dim')}, c AS (SELECT dataset, gloss, dim, avg(z) AS c FROM z GROUP BY ALL),
+cp AS (SELECT a.dataset, a.gloss AS gloss_a, b.gloss AS gloss_b, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS e, 1 - sum(a.c * b.c) / (sqrt(sum(a.c * a.c)) * sqrt(sum(b.c * b.c))) AS o FROM c a JOIN c b ON a.dataset = b.dataset AND a.dim = b.dim AND a.gloss < b.gloss GROUP BY ALL)"""
+
+
+def center_pairs(t):
+    return SE.centroid_pairs(SC.centroids(by_dataset(t), ["dataset", "gloss"], "scaled"))
+
+
+@query("sep_centroid_distances", f"WITH {PAIRS} SELECT dataset, gloss_a, gloss_b, {R('e')} AS euclidean_distance, {R('o')} AS cosine_distance FROM cp")
+def sep_centroid_distances(t):
+    return rounded(center_pairs(t))
+
+
+def silhouette_sql() -> str:
+    return f"""{scaled_sql(by='dataset, dim')}, a AS (SELECT dataset, gloss, vec_id, list(z ORDER BY dim) AS z FROM z GROUP BY ALL), n AS (SELECT dataset, gloss, count(*) AS n FROM a GROUP BY ALL),
+pd AS (SELECT p.dataset, p.gloss, p.vec_id, r.gloss AS other, sum(list_distance(p.z, r.z)) AS s FROM a p JOIN a r ON p.dataset = r.dataset GROUP BY ALL),
+pm AS (SELECT pd.*, n.n FROM pd JOIN n ON n.dataset = pd.dataset AND n.gloss = other),
+ab AS (SELECT dataset, gloss, vec_id, max(n) FILTER (gloss = other) AS n, max(s / nullif(n - 1, 0)) FILTER (gloss = other) AS a, min(s / n) FILTER (gloss <> other) AS b FROM pm GROUP BY ALL),
+si AS (SELECT dataset, gloss, vec_id, CASE WHEN n = 1 THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END AS s FROM ab)"""
+
+
+@query("sep_silhouette", f"WITH {silhouette_sql()} SELECT dataset, gloss, {R('avg(s)')} AS silhouette_mean, {R('median(s)')} AS silhouette_median, count(*) AS num_samples FROM si GROUP BY ALL")
+def sep_silhouette(t):
+    return rounded(SE.silhouette_by_label(SE.silhouette_samples(by_dataset(t), "scaled", "vec_id")))
+
+
+DB = f"""sp AS (SELECT dataset, gloss, compactness AS s FROM k), r2 AS (SELECT cp.dataset, gloss_a, gloss_b, (a.s + b.s) / e AS r FROM cp JOIN sp a ON a.dataset = cp.dataset AND a.gloss = gloss_a JOIN sp b ON b.dataset = cp.dataset AND b.gloss = gloss_b),
+w AS (SELECT dataset, g, max(r) AS r FROM (SELECT dataset, gloss_a AS g, r FROM r2 UNION ALL SELECT dataset, gloss_b, r FROM r2) GROUP BY ALL), db AS (SELECT dataset, avg(r) AS davies_bouldin_index FROM w GROUP BY ALL)"""
+CP = PAIRS[PAIRS.index("cp AS"):]
+
+
+@query("sep_davies_bouldin", f"WITH {COMPACT}, {CP}, {DB} SELECT dataset, {R('davies_bouldin_index')} AS davies_bouldin_index FROM db")
+def sep_davies_bouldin(t):
+    return rounded(SE.davies_bouldin(by_dataset(t), "scaled", "vec_id"))
+
+
+CH = """wi AS (SELECT dataset, sum(d * d) AS w, count(*) AS n FROM d GROUP BY ALL), g AS (SELECT dataset, dim, avg(z) AS g FROM z GROUP BY ALL), nn AS (SELECT dataset, gloss, count(*) AS n FROM d GROUP BY ALL),
+be AS (SELECT dataset, sum(n * (c - g) * (c - g)) AS b, count(DISTINCT gloss) AS k FROM c JOIN g USING (dataset, dim) JOIN nn USING (dataset, gloss) GROUP BY ALL), ch AS (SELECT dataset, (b / (k - 1)) / (w / (n - k)) AS calinski_harabasz_index FROM wi JOIN be USING (dataset))"""
+
+
+@query("sep_calinski_harabasz", f"WITH {distance_sql('dataset, dim')}, {CH} SELECT dataset, {R('calinski_harabasz_index')} AS calinski_harabasz_index FROM ch")
+def sep_calinski_harabasz(t):
+    return rounded(SE.calinski_harabasz(by_dataset(t), "scaled", "vec_id"))
+
+
+SIL = silhouette_sql()
+SIL = SIL[SIL.index("a AS (SELECT dataset"):].replace("n AS (SELECT dataset, gloss, count(*) AS n FROM a GROUP BY ALL)", "n AS (SELECT dataset, gloss, count(*) AS n FROM a GROUP BY ALL)")
+_five = lambda c, p: ", ".join(f"{f}({c}) AS {p}_{n}" for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("median", "median"), ("min", "min"), ("max", "max")))
+METRIC_COLS = ["silhouette_score", "davies_bouldin_index", "calinski_harabasz_index", *[f"compactness_{s}" for s in ("mean", "std", "median")], *[f"{p}_{s}" for p in ("euclidean", "cosine") for s in ("mean", "std", "median", "min", "max")]]
+
+
+@query("sep_metrics_row", f"""
+WITH {COMPACT}, {CP}, {DB}, {CH}, {SIL}, ss AS (SELECT dataset, avg(s) AS silhouette_score FROM si GROUP BY ALL),
+kk AS (SELECT dataset, avg(compactness) AS compactness_mean, stddev_pop(compactness) AS compactness_std, median(compactness) AS compactness_median FROM k GROUP BY ALL),
+pp AS (SELECT dataset, {_five('e', 'euclidean')}, {_five('o', 'cosine')} FROM cp GROUP BY ALL), nz AS (SELECT {DS} AS dataset, count(*) AS num_samples, count(DISTINCT label) AS num_glosses FROM embeddings GROUP BY ALL)
+SELECT dataset, num_samples, num_glosses, CAST(64 AS BIGINT) AS feature_dimension, {', '.join(f'{R(c, 5)} AS {c}' for c in METRIC_COLS)}
+FROM nz JOIN ss USING (dataset) JOIN db USING (dataset) JOIN ch USING (dataset) JOIN kk USING (dataset) JOIN pp USING (dataset)""")
+def sep_metrics_row(t):
+    return rounded(SE.metrics_row(rows(t), "features", "vec_id"), *METRIC_COLS, digits=5)
+
+
+@query("join_knn_candidates", """
+WITH p AS (SELECT vec_id % 2 AS dataset, vec_id, [CAST(x AS DOUBLE) for x in embedding] AS e FROM embeddings),
+d AS (SELECT a.dataset, a.vec_id AS i, b.vec_id AS j, row_number() OVER (PARTITION BY a.dataset, a.vec_id ORDER BY round(list_distance(a.e, b.e) ** 2, 9), b.vec_id) AS r FROM p a JOIN p b ON a.dataset = b.dataset AND a.vec_id <> b.vec_id)
+SELECT DISTINCT dataset, least(i, j) AS vec_id_a, greatest(i, j) AS vec_id_b FROM d WHERE r <= 20""")
+def join_knn_candidates(t):
+    e = rows(t, planted=False).select((F.col("vec_id") % 2).alias("dataset"), "vec_id", "features")
+    return SE.nearest_candidates(e, "vec_id", "features", 20)
+
+
+@query("ml_kmeans")
+def ml_kmeans(t):
+    s = SC.scale(rows(t), "features", fill="median", sample=True)
+    return CL.kmeans(s, "scaled").select("vec_id", "dataset", "gloss", "cluster")
+
+
+PROFILE = """h AS (SELECT vec_id % 2 AS dataset, label AS cluster, (CAST(embedding[1] AS DOUBLE) + 3) / 2 AS o, CAST(embedding[2] AS DOUBLE) + 1 AS s, 120 + CAST(embedding[3] AS DOUBLE) * 40 AS c FROM embeddings),
+m AS (SELECT cluster, avg(o) AS openness_mean, avg(s) AS spread, avg(c) AS curvature FROM h GROUP BY ALL),
+n AS (SELECT *, CASE WHEN openness_mean >= 2.1 AND spread >= 1.2 THEN 'open_spread_proxy' WHEN openness_mean <= 1.35 THEN 'closed_proxy' WHEN curvature <= 120 THEN 'curved_proxy' WHEN spread <= 0.75 THEN 'compact_proxy' ELSE 'neutral_proxy' END AS cluster_label_proxy FROM m),
+t AS (SELECT dataset, cluster, count(*) AS count FROM h GROUP BY ALL)"""
+
+
+@query("ml_cluster_profile", f"""
+WITH {PROFILE} SELECT dataset, cluster, cluster_label_proxy, count, CAST(sum(count) OVER (PARTITION BY dataset) AS BIGINT) AS dataset_total, {R('count * 100.0 / sum(count) OVER (PARTITION BY dataset)')} AS percentage FROM t JOIN n USING (cluster)""")
+def ml_cluster_profile(t):
+    e = lambda i: F.col("embedding")[i].cast("double")
+    shapes = t("embeddings").select(
+        (F.col("vec_id") % 2).alias("dataset"), F.col("label").alias("cluster"), ((e(0) + 3) / 2).alias("openness_mean"),
+        (e(1) + 1).alias("index_pinky_distance_ratio_mean"), (120 + e(2) * 40).alias("curvature_proxy_mean"),
+    )
+    return rounded(CL.cluster_shares(shapes, "cluster", CL.cluster_profile(shapes, "cluster")))
+
+
+@query("ml_pca2")
+def ml_pca2(t):
+    coords, explained = CL.pca2(SC.scale(rows(t), "features", fill="median"), "scaled")
+    return rounded(coords.select("vec_id", "dataset", "gloss", "pc1", "pc2")).withColumn("explained", F.lit(len(explained.columns)))
+
+
+LABELS = f"""e AS (SELECT vec_id % 2 AS side, CAST(label AS VARCHAR) AS g, CAST(k AS INTEGER) AS dim, CAST(embedding[k+1] AS DOUBLE) AS x FROM embeddings, range(64) t(k) WHERE vec_id % 2 = 0 OR label <> 8),
+lm AS (SELECT side, g, dim, avg(x) AS x, count(*) AS n FROM e GROUP BY ALL), ls AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM lm GROUP BY dim), lz AS (SELECT side, g, dim, n, (x - m) / s AS z FROM lm JOIN ls USING (dim)),
+mu AS (SELECT DISTINCT l, r FROM us), pr AS (SELECT l, r, a.dim, a.z AS za, b.z AS zb, a.n AS na, b.n AS nb FROM mu JOIN lz a ON a.side = 0 AND a.g = l JOIN lz b ON b.side = 1 AND b.g = r AND a.dim = b.dim),
+cs AS (SELECT l, r, sum(za * zb) / (sqrt(sum(za * za)) * sqrt(sum(zb * zb))) AS cos, any_value(na) AS samples_left, any_value(nb) AS samples_right FROM pr GROUP BY ALL)"""
+
+
+def scored(t):
+    """Label means of both corpora, scaled together (mean fill, population deviation)."""
+    left, right = sides(t)
+    tagged = left.select(F.lit(0).alias("side"), F.col("l").alias("g"), "embedding").unionByName(right.select(F.lit(1).alias("side"), F.col("r").alias("g"), "embedding"))
+    means = SC.centroids(tagged.withColumn("x", F.transform("embedding", lambda v: v.cast("double"))), ["side", "g"], "x", into="features")
+    labels = SC.scale(means, "features", fill="mean", into="vector").withColumnRenamed("num_samples", "samples")
+    return SI.cosine_pairs(mapping(t), labels.filter("side = 0").withColumnRenamed("g", "l"), labels.filter("side = 1").withColumnRenamed("g", "r"), "l", "r")
+
+
+@query("sim_cosine_pairs", f"WITH {MAPPING}, {LABELS} SELECT l, r, {R('cos')} AS cosine_similarity, {R('(cos + 1) / 2')} AS similarity_score, samples_left, samples_right FROM cs")
+def sim_cosine_pairs(t):
+    return rounded(scored(t).select("l", "r", "cosine_similarity", "similarity_score", "samples_left", "samples_right"))
+
+
+NAMES = [f"{p}_{i}" for i in range(16) for p in ("angle", "velocity", "palm_normal", "face")]
+GROUPS = {"angle": "handshape", "velocity": "movement", "palm_normal": "orientation", "face": "spatial relationship"}
+
+
+@query("sim_contribution", f"""
+WITH {MAPPING}, {LABELS}, gr AS (SELECT l, r, ['handshape', 'movement', 'orientation', 'spatial relationship'][dim % 4 + 1] AS g, sum(abs(za - zb)) AS d FROM pr GROUP BY ALL),
+sh AS (SELECT *, d / sum(d) OVER (PARTITION BY l, r) AS s, row_number() OVER (PARTITION BY l, r ORDER BY d DESC, g) AS i FROM gr)
+SELECT l, r, string_agg(g || ' (' || printf('%.1f', s * 100) || '%)', '; ' ORDER BY i) AS top_difference_features FROM sh WHERE i <= 3 GROUP BY l, r""")
+def sim_contribution(t):
+    return SI.contribution_summary(scored(t), ["l", "r"], NAMES)
+
+
+@query("sim_statistics", f"""
+WITH {MAPPING}, {LABELS}, s AS (SELECT (cos + 1) / 2 AS s FROM cs), o AS (SELECT avg(s) AS a, median(s) AS b, stddev_pop(s) AS c, min(s) AS d, max(s) AS e, quantile_cont(s, 0.25) AS f, quantile_cont(s, 0.75) AS g FROM s)
+SELECT unnest(['Mean Similarity', 'Median', 'Standard Deviation', 'Minimum', 'Maximum', 'Percentile 25', 'Percentile 75']) AS metric, unnest([{', '.join(R(x) for x in 'abcdefg')}]) AS value FROM o""")
+def sim_statistics(t):
+    return rounded(SI.score_statistics(scored(t), "similarity_score"))
+
+
+REGIONAL = """e AS (SELECT 'G' || label AS base, CASE vec_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'N' ELSE 'T' END AS region, CAST(k AS INTEGER) AS dim, avg(CAST(embedding[k+1] AS DOUBLE)) AS x FROM embeddings, range(64) t(k) GROUP BY ALL),
+m AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY dim), z AS (SELECT base, region, dim, (x - m) / s AS z FROM e JOIN m USING (dim)),
+r AS (SELECT a.base, a.region AS region_a, b.region AS region_b, sum(a.z * b.z) / (sqrt(sum(a.z * a.z)) * sqrt(sum(b.z * b.z))) AS c FROM z a JOIN z b ON a.base = b.base AND a.dim = b.dim AND a.region < b.region GROUP BY ALL)"""
+
+
+def regional(t):
+    letter = F.when(F.col("vec_id") % 3 == 0, "_B").when(F.col("vec_id") % 3 == 1, "_N").otherwise("_T")
+    base, region = X.region_of_label(F.concat(F.lit("G"), F.col("label").cast("string"), letter))
+    e = t("embeddings").select(base.alias("base"), region.alias("region"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    means = SC.centroids(e, ["base", "region"], "x", into="features")
+    return SI.regional(SC.scale(means, "features", fill="mean", into="vector"))
+
+
+@query("sim_regional", f"""
+WITH {REGIONAL}, s AS (SELECT region_a || '-' || region_b AS region_pair, avg((c + 1) / 2) AS m, count(*) AS n FROM r GROUP BY ALL)
+SELECT base, region_a, region_b, {R('c')} AS cosine_similarity, {R('(c + 1) / 2')} AS similarity_score, region_a || '-' || region_b AS region_pair, {R('m')} AS mean_similarity, n AS pair_count FROM r JOIN s ON region_pair = region_a || '-' || region_b""")
+def sim_regional(t):
+    pairs = regional(t)
+    return rounded(pairs.join(small_side(SI.regional_statistics(pairs), 10), "region_pair"))
+
+
+@query("chart_heat_matrix", f"""
+WITH {REGIONAL} SELECT base, {', '.join(f'''{R(f"avg((c + 1) / 2) FILTER (region_a || '-' || region_b = '{p}')")} AS "{p}"''' for p in ('B-N', 'B-T', 'N-T'))} FROM r GROUP BY base ORDER BY base LIMIT 40""")
+def chart_heat_matrix(t):
+    return rounded(P.first_rows(SI.regional_matrix(regional(t), ["B-N", "B-T", "N-T"]), "base", 40))
+
+
+PART = f"""pm AS (SELECT p_brand AS dataset, p_name AS gloss, {R('avg(p_retailprice)')} AS price, {R('avg(p_size)')} AS size FROM part GROUP BY ALL)"""
+
+
+@query("var_motion_rank", f"WITH {PART} SELECT * FROM pm")
+def var_motion_rank(t):
+    labels = t("part").select(F.col("p_brand").alias("dataset"), F.col("p_name").alias("gloss"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
+    return rounded(VA.metric_ranking(labels, "price", ["Brand#1", "Brand#2"], extra=["size"]))
+
+
+LENGTHS = f"""n AS (SELECT event_type AS dataset, user_id % 10 AS gloss, user_id, count(*) AS n FROM events GROUP BY ALL), sv AS (SELECT dataset, gloss, var_pop(n) AS sequence_length_variance, avg(n) AS mean_frames FROM n GROUP BY ALL)"""
+
+
+def lengths(t):
+    per_user = t("events").groupBy(F.col("event_type").alias("dataset"), (F.col("user_id") % 10).alias("gloss"), "user_id").agg(F.count(F.lit(1)).alias("num_frames"))
+    return FE.sequence_length(per_user, ["dataset", "gloss"])
+
+
+@query("var_sequence_rank", f"WITH {LENGTHS} SELECT dataset, gloss, {R('sequence_length_variance')} AS sequence_length_variance, {R('mean_frames')} AS mean_frames FROM sv")
+def var_sequence_rank(t):
+    return rounded(VA.metric_ranking(lengths(t), "sequence_length_variance", ["view", "click"], extra=["mean_frames"]))
+
+
+@query("var_difficulty_summary", f"""
+WITH {LENGTHS}, {PART}, a AS (SELECT dataset, 'sequence_length' AS analysis, sequence_length_variance AS v FROM sv UNION ALL SELECT dataset, 'complexity', price FROM pm)
+SELECT dataset, analysis, count(v) AS num_labels, {R('avg(v)', 5)} AS mean, {R('stddev_pop(v)', 5)} AS std, {R('median(v)', 5)} AS median, {R('min(v)', 5)} AS min, {R('max(v)', 5)} AS max FROM a GROUP BY ALL""")
+def var_difficulty_summary(t):
+    price = t("part").groupBy(F.col("p_brand").alias("dataset"), F.col("p_name").alias("gloss")).agg(r6(F.avg("p_retailprice")).alias("price"))
+    return rounded(VA.difficulty_summary({"sequence_length": (lengths(t), "sequence_length_variance"), "complexity": (price, "price")}), digits=5)
+
+
+@query("rpt_dtw_quantiles", f"""
+WITH {PAIRS}, {COMPACT[COMPACT.index('d AS (SELECT dataset, gloss'):]}
+SELECT dataset, 'intra' AS kind, count(*) AS n, {R('avg(compactness)')} AS mean, {R('max(compactness)')} AS max, {R('median(compactness)')} AS median, {R('quantile_cont(compactness, 0.75)')} AS p75, {R('quantile_cont(compactness, 0.9)')} AS p90,
+  CAST(NULL AS DOUBLE) AS min, CAST(NULL AS BIGINT) AS zero_pairs, CAST(NULL AS DOUBLE) AS p10 FROM k GROUP BY dataset
+UNION ALL SELECT dataset, 'inter', count(*), NULL, NULL, {R('median(e)')}, NULL, NULL, {R('min(e)')}, count(*) FILTER (e <= 1e-9), {R('quantile_cont(e, 0.1)')} FROM cp GROUP BY dataset""")
+def rpt_dtw_quantiles(t):
+    intra = P.intra_quantiles(SE.compactness(by_dataset(t), "scaled", "vec_id"), "compactness").withColumn("kind", F.lit("intra"))
+    inter = P.inter_quantiles(center_pairs(t), "euclidean_distance").withColumn("kind", F.lit("inter"))
+    return rounded(intra.unionByName(inter, allowMissingColumns=True))

@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqatlas.distribution import exact_quantiles, tiled
+from seqatlas.distribution import exact_quantiles, small_side, tiled
 from seqatlas.operators.ranking import sample_per_group
-from seqatlas.operators.scaling import item
+from seqatlas.operators.scaling import centroids, pack
 from seqatlas.operators.separability import nearest_candidates
 
 WINDOW = 8
@@ -125,26 +125,24 @@ def sampled_pairs(pairs: DataFrame, keys: Sequence[str], ident: str, count: int,
     return sample_per_group(pairs, keys, [f"{ident}_a", f"{ident}_b"], count, seed)
 
 
-def prototypes(df: DataFrame, keys: Sequence[str], trajectory: str, values: int) -> DataFrame:
+def prototypes(df: DataFrame, keys: Sequence[str], trajectory: str) -> DataFrame:
     """Element-wise mean of the flat trajectories of each label, with their number."""
-    means = [F.avg(item(trajectory, i).cast("double")) for i in range(values)]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_samples"), F.array(*means).alias("prototype"))
+    return centroids(df, keys, trajectory, into="prototype")
 
 
-def _z_scored(protos: DataFrame, values: int, groups: Sequence[str]) -> DataFrame:
+def _z_scored(protos: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Prototype values z-scored per corpus (deviation plus 1e-6), for the candidate search."""
-    from seqatlas.distribution import small_side
-
-    aggs = [f(item("prototype", i)).alias(f"_{n}{i}") for i in range(values) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    stats = small_side(protos.groupBy(*groups).agg(*aggs))
-    z = [(item("prototype", i) - F.col(f"_m{i}")) / (F.col(f"_s{i}") + 1e-6) for i in range(values)]
-    return protos.join(stats, list(groups)).select(*protos.columns, F.array(*z).alias("_z"))
+    groups = list(groups)
+    cells = protos.select(*groups, F.posexplode("prototype").alias("_i", "_x"))
+    stats = cells.groupBy(*groups, "_i").agg(F.avg("_x").alias("_m"), (F.stddev_pop("_x") + 1e-6).alias("_s"))
+    joined = protos.join(small_side(pack(stats, groups, "_i", ["_m", "_s"])), groups)
+    centred = F.zip_with("prototype", "_m", lambda x, m: x - m)
+    return joined.select(*protos.columns, F.zip_with(centred, F.col("_s"), lambda x, s: x / s).alias("_z"))
 
 
 def inter_class(
     protos: DataFrame,
     label: str,
-    values: int,
     channels: int,
     groups: Sequence[str] = ("dataset",),
     *,
@@ -158,7 +156,7 @@ def inter_class(
     if exhaustive:
         pairs = warp_within(protos, label, "prototype", channels, groups, window=window)
         return pairs.withColumn("mode", F.lit("exhaustive"))
-    found = nearest_candidates(_z_scored(protos, values, groups), label, "_z", candidates, groups)
+    found = nearest_candidates(_z_scored(protos, groups), label, "_z", candidates, groups)
     side = lambda s: protos.select(*groups, F.col(label).alias(f"{label}_{s}"), F.col("prototype").alias(f"_p{s}"))
     both = found.join(side("a"), [*groups, f"{label}_a"]).join(side("b"), [*groups, f"{label}_b"])
     distance = warp_pairs(F.col("_pa"), F.col("_pb"), channels, window)

@@ -1,7 +1,7 @@
 """Feature vectors, imputation and z-scores, centroids.
 
-A feature vector is ``array<double>`` with a known length ``dims``; its terms are written
-out as plain column arithmetic, so distances stay in generated code.
+A feature vector is ``array<double>``. Statistics per position are aggregated from exploded
+values (combined before any shuffle); distances are array expressions inside the row.
 """
 
 from __future__ import annotations
@@ -21,26 +21,33 @@ def feature_vector(df: DataFrame, columns: Sequence[str], into: str = "features"
 
 
 def item(vector: str | Column, i: int) -> Column:
-    return F.get(F.col(vector) if isinstance(vector, str) else vector, F.lit(i))
+    return F.get(_col(vector), F.lit(i))
 
 
-def dot(a: str | Column, b: str | Column, dims: int) -> Column:
-    return sum((item(a, i) * item(b, i) for i in range(1, dims)), item(a, 0) * item(b, 0))
+def _col(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def squared_distance(a: str | Column, b: str | Column, dims: int) -> Column:
-    term = lambda i: (item(a, i) - item(b, i)) * (item(a, i) - item(b, i))
-    return sum((term(i) for i in range(1, dims)), term(0))
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
 
 
-def distance(a: str | Column, b: str | Column, dims: int) -> Column:
-    return F.sqrt(squared_distance(a, b, dims))
+def dot(a: str | Column, b: str | Column) -> Column:
+    return _sum(F.zip_with(_col(a), _col(b), lambda x, y: x * y))
 
 
-def cosine(a: str | Column, b: str | Column, dims: int) -> Column:
+def squared_distance(a: str | Column, b: str | Column) -> Column:
+    return _sum(F.zip_with(_col(a), _col(b), lambda x, y: (x - y) * (x - y)))
+
+
+def distance(a: str | Column, b: str | Column) -> Column:
+    return F.sqrt(squared_distance(a, b))
+
+
+def cosine(a: str | Column, b: str | Column) -> Column:
     """Cosine similarity; 0 when a vector has no length."""
-    lengths = F.sqrt(dot(a, a, dims)) * F.sqrt(dot(b, b, dims))
-    return F.when(lengths == 0, F.lit(0.0)).otherwise(dot(a, b, dims) / lengths)
+    lengths = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(lengths == 0, F.lit(0.0)).otherwise(dot(a, b) / lengths)
 
 
 def keep_covered(df: DataFrame, features: str, share: float = 0.8) -> DataFrame:
@@ -54,40 +61,42 @@ def coverage(features: str) -> Column:
     return F.size(F.filter(F.col(features), lambda v: v.isNotNull() & ~F.isnan(v))) / F.size(features)
 
 
-def _stats(df: DataFrame, features: str, dims: int, by: list[str], fill: str, sample: bool) -> DataFrame:
+def pack(long: DataFrame, keys: Sequence[str], at: str, columns: Sequence[str]) -> DataFrame:
+    """One row per key with each column as an array in the order of ``at``. A key has one
+    row per vector position, so the arrays are as long as a vector."""
+    rows = F.array_sort(F.collect_list(F.struct(at, *columns)))
+    packed = long.groupBy(*keys).agg(rows.alias("_packed"))
+    return packed.select(*keys, *[F.col(f"_packed.{c}").alias(c) for c in columns])
+
+
+def _stats(df: DataFrame, features: str, by: list[str], fill: str, sample: bool) -> DataFrame:
     """One row per corpus: arrays of fill value, mean and deviation after filling."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i in range(dims):
-        x = finite(item(features, i))
-        aggs += [F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_m{i}"), F.var_pop(x).alias(f"_v{i}")]
-    one = df.groupBy(*by).agg(*aggs)
+    long = df.select(*by, F.posexplode(features).alias("_i", "_x")).withColumn("_x", finite(F.col("_x")))
+    keys = [*by, "_i"]
+    cells = long.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count("_x").alias("_n"), F.avg("_x").alias("_m"), F.var_pop("_x").alias("_v")
+    )
     if fill == "median":
-        long = df.select(*by, F.posexplode(features).alias("_i", "_x")).withColumn("_x", finite(F.col("_x")))
-        medians = exact_quantiles(long, [*by, "_i"], "_x", {"_q": 0.5}, few_groups=True)
-        packed = medians.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_q"))).alias("_medians"))
-        one = one.join(small_side(packed), by, "left")
-        fills = [F.coalesce(F.col("_medians")[i], F.lit(0.0)) for i in range(dims)]
+        cells = cells.join(exact_quantiles(long, keys, "_x", {"_q": 0.5}, few_groups=True), keys, "left")
     else:
-        fills = [F.coalesce(F.col(f"_m{i}"), F.lit(0.0)) for i in range(dims)]
-    total = F.col("_rows")
-    means, stds = [], []
-    for i, f in enumerate(fills):
-        n = F.col(f"_n{i}")
-        m, v = F.coalesce(F.col(f"_m{i}"), F.lit(0.0)), F.coalesce(F.col(f"_v{i}"), F.lit(0.0))
-        mean = F.when(n == total, m).otherwise((n * m + (total - n) * f) / total)
-        off = lambda x: (x - mean) * (x - mean)
-        var = F.when(n == total, v).otherwise((n * (v + off(m)) + (total - n) * off(f)) / total)
-        flat = var <= total * EPS * var + (total * F.abs(mean) * EPS) * (total * F.abs(mean) * EPS)
-        scaled = var * total / (total - 1) if sample else var
-        means.append(mean)
-        stds.append(F.when(flat | scaled.isNull(), F.lit(1.0)).otherwise(F.sqrt(scaled)))
-    return one.select(*by, F.array(*fills).alias("_fill"), F.array(*means).alias("_mean"), F.array(*stds).alias("_std"))
+        cells = cells.withColumn("_q", F.col("_m"))
+    total, n = F.col("_rows"), F.col("_n")
+    f, m, v = (F.coalesce(c, F.lit(0.0)) for c in ("_q", "_m", "_v"))
+    mean = F.when(n == total, m).otherwise((n * m + (total - n) * f) / total)
+    cells = cells.withColumns({"_fill": f, "_mean": mean})
+    off = lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))
+    var = F.when(n == total, v).otherwise((n * (v + off(m)) + (total - n) * off(f)) / total)
+    cells = cells.withColumn("_var", var)
+    noise = total * F.abs("_mean") * EPS
+    flat = F.col("_var") <= total * EPS * F.col("_var") + noise * noise
+    scaled = F.col("_var") * total / (total - 1) if sample else F.col("_var")
+    std = F.when(flat | scaled.isNull(), F.lit(1.0)).otherwise(F.sqrt(scaled))
+    return pack(cells.withColumn("_std", std), by, "_i", ["_fill", "_mean", "_std"])
 
 
 def scale(
     df: DataFrame,
     features: str,
-    dims: int,
     *,
     by: Sequence[str] = (),
     fill: str = "median",
@@ -105,13 +114,16 @@ def scale(
     base = df
     if not keys:
         keys, base = ["_all"], df.withColumn("_all", F.lit(0))
-    stats = small_side(_stats(base, features, dims, keys, fill, sample), max_rows=10_000)
-    joined = base.join(stats, keys)
-    value = lambda i: (F.coalesce(finite(item(features, i)), item("_fill", i)) - item("_mean", i)) / item("_std", i)
-    return joined.withColumn(into, F.array(*[value(i) for i in range(dims)])).select(*df.columns, into)
+    joined = base.join(small_side(_stats(base, features, keys, fill, sample), max_rows=10_000), keys)
+    filled = F.zip_with(F.col(features), F.col("_fill"), lambda x, f: F.coalesce(finite(x), f))
+    centred = F.zip_with(filled, F.col("_mean"), lambda x, m: x - m)
+    return joined.withColumn(into, F.zip_with(centred, F.col("_std"), lambda x, s: x / s)).select(*df.columns, into)
 
 
-def centroids(df: DataFrame, keys: Sequence[str], features: str, dims: int, into: str = "centroid") -> DataFrame:
+def centroids(df: DataFrame, keys: Sequence[str], features: str, into: str = "centroid") -> DataFrame:
     """Mean vector and row count per key, combined before the shuffle."""
-    means = [F.avg(item(features, i)) for i in range(dims)]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_samples"), F.array(*means).alias(into))
+    cells = df.select(*keys, F.posexplode(features).alias("_i", "_x")).groupBy(*keys, "_i").agg(
+        F.avg(F.col("_x").cast("double")).alias(into), F.count(F.lit(1)).alias("num_samples")
+    )
+    packed = pack(cells, keys, "_i", [into, "num_samples"])
+    return packed.select(*keys, F.get("num_samples", F.lit(0)).alias("num_samples"), into)

@@ -17,9 +17,9 @@ DATASET = ["dataset"]
 LABEL = ["dataset", "gloss"]
 
 
-def compactness(scaled: DataFrame, features: str, dims: int, ident: str) -> DataFrame:
+def compactness(scaled: DataFrame, features: str, ident: str) -> DataFrame:
     """Mean, median, deviation and maximum distance to the centroid per label."""
-    stats = distance_statistics(centroid_distance(scaled, LABEL, features, dims, ident), LABEL)
+    stats = distance_statistics(centroid_distance(scaled, LABEL, features, ident), LABEL)
     return stats.drop("within_class_variance").withColumnRenamed("mean_distance", "compactness")
 
 
@@ -33,7 +33,7 @@ def overall(df: DataFrame, value: str, prefix: str, extremes: bool = False) -> D
     )
 
 
-def centroid_pairs(centers: DataFrame, dims: int, *, extra: Sequence[str] = (), block_rows: int = 1_024) -> DataFrame:
+def centroid_pairs(centers: DataFrame, *, extra: Sequence[str] = (), block_rows: int = 1_024) -> DataFrame:
     """Euclidean and cosine distance of all label centroids of a corpus, each pair once.
 
     Every pair is part of the result, so the pairs are spread over tiles of bounded size.
@@ -44,8 +44,8 @@ def centroid_pairs(centers: DataFrame, dims: int, *, extra: Sequence[str] = (),
         "gloss_a",
         "gloss_b",
         *[f"{e}_{s}" for e in extra for s in "ab"],
-        distance("centroid_a", "centroid_b", dims).alias("euclidean_distance"),
-        (1 - cosine("centroid_a", "centroid_b", dims)).alias("cosine_distance"),
+        distance("centroid_a", "centroid_b").alias("euclidean_distance"),
+        (1 - cosine("centroid_a", "centroid_b")).alias("cosine_distance"),
     )
 
 
@@ -137,29 +137,29 @@ def silhouette_score(samples: DataFrame) -> DataFrame:
 # --- indices --------------------------------------------------------------------
 
 
-def davies_bouldin(scaled: DataFrame, features: str, dims: int, ident: str) -> DataFrame:
+def davies_bouldin(scaled: DataFrame, features: str, ident: str) -> DataFrame:
     """Mean over labels of the worst ratio of summed spreads to centroid distance."""
-    spread = centroid_distance(scaled, LABEL, features, dims, ident).groupBy(*LABEL).agg(F.avg("distance").alias("spread"))
-    centers = centroids(scaled, LABEL, features, dims).join(spread, LABEL)
-    pairs = centroid_pairs(centers, dims, extra=["spread"])
+    spread = centroid_distance(scaled, LABEL, features, ident).groupBy(*LABEL).agg(F.avg("distance").alias("spread"))
+    centers = centroids(scaled, LABEL, features).join(spread, LABEL)
+    pairs = centroid_pairs(centers, extra=["spread"])
     ratio = (F.col("spread_a") + F.col("spread_b")) / F.nullif("euclidean_distance", F.lit(0.0))
     ends = F.explode(F.array("gloss_a", "gloss_b"))
     worst = pairs.select("dataset", ends.alias("gloss"), F.coalesce(ratio, F.lit(0.0)).alias("_r")).groupBy(*LABEL).agg(F.max("_r").alias("_r"))
     return worst.groupBy(*DATASET).agg(F.avg("_r").alias("davies_bouldin_index"))
 
 
-def calinski_harabasz(scaled: DataFrame, features: str, dims: int, ident: str) -> DataFrame:
+def calinski_harabasz(scaled: DataFrame, features: str, ident: str) -> DataFrame:
     """Between-label over within-label dispersion, each by its degrees of freedom."""
-    within = centroid_distance(scaled, LABEL, features, dims, ident).groupBy(*DATASET).agg(
+    within = centroid_distance(scaled, LABEL, features, ident).groupBy(*DATASET).agg(
         F.sum(F.col("distance") * F.col("distance")).alias("_within"), F.count(F.lit(1)).alias("_n")
     )
-    whole = small_side(centroids(scaled, DATASET, features, dims, into="_center").drop("num_samples"))
+    whole = small_side(centroids(scaled, DATASET, features, into="_center").drop("num_samples"))
     between = (
-        centroids(scaled, LABEL, features, dims)
+        centroids(scaled, LABEL, features)
         .join(whole, DATASET)
         .groupBy(*DATASET)
         .agg(
-            F.sum(F.col("num_samples") * squared_distance("centroid", "_center", dims)).alias("_between"),
+            F.sum(F.col("num_samples") * squared_distance("centroid", "_center")).alias("_between"),
             F.count(F.lit(1)).alias("_k"),
         )
     )
@@ -168,18 +168,20 @@ def calinski_harabasz(scaled: DataFrame, features: str, dims: int, ident: str) -
     return within.join(between, DATASET).select(*DATASET, index.alias("calinski_harabasz_index"))
 
 
-def metrics_row(df: DataFrame, features: str, dims: int, ident: str) -> DataFrame:
+def metrics_row(df: DataFrame, features: str, ident: str) -> DataFrame:
     """All separability metrics of each corpus in one row (principal components aside)."""
-    scaled = scale(df.select(*LABEL, ident, features), features, dims, by=DATASET, fill="median")
+    scaled = scale(df.select(*LABEL, ident, features), features, by=DATASET, fill="median")
     size = df.groupBy(*DATASET).agg(
-        F.count(F.lit(1)).alias("num_samples"), F.count_distinct("gloss").alias("num_glosses")
-    ).withColumn("feature_dimension", F.lit(dims).cast("long"))
-    pairs = centroid_pairs(centroids(scaled, LABEL, "scaled", dims), dims)
+        F.count(F.lit(1)).alias("num_samples"),
+        F.count_distinct("gloss").alias("num_glosses"),
+        F.max(F.size(features)).cast("long").alias("feature_dimension"),
+    )
+    pairs = centroid_pairs(centroids(scaled, LABEL, "scaled"))
     parts = [
         silhouette_score(silhouette_samples(scaled, "scaled", ident)),
-        davies_bouldin(scaled, "scaled", dims, ident),
-        calinski_harabasz(scaled, "scaled", dims, ident),
-        overall(compactness(scaled, "scaled", dims, ident), "compactness", "compactness"),
+        davies_bouldin(scaled, "scaled", ident),
+        calinski_harabasz(scaled, "scaled", ident),
+        overall(compactness(scaled, "scaled", ident), "compactness", "compactness"),
         overall(pairs, "euclidean_distance", "euclidean", extremes=True),
         overall(pairs, "cosine_distance", "cosine", extremes=True),
     ]

@@ -14,12 +14,12 @@ from seqatlas.operators.scaling import cosine, item
 
 
 def cosine_pairs(
-    mapping: DataFrame, left_rows: DataFrame, right_rows: DataFrame, left: str, right: str, dims: int
+    mapping: DataFrame, left_rows: DataFrame, right_rows: DataFrame, left: str, right: str
 ) -> DataFrame:
     """Score of each distinct mapped pair; the label rows have ``vector`` and ``samples``."""
     side = lambda df, key, s: df.select(key, F.col("vector").alias(f"vector_{s}"), F.col("samples").alias(f"samples_{s}"))
     pairs = mapped_pairs(mapping, side(left_rows, left, "left"), side(right_rows, right, "right"), left, right)
-    cos = cosine("vector_left", "vector_right", dims)
+    cos = cosine("vector_left", "vector_right")
     return pairs.withColumn("cosine_similarity", cos).withColumn("similarity_score", similarity_score(F.col("cosine_similarity")))
 
 
@@ -62,9 +62,9 @@ def score_statistics(scores: DataFrame, value: str, groups: Sequence[str] = ())
     return wide.unpivot(keys, names, "metric", "value").drop("_all")
 
 
-def regional(labels: DataFrame, dims: int, *, base: str = "base", region: str = "region", vector: str = "vector") -> DataFrame:
+def regional(labels: DataFrame, *, base: str = "base", region: str = "region", vector: str = "vector") -> DataFrame:
     pairs = region_pairs(labels, base, region, [vector])
-    cos = cosine(f"{vector}_a", f"{vector}_b", dims)
+    cos = cosine(f"{vector}_a", f"{vector}_b")
     return pairs.select(
         base, f"{region}_a", f"{region}_b", cos.alias("cosine_similarity"), similarity_score(cos).alias("similarity_score")
     ).withColumn("region_pair", F.concat_ws("-", f"{region}_a", f"{region}_b"))

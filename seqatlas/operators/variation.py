@@ -14,12 +14,12 @@ from seqatlas.operators.scaling import centroids, cosine, distance
 
 
 def centroid_distance(
-    df: DataFrame, keys: Sequence[str], features: str, dims: int, ident: str, *, metric: str = "euclidean", into: str = "distance"
+    df: DataFrame, keys: Sequence[str], features: str, ident: str, *, metric: str = "euclidean", into: str = "distance"
 ) -> DataFrame:
     """Distance of each row to the mean vector of its key; hot keys are salted."""
-    centers = centroids(df, keys, features, dims).drop("num_samples")
+    centers = centroids(df, keys, features).drop("num_samples")
     joined = salted_join(df, centers, keys, salt_on=[ident])
-    value = distance(features, "centroid", dims) if metric == "euclidean" else 1 - cosine(features, "centroid", dims)
+    value = distance(features, "centroid") if metric == "euclidean" else 1 - cosine(features, "centroid")
     return joined.select(*keys, ident, value.alias(into))
 
 
@@ -36,10 +36,10 @@ def distance_statistics(distances: DataFrame, keys: Sequence[str], value: str =
 
 
 def signer_variation(
-    scaled: DataFrame, features: str, dims: int, ident: str, keys: Sequence[str] = ("dataset", "gloss"), *, metric: str = "euclidean"
+    scaled: DataFrame, features: str, ident: str, keys: Sequence[str] = ("dataset", "gloss"), *, metric: str = "euclidean"
 ) -> DataFrame:
     """Spread of the samples of each label around their centroid in scaled space."""
-    return distance_statistics(centroid_distance(scaled, keys, features, dims, ident, metric=metric), keys)
+    return distance_statistics(centroid_distance(scaled, keys, features, ident, metric=metric), keys)
 
 
 def metric_ranking(df: DataFrame, metric: str, order: Sequence[str], extra: Sequence[str] = (), label: str = "gloss") -> DataFrame:
