@@ -4,6 +4,7 @@ from catalog import R, query, r6, rounded
 from seqatlas.distribution import Sequences, number_rows
 from seqatlas.functions import arrays as A
 from seqatlas.operators import sequences as S
+from seqatlas.session import cut_lineage
 
 USERS = Sequences(("user_id",))
 BLOCK = 65_536
@@ -306,6 +307,6 @@ SELECT user_id, num_frames, left_valid_frames, right_valid_frames, {', '.join(f'
   true AS has_left_hand, true AS has_right_hand, {', '.join(f'CAST({v} AS DOUBLE) AS {p}_point_missing_ratio' for p, v in POINT_MISSING.items())}, CAST(0.375 AS DOUBLE) AS hand_point_missing_ratio
 FROM base JOIN hf USING (user_id) LEFT JOIN tr USING (user_id)""")
 def ts_video_features(t):
-    normalised = S.normalised_frames(centers(t), USERS)
+    normalised = cut_lineage(S.normalised_frames(centers(t), USERS))
     out = S.sequence_features(normalised, USERS, fps=F.lit(25.0))
     return rounded(out, *FEATURES, "hand_frame_missing_ratio", digits=5)

@@ -4,6 +4,7 @@ from catalog import R, query, r6, rounded
 from catalog.joins import mapping, MAPPING, sides
 from seqatlas.distribution import small_side
 from seqatlas.functions import text as X
+from seqatlas.session import cut_lineage
 from seqatlas.operators import (
     clusters as CL, features as FE, joins as J, ranking as RK, report as P, scaling as SC, separability as SE, similarity as SI, variation as VA,
 )
@@ -81,14 +82,18 @@ COMPACT = f"{distance_sql('dataset, dim')}, k AS (SELECT dataset, gloss, count(*
 
 
 def by_dataset(t):
-    return SC.scale(rows(t), "features", by=["dataset"])
+    return cut_lineage(SC.scale(rows(t), "features", by=["dataset"]))
+
+
+def distances(t):
+    return SE.label_distances(by_dataset(t), "scaled", "vec_id")
 
 
 @query("sep_compactness", f"""WITH {COMPACT}, o AS (SELECT dataset, avg(compactness) AS m, median(compactness) AS md, stddev_pop(compactness) AS s FROM k GROUP BY dataset)
 SELECT dataset, gloss, num_samples, {R('compactness')} AS compactness, {R('median_distance')} AS median_distance, {R('std_distance')} AS std_distance, {R('max_distance')} AS max_distance,
   {R('m')} AS compactness_mean, {R('md')} AS compactness_median, {R('s')} AS compactness_std FROM k JOIN o USING (dataset)""")
 def sep_compactness(t):
-    k = SE.compactness(by_dataset(t), "scaled", "vec_id")
+    k = SE.compactness(distances(t))
     overall = SE.overall(k, "compactness", "compactness")
     return rounded(k.join(small_side(overall), "dataset"))
 
@@ -98,7 +103,7 @@ cp AS (SELECT a.dataset, a.gloss AS gloss_a, b.gloss AS gloss_b, sqrt(sum((a.c -
 
 
 def center_pairs(t):
-    return SE.centroid_pairs(SC.centroids(by_dataset(t), ["dataset", "gloss"], "scaled"))
+    return cut_lineage(SE.centroid_pairs(SC.centroids(by_dataset(t), ["dataset", "gloss"], "scaled")))
 
 
 @query("sep_centroid_distances", f"WITH {PAIRS} SELECT dataset, gloss_a, gloss_b, {R('e')} AS euclidean_distance, {R('o')} AS cosine_distance FROM cp")
@@ -126,7 +131,8 @@ CP = PAIRS[PAIRS.index("cp AS"):]
 
 @query("sep_davies_bouldin", f"WITH {COMPACT}, {CP}, {DB} SELECT dataset, {R('davies_bouldin_index')} AS davies_bouldin_index FROM db")
 def sep_davies_bouldin(t):
-    return rounded(SE.davies_bouldin(by_dataset(t), "scaled", "vec_id"))
+    s = by_dataset(t)
+    return rounded(SE.davies_bouldin(s, "scaled", SE.label_distances(s, "scaled", "vec_id")))
 
 
 CH = """wi AS (SELECT dataset, sum(d * d) AS w, count(*) AS n FROM d GROUP BY ALL), g AS (SELECT dataset, dim, avg(z) AS g FROM z GROUP BY ALL), nn AS (SELECT dataset, gloss, count(*) AS n FROM d GROUP BY ALL),
@@ -135,7 +141,8 @@ be AS (SELECT dataset, sum(n * (c - g) * (c - g)) AS b, count(DISTINCT gloss) AS
 
 @query("sep_calinski_harabasz", f"WITH {distance_sql('dataset, dim')}, {CH} SELECT dataset, {R('calinski_harabasz_index')} AS calinski_harabasz_index FROM ch")
 def sep_calinski_harabasz(t):
-    return rounded(SE.calinski_harabasz(by_dataset(t), "scaled", "vec_id"))
+    s = by_dataset(t)
+    return rounded(SE.calinski_harabasz(s, "scaled", SE.label_distances(s, "scaled", "vec_id")))
 
 
 SIL = silhouette_sql()
@@ -165,7 +172,7 @@ def join_knn_candidates(t):
 
 @query("ml_kmeans")
 def ml_kmeans(t):
-    s = SC.scale(rows(t), "features", fill="median", sample=True)
+    s = cut_lineage(SC.scale(rows(t), "features", fill="median", sample=True))
     return CL.kmeans(s, "scaled").select("vec_id", "dataset", "gloss", "cluster")
 
 
@@ -188,8 +195,8 @@ def ml_cluster_profile(t):
 
 @query("ml_pca2")
 def ml_pca2(t):
-    coords, explained = CL.pca2(SC.scale(rows(t), "features", fill="median"), "scaled")
-    return rounded(coords.select("vec_id", "dataset", "gloss", "pc1", "pc2")).withColumn("explained", F.lit(len(explained.columns)))
+    coords, _ = CL.pca2(cut_lineage(SC.scale(rows(t), "features", fill="median")), "scaled")
+    return rounded(coords.select("vec_id", "dataset", "gloss", "pc1", "pc2"))
 
 
 LABELS = f"""e AS (SELECT vec_id % 2 AS side, CAST(label AS VARCHAR) AS g, CAST(k AS INTEGER) AS dim, CAST(embedding[k+1] AS DOUBLE) AS x FROM embeddings, range(64) t(k) WHERE vec_id % 2 = 0 OR label <> 8),
@@ -204,6 +211,7 @@ def scored(t):
     tagged = left.select(F.lit(0).alias("side"), F.col("l").alias("g"), "embedding").unionByName(right.select(F.lit(1).alias("side"), F.col("r").alias("g"), "embedding"))
     means = SC.centroids(tagged.withColumn("x", F.transform("embedding", lambda v: v.cast("double"))), ["side", "g"], "x", into="features")
     labels = SC.scale(means, "features", fill="mean", into="vector").withColumnRenamed("num_samples", "samples")
+    labels = cut_lineage(labels)
     return SI.cosine_pairs(mapping(t), labels.filter("side = 0").withColumnRenamed("g", "l"), labels.filter("side = 1").withColumnRenamed("g", "r"), "l", "r")
 
 
@@ -294,6 +302,6 @@ SELECT dataset, 'intra' AS kind, count(*) AS n, {R('avg(compactness)')} AS mean,
   CAST(NULL AS DOUBLE) AS min, CAST(NULL AS BIGINT) AS zero_pairs, CAST(NULL AS DOUBLE) AS p10 FROM k GROUP BY dataset
 UNION ALL SELECT dataset, 'inter', count(*), NULL, NULL, {R('median(e)')}, NULL, NULL, {R('min(e)')}, count(*) FILTER (e <= 1e-9), {R('quantile_cont(e, 0.1)')} FROM cp GROUP BY dataset""")
 def rpt_dtw_quantiles(t):
-    intra = P.intra_quantiles(SE.compactness(by_dataset(t), "scaled", "vec_id"), "compactness").withColumn("kind", F.lit("intra"))
+    intra = P.intra_quantiles(SE.compactness(distances(t)), "compactness").withColumn("kind", F.lit("intra"))
     inter = P.inter_quantiles(center_pairs(t), "euclidean_distance").withColumn("kind", F.lit("inter"))
     return rounded(intra.unionByName(inter, allowMissingColumns=True))

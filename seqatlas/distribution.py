@@ -223,9 +223,9 @@ def exact_quantiles(
         F.when(whole, F.transform(every, lambda _: F.col("_max"))).otherwise(F.col("_highs")).alias("_highs"),
     )
     if not keys:
-        keys = ["_all"]
-        weighted = weighted.withColumn("_all", F.lit(0))
-        sketch = sketch.withColumn("_all", F.lit(0))
+        keys = ["_every"]
+        weighted = weighted.withColumn("_every", F.lit(0))
+        sketch = sketch.withColumn("_every", F.lit(0))
         few_groups = True
     if few_groups:
         joined = weighted.join(small_side(sketch), keys)
@@ -259,7 +259,7 @@ def exact_quantiles(
     q = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))
     checked = picked.filter(must_hold(inside, "a quantile fell outside its bracket")).withColumn("_value", q)
     out = checked.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == i, F.col("_value"))).alias(n) for i, n in enumerate(names)])
-    return out.drop("_all")
+    return out.drop("_every")
 
 
 # --- pairs ----------------------------------------------------------------------

@@ -12,14 +12,20 @@ from seqatlas.distribution import exact_quantiles, salted_join, small_side, tile
 from seqatlas.guards import must_hold
 from seqatlas.operators.scaling import centroids, cosine, distance, scale, squared_distance
 from seqatlas.operators.variation import centroid_distance, distance_statistics
+from seqatlas.session import cut_lineage
 
 DATASET = ["dataset"]
 LABEL = ["dataset", "gloss"]
 
 
-def compactness(scaled: DataFrame, features: str, ident: str) -> DataFrame:
+def label_distances(scaled: DataFrame, features: str, ident: str) -> DataFrame:
+    """Distance of each sample to its label centroid, written once for the measures below."""
+    return cut_lineage(centroid_distance(scaled, LABEL, features, ident))
+
+
+def compactness(distances: DataFrame) -> DataFrame:
     """Mean, median, deviation and maximum distance to the centroid per label."""
-    stats = distance_statistics(centroid_distance(scaled, LABEL, features, ident), LABEL)
+    stats = distance_statistics(distances, LABEL)
     return stats.drop("within_class_variance").withColumnRenamed("mean_distance", "compactness")
 
 
@@ -102,8 +108,8 @@ def _block_sums(ident: str, label: str, features: str):
 def silhouette_samples(scaled: DataFrame, features: str, ident: str, *, block_rows: int = 2_048) -> DataFrame:
     """Exact Euclidean silhouette of every sample inside its corpus.
 
-    Distances are summed by label inside tiles of two blocks; no pair leaves a tile. A
-    sample alone in its label has silhouette 0. Corpora need 2 to n-1 labels.
+    Distances are summed by label inside tiles of two blocks; no pair leaves a tile. The
+    result is written once for the summaries. A sample alone in its label has silhouette 0. Corpora need 2 to n-1 labels.
     """
     shape = scaled.groupBy(*DATASET).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("gloss").alias("_k"))
     usable = shape.filter((F.col("_n") >= 3) & F.col("_k").between(2, F.col("_n") - 1)).select(*DATASET)
@@ -122,7 +128,7 @@ def silhouette_samples(scaled: DataFrame, features: str, ident: str, *, block_ro
     a, b = F.col("_a"), F.col("_b")
     widest = F.greatest(a, b)
     value = F.when(F.col("_size") == 1, F.lit(0.0)).when(widest > 0, (b - a) / widest).otherwise(F.lit(0.0))
-    return scores.select("dataset", ident, "gloss", value.alias("silhouette"))
+    return cut_lineage(scores.select("dataset", ident, "gloss", value.alias("silhouette")))
 
 
 def silhouette_by_label(samples: DataFrame) -> DataFrame:
@@ -137,9 +143,9 @@ def silhouette_score(samples: DataFrame) -> DataFrame:
 # --- indices --------------------------------------------------------------------
 
 
-def davies_bouldin(scaled: DataFrame, features: str, ident: str) -> DataFrame:
+def davies_bouldin(scaled: DataFrame, features: str, distances: DataFrame) -> DataFrame:
     """Mean over labels of the worst ratio of summed spreads to centroid distance."""
-    spread = centroid_distance(scaled, LABEL, features, ident).groupBy(*LABEL).agg(F.avg("distance").alias("spread"))
+    spread = distances.groupBy(*LABEL).agg(F.avg("distance").alias("spread"))
     centers = centroids(scaled, LABEL, features).join(spread, LABEL)
     pairs = centroid_pairs(centers, extra=["spread"])
     ratio = (F.col("spread_a") + F.col("spread_b")) / F.nullif("euclidean_distance", F.lit(0.0))
@@ -148,9 +154,9 @@ def davies_bouldin(scaled: DataFrame, features: str, ident: str) -> DataFrame:
     return worst.groupBy(*DATASET).agg(F.avg("_r").alias("davies_bouldin_index"))
 
 
-def calinski_harabasz(scaled: DataFrame, features: str, ident: str) -> DataFrame:
+def calinski_harabasz(scaled: DataFrame, features: str, distances: DataFrame) -> DataFrame:
     """Between-label over within-label dispersion, each by its degrees of freedom."""
-    within = centroid_distance(scaled, LABEL, features, ident).groupBy(*DATASET).agg(
+    within = distances.groupBy(*DATASET).agg(
         F.sum(F.col("distance") * F.col("distance")).alias("_within"), F.count(F.lit(1)).alias("_n")
     )
     whole = small_side(centroids(scaled, DATASET, features, into="_center").drop("num_samples"))
@@ -170,18 +176,19 @@ def calinski_harabasz(scaled: DataFrame, features: str, ident: str) -> DataFrame
 
 def metrics_row(df: DataFrame, features: str, ident: str) -> DataFrame:
     """All separability metrics of each corpus in one row (principal components aside)."""
-    scaled = scale(df.select(*LABEL, ident, features), features, by=DATASET, fill="median")
+    scaled = cut_lineage(scale(df.select(*LABEL, ident, features), features, by=DATASET, fill="median"))
+    distances = label_distances(scaled, "scaled", ident)
     size = df.groupBy(*DATASET).agg(
         F.count(F.lit(1)).alias("num_samples"),
         F.count_distinct("gloss").alias("num_glosses"),
         F.max(F.size(features)).cast("long").alias("feature_dimension"),
     )
-    pairs = centroid_pairs(centroids(scaled, LABEL, "scaled"))
+    pairs = cut_lineage(centroid_pairs(centroids(scaled, LABEL, "scaled")))
     parts = [
         silhouette_score(silhouette_samples(scaled, "scaled", ident)),
-        davies_bouldin(scaled, "scaled", ident),
-        calinski_harabasz(scaled, "scaled", ident),
-        overall(compactness(scaled, "scaled", ident), "compactness", "compactness"),
+        davies_bouldin(scaled, "scaled", distances),
+        calinski_harabasz(scaled, "scaled", distances),
+        overall(compactness(distances), "compactness", "compactness"),
         overall(pairs, "euclidean_distance", "euclidean", extremes=True),
         overall(pairs, "cosine_distance", "cosine", extremes=True),
     ]

@@ -617,9 +617,12 @@ PARTS = ("left", "right", "pose", "face")
 
 
 def normalised_frames(frames: DataFrame, seq: Sequences, max_gap: int = MAX_GAP) -> DataFrame:
-    """Gap-filled, body-anchored centers per frame, with the valid flags of the raw ones."""
+    """Gap-filled, body-anchored centers per frame, with the valid flags of the raw ones.
+
+    The filled centers are written once: the body scale and the result both read them.
+    """
     raw = frames.withColumns({f"has_{p}": F.col(p).isNotNull() for p in PARTS}).withColumn("_body_raw", F.col("pose"))
-    filled = interpolate_gaps(raw, seq, PARTS, max_gap)
+    filled = cut_lineage(interpolate_gaps(raw, seq, PARTS, max_gap))
     scales = body_scale(filled, seq.keys, shoulder_distance="shoulder_distance", centers=["_body_raw", "left", "right"])
     joined = salted_join(filled, scales, seq.keys, salt_on=[seq.frame], how="left")
     body = F.col("pose")

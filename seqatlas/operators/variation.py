@@ -11,6 +11,7 @@ from seqatlas.guards import require_columns
 from seqatlas.operators.features import mean_by
 from seqatlas.operators.ranking import ranked
 from seqatlas.operators.scaling import centroids, cosine, distance
+from seqatlas.session import cut_lineage
 
 
 def centroid_distance(
@@ -38,8 +39,12 @@ def distance_statistics(distances: DataFrame, keys: Sequence[str], value: str =
 def signer_variation(
     scaled: DataFrame, features: str, ident: str, keys: Sequence[str] = ("dataset", "gloss"), *, metric: str = "euclidean"
 ) -> DataFrame:
-    """Spread of the samples of each label around their centroid in scaled space."""
-    return distance_statistics(centroid_distance(scaled, keys, features, ident, metric=metric), keys)
+    """Spread of the samples of each label around their centroid in scaled space.
+
+    The scaled vectors and the distances are written once, as several passes use them.
+    """
+    distances = cut_lineage(centroid_distance(cut_lineage(scaled), keys, features, ident, metric=metric))
+    return distance_statistics(distances, keys)
 
 
 def metric_ranking(df: DataFrame, metric: str, order: Sequence[str], extra: Sequence[str] = (), label: str = "gloss") -> DataFrame:
