@@ -1 +1,59 @@
-from catalog import query
+from pyspark.sql import functions as F
+
+from catalog import R, query, r6, rounded
+from catalog.series import USERS, centers
+from seqatlas.distribution import tile_pairs
+from seqatlas.operators import dtw as D, report as P, sequences as S
+from seqatlas.session import cut_lineage
+
+CHANNELS = 2
+
+
+def series(t):
+    """Embeddings as trajectories of 32 points with two channels."""
+    return t("embeddings").select(
+        (F.col("vec_id") % 2).alias("dataset"), "label", "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("trajectory")
+    )
+
+
+def within_labels(t):
+    return D.warp_within(series(t), "vec_id", "trajectory", CHANNELS, ["dataset", "label"])
+
+
+@query("dtw_distance")
+def dtw_distance(t):
+    """Each trajectory against the one with the next number, of either half its length or all."""
+    a = series(t).select("vec_id", "trajectory")
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.when(F.col("vec_id") % 3 == 0, F.slice("trajectory", 1, 40)).otherwise(F.col("trajectory")).alias("other"))
+    joined = a.join(b, "vec_id")
+    return rounded(joined.select("vec_id", D.warp_pairs(F.col("trajectory"), F.col("other"), CHANNELS).alias("distance")))
+
+
+@query("dtw_intra_class")
+def dtw_intra_class(t):
+    return rounded(D.intra_class(cut_lineage(within_labels(t))))
+
+
+PROTO = """c AS (SELECT vec_id % 2 AS dataset, label, CAST(k AS INTEGER) AS position, avg(CAST(embedding[k+1] AS DOUBLE)) AS value, count(*) AS num_samples FROM embeddings, range(64) t(k) GROUP BY ALL)"""
+
+
+@query("dtw_prototypes", f"WITH {PROTO} SELECT dataset, label, position, {R('value')} AS value, num_samples FROM c")
+def dtw_prototypes(t):
+    p = D.prototypes(series(t), ["dataset", "label"], "trajectory")
+    return rounded(p.select("dataset", "label", "num_samples", F.posexplode("prototype").alias("position", "value")))
+
+
+@query("dtw_inter_class")
+def dtw_inter_class(t):
+    p = cut_lineage(D.prototypes(series(t), ["dataset", "label"], "trajectory"))
+    near = D.inter_class(p, "label", CHANNELS, candidates=3)
+    every = D.inter_class(p, "label", CHANNELS, exhaustive=True)
+    return rounded(near.unionByName(every))
+
+
+@query("hand_trajectories")
+def hand_trajectories(t):
+    """Resampled trajectories of the users with the most motion."""
+    normalised = cut_lineage(S.normalised_frames(centers(t), USERS))
+    features = S.sequence_features(normalised, USERS).select("user_id", "total_motion")
+    return rounded(P.example_trajectories(features, S.hand_trajectories(normalised, USERS), ["user_id"]))

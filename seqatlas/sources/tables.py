@@ -35,16 +35,20 @@ def read_csv_any_encoding(spark: SparkSession, paths: str | Sequence[str], colum
     """CSV files in UTF-8 (with or without byte-order mark), code page 1258 or Latin-1.
 
     The encoding is decided per file from all of its lines. Lines are split and decoded
-    by Spark, so a large file is read in parallel. Quoted fields may not span lines. Values
-    stay text; ``_encoding`` tells what was used.
+    by Spark, so a large file is read in parallel. Quoted fields may not span lines. Header
+    lines are those that repeat the column names. Values stay text; ``_encoding`` tells what
+    was used.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = spark.read.option("recursiveFileLookup", "true").text(paths).select("value", F.col("_metadata.file_path").alias("_file"))
-    first = lines.select("value").head()
-    if first is None:
-        raise InputError("the CSV files are empty")
-    header = first[0].lstrip(BOM)
-    names = list(columns) if columns else [h.strip().strip('"') for h in header.split(",")]
+    if columns:
+        names, header = list(columns), ",".join(columns)
+    else:
+        first = lines.select("value").head()
+        if first is None:
+            raise InputError("the CSV files are empty")
+        header = first[0].lstrip(BOM)
+        names = [h.strip().strip('"') for h in header.split(",")]
     source, target, undefined = _vietnamese_table()
     as_latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in undefined) + "]"
