@@ -27,7 +27,8 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     At most ``max_rows + 1`` rows pass the limit, and the extra one fails the job, so
     a table that has outgrown its bound stops the query instead of the driver.
     """
-    capped = df.limit(max_rows + 1).withColumn("_nth", F.monotonically_increasing_id())
+    # One partition, so that the generated ids count the rows from 0.
+    capped = df.limit(max_rows + 1).coalesce(1).withColumn("_nth", F.monotonically_increasing_id())
     fits = must_hold(F.col("_nth") < max_rows, f"a broadcast table has more than {max_rows} rows")
     return F.broadcast(capped.filter(fits).drop("_nth"))
 
