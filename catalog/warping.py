@@ -56,4 +56,5 @@ def hand_trajectories(t):
     """Resampled trajectories of the users with the most motion."""
     normalised = cut_lineage(S.normalised_frames(centers(t), USERS))
     features = S.sequence_features(normalised, USERS).select("user_id", "total_motion")
-    return rounded(P.example_trajectories(features, S.hand_trajectories(normalised, USERS), ["user_id"]))
+    chosen = P.most_moving(features, normalised, ["user_id"])
+    return rounded(S.hand_trajectories(chosen, USERS))

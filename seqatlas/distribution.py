@@ -33,6 +33,16 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(capped.filter(fits).drop("_nth"))
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (a whole-table aggregate) to every row.
+
+    The row is a scalar subquery: it is computed once and reaches the tasks as a value, so
+    nothing is joined.
+    """
+    value = one.select(F.struct(*one.columns).alias("_one")).scalar()
+    return df.withColumn("_one", value).select(*df.columns, *[F.col(f"_one.{c}").alias(c) for c in one.columns])
+
+
 def salted_join(
     big: DataFrame,
     other: DataFrame,
@@ -224,11 +234,8 @@ def exact_quantiles(
         F.when(whole, F.transform(every, lambda _: F.col("_max"))).otherwise(F.col("_highs")).alias("_highs"),
     )
     if not keys:
-        keys = ["_every"]
-        weighted = weighted.withColumn("_every", F.lit(0))
-        sketch = sketch.withColumn("_every", F.lit(0))
-        few_groups = True
-    if few_groups:
+        joined = attach_row(weighted, sketch)
+    elif few_groups:
         joined = weighted.join(small_side(sketch), keys)
     else:
         joined = salted_join(weighted, sketch, keys, salt_on=["_v"])
@@ -260,7 +267,7 @@ def exact_quantiles(
     q = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))
     checked = picked.filter(must_hold(inside, "a quantile fell outside its bracket")).withColumn("_value", q)
     out = checked.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == i, F.col("_value"))).alias(n) for i, n in enumerate(names)])
-    return out.drop("_every")
+    return out
 
 
 # --- pairs ----------------------------------------------------------------------
@@ -273,16 +280,15 @@ def tiled(df: DataFrame, ident: str, groups: Sequence[str] = (), *, block_rows:
     blocks at most. A hot group has many tiles instead of one long task.
     """
     groups = list(groups)
-    base = df if groups else df.withColumn("_all", F.lit(0))
-    by = groups or ["_all"]
-    sizes = base.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long").alias("_blocks"))
-    sized = salted_join(base, sizes, by, salt_on=[ident]) if groups else base.join(small_side(sizes), by)
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long").alias("_blocks")
+    sizes = df.groupBy(*groups).agg(blocks)
+    sized = salted_join(df, sizes, groups, salt_on=[ident]) if groups else attach_row(df, sizes)
     blocked = sized.withColumn("_block", F.pmod(F.xxhash64(ident), F.col("_blocks")))
     return (
         blocked.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
         .withColumn("_ti", F.least("_block", "_other"))
         .withColumn("_tj", F.greatest("_block", "_other"))
-        .drop("_blocks", "_other", "_all")
+        .drop("_blocks", "_other")
     )
 
 

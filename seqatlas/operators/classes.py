@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seqatlas.distribution import exact_quantiles, number_rows, salted_join, small_side
+from seqatlas.distribution import attach_row, exact_quantiles, number_rows, salted_join, small_side
 from seqatlas.guards import must_hold
 
 KEYS = ["dataset"]
@@ -67,12 +67,11 @@ def shares(df: DataFrame, categories: Sequence[str], groups: Sequence[str] = ("d
     Totals come from the counted categories, not from a window over them.
     """
     counted = df.groupBy(*groups, *categories).agg(F.count(F.lit(1)).alias("count"))
-    keys = list(groups) or ["_all"]
-    base = counted if groups else counted.withColumn("_all", F.lit(0))
-    totals = small_side(base.groupBy(*keys).agg(F.sum("count").alias("dataset_total")))
+    totals = counted.groupBy(*groups).agg(F.sum("count").alias("dataset_total"))
     share = F.col("count") / F.col("dataset_total")
     name = ("percentage", share * 100) if percent else ("proportion", share)
-    return base.join(totals, keys).withColumn(*name).drop("_all")
+    joined = counted.join(small_side(totals), list(groups)) if groups else attach_row(counted, totals)
+    return joined.withColumn(*name)
 
 
 def top_frequencies(df: DataFrame, category: Column, count: int | None = None, name: str = "category") -> DataFrame:

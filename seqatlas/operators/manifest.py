@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqatlas.distribution import number_rows, small_side
+from seqatlas.distribution import attach_row, number_rows
 from seqatlas.functions.text import safe_folder
 
 
@@ -46,8 +46,8 @@ def number_labels(df: DataFrame, label: str, *, prefix: int = 8) -> DataFrame:
     """Distinct labels with their 1-based rank in sort order and their number."""
     labels = df.select(label).distinct().withColumn("_all", F.lit(0))
     ranked = number_rows(labels, ["_all"], [label], bucket=F.substring(label, 1, prefix), into="_rank")
-    total = small_side(labels.groupBy("_all").agg(F.count(F.lit(1)).alias("n_labels")))
-    return ranked.join(total, "_all").select(label, (F.col("_rank") + 1).alias("label_rank"), "n_labels")
+    total = labels.agg(F.count(F.lit(1)).alias("n_labels"))
+    return attach_row(ranked, total).select(label, (F.col("_rank") + 1).alias("label_rank"), "n_labels")
 
 
 def shard_labels(df: DataFrame, label: str, *, workers: int | None = None, block: int | None = None) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from seqatlas.distribution import exact_quantiles, small_side
+from seqatlas.distribution import attach_row, exact_quantiles, small_side
 from seqatlas.functions.numbers import finite, safe_ratio
 from seqatlas.operators.ranking import top_per_group
 
@@ -99,17 +99,14 @@ def histogram(df: DataFrame, value: str, *, bins: int | None = None, cap: int =
     Without ``bins`` their number is min(cap, max(10, floor(sqrt n))), n being all rows
     (``pooled``) or the rows of the group. Empty bins give no row.
     """
-    keys = list(groups) or ["_all"]
+    keys = list(groups)
     base = df.select(*groups, finite(F.col(value)).alias("_v")).filter("_v is not null")
-    if not groups:
-        base = base.withColumn("_all", F.lit(0))
     span = base.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     if bins is not None:
         span = span.withColumn("_bins", F.lit(bins))
     else:
         if pooled and groups:
-            total = small_side(base.agg(F.count(F.lit(1)).alias("_t")).withColumn("_one", F.lit(1)))
-            span = span.withColumn("_one", F.lit(1)).join(total, "_one").withColumn("_n", F.col("_t")).drop("_one", "_t")
+            span = attach_row(span.drop("_n"), base.agg(F.count(F.lit(1)).alias("_n")))
         span = span.withColumn("_bins", F.least(F.lit(cap), F.greatest(F.lit(10), F.floor(F.sqrt("_n")).cast("int"))))
     flat = F.col("_hi") == F.col("_lo")
     span = span.withColumn("_lo", F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo"))).withColumn(
@@ -117,7 +114,8 @@ def histogram(df: DataFrame, value: str, *, bins: int | None = None, cap: int =
     )
     width = (F.col("_hi") - F.col("_lo")) / F.col("_bins")
     nth = F.least(F.floor((F.col("_v") - F.col("_lo")) / width).cast("int"), F.col("_bins") - 1)
-    counted = base.join(small_side(span), keys).groupBy(*keys, "_lo", "_hi", "_bins", nth.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    spread = base.join(small_side(span), keys) if keys else attach_row(base, span)
+    counted = spread.groupBy(*keys, "_lo", "_hi", "_bins", nth.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return counted.select(
         *groups, "bin", (F.col("_lo") + F.col("bin") * width).alias("left_edge"), (F.col("_lo") + (F.col("bin") + 1) * width).alias("right_edge"), "count"
     )
@@ -143,10 +141,10 @@ def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select("dataset", finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y")).filter("x is not null and y is not null")
 
 
-def example_trajectories(features: DataFrame, trajectories: DataFrame, keys: Sequence[str], count: int = 6, metric: str = "total_motion") -> DataFrame:
-    """Trajectories of the samples with the most motion."""
+def most_moving(features: DataFrame, rows: DataFrame, keys: Sequence[str], count: int = 6, metric: str = "total_motion") -> DataFrame:
+    """Rows (frames or trajectories) of the samples with the most motion."""
     best = features.orderBy(F.col(metric).desc_nulls_last(), *keys).limit(count).select(*keys)
-    return trajectories.join(small_side(best, count), list(keys), "left_semi")
+    return rows.join(small_side(best, count), list(keys), "left_semi")
 
 
 def axis_ticks(labels: DataFrame, label: str, shown: int = 40) -> DataFrame:

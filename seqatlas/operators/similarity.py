@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from seqatlas.distribution import exact_quantiles
+from seqatlas.distribution import attach_row, exact_quantiles
 from seqatlas.functions.numbers import similarity_score
 from seqatlas.functions.text import feature_group
 from seqatlas.operators.joins import mapped_pairs, region_pairs
-from seqatlas.operators.scaling import cosine, item
+from seqatlas.operators.scaling import cosine
 
 
 def cosine_pairs(
@@ -25,11 +25,11 @@ def cosine_pairs(
 
 def contributions(pairs: DataFrame, keys: Sequence[str], names: Sequence[str], left: str = "vector_left", right: str = "vector_right") -> DataFrame:
     """Absolute feature differences of a pair summed by feature group, with their share."""
-    groups = F.array(*[feature_group(F.lit(n)) for n in names])
-    diffs = F.array(*[F.struct(F.get(groups, F.lit(i)).alias("g"), F.abs(item(left, i) - item(right, i)).alias("d")) for i in range(len(names))])
+    diffs = F.zip_with(left, right, lambda x, y: F.abs(x - y))
+    named = F.zip_with(F.array(*[F.lit(n) for n in names]), diffs, lambda n, d: F.struct(n.alias("n"), d.alias("d")))
     by_group = (
-        pairs.select(*keys, F.explode(diffs).alias("_x"))
-        .groupBy(*keys, F.col("_x.g").alias("feature_group"))
+        pairs.select(*keys, F.explode(named).alias("_x"))
+        .groupBy(*keys, feature_group(F.col("_x.n")).alias("feature_group"))
         .agg(F.sum("_x.d").alias("difference"))
     )
     total = F.sum("difference").over(Window.partitionBy(*keys))
@@ -48,18 +48,16 @@ def contribution_summary(pairs: DataFrame, keys: Sequence[str], names: Sequence[
 
 def score_statistics(scores: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Mean, median, population deviation, extremes and quartiles as (metric, value) rows."""
-    keys = list(groups) or ["_all"]
-    base = scores if groups else scores.withColumn("_all", F.lit(0))
-    one = base.groupBy(*keys).agg(
+    keys = list(groups)
+    one = scores.groupBy(*keys).agg(
         F.avg(value).alias("Mean Similarity"),
         F.stddev_pop(value).alias("Standard Deviation"),
         F.min(value).alias("Minimum"),
         F.max(value).alias("Maximum"),
     )
-    q = exact_quantiles(base, keys, value, {"Median": 0.5, "Percentile 25": 0.25, "Percentile 75": 0.75}, few_groups=True)
-    wide = one.join(q, keys)
-    names = [c for c in wide.columns if c not in keys]
-    return wide.unpivot(keys, names, "metric", "value").drop("_all")
+    q = exact_quantiles(scores, keys, value, {"Median": 0.5, "Percentile 25": 0.25, "Percentile 75": 0.75}, few_groups=True)
+    wide = one.join(q, keys) if keys else attach_row(one, q)
+    return wide.unpivot(keys, [c for c in wide.columns if c not in keys], "metric", "value")
 
 
 def regional(labels: DataFrame, *, base: str = "base", region: str = "region", vector: str = "vector") -> DataFrame:

@@ -79,17 +79,31 @@ def _frames_of(path: str, content: bytes) -> pd.DataFrame:
         return out.assign(path=path, **scalars)
 
 
+BATCH_FRAMES = 2_000
 FRAME_COLUMNS = [part.split()[0] for part in FRAME_SCHEMA.replace("\n", " ").split(",")]
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of many small files leave together, at most about ``BATCH_FRAMES`` at a time."""
+    held, count = [], 0
+
+    def flush() -> pd.DataFrame:
+        rows = pd.concat([r.reindex(columns=FRAME_COLUMNS).astype(object) for r in held], ignore_index=True)
+        return rows.where(rows.notna(), None)
+
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             try:
                 rows = _frames_of(path, content)
             except Exception as problem:  # a broken file becomes an error row
                 rows = pd.DataFrame([{"path": path, "error": f"load_failed: {problem}"}])
-            yield rows.reindex(columns=FRAME_COLUMNS).astype(object).where(lambda d: d.notna(), None)
+            held.append(rows)
+            count += len(rows)
+            if count >= BATCH_FRAMES:
+                yield flush()
+                held, count = [], 0
+    if held:
+        yield flush()
 
 
 def decode_frames(files: DataFrame) -> DataFrame:

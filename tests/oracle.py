@@ -86,9 +86,12 @@ def main(argv):
         except Exception as e:
             problem, count = f"{type(e).__name__}: {str(e)[:900]}", None
         took = time.time() - start
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] if problem is None else ""
+        notes = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin", "InPandas", "ArrowEvalPython") if w in plan]
+        notes.append(f"exchanges {plan.count('Exchange ')}")
         verdict = "ok" if problem is None else "FAIL"
         failed += problem is not None
-        print(f"{verdict:5} {name:28} {took:6.2f}s {'' if count is None else f'rows only: {count}'} {problem or ''}", flush=True)
+        print(f"{verdict:5} {name:28} {took:6.2f}s {'' if count is None else f'rows only: {count}'} {problem or ''} {notes}", flush=True)
     print(f"{len(names) - failed} of {len(names)} good")
 
 
