@@ -90,8 +90,14 @@ class Sequences:
     def window(self):
         return Window.partitionBy(*self.parts).orderBy(self.frame)
 
-    def between_chunks(self):
-        return Window.partitionBy(*self.keys).orderBy("_chunk")
+    def backwards(self):
+        """The same rows from last to first. A frame that runs to the end of a partition is
+        recomputed for every row; looking back from the other side is not."""
+        return Window.partitionBy(*self.parts).orderBy(F.col(self.frame).desc())
+
+    def between_chunks(self, backwards: bool = False):
+        order = F.col("_chunk").desc() if backwards else F.col("_chunk")
+        return Window.partitionBy(*self.keys).orderBy(order)
 
 
 def number_rows(
@@ -170,20 +176,19 @@ def attach_neighbours(df: DataFrame, seq: Sequences, points: Mapping[str, tuple[
         *[F.min(f"{n}_point").alias(f"{n}_first") for n in names],
         *[F.max(f"{n}_point").alias(f"{n}_last") for n in names],
     )
-    w = seq.between_chunks()
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    later = w.rowsBetween(1, Window.unboundedFollowing)
+    earlier = seq.between_chunks().rowsBetween(Window.unboundedPreceding, -1)
+    later = seq.between_chunks(backwards=True).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(
         *seq.parts,
         *[F.last(f"{n}_last", ignorenulls=True).over(earlier).alias(f"{n}_carry_prev") for n in names],
-        *[F.first(f"{n}_first", ignorenulls=True).over(later).alias(f"{n}_carry_after") for n in names],
+        *[F.last(f"{n}_first", ignorenulls=True).over(later).alias(f"{n}_carry_after") for n in names],
     )
     back = seq.window().rowsBetween(Window.unboundedPreceding, 0)
-    ahead = seq.window().rowsBetween(1, Window.unboundedFollowing)
+    ahead = seq.backwards().rowsBetween(Window.unboundedPreceding, -1)
     local = marked.select(
         "*",
         *[F.last(f"{n}_point", ignorenulls=True).over(back).alias(f"{n}_local_prev") for n in names],
-        *[F.first(f"{n}_point", ignorenulls=True).over(ahead).alias(f"{n}_local_after") for n in names],
+        *[F.last(f"{n}_point", ignorenulls=True).over(ahead).alias(f"{n}_local_after") for n in names],
     )
     return local.join(carried, seq.parts).select(
         *df.columns,
@@ -222,16 +227,15 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
-        F.percentile_approx("_v", lows, accuracy).alias("_lows"),
-        F.percentile_approx("_v", highs, accuracy).alias("_highs"),
+        F.percentile_approx("_v", lows + highs, accuracy).alias("_marks"),
     )
     whole = F.col("_n") <= 2 * accuracy
-    every = F.sequence(F.lit(1), F.lit(len(names)))
+    m = len(names)
     sketch = sketch.select(
         *keys,
         "_n",
-        F.when(whole, F.transform(every, lambda _: F.col("_min"))).otherwise(F.col("_lows")).alias("_lows"),
-        F.when(whole, F.transform(every, lambda _: F.col("_max"))).otherwise(F.col("_highs")).alias("_highs"),
+        F.when(whole, F.array_repeat("_min", m)).otherwise(F.slice("_marks", 1, m)).alias("_lows"),
+        F.when(whole, F.array_repeat("_max", m)).otherwise(F.slice("_marks", m + 1, m)).alias("_highs"),
     )
     if not keys:
         joined = attach_row(weighted, sketch)

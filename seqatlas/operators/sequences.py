@@ -252,13 +252,13 @@ def _fill_gaps_in_halo(h: DataFrame, seq: Sequences, parts: Sequence[str], max_g
     for p in parts:
         totals[f"_{p}_valid"] = (F.count(p), F.sum)
     h = attach_totals(h, seq, totals)
-    w = seq.window()
     at = F.col(seq.frame)
     here = lambda p: F.when(F.col(p).isNotNull(), F.struct(at.alias("at"), F.col(p).alias("value")))
+    nearest = lambda p, w: F.last(here(p), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     h = h.select(
         "*",
-        *[F.last(here(p), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_{p}_prev") for p in parts],
-        *[F.first(here(p), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias(f"_{p}_next") for p in parts],
+        *[nearest(p, seq.window()).alias(f"_{p}_prev") for p in parts],
+        *[nearest(p, seq.backwards()).alias(f"_{p}_next") for p in parts],
     )
     fills = {}
     for p in parts:

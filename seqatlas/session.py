@@ -20,6 +20,8 @@ def local_session(app: str = "seqatlas", cpus: str | int = "8", partitions: int
         .config("spark.driver.memory", os.environ.get("SEQATLAS_DRIVER_MEMORY", "12g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Recording the call site of every column expression makes building plans slow.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
