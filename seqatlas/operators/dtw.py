@@ -75,7 +75,7 @@ def warp_within(
     groups = list(groups)
     columns = [*groups, f"{ident}_a", f"{ident}_b", "dtw_distance"]
 
-    def per_tile(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_tile(key, pdf):
         ti, tj = key[-2], key[-1]
         rows = pdf.sort_values(ident, kind="stable")
         ids = rows[ident].to_numpy()

@@ -90,7 +90,7 @@ def _block_sums(ident: str, label: str, features: str):
             }
         )
 
-    def per_tile(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_tile(key, pdf):
         ti, tj = key[-2], key[-1]
         if ti == tj:
             out = sums(pdf, pdf)
@@ -209,7 +209,7 @@ def nearest_candidates(
     """
     groups = list(groups)
 
-    def per_tile(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_tile(key, pdf):
         ti, tj = key[-2], key[-1]
 
         def nearest(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
