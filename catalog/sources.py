@@ -25,7 +25,7 @@ def src_csv_fallback(t):
     return T.read_csv_any_encoding(t.spark, path, columns=["id", "video", "label"])
 
 
-@query("src_csv_discover")
+@query("src_csv_discover", "SELECT DISTINCT o_orderstatus AS folder, true AS has_bytes FROM orders WHERE o_orderstatus <> 'F'")
 def src_csv_discover(t):
     path = folder(t, "tree")
     t("orders").select("o_orderkey", "o_orderstatus").write.partitionBy("o_orderstatus").option("header", True).csv(path)
