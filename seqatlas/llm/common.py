@@ -93,6 +93,18 @@ class Prefix:
     def of(self, start, end) -> np.ndarray:
         return mix(self.raw(start, end))
 
+    @staticmethod
+    def of_rows(data: np.ndarray) -> np.ndarray:
+        """Prefix sums of every row of a byte table."""
+        width = data.shape[1]
+        sums = np.zeros((len(data), width + 1), np.uint64)
+        np.cumsum(_byte_values()[data] * _powers(width + 1)[0][:width], axis=1, out=sums[:, 1:])
+        return sums
+
+    @staticmethod
+    def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (sums[:, end] - sums[:, start]) * _powers(sums.shape[1])[1][start]
+
 
 def words_of(text: str | None) -> list[bytes]:
     """The words of one text as UTF-8."""

@@ -33,6 +33,7 @@ from seqatlas.llm.common import Prefix, mix, stage, whole_documents
 
 WINDOW, GRAM = 400, 200
 SEGMENT = 1 << 23
+SMALL = 12
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -179,7 +180,7 @@ def covered_in_group(right: list[bytes], left: list[bytes], room: int) -> list[t
     Small groups compare all pairs; larger ones count the windows at each offset by hash.
     """
     n, out = len(right), []
-    if n <= 12:
+    if n <= SMALL:
         r = np.zeros((n, room), np.uint8)
         l = np.zeros((n, room), np.uint8)
         for i in range(n):
@@ -192,15 +193,23 @@ def covered_in_group(right: list[bytes], left: list[bytes], room: int) -> list[t
         for i in np.flatnonzero(to_right + to_left >= room):
             out += [(int(a[i]), int(to_left[i]), int(to_right[i])), (int(b[i]), int(to_left[i]), int(to_right[i]))]
         return out
-    first, second = window_hashes(right, left, room)
-    for offset in range(room + 1):
-        members = np.array([i for i in range(n) if len(left[i]) >= offset and len(right[i]) >= room - offset])
-        if len(members) < 2:
-            continue
-        both = np.stack((first[members, offset], second[members, offset]), 1)
-        _, at, times = np.unique(both, axis=0, return_inverse=True, return_counts=True)
-        out += [(int(i), offset, room - offset) for i in members[times[at.ravel()] > 1]]
-    return out
+    h = window_hashes(right, left, room)[0]
+    offsets = np.arange(room + 1)
+    sizes_r, sizes_l = np.array([len(x) for x in right]), np.array([len(x) for x in left])
+    whole = (sizes_l[:, None] >= offsets) & (sizes_r[:, None] >= room - offsets)
+    # Windows that don't lie in the text get values of their own.
+    h[~whole] = mix(np.arange(1, (~whole).sum() + 1, dtype=np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    order = np.argsort(h, axis=0)
+    ranked = np.take_along_axis(h, order, 0)
+    same = np.zeros((n + 1, room + 1), bool)
+    same[1:n] = ranked[1:] == ranked[:-1]
+    repeated = np.zeros((n, room + 1), bool)
+    np.put_along_axis(repeated, order, same[1:] | same[:-1], 0)
+    # Neighbouring offsets of a member are one span.
+    step = np.diff(np.pad(repeated & whole, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    member, begin = np.nonzero(step == 1)
+    end = np.nonzero(step == -1)[1]
+    return out + [(int(m), int(b) - 1, room - int(a)) for m, a, b in zip(member, begin, end)]
 
 
 def window_hashes(right: list[bytes], left: list[bytes], room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,14 +217,13 @@ def window_hashes(right: list[bytes], left: list[bytes], room: int) -> tuple[np.
 
     Only those with enough bytes on both sides mean anything.
     """
-    first, second = (np.zeros((len(right), room + 1), np.uint64) for _ in range(2))
-    offsets = np.arange(room + 1)
-    swap = np.arange(256, dtype=np.uint8)[::-1] ^ np.uint8(0x5A)
-    for i, (r, l) in enumerate(zip(right, left)):
-        data = np.frombuffer(l.rjust(room, b"\0") + r.ljust(room, b"\0"), np.uint8)
-        first[i] = Prefix(data).of(room - offsets, 2 * room - offsets)
-        second[i] = Prefix(swap[data] * np.uint8(167) + np.uint8(91)).of(room - offsets, 2 * room - offsets)
-    return first, second
+    data = np.frombuffer(b"".join(x.rjust(room, b"\0") + y.ljust(room, b"\0") for x, y in zip(left, right)), np.uint8).reshape(-1, 2 * room)
+    start = room - np.arange(room + 1)
+    out = []
+    for values in (data, data * np.uint8(167) + (data >> 3) + np.uint8(91)):
+        sums = Prefix.of_rows(values)
+        out.append(mix(Prefix.between(sums, start, start + room)))
+    return out[0], out[1]
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int | None = None, most: int = 4096) -> DataFrame:
@@ -288,10 +296,11 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
         group: list[tuple[bytes, bytes, tuple]] = []
 
         def close() -> None:
-            if len(group) > 1:
+            if len(group) > 1 and any(g[2][3] == 1 for g in group):
                 for member, to_left, to_right in covered_in_group([g[0] for g in group], [g[1] for g in group], room):
-                    doc_id, text_hash, place, _ = group[member][2]
-                    out.append((doc_id, text_hash, place - to_left, place + gram + to_right))
+                    doc_id, text_hash, place, times = group[member][2]
+                    if times == 1:  # the others are settled
+                        out.append((doc_id, text_hash, place - to_left, place + gram + to_right))
             group.clear()
 
         for n, text, value in merge_runs([open_run(r) for r in frame.to_dict("records")]):
