@@ -8,14 +8,22 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+import unicodedata
+from array import array
 
 from seqatlas.llm.common import process_cache
 
 _TAIL = re.compile(r"(.*?)([.,!?;:%&*#$|]*)", re.S)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones are themselves, the others follow 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 def vocabulary(name: str) -> str:
     """The file of a public vocabulary; the folder is ``SEQATLAS_TOKENIZERS`` or the installed package."""
     folder = os.environ.get("SEQATLAS_TOKENIZERS")
@@ -52,10 +60,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def plain(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def merged(self, word: str) -> bytes:
+        """Ids of a run of letters (with its space) that is one piece before merging: the library's model alone."""
+        spelled = word if word.isascii() and word.isalpha() else "".join(map(self.letters.__getitem__, word.encode()))
+        return self.packed([t.id for t in self.model.tokenize(spelled)])
+
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def special(self, text: str) -> bool:
         return any(m in text for m in self.marks)
@@ -66,8 +87,13 @@ class WordEncoder(Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words = Recent(self.plain, 300_000)
-        self.pieces = Recent(self._piece, 300_000)
+        self.words = Recent(self._word, 500_000)
+        self.tails = Recent(self.plain, 50_000)
+        self.pieces = Recent(self._piece, 400_000)
+
+    def _word(self, word: str) -> bytes:
+        # Lower-cased and composed, so that normalising changes nothing.
+        return self.merged(word) if max(word) < "İ" and unicodedata.is_normalized("NFC", word) else self.plain(word)
 
     def _piece(self, piece: str) -> bytes:
         word, tail = _TAIL.fullmatch(piece).groups()
@@ -75,7 +101,7 @@ class WordEncoder(Encoder):
             return self.plain(piece)
         if max(word) < "İ":
             word = word.lower()
-        return self.words[word] + self.words[tail] if tail else self.words[word]
+        return self.words[word] + self.tails[tail] if tail else self.words[word]
 
     def __call__(self, text: str) -> bytes:
         if self.special(text):
@@ -93,17 +119,18 @@ class ByteEncoder(Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words = Recent(self.plain, 300_000)
+        self.words = Recent(self.merged, 500_000)
+        self.tails = Recent(self.plain, 50_000)
         self.first = Recent(self._first, 50_000)
-        self.rest = Recent(self._rest, 300_000)
+        self.rest = Recent(self._rest, 400_000)
 
     def _split(self, lead: str, piece: str) -> bytes:
         # A cut is right only at a single space or line end between characters that are not white space.
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Whole
         word, tail = _TAIL.fullmatch(piece).groups()
-        if tail and word.isalpha():
-            return self.words[lead + word] + self.words[tail]
+        if word.isalpha():
+            return self.words[lead + word] + self.tails[tail] if tail else self.words[lead + word]
         return self.plain(lead + piece)
 
     def _first(self, piece: str) -> bytes:
@@ -115,7 +142,7 @@ class ByteEncoder(Encoder):
     def __call__(self, text: str) -> bytes:
         if not text or self.special(text):
             return self.plain(text)
-        line_end, first, rest, parts = self.words["\n"], self.first, self.rest, []
+        line_end, first, rest, parts = self.tails["\n"], self.first, self.rest, []
         try:
             for i, line in enumerate(text.split("\n")):
                 pieces = line.split(" ")
