@@ -41,7 +41,7 @@ BAD = (
     "form login search share social related widget cookie notice consent popup modal breadcrumb breadcrumbs pagination pager meta tags newsletter "
     "subscribe copyright legal skip toolbar disclaimer alert".split()
 )
-TAGS = "html body article main section div p h1 h2 h3 ul ol li a nav header footer aside form table blockquote pre figure span b dialog".split()
+TAGS = "html body article main section div p h1 ul ol li a nav header footer aside form table blockquote pre figure span b dialog".split()
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|[^<]+|<",
@@ -117,6 +117,7 @@ def _close(nodes: list[Node], open_nodes: list[int], tags: set[str]) -> None:
 
 _GOOD, _BAD = frozenset(GOOD), frozenset(BAD)
 _TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
+_TAG_NUMBER |= {f"h{i}": _TAG_NUMBER["h1"] for i in range(2, 7)}
 FEATURES = 20
 
 
@@ -218,6 +219,8 @@ def disguised(nodes: list[Node], labels: np.ndarray, rng: random.Random) -> tupl
             node.tag, node.words = rng.choice(["div", "section"]), [rng.choice(GOOD)] if rng.random() < 0.8 else []
         elif rename and node.tag in ("nav", "header", "footer", "aside"):
             node.words, node.tag = [rng.choice(BAD)] if node.tag == "aside" else [{"nav": "menu"}.get(node.tag, node.tag)], "div"
+        elif rename and labels[i] and node.tag == "p" and rng.random() < 0.1:
+            node.tag = rng.choice(["blockquote", "pre", "li", "div", "table"])
     containers = [i for i in range(len(nodes)) if labels[i] and nodes[i].tag in ("article", "main", "body")]
     for i in containers:
         for _ in range(rng.randint(0, 2)):
