@@ -12,7 +12,7 @@ ORACLE: dict[str, str] = {}
 
 SECTIONS = (
     "sources", "manifests", "scalars", "geometry", "series", "features",
-    "classes", "joins", "ranking", "vectors", "warping", "reports",
+    "classes", "joins", "ranking", "vectors", "warping",
 )
 
 

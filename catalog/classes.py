@@ -99,10 +99,9 @@ REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
 def region_orders(t):
-    from seqatlas.distribution import small_side
 
-    places = t("nation").join(small_side(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    customers = t("customer").join(small_side(places), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    customers = t("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
     return t("orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("r_name").alias("dataset"), F.col("o_custkey").alias("class_name"), "o_totalprice"
     )

@@ -310,10 +310,8 @@ def rpt_landmark_quality(t):
 
 
 @query("rpt_worst_labels", f"""
-WITH {COMPLEX}, r AS (SELECT 'missing' AS list, dataset, gloss, discount AS value, row_number() OVER (PARTITION BY dataset ORDER BY discount DESC NULLS LAST, gloss) AS place FROM sc
-   UNION ALL SELECT 'complex', dataset, gloss, score, row_number() OVER (PARTITION BY dataset ORDER BY score DESC NULLS LAST, gloss) FROM sc)
+WITH {COMPLEX}, r AS (SELECT 'missing' AS list, dataset, gloss, discount AS value, row_number() OVER (PARTITION BY dataset ORDER BY round(CAST(discount AS DOUBLE), 9) DESC NULLS LAST, gloss) AS place FROM sc
+   UNION ALL SELECT 'complex', dataset, gloss, score, row_number() OVER (PARTITION BY dataset ORDER BY round(CAST(score AS DOUBLE), 9) DESC NULLS LAST, gloss) FROM sc)
 SELECT list, dataset, CAST(place AS INTEGER) AS place, gloss, {R('value')} AS value FROM r WHERE place <= CASE list WHEN 'missing' THEN 8 ELSE 10 END""")
 def rpt_worst_labels(t):
-    scores = complexity(t)
-    tidy = scores.withColumns({"discount": F.round("discount", 12), "score": F.round("score", 12)})
-    return rounded(P.worst_labels(tidy, {"missing": ("discount", 8, True), "complex": ("score", 10, True)}, label="gloss"))
+    return rounded(P.worst_labels(complexity(t), {"missing": ("discount", 8, True), "complex": ("score", 10, True)}, label="gloss"))

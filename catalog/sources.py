@@ -12,16 +12,29 @@ from seqatlas.sources import keypoints as KP, layout as L, tables as T
 
 @query("src_csv_fallback", """
 SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS video, 'é' || n_name AS label, 'utf-8' AS _encoding FROM nation
-UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, 'ok ' || c_mktsegment, 'utf-8' FROM customer""")
+UNION ALL SELECT 'ID', 'VIDEO', 'LABEL', 'utf-8'
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, 'ok ' || c_mktsegment, 'utf-8' FROM customer
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, 'đ' || s_suppkey, 'cp1258' FROM supplier
+UNION ALL SELECT CAST(r_regionkey AS VARCHAR), r_name, NULL, 'latin1' FROM region""")
 def src_csv_fallback(t):
-    """Tables written as CSV (one of them with a byte-order mark) and read back."""
+    """Tables written as CSV and read back: upper-case headers, two column orders, a missing
+    column, three encodings, a byte-order mark and a row that repeats the header."""
     path = folder(t, "csv")
     nation = t("nation").select(F.concat_ws(",", "n_nationkey", "n_name", F.concat(F.lit("é"), "n_name")).alias("value"))
     customer = t("customer").select(F.concat_ws(",", "c_custkey", "c_name", F.concat(F.lit("ok "), "c_mktsegment")).alias("value"))
-    header = t.spark.range(1).select(F.lit(f"{T.BOM}id,video,label").alias("value"))
-    header.write.mode("append").text(path)
-    nation.write.mode("append").text(path)
-    customer.write.mode("append").text(path)
+    def write(header, rows, charset="UTF-8", repeat=1):
+        """The lines of one file, with its header first."""
+        head = t.spark.createDataFrame([(i, header if i == repeat - 1 or i else f"{T.BOM if charset == 'UTF-8' else ''}{header}") for i in range(repeat)], "_n int, value string")
+        lines = head.unionByName(rows.select(F.lit(repeat).alias("_n"), "value")).coalesce(1).sortWithinPartitions("_n").select("value")
+        lines.write.mode("append").option("encoding", charset).option("quote", "\u0000").option("sep", "\u0001").option("escapeQuotes", "false").csv(path)
+
+    supplier = t("supplier").select(F.concat_ws(",", F.concat(F.lit("ð"), "s_suppkey"), "s_suppkey", "s_name").alias("value"))
+    region = t("region").select(F.concat(F.concat_ws(",", "r_regionkey", "r_name"), F.lit(",é\u008a")).alias("value"))
+    # The byte of this Latin-1 letter is another letter in code page 1258.
+    write("ID,VIDEO,LABEL", nation, repeat=2)
+    write("id,video,label", customer)
+    write("Label,Id,Video", supplier, "ISO-8859-1")
+    write("id,VIDEO,note", region, "ISO-8859-1")
     return T.read_csv_any_encoding(t.spark, path, columns=["id", "video", "label"])
 
 

@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from catalog import R, query, r6, rounded
 from catalog.joins import mapping, MAPPING, sides
-from seqatlas.distribution import small_side
 from seqatlas.functions import text as X
 from seqatlas.session import cut_lineage
 from seqatlas.operators import (
@@ -95,7 +94,7 @@ SELECT dataset, gloss, num_samples, {R('compactness')} AS compactness, {R('media
 def sep_compactness(t):
     k = SE.compactness(distances(t))
     overall = SE.overall(k, "compactness", "compactness")
-    return rounded(k.join(small_side(overall), "dataset"))
+    return rounded(k.join(overall, "dataset"))
 
 
 PAIRS = f"""{scaled_sql(by='dataset, dim')}, c AS (SELECT dataset, gloss, dim, avg(z) AS c FROM z GROUP BY ALL),
@@ -257,7 +256,7 @@ WITH {REGIONAL}, s AS (SELECT region_a || '-' || region_b AS region_pair, avg((c
 SELECT base, region_a, region_b, {R('c')} AS cosine_similarity, {R('(c + 1) / 2')} AS similarity_score, region_a || '-' || region_b AS region_pair, {R('m')} AS mean_similarity, n AS pair_count FROM r JOIN s ON region_pair = region_a || '-' || region_b""")
 def sim_regional(t):
     pairs = regional(t)
-    return rounded(pairs.join(small_side(SI.regional_statistics(pairs), 10), "region_pair"))
+    return rounded(pairs.join(SI.regional_statistics(pairs), "region_pair"))
 
 
 @query("chart_heat_matrix", f"""

@@ -1,4 +1,4 @@
-"""How work is spread: bounded broadcasts, salted joins, chunked sequences,
+"""How work is spread: salted joins, chunked sequences,
 exact quantiles without collecting a group, and tiled pairing.
 
 A key may hold a third of all rows, so nothing here gathers the rows of one key
@@ -15,24 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqatlas.guards import must_hold
 
-SMALL_ROWS = 100_000
-
-
 # --- joins ----------------------------------------------------------------------
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Mark a table for broadcast and prove its size while the query runs.
-
-    At most ``max_rows + 1`` rows pass the limit, and the extra one fails the job, so
-    a table that has outgrown its bound stops the query instead of the driver.
-    """
-    # One partition, so that the generated ids count the rows from 0.
-    capped = df.limit(max_rows + 1).coalesce(1).withColumn("_nth", F.monotonically_increasing_id())
-    fits = must_hold(F.col("_nth") < max_rows, f"a broadcast table has more than {max_rows} rows")
-    return F.broadcast(capped.filter(fits).drop("_nth"))
-
-
 def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Add the columns of a one-row table (a whole-table aggregate) to every row.
 
@@ -50,15 +35,16 @@ def salted_join(
     *,
     salt_on: Sequence[str],
     how: str = "inner",
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
-    """Equi-join whose hot keys are spread over ``salts`` tasks.
+    """Equi-join whose hot keys are spread over ``salts`` tasks (as many as the shuffle has partitions).
 
     The side with one row per key is repeated once per salt; the big side
     picks its salt from a hash of columns that vary inside a key.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join keeps the big side whole: use inner or left")
+    salts = salts or max(int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
     right = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
@@ -240,7 +226,7 @@ def exact_quantiles(
     if not keys:
         joined = attach_row(weighted, sketch)
     elif few_groups:
-        joined = weighted.join(small_side(sketch), keys)
+        joined = weighted.join(sketch, keys)
     else:
         joined = salted_join(weighted, sketch, keys, salt_on=["_v"])
 

@@ -44,18 +44,19 @@ def dataset_key(name: Column, aliases: Mapping[str, str] | None = None) -> Colum
 @F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC form; Spark has no built-in for it."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+    return text.str.normalize("NFC")
 
 
 def text_key(text: Column, compose: bool = True) -> Column:
     """Trimmed label, missing as ''; with ``compose``, in Unicode NFC form.
 
-    Text that is plain ASCII is already composed and skips the Python function.
+    Text that is plain ASCII is already composed; the Python function gets NULL for it.
     """
     key = F.trim(F.coalesce(text.cast("string"), F.lit("")))
     if not compose:
         return key
-    return F.when(key.rlike(r"^\p{ASCII}*$"), key).otherwise(nfc(key))
+    plain = key.rlike(r"^\p{ASCII}*$")
+    return F.coalesce(F.when(plain, key), nfc(F.when(~plain, key)))
 
 
 def base_name(path: Column) -> Column:

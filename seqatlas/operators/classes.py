@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seqatlas.distribution import attach_row, exact_quantiles, number_rows, salted_join, small_side
+from seqatlas.distribution import attach_row, exact_quantiles, number_rows, salted_join
 from seqatlas.guards import must_hold
 
 KEYS = ["dataset"]
@@ -70,7 +70,7 @@ def shares(df: DataFrame, categories: Sequence[str], groups: Sequence[str] = ("d
     totals = counted.groupBy(*groups).agg(F.sum("count").alias("dataset_total"))
     share = F.col("count") / F.col("dataset_total")
     name = ("percentage", share * 100) if percent else ("proportion", share)
-    joined = counted.join(small_side(totals), list(groups)) if groups else attach_row(counted, totals)
+    joined = counted.join(totals, list(groups)) if groups else attach_row(counted, totals)
     return joined.withColumn(*name)
 
 
@@ -168,8 +168,8 @@ def imbalance(counts: DataFrame, fraction: float = 0.10) -> DataFrame:
     Gini and tail shares of the class sizes, all from one size histogram."""
     size, classes = F.col("size"), F.col("classes")
     n, total = F.max("num_classes"), F.max("num_samples")
-    squares = F.sum((size * size * classes).cast("double"))
-    variance = (squares - total * (total / n)) / (n - 1)
+    mean = F.col("num_samples") / F.col("num_classes")
+    variance = F.sum(classes * (size - mean) * (size - mean)) / (n - 1)
     base = _checked_histogram(counts, KEYS).groupBy("dataset").agg(
         n.alias("num_classes"),
         F.max("size").alias("max_samples"),

@@ -8,13 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqatlas.distribution import exact_quantiles, small_side, tiled
+from seqatlas.distribution import exact_quantiles, tiled
 from seqatlas.operators.ranking import sample_per_group
 from seqatlas.operators.scaling import centroids, pack
 from seqatlas.operators.separability import nearest_candidates
 
 WINDOW = 8
-MAX_EXHAUSTIVE = 600
 CANDIDATES = 20
 
 
@@ -135,7 +134,7 @@ def _z_scored(protos: DataFrame, groups: Sequence[str]) -> DataFrame:
     groups = list(groups)
     cells = protos.select(*groups, F.posexplode("prototype").alias("_i", "_x"))
     stats = cells.groupBy(*groups, "_i").agg(F.avg("_x").alias("_m"), (F.stddev_pop("_x") + 1e-6).alias("_s"))
-    joined = protos.join(small_side(pack(stats, groups, "_i", ["_m", "_s"])), groups)
+    joined = protos.join(pack(stats, groups, "_i", ["_m", "_s"]), groups)
     centred = F.zip_with("prototype", "_m", lambda x, m: x - m)
     return joined.select(*protos.columns, F.zip_with(centred, F.col("_s"), lambda x, s: x / s).alias("_z"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqatlas.distribution import number_rows, salted_join, small_side, tile_pairs
+from seqatlas.distribution import number_rows, salted_join, tile_pairs
 from seqatlas.guards import InputError, must_hold
 
 
@@ -69,8 +69,8 @@ def pairs_within(df: DataFrame, ident: str, groups: Sequence[str] = (), *, block
 
 
 def attach_small(rows: DataFrame, labels: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Left join of a bounded label table."""
-    return rows.join(small_side(labels), key, "left")
+    """Left join of a label table of any size; adaptive execution broadcasts it when its measured size allows."""
+    return rows.join(labels, key, "left")
 
 
 def attach_salted(rows: DataFrame, labels: DataFrame, keys: Sequence[str], salt_on: Sequence[str]) -> DataFrame:

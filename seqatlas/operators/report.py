@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqatlas.distribution import attach_row, exact_quantiles, small_side
+from seqatlas.distribution import attach_row, exact_quantiles
 from seqatlas.functions.numbers import finite, safe_ratio
 from seqatlas.operators.ranking import top_per_group
 
@@ -52,10 +52,12 @@ def label_sparsity(counts: DataFrame, limits: Sequence[int] = (2, 5, 10)) -> Dat
 
 def worst_labels(df: DataFrame, lists: Mapping[str, tuple[str, int, bool]], label: str = "label") -> DataFrame:
     """Leading labels per corpus by several metrics; ``lists`` maps a name to (metric,
-    count, descending)."""
+    count, descending). Metrics are ranked to nine digits, so that the order of summation
+    doesn't decide between equal ones."""
     out = None
     for name, (metric, count, descending) in lists.items():
-        by = F.col(metric).desc_nulls_last() if descending else F.col(metric).asc_nulls_last()
+        rank_by = F.round(F.col(metric).cast("double"), 9)
+        by = rank_by.desc_nulls_last() if descending else rank_by.asc_nulls_last()
         best = top_per_group(df, DATASET, [by, F.col(label)], count, rank="place")
         part = best.select(F.lit(name).alias("list"), "dataset", "place", label, F.col(metric).alias("value"))
         out = part if out is None else out.unionByName(part)
@@ -114,7 +116,7 @@ def histogram(df: DataFrame, value: str, *, bins: int | None = None, cap: int =
     )
     width = (F.col("_hi") - F.col("_lo")) / F.col("_bins")
     nth = F.least(F.floor((F.col("_v") - F.col("_lo")) / width).cast("int"), F.col("_bins") - 1)
-    spread = base.join(small_side(span), keys) if keys else attach_row(base, span)
+    spread = base.join(span, keys) if keys else attach_row(base, span)
     counted = spread.groupBy(*keys, "_lo", "_hi", "_bins", nth.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return counted.select(
         *groups, "bin", (F.col("_lo") + F.col("bin") * width).alias("left_edge"), (F.col("_lo") + (F.col("bin") + 1) * width).alias("right_edge"), "count"
@@ -128,7 +130,7 @@ def boxplot(df: DataFrame, value: str, groups: Sequence[str] = ("dataset",)) ->
     rows = df.select(*keys, finite(F.col(value)).alias("_v")).filter("_v is not null")
     q = exact_quantiles(rows, keys, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, few_groups=True)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    joined = rows.join(small_side(q), keys)
+    joined = rows.join(q, keys)
     low, high = F.col("_v") >= F.col("q1") - reach, F.col("_v") <= F.col("q3") + reach
     return joined.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(low, F.col("_v"))).alias("whisker_low"),
@@ -143,8 +145,8 @@ def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def most_moving(features: DataFrame, rows: DataFrame, keys: Sequence[str], count: int = 6, metric: str = "total_motion") -> DataFrame:
     """Rows (frames or trajectories) of the samples with the most motion."""
-    best = features.orderBy(F.col(metric).desc_nulls_last(), *keys).limit(count).select(*keys)
-    return rows.join(small_side(best, count), list(keys), "left_semi")
+    best = features.orderBy(F.round(F.col(metric).cast("double"), 9).desc_nulls_last(), *keys).limit(count).select(*keys)
+    return rows.join(best, list(keys), "left_semi")
 
 
 def axis_ticks(labels: DataFrame, label: str, shown: int = 40) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqatlas.distribution import attach_row, exact_quantiles, small_side
+from seqatlas.distribution import attach_row, exact_quantiles
 from seqatlas.functions.numbers import finite
 
 EPS = 2.220446049250313e-16
@@ -111,7 +111,7 @@ def scale(
     if fill not in ("mean", "median"):
         raise ValueError("fill is mean or median")
     stats = _stats(df, features, list(by), fill, sample)
-    joined = df.join(small_side(stats, max_rows=10_000), list(by)) if by else attach_row(df, stats)
+    joined = df.join(stats, list(by)) if by else attach_row(df, stats)
     filled = F.zip_with(F.col(features), F.col("_fill"), lambda x, f: F.coalesce(finite(x), f))
     centred = F.zip_with(filled, F.col("_mean"), lambda x, m: x - m)
     return joined.withColumn(into, F.zip_with(centred, F.col("_std"), lambda x, s: x / s)).select(*df.columns, into)

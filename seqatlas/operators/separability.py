@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from seqatlas.distribution import exact_quantiles, salted_join, small_side, tile_pairs, tiled
+from seqatlas.distribution import exact_quantiles, salted_join, tile_pairs, tiled
 from seqatlas.guards import must_hold
 from seqatlas.operators.scaling import centroids, cosine, distance, scale, squared_distance
 from seqatlas.operators.variation import centroid_distance, distance_statistics
@@ -113,7 +113,7 @@ def silhouette_samples(scaled: DataFrame, features: str, ident: str, *, block_ro
     """
     shape = scaled.groupBy(*DATASET).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("gloss").alias("_k"))
     usable = shape.filter((F.col("_n") >= 3) & F.col("_k").between(2, F.col("_n") - 1)).select(*DATASET)
-    kept = scaled.select(*LABEL, ident, F.col(features).alias("_x")).join(small_side(usable), DATASET, "left_semi")
+    kept = scaled.select(*LABEL, ident, F.col(features).alias("_x")).join(usable, DATASET, "left_semi")
     types = dict(scaled.dtypes)
     schema = f"dataset {types['dataset']}, {ident} {types[ident]}, gloss {types['gloss']}, _other {types['gloss']}, _sum double, _n long"
     cut = tiled(kept, ident, DATASET, block_rows=block_rows)
@@ -159,7 +159,7 @@ def calinski_harabasz(scaled: DataFrame, features: str, distances: DataFrame) ->
     within = distances.groupBy(*DATASET).agg(
         F.sum(F.col("distance") * F.col("distance")).alias("_within"), F.count(F.lit(1)).alias("_n")
     )
-    whole = small_side(centroids(scaled, DATASET, features, into="_center").drop("num_samples"))
+    whole = centroids(scaled, DATASET, features, into="_center").drop("num_samples")
     between = (
         centroids(scaled, LABEL, features)
         .join(whole, DATASET)
@@ -215,9 +215,13 @@ def nearest_candidates(
         def nearest(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
             a = np.stack(rows[vector].to_numpy()).astype(float)
             b = np.stack(others[vector].to_numpy()).astype(float)
-            d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+            # Summed by differences and rounded as in the merge, so that ties don't depend on the tile.
+            d2 = np.zeros((len(a), len(b)))
+            for k_th in range(a.shape[1]):
+                d2 += np.square(a[:, k_th, None] - b[None, :, k_th])
+            d2 = np.round(d2, 9)
             ids, names = rows[ident].to_numpy(), others[ident].to_numpy()
-            d2 = np.where(ids[:, None] == names[None, :], np.inf, np.maximum(d2, 0.0))
+            d2 = np.where(ids[:, None] == names[None, :], np.inf, d2)
             order = np.argsort(names, kind="stable")
             ranked = order[np.argsort(d2[:, order], axis=1, kind="stable")[:, :k]]
             out = pd.DataFrame(

@@ -68,7 +68,8 @@ def valid_step_summary(df: DataFrame, seq: Sequences, point: str) -> DataFrame:
         F.count("_here").alias("_valid"),
         F.count("_d").alias("_n"),
         F.sum("_d").alias("_sum"),
-        F.sum(F.col("_d") * F.col("_d")).alias("_squares"),
+        F.avg("_d").alias("_mean"),
+        (F.var_pop("_d") * F.count("_d")).alias("_m2"),
         F.min("_here").alias("_first"),
         F.max("_here").alias("_last"),
     )
@@ -82,10 +83,12 @@ def valid_step_summary(df: DataFrame, seq: Sequences, point: str) -> DataFrame:
         F.sum("_valid").alias("_valid"),
         total("_n", F.when(F.col("_gap").isNotNull(), 1)).alias("_n"),
         total("_sum", F.col("_gap")).alias("_sum"),
-        total("_squares", F.col("_gap") * F.col("_gap")).alias("_squares"),
+        F.collect_list(F.array(F.struct("_n", "_mean", "_m2"), F.struct(F.when(F.col("_gap").isNotNull(), 1).otherwise(0).cast("long").alias("_n"), F.col("_gap").alias("_mean"), F.lit(0.0).alias("_m2")))).alias("_parts"),
     )
     mean = F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")).otherwise(F.lit(0.0))
-    variance = F.greatest(F.lit(0.0), F.col("_squares") / F.col("_n") - mean * mean)
+    # Deviations of the parts from their own means and of these from the whole mean: no large squares cancel.
+    part = lambda p: F.when(p["_n"] > 0, p["_m2"] + p["_n"] * (p["_mean"] - mean) * (p["_mean"] - mean)).otherwise(F.lit(0.0))
+    variance = F.aggregate(F.flatten("_parts"), F.lit(0.0), lambda acc, p: acc + part(p)) / F.col("_n")
     return sums.select(
         *seq.keys,
         (F.col("_valid") / F.col("_rows")).alias("valid_frame_ratio"),

@@ -51,10 +51,12 @@ def _frames_of(path: str, content: bytes) -> pd.DataFrame:
         scalars = {k: _scalar(z, k, kind[k]) for k in SCALARS}
         if {"pose", "hands"} <= names:
             parts = {k: np.asarray(z[k], dtype=np.float32).reshape(len(z[k]), -1) for k in DECLARED if k in names}
-            n = min(len(a) for a in parts.values())
+            n = len(next(iter(parts.values())))
+            if any(len(a) != n for a in parts.values()):
+                raise ValueError("arrays of unequal length: " + ", ".join(f"{k} {len(a)}" for k, a in parts.items()))
             out = pd.DataFrame({"frame": np.arange(n), "sample_index": 0, "sequence_key": "+".join(parts)})
             for k, a in parts.items():
-                out[k] = list(a[:n])
+                out[k] = list(a)
             if "valid_mask" in names and np.ndim(z["valid_mask"]) == 2 and len(z["valid_mask"]) >= n:
                 mask = np.asarray(z["valid_mask"])[:n, :4].astype(bool)
                 for i, flag in enumerate(("v_pose", "v_left", "v_right", "v_face")):

@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from seqatlas.distribution import small_side
 from seqatlas.functions import text as X
-from seqatlas.guards import InputError, require_columns
+from seqatlas.guards import InputError, must_hold, require_columns
+from seqatlas.session import cut_lineage
 
 BOM = "﻿"
 
@@ -34,42 +34,51 @@ def _vietnamese_table() -> tuple[str, str, str]:
 def read_csv_any_encoding(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """CSV files in UTF-8 (with or without byte-order mark), code page 1258 or Latin-1.
 
-    The encoding is decided per file from all of its lines. Lines are split and decoded
-    by Spark, so a large file is read in parallel. Quoted fields may not span lines. Header
-    lines are those that repeat the column names. Values stay text; ``_encoding`` tells what
-    was used.
+    Every file has its own header, its first line; columns are matched by name without regard
+    to case, in any order, and one that a file lacks is NULL. Without ``columns`` the names are those
+    of the first file by path. The encoding is decided per file from all of its lines. Lines
+    are split and decoded by Spark, so a large file is read in parallel; a quoted field that spans lines
+    fails the query. Values stay text; ``_encoding`` tells what was used.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select("value", F.col("_metadata.file_path").alias("_file"))
-    if columns:
-        names, header = list(columns), ",".join(columns)
-    else:
-        first = lines.select("value").head()
-        if first is None:
-            raise InputError("the CSV files are empty")
-        header = first[0].lstrip(BOM)
-        names = [h.strip().strip('"') for h in header.split(",")]
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")
+    )
+    # The numbers of the lines must not be drawn twice.
+    lines = cut_lineage(lines)
     source, target, undefined = _vietnamese_table()
     as_latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in undefined) + "]"
     files = lines.groupBy("_file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
         F.bool_or(F.when(~F.is_valid_utf8("value"), as_latin.rlike(pattern)).otherwise(False)).alias("_not_1258"),
+        F.min(F.when((F.col("_block") == 0) & (F.length(F.trim("value")) > 0), F.col("_at"))).alias("_first"),
     )
     encoding = F.when(F.col("_utf8"), "utf-8").when(~F.col("_not_1258"), "cp1258").otherwise("latin1")
-    marked = lines.join(small_side(files.select("_file", encoding.alias("_encoding"))), "_file")
+    marked = lines.join(files.select("_file", "_first", encoding.alias("_encoding")), "_file")
     decoded = (
         F.when(F.col("_encoding") == "utf-8", F.regexp_replace("value", f"^{BOM}", ""))
         .when(F.col("_encoding") == "cp1258", F.translate(as_latin, source, target))
         .otherwise(as_latin)
     )
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return (
-        marked.withColumn("_line", decoded)
-        .filter((F.col("_line") != header) & (F.length(F.trim("_line")) > 0))
-        .select(F.from_csv("_line", F.lit(schema), {"quote": '"', "escape": '"'}).alias("_r"), "_encoding")
-        .select("_r.*", "_encoding")
+    marked = marked.select("_file", "_at", "_first", "_encoding", F.regexp_replace(decoded, "\r$", "").alias("_line")).filter(F.length(F.trim("_line")) > 0)
+    heads = marked.filter(F.col("_at") == F.col("_first")).select(
+        "_file", F.transform(F.split("_line", ","), lambda h: F.trim(F.regexp_replace(h, '^\\s*"|"\\s*$', ""))).alias("_head")
+    )
+    # One row, whatever the number of files.
+    shape = heads.agg(F.max(F.size("_head")).alias("width"), F.min_by("_head", "_file").alias("names")).first()
+    if shape["width"] is None:
+        raise InputError("the CSV files are empty")
+    names = list(columns) if columns else shape["names"]
+    fields = ", ".join(f"_c{i} string" for i in range(shape["width"]))
+    whole = F.pmod(F.length("_line") - F.length(F.replace("_line", F.lit('"'))), F.lit(2)) == 0
+    rows = marked.filter(F.col("_at") != F.col("_first")).filter(must_hold(whole, "a quoted CSV field spans lines"))
+    parsed = rows.join(heads, "_file").select(
+        "_encoding", F.transform("_head", lambda h: F.lower(h)).alias("_head"), F.from_csv("_line", F.lit(fields), {"quote": '"', "escape": '"'}).alias("_r")
     )
+    values = F.array(*[F.col(f"_r._c{i}") for i in range(shape["width"])])
+    place = lambda n: F.array_position("_head", F.lit(n.lower())).cast("int")
+    return parsed.select(*[F.when(place(n) > 0, F.get(values, place(n) - 1)).alias(n) for n in names], "_encoding")
 
 
 def discover_files(spark: SparkSession, roots: Sequence[str], pattern: str = "*.csv", skip: str | None = None) -> DataFrame:
@@ -176,7 +185,7 @@ def resolve_labels(df: DataFrame, mapping: DataFrame, *, raw: str, path: str, in
     stored = F.regexp_replace(F.col(raw).cast("string"), r"^(\d+)\.0$", "$1")
     stem = F.regexp_replace(X.base_name(F.col(path)), r"(?<=.)\.[^.]*$", "")
     parent = X.parent_folder(F.col(path))
-    small = small_side(mapping)
+    small = mapping
     keyed = df.withColumns(
         {
             "_k0": stored,

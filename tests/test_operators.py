@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seqatlas.distribution import exact_quantiles, salted_join, small_side, tile_pairs
+from seqatlas.distribution import exact_quantiles, salted_join, tile_pairs
 from seqatlas.functions import text as X
 from seqatlas.guards import InputError, require_columns, single_corpus
 from seqatlas.operators import classes as C, clusters as CL, dtw as D, features as FE, joins as J, scaling as SC, separability as SE
@@ -52,10 +52,14 @@ def test_salted_join_keeps_rows(spark):
     assert salted_join(big, small, ["k"], salt_on=["id"]).count() == big.filter("k < 2").count()
 
 
-def test_small_side_refuses_large_tables(spark):
-    with pytest.raises(Exception, match="more than 10 rows"):
-        spark.range(5).join(small_side(spark.range(50), 10), "id").collect()
-    assert spark.range(5).join(small_side(spark.range(10), 10), "id").count() == 5
+def test_label_tables_have_no_row_cap(spark):
+    labels = spark.range(150_000).select(F.col("id").alias("k"), F.concat(F.lit("l"), "id").alias("name"))
+    rows = spark.range(0, 200_000, 7).select("id", F.col("id").alias("k"))
+    got = J.attach_small(rows, labels, "k")
+    assert got.count() == rows.count() and got.filter("name is null").count() == rows.filter("k >= 150000").count()
+    samples = spark.range(10).select(F.concat(F.lit(""), F.col("id") * 14_000).alias("raw"), F.lit("a/b.mp4").alias("path"))
+    mapping = labels.select(F.col("k").cast("string").alias("key"), F.col("name").alias("label"))
+    assert {r.label for r in T.resolve_labels(samples, mapping, raw="raw", path="path").collect()} == {f"l{i * 14_000}" for i in range(10)}
 
 
 def test_guards(spark):
