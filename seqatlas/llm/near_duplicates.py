@@ -8,7 +8,8 @@ weighted Jaccard similarity of the whole documents reaches the threshold.
 Equal texts are one class throughout: one member stands for all, and no pair of copies is ever
 made. In each bucket of a band, members are first compared with one of them. Documents that
 this has not linked are then compared with the other members of their buckets, except with
-those they are linked to already, so a bucket of n similar documents costs about n comparisons.
+those they are linked to already and those that the triangle inequality rules out, so a bucket
+of n documents similar to its center costs about n comparisons.
 
 Document frequencies are counted over all documents in ``2**18`` buckets of shingle hashes, a
 table of fixed size. A frequency under ``common`` (a share of the corpus) counts as ``common``:
@@ -233,10 +234,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     rows = stage(band_rows(texts, idf, width), "bands")
     classes = stage(rows.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n_shingles")), "classes")
     keys = classes.where("n_shingles > 0").select("key", F.posexplode("bands").alias("band", "hash"))
-    # Buckets with more than one class; ``center`` and ``least`` are the members that others are compared with.
-    order = F.struct(F.xxhash64("key", "band").alias("o"), F.col("key").alias("k"))
-    buckets = keys.groupBy("band", "hash").agg(F.count("*").alias("_n"), F.min(order)["k"].alias("center"), F.min("key").alias("least")).where("_n > 1")
-    members = stage(keys.join(buckets, ["band", "hash"]).select("band", "hash", "key", "center", "least"), "members")
+    # Buckets with more than one class. A text that others were copied from shares more bands with
+    # them than they do among each other, so members are compared with those of the largest buckets.
+    sizes = keys.groupBy("band", "hash").agg(F.count("*").alias("_n")).where("_n > 1")
+    shared = stage(keys.join(sizes, ["band", "hash"]), "shared")
+    degree = stage(shared.groupBy("key").agg(F.sum("_n").alias("degree")), "degrees")
+    ranked = shared.select("band", "hash", "key").join(degree, "key").withColumn("_order", F.struct(F.col("degree").alias("d"), F.col("key").alias("k")))
+    buckets = ranked.groupBy("band", "hash").agg(F.max("_order").alias("_center"))
+    members = stage(ranked.join(buckets, ["band", "hash"]).select("band", "hash", "key", F.col("_center.k").alias("center"), "_center"), "members")
     candidates = members.select("key").distinct()
     reps = stage(texts.select(F.md5("text").alias("key"), "text").join(candidates, "key").groupBy("key").agg(F.first("text").alias("text")), "candidates")
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
@@ -244,13 +249,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     def verify(pairs: DataFrame) -> DataFrame:
         return stage(similarities(pairs, reps, idf, width), "similar")
 
-    # First each member with the smallest key among its buckets, which is the same one for most of a group.
-    first = members.groupBy("key").agg(F.min("least").alias("y")).withColumnRenamed("key", "x").where("x <> y")
+    # First each member with the foremost center of its buckets, which is the same one for most of a group.
+    first = members.groupBy("key").agg(F.max("_center")["k"].alias("y")).withColumnRenamed("key", "x").where("x <> y")
     tested = verify(first.select(*pair).distinct())
+    # How far each member is from that pivot. 1 - similarity is a metric: two members whose distances
+    # to the same pivot differ by more than 1 - threshold can't be similar enough.
+    sides = first.select("x", "y", *pair).join(tested, ["a", "b"]).select(F.col("x").alias("key"), F.col("y").alias("pivot"), "similarity")
+    pivots = stage(sides.unionByName(first.select(F.col("y").alias("key")).distinct().join(sides.select("key"), "key", "left_anti").select("key", F.col("key").alias("pivot"), F.lit(1.0).alias("similarity"))), "pivots")
     for step in ("center", "rest"):
         linked = components(tested.where(F.col("similarity") >= threshold))
-        placed = members.join(linked, F.col("key") == F.col("node"), "left")
-        placed = stage(placed.select("band", "hash", "key", "center", F.coalesce("component", "key").alias("component")), "placed")
+        placed = members.join(linked, F.col("key") == F.col("node"), "left").join(pivots, "key", "left")
+        placed = stage(placed.select("band", "hash", "key", "center", F.coalesce("component", "key").alias("component"), "pivot", "similarity"), "placed")
         apart = placed.groupBy("band", "hash").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").drop("_high")
         open_ = placed.join(apart, ["band", "hash"])
         if step == "center":
@@ -258,8 +267,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
             pairs = open_.select(F.col("key").alias("x"), F.col("center").alias("y")).where("x <> y")
         else:
             # Members outside the bucket's lowest component with all members of its other components.
-            other = placed.select("band", "hash", F.col("key").alias("y"), F.col("component").alias("_other"))
-            pairs = open_.where("component <> _low").join(other, ["band", "hash"]).where("component <> _other").select(F.col("key").alias("x"), "y")
+            other = placed.select("band", "hash", F.col("key").alias("y"), F.col("component").alias("_other"), F.col("pivot").alias("_pivot"), F.col("similarity").alias("_similarity"))
+            far = (F.col("pivot") == F.col("_pivot")) & (F.abs(F.col("similarity") - F.col("_similarity")) > 1 - threshold + 1e-9)
+            met = (F.col("component") != F.col("_other")) & ~F.coalesce(far, F.lit(False)) & ((F.col("_other") == F.col("_low")) | (F.col("key") < F.col("y")))
+            pairs = open_.where("component <> _low").join(other, ["band", "hash"]).where(met).select(F.col("key").alias("x"), "y")
         pairs = pairs.select(*pair).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = tested.unionByName(verify(pairs))
     close = tested.where(F.col("similarity") >= threshold)
