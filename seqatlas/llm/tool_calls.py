@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seqatlas.llm.common import stage
 
@@ -56,6 +56,18 @@ def violations(arguments: object, schema: dict | None) -> list[str]:
     return out
 
 
+def _key(column: str, *spread: str) -> Column:
+    """A join key for the left side of a left join: rows without an identifier match nothing and are spread by other columns.
+
+    Null keys would all be sent to one task otherwise. The other side's keys start with ``k`` too.
+    """
+    return F.when(F.col(column).isNotNull(), F.concat(F.lit("k"), F.col(column))).otherwise(F.concat(F.lit("n"), F.xxhash64(*spread).cast("string")))
+
+
+def _named(column: str) -> Column:
+    return F.concat(F.lit("k"), F.col(column))
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level) of (call_id, parent_id) with distinct ids: the number of ancestors; null on or under a cycle.
 
@@ -63,8 +75,8 @@ def levels(calls: DataFrame) -> DataFrame:
     one that hasn't ended once 2**k exceeds the number of calls is in a cycle.
     """
     ids = calls.select("call_id").where("call_id is not null")
-    known = ids.withColumnRenamed("call_id", "_p")
-    state = calls.where("call_id is not null").join(known, F.col("parent_id") == F.col("_p"), "left").select("call_id", F.col("_p").alias("up"), F.when(F.col("_p").isNull(), 0).otherwise(1).cast("long").alias("steps"))
+    known = ids.select(F.col("call_id").alias("_p"), _named("call_id").alias("_pk"))
+    state = calls.where("call_id is not null").withColumn("_k", _key("parent_id", "call_id")).join(known, F.col("_k") == F.col("_pk"), "left").select("call_id", F.col("_p").alias("up"), F.when(F.col("_p").isNull(), 0).otherwise(1).cast("long").alias("steps"))
     state, total, reach = stage(state, "levels"), None, 1
     while True:
         unfinished = state.where("up is not null")
@@ -72,7 +84,9 @@ def levels(calls: DataFrame) -> DataFrame:
         if reach > total or unfinished.isEmpty():
             break
         above = state.select(F.col("call_id").alias("_c"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
-        state = stage(state.join(above, F.col("up") == F.col("_c"), "left").select("call_id", F.col("_up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")), "levels")
+        # A pointer that has ended stays as it is; the others point at a call.
+        further = unfinished.join(above, F.col("up") == F.col("_c")).select("call_id", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"))
+        state = stage(state.where("up is null").unionByName(further), "levels")
         reach *= 2
     return state.select("call_id", F.when(F.col("up").isNull(), F.col("steps")).alias("level"))
 
@@ -90,9 +104,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
     answers = results.where("call_id is not null").groupBy("call_id").agg(first, F.count("*").alias("n_results"), F.min("conv_id").alias("_conv"))
     distinct = calls.where("call_id is not null").groupBy("call_id").agg(F.min("parent_id").alias("parent_id"), F.count("*").alias("_repeats"))
     ranked = levels(distinct.select("call_id", "parent_id")).join(distinct.select("call_id", "_repeats"), "call_id")
-    answers, ranked = answers.withColumnRenamed("call_id", "_a"), ranked.withColumnRenamed("call_id", "_c")
-    there = distinct.select(F.col("call_id").alias("_q"))
-    joined = calls.join(answers, F.col("call_id") == F.col("_a"), "left").join(ranked, F.col("call_id") == F.col("_c"), "left").join(there, F.col("parent_id") == F.col("_q"), "left")
+    answers, ranked = answers.withColumn("_a", _named("call_id")).drop("call_id"), ranked.withColumn("_c", _named("call_id")).drop("call_id", "parent_id")
+    there = distinct.select(_named("call_id").alias("_q"))
+    keyed = calls.withColumn("_id", _key("call_id", *calls.columns)).withColumn("_up", _key("parent_id", *calls.columns))
+    joined = keyed.join(answers, F.col("_id") == F.col("_a"), "left").join(ranked, F.col("_id") == F.col("_c"), "left").join(there, F.col("_up") == F.col("_q"), "left")
     linked = joined.select(
         "conv_id", "call_id", "name", "turn", "parent_id", "level", F.col("_r.turn").alias("result_turn"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
         "arguments", F.col("_r.content").alias("content"), F.col("_repeats").alias("repeats"), F.col("_q").isNotNull().alias("has_parent"), F.lit(True).alias("is_call"),
@@ -138,6 +153,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
     return linked.unionByName(orphans).mapInPandas(serialise, RESULT)
 
 
+def _none(rows: DataFrame) -> Column:
+    """The name of no call, different for most rows, so that turns without a number don't meet in one task."""
+    return F.concat(F.lit("none_"), F.xxhash64(*rows.columns).cast("string"))
+
+
 def calls_of_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of chat turns: user and system turns call, the next turn of an assistant is the result.
 
@@ -146,8 +166,8 @@ def calls_of_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFra
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     name_of = lambda conv, turn: F.concat(F.lit("call_"), conv.cast("string"), F.lit("_"), turn.cast("string"))
     called = rows.where("role in ('user', 'system')").withColumn("call_id", name_of(F.col("conv_id"), F.col("turn")))
-    ids = called.select("call_id").distinct()
-    calls = called.withColumn("_one", name_of(F.col("conv_id"), F.col("turn") - 1)).withColumn("_two", name_of(F.col("conv_id"), F.col("turn") - 2))
+    ids = called.where("call_id is not null").select("call_id").distinct()
+    calls = called.withColumn("_one", F.coalesce(name_of(F.col("conv_id"), F.col("turn") - 1), _none(rows))).withColumn("_two", F.coalesce(name_of(F.col("conv_id"), F.col("turn") - 2), _none(rows)))
     calls = calls.join(ids.select(F.col("call_id").alias("_1")), F.col("_one") == F.col("_1"), "left").join(ids.select(F.col("call_id").alias("_2")), F.col("_two") == F.col("_2"), "left")
     arguments = F.to_json(F.struct("turn", "text", F.length("text").alias("chars")))
     calls = calls.select("conv_id", "call_id", F.when(F.col("role") == "user", "ask").otherwise("configure").alias("name"), arguments.alias("arguments"), F.coalesce("_1", "_2").alias("parent_id"), "turn")
