@@ -6,10 +6,12 @@ are grouped into bands; documents that share a band are candidates, and a pair c
 weighted Jaccard similarity of the whole documents reaches the threshold.
 
 Equal texts are one class throughout: one member stands for all, and no pair of copies is ever
-made. In each bucket of a band, members are first compared with one of them. Documents that
-this has not linked are then compared with the other members of their buckets, except with
-those they are linked to already and those that the triangle inequality rules out, so a bucket
-of n documents similar to its center costs about n comparisons.
+made. In each bucket of a band, members are first compared with the bucket's center, then, while
+a bucket holds several components, with the centers of small random parts of it. What these have
+not linked is compared exactly: documents outside the largest component of a bucket with those of
+other components that share a band and one of their rarest shingles (the prefix filter of
+set-similarity joins), at places where enough weight is left to reach the threshold. Pairs that
+can't be similar enough, such as documents that have only a common passage in common, never meet.
 
 Document frequencies are counted over all documents in ``2**18`` buckets of shingle hashes, a
 table of fixed size. A frequency under ``common`` (a share of the corpus) counts as ``common``:
@@ -29,6 +31,8 @@ from seqatlas.llm.common import mix, process_cache, shingle_table, slices, stage
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 2
 BUCKETS = 1 << 18
+#: Rounds of random parts of buckets, and how many members a part has on average.
+STARS, STAR_SIZE = 2, 16
 
 
 def document_frequencies(texts: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, int]:
@@ -218,6 +222,72 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
+def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their component.
+
+    They have the number of members of the bucket (``_n``) and ``inner``: outside the bucket's largest component.
+    """
+    linked = components(links)
+    sizes = linked.groupBy("component").agg(F.count("*").alias("_size"))
+    placed = members.join(linked.join(sizes, "component"), F.col("key") == F.col("node"), "left")
+    placed = placed.select("band", "hash", "key", "_order", "center", F.coalesce("component", "key").alias("component"), F.coalesce("_size", F.lit(1)).alias("_size"))
+    placed = stage(placed, "placed")
+    largest = F.max(F.struct("_size", "component"))["component"].alias("_largest")
+    apart = placed.groupBy("band", "hash").agg(F.count("*").alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"), largest)
+    apart = apart.where("_low <> _high").drop("_low", "_high")
+    return placed.join(apart, ["band", "hash"]).withColumn("inner", F.col("component") != F.col("_largest")).drop("_largest", "_size")
+
+
+def prefixes(texts: DataFrame, idf, table, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """The rarest shingles of each whole text (key, text): key, token, before, total.
+
+    Shingles are taken in one order for all texts, by document frequency of their hash bucket and then by
+    hash. before: weight of the shingles ahead of this one; total: weight of all. Those with at most
+    (1 - threshold) of the weight ahead of them are returned: texts that share none of them share less
+    than the threshold.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for first, part in slices(batch["text"], 1 << 20):
+                text, shingle, weight = weighted_shingles(part, idf.value, width)
+                order = np.lexsort((shingle, table.value[(shingle & np.uint64(BUCKETS - 1)).astype(np.int64)], text))
+                text, shingle, weight = text[order], shingle[order], weight[order].astype(np.float64)
+                total = np.bincount(text, weight, len(part))[text]
+                ahead = np.cumsum(weight) - weight
+                starts = np.concatenate(([True], text[1:] != text[:-1]))[: len(text)]
+                ahead -= ahead[starts][np.cumsum(starts) - 1]
+                kept = ahead <= (1 - threshold) * total * (1 + 1e-6)
+                yield pd.DataFrame({"key": batch["key"].to_numpy()[first + text[kept]], "token": shingle[kept].astype(np.int64), "before": ahead[kept], "total": total[kept]})
+
+    return texts.select("key", "text").mapInPandas(run, "key string, token long, before double, total double")
+
+
+def _prefix_pairs(open_: DataFrame, classes: DataFrame, reps: DataFrame, idf, table, threshold: float, width: int) -> DataFrame:
+    """Pairs (x, y, component, _of) of members of different components that may still be similar enough.
+
+    x is outside the largest component of one of its buckets. The first shingle that two texts share must leave
+    both enough weight; every row that is no first one is only an additional chance. Rows on the way
+    carry 64-bit hashes of keys and components.
+    """
+    keys = open_.groupBy("key").agg(F.max("inner").alias("inner"), F.first("component").alias("component"))
+    keys = stage(keys.join(classes.select("key", "bands"), "key").withColumn("id", F.xxhash64("key")), "open")
+    tokens = prefixes(reps.join(keys.select("key"), "key", "left_semi"), idf, table, threshold, width)
+    tokens = tokens.join(keys.select("key", "id", "inner", F.xxhash64("component").alias("of")), "key").drop("key")
+    tokens = stage(tokens, "tokens")
+    # Only shingles of several components, at least one of them outside the largest, can link anything.
+    of_token = tokens.groupBy("token").agg(F.min("of").alias("_low"), F.max("of").alias("_high"), F.max("inner").alias("_any"))
+    tokens = tokens.join(of_token.where("_low <> _high and _any").select("token"), "token")
+    other = tokens.select("token", F.col("id").alias("_id"), F.col("inner").alias("_inner"), F.col("of").alias("_of"), F.col("before").alias("_before"), F.col("total").alias("_total"))
+    left = F.least(F.col("total") - F.col("before"), F.col("_total") - F.col("_before"))
+    enough = left * (1 + 1e-6) >= threshold * (F.col("total") + F.col("_total") - left)
+    met = (F.col("of") != F.col("_of")) & (~F.col("_inner") | (F.col("id") < F.col("_id"))) & enough
+    found = tokens.where("inner").join(other, "token").where(met).select("id", "_id").distinct()
+    there = keys.select(F.col("id").alias("_id"), F.col("key").alias("y"), F.col("component").alias("_of"), F.col("bands").alias("_bands"))
+    here = keys.select("id", F.col("key").alias("x"), "component", "bands")
+    return found.join(here, "id").join(there, "_id").where(F.arrays_overlap("bands", "_bands")).select("x", "y", "component", "_of")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, common: float = 0.1) -> DataFrame:
     """One row per document: doc_id, class_id, cluster_id, n_shingles, best_similarity, key, keeps.
 
@@ -241,7 +311,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     degree = stage(shared.groupBy("key").agg(F.sum("_n").alias("degree")), "degrees")
     ranked = shared.select("band", "hash", "key").join(degree, "key").withColumn("_order", F.struct(F.col("degree").alias("d"), F.col("key").alias("k")))
     buckets = ranked.groupBy("band", "hash").agg(F.max("_order").alias("_center"))
-    members = stage(ranked.join(buckets, ["band", "hash"]).select("band", "hash", "key", F.col("_center.k").alias("center"), "_center"), "members")
+    members = ranked.join(buckets, ["band", "hash"]).select("band", "hash", "key", "_order", F.col("_center.k").alias("center"), "_center")
+    members = stage(members, "members")
     candidates = members.select("key").distinct()
     reps = stage(texts.select(F.md5("text").alias("key"), "text").join(candidates, "key").groupBy("key").agg(F.first("text").alias("text")), "candidates")
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
@@ -252,26 +323,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     # First each member with the foremost center of its buckets, which is the same one for most of a group.
     first = members.groupBy("key").agg(F.max("_center")["k"].alias("y")).withColumnRenamed("key", "x").where("x <> y")
     tested = verify(first.select(*pair).distinct())
-    # How far each member is from that pivot. 1 - similarity is a metric: two members whose distances
-    # to the same pivot differ by more than 1 - threshold can't be similar enough.
-    sides = first.select("x", "y", *pair).join(tested, ["a", "b"]).select(F.col("x").alias("key"), F.col("y").alias("pivot"), "similarity")
-    pivots = stage(sides.unionByName(first.select(F.col("y").alias("key")).distinct().join(sides.select("key"), "key", "left_anti").select("key", F.col("key").alias("pivot"), F.lit(1.0).alias("similarity"))), "pivots")
-    for step in ("center", "rest"):
-        linked = components(tested.where(F.col("similarity") >= threshold))
-        placed = members.join(linked, F.col("key") == F.col("node"), "left").join(pivots, "key", "left")
-        placed = stage(placed.select("band", "hash", "key", "center", F.coalesce("component", "key").alias("component"), "pivot", "similarity"), "placed")
-        apart = placed.groupBy("band", "hash").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").drop("_high")
-        open_ = placed.join(apart, ["band", "hash"])
-        if step == "center":
-            # Members of buckets that still hold several components, with the bucket's own center.
-            pairs = open_.select(F.col("key").alias("x"), F.col("center").alias("y")).where("x <> y")
+    for step in ("center", *range(STARS), "rest"):
+        open_ = _open_buckets(members, tested.where(F.col("similarity") >= threshold))
+        if step == "rest":
+            pairs = _prefix_pairs(open_, classes, reps, idf, spark.sparkContext.broadcast(table), threshold, width)
+        elif step == "center":
+            pairs = open_.select(F.col("key").alias("x"), F.col("center").alias("y"), "component", F.lit("").alias("_of"))
         else:
-            # Members outside the bucket's lowest component with all members of its other components.
-            other = placed.select("band", "hash", F.col("key").alias("y"), F.col("component").alias("_other"), F.col("pivot").alias("_pivot"), F.col("similarity").alias("_similarity"))
-            far = (F.col("pivot") == F.col("_pivot")) & (F.abs(F.col("similarity") - F.col("_similarity")) > 1 - threshold + 1e-9)
-            met = (F.col("component") != F.col("_other")) & ~F.coalesce(far, F.lit(False)) & ((F.col("_other") == F.col("_low")) | (F.col("key") < F.col("y")))
-            pairs = open_.where("component <> _low").join(other, ["band", "hash"]).where(met).select(F.col("key").alias("x"), "y")
-        pairs = pairs.select(*pair).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            # Parts of about STAR_SIZE members, dealt anew each time; the most central member of each is its center.
+            part = F.pmod(F.xxhash64("key", F.lit(step)), F.ceil(F.col("_n") / STAR_SIZE))
+            dealt = open_.withColumn("_part", part)
+            centers = dealt.groupBy("band", "hash", "_part").agg(F.max(F.struct(F.col("_order"), F.col("component").alias("c"))).alias("_s"))
+            pairs = dealt.join(centers, ["band", "hash", "_part"]).select(F.col("key").alias("x"), F.col("_s._order.k").alias("y"), "component", F.col("_s.c").alias("_of"))
+        pairs = pairs.where("x <> y and component <> _of").select(*pair).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = tested.unionByName(verify(pairs))
     close = tested.where(F.col("similarity") >= threshold)
     linked = components(close)
