@@ -32,7 +32,7 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 2
 BUCKETS = 1 << 18
 #: Rounds of random parts of buckets, and how many members a part has on average.
-STARS, STAR_SIZE = 2, 16
+STARS, STAR_SIZE = 1, 16
 
 
 def document_frequencies(texts: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, int]:
