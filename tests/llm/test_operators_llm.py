@@ -274,6 +274,38 @@ def test_clusters_are_the_components_of_similar_pairs(spark):
     assert kept.columns == df.columns and kept.count() == len({root(t) for t in texts})
 
 
+def test_similar_texts_share_a_prefix_shingle_with_enough_weight_left(spark):
+    rnd = random.Random(21)
+    passage = sentence(rnd, 60).split()
+    texts = ["", "one two", "\u00e9t\u00e9 " * 40]
+    for _ in range(40):
+        copy = passage + sentence(rnd, rnd.choice([1, 2, 4, 60])).split()
+        copy[rnd.randrange(len(copy))] = f"edit{rnd.randint(0, 10**9)}"
+        texts.append(" ".join(copy))
+    table = np.random.default_rng(3).integers(1, 50, near_duplicates.BUCKETS)
+    idf = near_duplicates.inverse_frequencies(table, 100)
+    sc = spark.sparkContext
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string")
+    got = defaultdict(dict)
+    for r in near_duplicates.prefixes(df, sc.broadcast(idf), sc.broadcast(table)).collect():
+        got[int(r.key)][r.token] = (r.before, r.total)
+    text, shingle, weight = near_duplicates.weighted_shingles([t.encode() for t in texts], idf)
+    of = defaultdict(dict)
+    for t, h, w in zip(text.tolist(), shingle.tolist(), weight.tolist()):
+        of[t][h] = w
+    similar = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = sum(min(w, of[b].get(h, 0)) for h, w in of[a].items())
+            total = sum(of[a].values()) + sum(of[b].values()) - shared
+            if not total or shared / total < 0.8:
+                continue
+            similar += 1
+            left = [(min(got[a][k][1] - got[a][k][0], got[b][k][1] - got[b][k][0]), got[a][k][1] + got[b][k][1]) for k in got[a].keys() & got[b].keys()]
+            assert any(x * (1 + 1e-6) >= 0.8 * (both - x) for x, both in left), (a, b)
+    assert similar > 10 and not got[0]
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(2)
     shingle = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64))
