@@ -5,8 +5,8 @@ Every language gets a codeword; for each bit a linear classifier over hashed cha
 the classifiers' margins, each weighted by how well its bit was learned. The gap between the
 two smallest losses gives the score, and flags ambiguous texts.
 
-The classifiers are fitted on a sample of the labelled rows whose expected size is
-``per_language`` rows of each language, taken by a hash of the text; predictions read whole texts.
+The classifiers are fitted on ``per_language`` different texts of each language (all texts of a
+smaller one), taken in the order of a hash of the text; predictions read whole texts.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 DIMENSIONS = 1 << 12
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
@@ -120,11 +120,33 @@ def fit(x: np.ndarray, languages: list[str], labels: np.ndarray, rounds: int = 1
 
 
 def training_sample(labelled: DataFrame, per_language: int = 400) -> DataFrame:
-    """Labelled rows whose text hash falls under a threshold set by the count of their language."""
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    counts = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")).alias("rate"))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)
-    return rows.join(F.broadcast(counts), "lang").where(draw).select("text", "lang")
+    """Different labelled texts with a letter: the ``per_language`` first of each language in the order of their hash.
+
+    A language of fewer texts keeps all of them. Copies are told by their 64-bit hash. The hashes of a
+    language are counted in logarithmic steps of a thirty-second; only texts up to the step with
+    the last wanted one, few more than ``per_language``, are ranked.
+    """
+    # Code points without a category may be letters of a newer Unicode; has_letter decides on them.
+    rows = labelled.where(F.col("text").rlike(r"[\p{L}\p{Cn}]") & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("text").alias("_hash"))
+    place = F.col("_hash").cast("double") + float(1 << 63)
+    step = F.when(place < 1, F.lit(0)).otherwise(F.floor(F.log2(place) * 32)).cast("int")
+    counts = rows.select("lang", "_hash").distinct().groupBy("lang", step.alias("_step")).agg(F.count("*").alias("n"))
+    # At most 2,049 rows for each language.
+    by_language: dict[str, dict[int, int]] = {}
+    for r in counts.collect():
+        by_language.setdefault(r["lang"], {})[r["_step"]] = r["n"]
+    last = []
+    for lang, steps in by_language.items():
+        total = 0
+        for at in sorted(steps):
+            total += steps[at]
+            if total >= per_language:
+                break
+        last.append((lang, at))
+    limits = labelled.sparkSession.createDataFrame(last, "lang string, _last int")
+    near = rows.join(F.broadcast(limits), "lang").where(step <= F.col("_last")).select("lang", "text", "_hash").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "text"))
+    return near.withColumn("_place", place).where(F.col("_place") <= per_language).select("text", "lang")
 
 
 def train(labelled: DataFrame, per_language: int = 400) -> Model:
@@ -135,7 +157,7 @@ def train(labelled: DataFrame, per_language: int = 400) -> Model:
             batch = batch[[has_letter(t) for t in batch["text"]]]
             yield pd.DataFrame({"lang": batch["lang"], "x": [(np.minimum(features(t), 1) * 65535).astype("<u2").tobytes() for t in batch["text"]]})
 
-    # Bounded by ``per_language`` rows of each language in expectation.
+    # At most ``per_language`` rows of each language.
     rows = training_sample(labelled, per_language).mapInPandas(vectorise, "lang string, x binary").toPandas()
     languages = sorted(rows["lang"].unique())
     x = np.frombuffer(b"".join(rows["x"]), "<u2").reshape(-1, DIMENSIONS).astype(np.float32) / 65535

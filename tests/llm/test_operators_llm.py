@@ -196,6 +196,23 @@ def test_language_defaults(docs, none, rows):
     assert kept.columns == docs.columns and kept.where("doc_id in (4, 5, 6, 8)").count() == 0
 
 
+def test_language_sample_ignores_copies(spark):
+    rnd = random.Random(8)
+    different = [f"ein anderer Satz Nummer {i} mit {sentence(rnd, 5)}" for i in range(200)]
+    many = [sentence(rnd, 8) + f" number {i}" for i in range(1000)]
+    labelled = [("immer derselbe Text", "de")] * 20000 + [(t, "de") for t in different] + [(t, "en") for t in many]
+    labelled += [(f"{i} !!", "fr") for i in range(900)] + [("une phrase", "fr"), (None, "fr"), ("no language", None)]
+    table = spark.createDataFrame(labelled, "text string, lang string").repartition(5)
+    got = defaultdict(list)
+    for r in language.training_sample(table).collect():
+        got[r.lang].append(r.text)
+    assert sorted(got["de"]) == sorted([*different, "immer derselbe Text"]) and got["fr"] == ["une phrase"]
+    hashes = {r.text: r.h for r in table.where("lang = 'en'").selectExpr("text", "xxhash64(text) AS h").collect()}
+    assert sorted(got["en"]) == sorted(sorted(hashes, key=hashes.get)[:400])
+    assert language.train(table).languages == ["de", "en", "fr"]
+    assert language.training_sample(table, 3).groupBy("lang").count().where("count > 3").count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 9])
 def test_codewords_differ(n):
     code = language.codewords(n)
