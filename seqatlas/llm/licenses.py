@@ -1,7 +1,9 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (a line of a text) matches a template when it has at least ``threshold`` of the
-template's distinct words. The join finds every such pair without comparing all pairs. Words
+A block matches a template when it has at least ``threshold`` of the template's distinct words.
+Blocks are the lines of a text and, for templates wrapped over several lines, the words around
+each line end: as many on either side as the longest template has. A copy of a template crosses no
+line end and lies in a line, or crosses one and lies in the words around it. The join finds every such pair without comparing all pairs. Words
 that occur in templates are ordered by their document frequency over the whole corpus, rarest
 first; a block that reaches the threshold must share one of the template's first (rare) words,
 so blocks and templates meet by an equi-join on these (prefix filter), a block with too few
@@ -64,6 +66,23 @@ def needed(size: int, threshold: float) -> int:
     return max(math.ceil(round(threshold * size, 9)), 1)
 
 
+def around_line_ends(lines: Column, reach: int) -> Column:
+    """For each end of a line with words but the last: the ``reach`` words before it and those after it.
+
+    ``lines`` has the words of each line; fewer words stand at the ends of the text.
+    """
+    filled = F.filter(lines, lambda x: F.size(x) > 0)
+    last = lambda x: F.slice(x, F.greatest(F.size(x) - reach, F.lit(0)) + 1, reach)
+    # A line with words has one at least, so ``reach`` lines hold ``reach`` words.
+    ends, starts = F.transform(filled, last), F.transform(filled, lambda x: F.slice(x, 1, reach))
+    around = lambda i: F.concat(
+        last(F.flatten(F.slice(ends, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))))),
+        F.slice(F.flatten(F.slice(starts, i + 1, reach)), 1, reach),
+    )
+    none = F.array().cast("array<array<string>>")
+    return F.when(F.size(filled) > 1, F.transform(F.sequence(F.lit(1), F.size(filled) - 1), around)).otherwise(none)
+
+
 def matching_blocks(blocks: DataFrame, order: list[str], threshold: float = 0.8, templates=TEMPLATES) -> DataFrame:
     """All (block, template) with enough words: the columns of ``blocks`` but ``words``, label, template, containment.
 
@@ -81,7 +100,8 @@ def matching_blocks(blocks: DataFrame, order: list[str], threshold: float = 0.8,
     full = F.broadcast(spark.createDataFrame(whole, "template int, label string, _own array<string>, _whole int, _need int"))
     # Template words of the block in the global order: an intersection keeps the order of its first side.
     ordered = F.array(*[F.lit(w) for w in order])
-    relevant = blocks.withColumn("_mine", F.array_intersect(ordered, F.col("words"))).where(F.size("_mine") > 0)
+    fewest = min((least for *_, least in whole), default=1)
+    relevant = blocks.withColumn("_mine", F.array_intersect(ordered, F.col("words"))).where(F.size("_mine") >= fewest)
     probes = relevant.withColumn("_m", F.size("_mine")).select("*", F.posexplode("_mine").alias("_j", "_word"))
     met = probes.join(index, "_word").where((F.col("_m") >= F.col("_least")) & (1 + F.least(F.col("_size") - F.col("_i"), F.col("_m") - F.col("_j")) - 1 >= F.col("_least")))
     names = [c for c in blocks.columns if c != "words"]
@@ -136,8 +156,9 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES,
         F.array_max(places).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("_base"), lines.alias("_lines"),
     )
     scanned = stage(scanned, "scanned")
-    blocks = scanned.where("_lines is not null").select("doc_id", "_hash", F.posexplode("_lines").alias("line", "_text"))
-    blocks = blocks.select("doc_id", "_hash", "line", words(F.col("_text")).alias("words"))
+    reach = max((len(text.split()) for text, _ in templates), default=1)
+    split = scanned.where("_lines is not null").select("doc_id", "_hash", F.transform("_lines", words).alias("_lines"))
+    blocks = split.select("doc_id", "_hash", F.posexplode(F.concat("_lines", around_line_ends(F.col("_lines"), reach))).alias("block", "words"))
     matches = matching_blocks(blocks, order, threshold, templates)
     found = matches.groupBy("doc_id", "_hash").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     found = found.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_more", "_best")

@@ -368,6 +368,26 @@ def test_license_scan_by_brute_force(docs, rows, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following"
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed"
+    gpl = "\n".join("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License".split())
+    texts = [f"int x;\n/* {bsd}\n*/", f"{mpl}\n", f"before\n{gpl}\nafter", "a b c\n" * 50 + "\n\n" + bsd.replace("\n", "\r\n\n"), "released\n\nunder", "\n\n", bsd.split("\n")[0], None]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    got = Counter((r.doc_id, r.labels, r.score) for r in licenses.scan_licenses(docs).collect())
+    assert got == Counter({(0, "bsd", 1.0): 2, (1, "mpl-2.0", 1.0): 1, (2, "gpl", 1.0): 1, (3, "bsd", 1.0): 1, (4, "", 0.0): 1, (5, "", 0.0): 1, (6, "", 0.0): 1, (7, "", 0.0): 1})
+
+
+def test_words_around_line_ends(spark):
+    rnd = random.Random(6)
+    texts = [[[f"w{rnd.randint(0, 99)}" for _ in range(rnd.choice([0, 0, 1, 2, 3, 9]))] for _ in range(rnd.randint(0, 9))] for _ in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "i long, lines array<array<string>>")
+    for r in table.select("i", licenses.around_line_ends(table["lines"], 4).alias("got")).collect():
+        filled = [x for x in texts[r.i] if x]
+        flat, ends = sum(filled, []), np.cumsum([len(x) for x in filled])[:-1].tolist()
+        assert [list(x) for x in r.got] == [flat[max(e - 4, 0) : e + 4] for e in ends]
+
+
 # --- token files ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [0, 1, 7, 64, 513, 2000])
