@@ -27,7 +27,7 @@ HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string
 class Automaton:
     """Suffix automaton of several word sequences, with the items of each window."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], width: int):
         self.width = width
         self.vocabulary: dict[bytes, int] = {}
         self.edges: list[dict[int, int]] = [{}]
@@ -146,7 +146,7 @@ def automata(benchmark: DataFrame, width: int = 13, block_words: int = 500_000)
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     for row in rows.toLocalIterator():
         words = words_of(row["text"])
-        if not words or row["item_id"] is None:
+        if not words:
             continue
         if block and size + len(words) > block_words:
             made.append(Automaton(block, width))
@@ -162,7 +162,8 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_word
     """One row per document: words, hit words, the items found and the hit spans (word numbers).
 
     ``contaminated``: at least one hit word in ``share``. Null and empty texts have no words;
-    items without words have no window; repeated rows give repeated rows.
+    items without words have no window; windows of items without an id count for the hit words,
+    but such items are not among the items found; repeated rows give repeated rows.
     """
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(a) for a in automata(benchmark, width, block_words)]
@@ -176,7 +177,7 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_word
                 for block in blocks:
                     h, found = block.value.scan(words)
                     hit |= h
-                    items.update(block.value.names[i] for i in found)
+                    items.update(name for i in found if (name := block.value.names[i]) is not None)
                 step = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
                 spans = [{"first": int(a), "last": int(b) - 1} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))]
                 n_hit, names = int(hit.sum()), sorted(items)

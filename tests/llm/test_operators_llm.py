@@ -507,6 +507,18 @@ def test_hit_words_in_blocks(spark, docs, rows, none):
     assert all(r.n_hit == 0 for r in decontaminate.hit_words(docs, table.limit(0)).collect())
 
 
+def test_windows_of_items_without_id(spark):
+    rnd = random.Random(5)
+    lost, named = sentence(rnd, 30), sentence(rnd, 20)
+    table = spark.createDataFrame([(None, lost), (None, "shortone"), (7, named)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {lost}"), (2, f"{named} {lost}"), (3, "a shortone here"), (4, "none of it")], "doc_id long, text string")
+    digest = lambda names: hashlib.sha256(names.encode()).hexdigest()
+    want = [(1, 31, 30, 0, digest(""), True), (2, 50, 50, 1, digest("7"), True), (3, 3, 1, 0, digest(""), True), (4, 3, 0, 0, digest(""), False)]
+    for block in (500_000, 1):
+        assert sorted(tuple(r)[:6] for r in decontaminate.hit_words(docs, table, block_words=block).collect()) == want
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, table).collect()] == [4]
+
+
 # --- repeated bytes ------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("seed", range(20))
