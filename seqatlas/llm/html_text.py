@@ -342,13 +342,42 @@ def main_text(nodes: list[Node], keep: np.ndarray) -> str:
     return "\n".join(b for b in joined if b)
 
 
+def training_pages(pages: DataFrame, most_pages: int = 300) -> list[str]:
+    """The ``most_pages`` first different pages that tell labels, in the order of a hash of their html.
+
+    Pages are parsed where they are, in growing ranges of the hash, until enough tell labels or
+    all are read. Copies are told by their hash.
+    """
+    rows = pages.where("html is not null and html <> ''").select("html", F.xxhash64("html").alias("_hash"))
+
+    def telling(batches):
+        known: set[int] = set()
+        for batch in batches:
+            out = []
+            for source, h in zip(batch["html"], batch["_hash"].tolist()):
+                if h not in known:
+                    known.add(h)
+                    if told_labels(parse(source)) is not None:
+                        out.append(h)
+            yield pd.DataFrame({"_hash": np.array(out, np.int64)})
+
+    chosen: list[int] = []
+    low, end = -(1 << 63), 1 << 63
+    width = max((1 << 64) * 2 * most_pages // max(rows.count(), 1), 1)
+    while low < end and len(chosen) < most_pages:
+        high = min(low + width, end)
+        part = rows.where(F.col("_hash").between(low, high - 1)).mapInPandas(telling, "_hash long").distinct()
+        chosen += [r["_hash"] for r in part.orderBy("_hash").limit(most_pages - len(chosen)).collect()]
+        low, width = high, 8 * width
+    # At most ``most_pages`` different pages.
+    return [r["html"] for r in rows.where(F.col("_hash").isin(chosen)).distinct().orderBy("_hash", "html").limit(most_pages).collect()]
+
+
 def train(pages: DataFrame, most_pages: int = 300) -> BoostedTrees:
-    """Trees fitted on at most ``most_pages`` pages, taken in the order of a hash of their html."""
-    rows = pages.where("html is not null and html <> ''").select("html")
-    sample = rows.orderBy(F.xxhash64("html"), "html").limit(most_pages).collect()
+    """Trees fitted on the training pages; when no page of the table tells labels, unfitted trees that keep nothing."""
     rng, xs, ys = random.Random(11), [], []
-    for row in sample:
-        nodes = parse(row["html"])
+    for source in training_pages(pages, most_pages):
+        nodes = parse(source)
         labels = told_labels(nodes)
         if labels is None:
             continue
@@ -374,7 +403,10 @@ def extract_texts(model: BoostedTrees, sources: list[str | None]) -> list[str]:
 
 
 def main_texts(pages: DataFrame, most_pages: int = 300) -> DataFrame:
-    """page_id, url and text of every page. A null or empty page, and one without main text, has an empty text."""
+    """page_id, url and text of every page. A null or empty page, and one without main text, has an empty text.
+
+    So has every page when no page of the table tells labels.
+    """
     shared = pages.sparkSession.sparkContext.broadcast(train(pages, most_pages))
 
     def run(batches):

@@ -658,6 +658,18 @@ def test_decoding_never_contradicts():
         assert all(not keep[i] or keep[n.parent] for i, n in enumerate(nodes) if i)
 
 
+def test_training_pages_tell_labels_and_differ(spark):
+    told = [f"<body><nav>menu</nav><article><h1>Head {i}</h1><p>Some text of page {i}, long enough.</p></article></body>" for i in range(12)]
+    untold = [f"<body><div>page {i}</div></body>" for i in range(60)]
+    table = spark.createDataFrame([(h,) for h in told + [told[0]] * 90 + untold + [untold[0]] * 90 + [None, ""]], "html string").repartition(5)
+    hashes = {r.html: r.h for r in table.selectExpr("html", "xxhash64(html) AS h").collect()}
+    order = sorted(told, key=hashes.get)
+    assert html_text.training_pages(table, 5) == order[:5] and html_text.training_pages(table, 12) == order
+    assert html_text.training_pages(table) == order
+    assert html_text.training_pages(table.where("html like '<body><div>%'"), 5) == []
+    assert html_text.train(table, 5).edges
+
+
 def test_pages_defaults(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
     assert html_text.main_texts(empty).count() == 0
