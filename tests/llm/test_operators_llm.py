@@ -291,6 +291,17 @@ def test_clusters_are_the_components_of_similar_pairs(spark):
     assert kept.columns == df.columns and kept.count() == len({root(t) for t in texts})
 
 
+def test_near_copies_of_a_group_of_a_third(spark):
+    rnd = random.Random(12)
+    text = lambda n: [f"w{rnd.randint(0, 10**9)}" for _ in range(n)]
+    hot, rare = text(200), text(200)
+    edited = [hot + text(20), hot + text(35), rare, rare + text(35)]  # plain Jaccard 196 / (196 + 20) = 0.91 or 196 / (196 + 35) = 0.85
+    rows = [hot] * 100 + edited + [text(40) for _ in range(196)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.cluster_id for r in near_duplicates.near_duplicates(df).collect()}
+    assert [got[i] for i in (0, 99, 100, 101, 102, 103)] == [0, 0, 0, 101, 102, 102]
+
+
 def test_similar_texts_share_a_prefix_shingle_with_enough_weight_left(spark):
     rnd = random.Random(21)
     passage = sentence(rnd, 60).split()
