@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqatlas.llm import decontaminate, fingerprint, html_text, language, licenses, near_duplicates, packing, suffix_dedup, tool_calls, wavelet
+from seqatlas.llm import (
+    bit_clusters, decontaminate, fingerprint, html_text, language, licenses, near_duplicates, packing, suffix_dedup, token_counts, tool_calls,
+    vector_codes, wavelet,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +57,18 @@ def op10_boosted_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"))
+
+
+def op12_resident_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_bit_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_clusters.cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +79,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pattern_packing, op2_multiset_fingerprints, op3_language_codes, op4_weighted_minhash, op5_license_join,
-        op6_wavelet_tokens, op7_tool_calls, op8_benchmark_automaton, op9_sorted_suffixes, op10_boosted_extraction, pipeline,
+        op6_wavelet_tokens, op7_tool_calls, op8_benchmark_automaton, op9_sorted_suffixes, op10_boosted_extraction,
+        op11_merge_counts, op12_resident_codes, op13_bit_plane_clusters, pipeline,
     )
 }
 
@@ -89,4 +105,7 @@ SELECT conv_id, call_id, NULL, NULL, NULL, NULL, turn, 1, false, 'no call',
   CAST(json_object('arguments', NULL, 'id', call_id, 'name', NULL, 'parent', NULL, 'result', text) AS VARCHAR)
 FROM r WHERE call_id NOT IN (SELECT call_id FROM c)"""
 
-ORACLE = {"op5_license_join": licenses.scan_sql(), "op7_tool_calls": TOOL_CALLS_SQL}
+ORACLE = {
+    "op5_license_join": licenses.scan_sql(), "op7_tool_calls": TOOL_CALLS_SQL,
+    "op12_resident_codes": vector_codes.codes_sql(), "op13_bit_plane_clusters": bit_clusters.clusters_sql(),
+}
