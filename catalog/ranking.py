@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from catalog import R, query, r6, rounded
-from seqatlas.distribution import tile_pairs
+from catalog.warping import drawn_sql
 from seqatlas.operators import classes as C, ranking as RK, report as P
 
 STATUS = "c AS (SELECT o_orderstatus AS dataset, o_orderpriority AS priority, o_custkey % 7 AS kind, count(*) AS count FROM orders GROUP BY ALL), p AS (SELECT *, count * 100.0 / sum(count) OVER (PARTITION BY dataset) AS percentage FROM c)"
@@ -57,10 +57,10 @@ def set_distinct_pairs(t):
     )
 
 
-@query("sample_pairs_seeded")
+@query("sample_pairs_seeded", f"WITH {drawn_sql('embeddings', 'label', 25)} SELECT * FROM drawn")
 def sample_pairs_seeded(t):
-    pairs = tile_pairs(t("embeddings").select("label", "vec_id"), "vec_id", ["label"])
-    return RK.sample_per_group(pairs, ["label"], ["vec_id_a", "vec_id_b"], 25)
+    """At most 25 pairs of each label; a pair is drawn by its number, and only drawn ones are built."""
+    return RK.draw_pairs(t("embeddings").select("label", "vec_id"), "vec_id", ["label"], 25)
 
 
 @query("chart_histogram", f"""

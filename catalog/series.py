@@ -217,33 +217,109 @@ def ts_hand_side_stabilise(t):
     return S.stabilise_sides(rows, USERS, left_valid="lv", right_valid="rv", moves=[("left_value", "right_value")])
 
 
-@query("ts_preprocess_pipeline")
-def ts_preprocess_pipeline(t):
+def stored_frames(t):
     """Stored frames made of events (order, flags) and embedding values (coordinates)."""
     vectors = t("embeddings").withColumn("e", F.transform("embedding", lambda v: v.cast("double")))
     size = vectors.agg(F.count(F.lit(1)).alias("n")).scalar()
     f = frames(t).withColumn("vec_id", F.col("event_id") % size)
+    f = f.withColumn("rv", F.when(F.col("user_id") % 3 == 0, F.col("frame") % 9 == 4).otherwise(F.col("rv")))
     stored = f.join(vectors.select("vec_id", "e"), "vec_id")
     repeat = lambda width: F.slice(F.concat(*["e"] * (width // 64 + 1)), 1, width)
-    zero = lambda ok, a: F.when(ok, a).otherwise(F.transform(a, lambda v: v * 0.0))
+    zero = lambda ok, a: F.when(ok, a).otherwise(F.array_repeat(F.lit(0.0), 63))
     hand = F.slice("e", 1, 63)
-    stored = stored.select(
+    return stored.select(
         "user_id", "frame", repeat(330).alias("pose"),
         F.concat(zero(F.col("lv"), hand), zero(F.col("rv"), hand), zero(F.col("lv"), hand), zero(F.col("rv"), hand)).alias("hands"),
         repeat(52).alias("face"), repeat(36).alias("mouth"),
-        F.lit(True).alias("v_pose"), F.col("lv").alias("v_left"), F.col("rv").alias("v_right"), F.lit(True).alias("v_face"),
+        (F.col("frame") % 11 != 5).alias("v_pose"), F.col("lv").alias("v_left"), F.col("rv").alias("v_right"), F.lit(True).alias("v_face"),
     )
-    out = S.preprocess(stored, USERS)
+
+
+def _flat_step_sql(ok: str, points: int, stride: int, first: int) -> str:
+    """Mean step of points of the repeated vector ``e``, between a frame and the one before."""
+    d = lambda i: f"(e[({first} + k * {stride} + {i}) % 64 + 1] - b[({first} + k * {stride} + {i}) % 64 + 1])"
+    apart = f"sqrt({d(0)} * {d(0)} + {d(1)} * {d(1)} + {d(2)} * {d(2)})"
+    return f"coalesce(CASE WHEN {ok} AND lag({ok}) OVER {W} THEN list_sum([{apart} FOR k IN range({points})]) / {points} END, 0)"
+
+
+def _anchored_total_sql(width: int, stride: int, start: int, origin: tuple[int, int], reach: tuple[int, int] | None) -> str:
+    """Sum of the absolute values of one anchored block of the repeated vector ``e``."""
+    at = lambda k, i: f"e[({start} + {k * stride + i}) % 64 + 1]"
+    middle = lambda pair, i: f"(({at(pair[0], i)} + {at(pair[1], i)}) * 0.5)"
+    gap = [f"({at(origin[1], i)} - {at(origin[0], i)})" if reach is None else f"({middle(reach, i)} - {middle(origin, i)})" for i in range(3)]
+    unit = "sqrt(" + " + ".join(f"{g} * {g}" for g in gap) + ")"
+    shifts = "[" + ", ".join([middle(origin, i) for i in range(3)] + ["0.0"] * (stride - 3)) + "]"
+    value = f"e[({start} + j) % 64 + 1]"
+    content = f"list_max([CASE WHEN j % {stride} < 3 THEN abs({value}) ELSE 0 END FOR j IN range({width})]) > 1e-6"
+    moved = f"list_sum([abs(({value} - {shifts}[j % {stride} + 1]) / CASE WHEN j % {stride} < 3 THEN {unit} ELSE 1 END) FOR j IN range({width})])"
+    return f"CASE WHEN {content} AND {unit} > 1e-6 THEN {moved} ELSE list_sum([abs({value}) FOR j IN range({width})]) END"
+
+
+def preprocess_sql() -> str:
+    """CTEs that end in ``done`` (one row per output frame)."""
+    zeros = "[0.0 FOR k IN range(63)]"
+    near = lambda side: f"""last_value(CASE WHEN {side}_ok THEN frame END IGNORE NULLS) OVER back AS {side}_pf, last_value(CASE WHEN {side}_ok THEN {side} END IGNORE NULLS) OVER back AS {side}_pv,
+   first_value(CASE WHEN {side}_ok THEN frame END IGNORE NULLS) OVER ahead AS {side}_nf, first_value(CASE WHEN {side}_ok THEN {side} END IGNORE NULLS) OVER ahead AS {side}_nv"""
+    filled = lambda side: f"""CASE WHEN {side}_pf < frame AND {side}_nf IS NOT NULL THEN [{side}_pv[k + 1] + ({side}_nv[k + 1] - {side}_pv[k + 1]) * ((frame - {side}_pf) / ({side}_nf - {side}_pf)) FOR k IN range(63)] ELSE {side} END"""
+    total = lambda side: f"list_sum([abs(h{side}[k + 1] - CASE WHEN list_max([abs(x) FOR x IN h{side}]) > 1e-6 THEN h{side}[k % 3 + 1] ELSE 0 END) FOR k IN range(63)])"
+    pose = " + ".join(_anchored_total_sql(165, 5, s, (11, 12), (7, 8)) for s in (0, 165))
+    return f"""{FRAMES},
+e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+h AS MATERIALIZED (SELECT g.user_id, frame, frame % 11 <> 5 AS pok, lv, CASE WHEN user_id % 3 = 0 THEN frame % 9 = 4 ELSE rv END AS rv, e FROM g JOIN e ON vec_id = event_id % (SELECT count(*) FROM embeddings)),
+b AS (SELECT *, lag(e) OVER {W} AS b FROM h),
+d AS (SELECT *, {_flat_step_sql('lv', 21, 3, 0)} AS ls, {_flat_step_sql('rv', 21, 3, 0)} AS rs, {_flat_step_sql('pok', 6, 5, 55)} AS ps FROM b),
+m AS (SELECT *, {', '.join(f"greatest({x}s, coalesce(lead({x}s) OVER {W}, 0)) AS {x}m" for x in 'lrp')} FROM d),
+a AS (SELECT user_id, count(*) AS t, max(greatest(lm, rm)) AS max_hand_motion, max(pm) AS max_pose_motion,
+   coalesce(min(frame) FILTER (lm > 0.008 OR rm > 0.008), min(frame) FILTER (lv OR rv), min(frame) FILTER (pm > 0.006)) AS f0,
+   coalesce(max(frame) FILTER (lm > 0.008 OR rm > 0.008), max(frame) FILTER (lv OR rv), max(frame) FILTER (pm > 0.006)) AS f1 FROM m GROUP BY user_id),
+s AS (SELECT *, greatest(0, f0 - 3) AS s0, least(t, f1 + 4) AS e0 FROM a),
+w AS (SELECT *, 12 - (e0 - s0) AS lack, NOT (e0 - s0 >= 12 OR t <= e0 - s0) AS short FROM s),
+v AS (SELECT *, CASE WHEN short THEN greatest(0, s0 - lack // 2) ELSE s0 END AS s1, CASE WHEN short THEN least(t, e0 + lack - lack // 2) ELSE e0 END AS e1 FROM w),
+z AS (SELECT user_id, t, max_hand_motion, max_pose_motion, CASE WHEN f0 IS NULL THEN 0 WHEN short AND e1 - s1 < 12 AND s1 <> 0 AND e1 = t THEN greatest(0, t - 12) ELSE s1 END AS trim_start,
+   CASE WHEN f0 IS NULL THEN t WHEN short AND e1 - s1 < 12 AND s1 = 0 THEN least(t, 12) ELSE e1 END AS trim_end FROM v),
+n AS (SELECT *, trim_end - trim_start AS len, greatest(60, trim_end - trim_start) AS want FROM z),
+i AS (SELECT *, unnest(range(want)) AS i FROM n),
+r AS (SELECT i.* EXCLUDE (i), i AS frame, trim_start + CASE WHEN want = len THEN i WHEN want = 1 OR len = 1 THEN 0 WHEN i = want - 1 THEN len - 1 ELSE CAST(round_even(i * ((len - 1) / (want - 1)), 0) AS BIGINT) END AS untrimmed_frame FROM i),
+q AS (SELECT r.*, pok, lv, rv, e, count(*) FILTER (lv) OVER u AS nl, count(*) FILTER (rv) OVER u AS nr FROM r JOIN h ON h.user_id = r.user_id AND h.frame = r.untrimmed_frame WINDOW u AS (PARTITION BY r.user_id)),
+x AS (SELECT *, least(nl, nr) > 0 AND least(nl, nr) / greatest(nl, nr) <= 0.2 AND nl >= nr AS tl, least(nl, nr) > 0 AND least(nl, nr) / greatest(nl, nr) <= 0.2 AND nl < nr AS tr FROM q),
+y AS (SELECT *, CASE WHEN tl THEN lv OR rv WHEN tr THEN false ELSE lv END AS v_left, CASE WHEN tr THEN lv OR rv WHEN tl THEN false ELSE rv END AS v_right, (tl AND rv) OR (tr AND lv) AS side_stabilised,
+   CASE WHEN (tl AND rv) OR (lv AND NOT tr) THEN e[1:63] ELSE {zeros} END AS l, CASE WHEN (tr AND lv) OR (rv AND NOT tl) THEN e[1:63] ELSE {zeros} END AS r FROM x),
+k AS (SELECT *, v_left AND list_max([abs(x) FOR x IN l]) > 1e-6 AS l_ok, v_right AND list_max([abs(x) FOR x IN r]) > 1e-6 AS r_ok FROM y),
+o AS (SELECT *, {near('l')}, {near('r')} FROM k WINDOW back AS (PARTITION BY user_id ORDER BY frame), ahead AS (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+p AS (SELECT *, {filled('l')} AS hl, {filled('r')} AS hr FROM o),
+done AS (SELECT *, 2 * ({total('l')} + {total('r')}) AS hands_total, {pose} AS pose_total, {_anchored_total_sql(36, 3, 0, (2, 3), None)} AS mouth_total FROM p)"""
+
+
+COUNTS_SQL = """t AS source_total_frames, CAST(trim_start AS BIGINT) AS trim_start, CAST(t - trim_end AS BIGINT) AS trimmed_end, CAST(len AS BIGINT) AS frames_before_resample"""
+
+
+@query("ts_preprocess_pipeline", f"""
+WITH {preprocess_sql()}
+SELECT user_id, frame, CAST(untrimmed_frame AS BIGINT) AS untrimmed_frame, v_left, v_right, side_stabilised, {COUNTS_SQL}, nl AS left_source_frames, nr AS right_source_frames,
+  {R('hands_total', 3)} AS hands_total, {R('pose_total', 3)} AS pose_total, {R('mouth_total', 3)} AS mouth_total FROM done""")
+def ts_preprocess_pipeline(t):
+    out = S.preprocess(stored_frames(t), USERS)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + F.abs(v))
+    counts = [c for c in S.SEQUENCE_COUNTS if not c.startswith("max_")]
     return rounded(
         out.select(
-            "user_id", "frame", "untrimmed_frame", "v_left", "v_right",
+            "user_id", "frame", "untrimmed_frame", "v_left", "v_right", "side_stabilised", *counts,
             total("hands").alias("hands_total"), total("pose").alias("pose_total"), total("mouth").alias("mouth_total"),
         ),
         digits=3,
     )
 
 
+@query("ts_preprocess_counts", f"""
+WITH {preprocess_sql()}
+SELECT user_id, {COUNTS_SQL}, {R('max_hand_motion')} AS max_hand_motion, {R('max_pose_motion')} AS max_pose_motion, nl AS left_source_frames, nr AS right_source_frames,
+  count(*) AS frames_after_resample, count(*) FILTER (v_left) AS left_result_frames, count(*) FILTER (v_right) AS right_result_frames, count(*) FILTER (side_stabilised) AS hand_side_stabilised_frames,
+  {R('avg(CAST(pok AS INT))')} AS valid_pose_ratio, {R('avg(CAST(v_left AS INT))')} AS valid_left_hand_ratio, {R('avg(CAST(v_right AS INT))')} AS valid_right_hand_ratio, CAST(1 AS DOUBLE) AS valid_face_ratio
+FROM done GROUP BY user_id, t, trim_start, trim_end, len, max_hand_motion, max_pose_motion, nl, nr""")
+def ts_preprocess_counts(t):
+    return rounded(S.preprocess_counts(S.preprocess(stored_frames(t), USERS), USERS))
+
+
 def parts_sql() -> str:
     """Raw centers of four parts from one event, each with its own gaps."""
     return f"""{FRAMES}, raw AS (SELECT user_id, frame, lv, rv, frame % 11 <> 5 AS pok, frame % 13 <> 6 AS fok, x AS lx, y AS ly, y AS rx, x AS ry, (x + y) / 4 AS bx, (x + y) / 8 AS byy, y / 3 AS fx, x / 3 AS fy,

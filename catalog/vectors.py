@@ -293,14 +293,3 @@ SELECT dataset, analysis, count(v) AS num_labels, {R('avg(v)', 5)} AS mean, {R('
 def var_difficulty_summary(t):
     price = t("part").groupBy(F.col("p_brand").alias("dataset"), F.col("p_name").alias("gloss")).agg(r6(F.avg("p_retailprice")).alias("price"))
     return rounded(VA.difficulty_summary({"sequence_length": (lengths(t), "sequence_length_variance"), "complexity": (price, "price")}), digits=5)
-
-
-@query("rpt_dtw_quantiles", f"""
-WITH {PAIRS}, {COMPACT[COMPACT.index('d AS (SELECT dataset, gloss'):]}
-SELECT dataset, 'intra' AS kind, count(*) AS n, {R('avg(compactness)')} AS mean, {R('max(compactness)')} AS max, {R('median(compactness)')} AS median, {R('quantile_cont(compactness, 0.75)')} AS p75, {R('quantile_cont(compactness, 0.9)')} AS p90,
-  CAST(NULL AS DOUBLE) AS min, CAST(NULL AS BIGINT) AS zero_pairs, CAST(NULL AS DOUBLE) AS p10 FROM k GROUP BY dataset
-UNION ALL SELECT dataset, 'inter', count(*), NULL, NULL, {R('median(e)')}, NULL, NULL, {R('min(e)')}, count(*) FILTER (e <= 1e-9), {R('quantile_cont(e, 0.1)')} FROM cp GROUP BY dataset""")
-def rpt_dtw_quantiles(t):
-    intra = P.intra_quantiles(SE.compactness(distances(t)), "compactness").withColumn("kind", F.lit("intra"))
-    inter = P.inter_quantiles(center_pairs(t), "euclidean_distance").withColumn("kind", F.lit("inter"))
-    return rounded(intra.unionByName(inter, allowMissingColumns=True))

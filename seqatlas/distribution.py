@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqatlas.guards import must_hold
+from seqatlas.session import cut_lineage
 
 # --- joins ----------------------------------------------------------------------
 
@@ -113,6 +114,27 @@ def number_rows(
     )
 
 
+def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, into: str = "rank") -> DataFrame:
+    """Dense 0-based rank of each row inside its key, for any sortable columns.
+
+    Rows are dealt to ranges of (key, order) whose boundaries Spark samples, so neither a hot key nor a
+    common prefix fills one task. The sorted ranges are written once; a row's rank is its
+    place in its range less the first place of its key there, plus the rows of earlier ranges.
+    """
+    keys, columns = list(keys), df.columns
+    ranged = df.repartitionByRange(*[F.col(c).asc() for c in [*keys, *order]]).sortWithinPartitions(*keys, *order)
+    placed = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)))
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each key and range.
+    starts = counts.select(*keys, "_range", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = F.lit(True)
+    for c in [*keys, "_range"]:
+        same = same & F.col(f"_s.{c}").eqNullSafe(F.col(f"_p.{c}"))
+    joined = placed.alias("_p").join(starts.alias("_s"), same)
+    return joined.select(*[F.col(f"_p.{c}").alias(c) for c in columns], (F.col("_p._at") + F.col("_s._shift")).alias(into))
+
+
 def with_chunks(df: DataFrame, seq: Sequences) -> DataFrame:
     return df.withColumn("_chunk", seq.chunk)
 

@@ -35,6 +35,15 @@ def reshape(flat: Column, landmarks: int, stride: int = 3, offset: int = 0, coor
     )
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` over named values that are evaluated once per row.
+
+    A value used inside a lambda is otherwise computed anew for every element the lambda sees.
+    """
+    once = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.element_at(F.transform(once, body), 1)
+
+
 def point(landmarks: Column, index: int) -> Column:
     return F.element_at(landmarks, index + 1)
 
@@ -156,9 +165,12 @@ def _middle(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + y) * 0.5)
 
 
-def _anchored(landmarks: Column, anchor: Column, scale: Column, eps: float) -> Column:
-    moved = F.transform(landmarks, lambda p: F.zip_with(p, anchor, lambda v, a: (v - a) / scale))
-    return F.when(_has_content(landmarks, eps) & (scale > eps), moved).otherwise(landmarks)
+def _anchored(landmarks: Column, anchor: Callable[[Column], Column], scale: Callable[[Column], Column], eps: float) -> Column:
+    def moved(r: Column) -> Column:
+        shifted = F.transform(r["points"], lambda p: F.zip_with(p, r["anchor"], lambda v, a: (v - a) / r["scale"]))
+        return F.when(_has_content(r["points"], eps) & (r["scale"] > eps), shifted).otherwise(r["points"])
+
+    return let(lambda outer: let(moved, points=outer["points"], anchor=anchor(outer["points"]), scale=scale(outer["points"])), points=landmarks)
 
 
 def anchor_pose(
@@ -168,22 +180,92 @@ def anchor_pose(
     eps: float = ANGLE_EPS,
 ) -> Column:
     """Origin at the neck, neck-to-head distance as unit; unchanged when undefined."""
-    neck = _middle(point(landmarks, shoulders[0]), point(landmarks, shoulders[1]))
-    head = _middle(point(landmarks, ears[0]), point(landmarks, ears[1]))
-    return _anchored(landmarks, neck, l2(head, neck), eps)
+    neck = lambda p: _middle(point(p, shoulders[0]), point(p, shoulders[1]))
+    head = lambda p: _middle(point(p, ears[0]), point(p, ears[1]))
+    return _anchored(landmarks, neck, lambda p: l2(head(p), neck(p)), eps)
 
 
 def anchor_hand(hand: Column, eps: float = ANGLE_EPS) -> Column:
     """Origin at the wrist."""
-    wrist = point(hand, WRIST)
-    moved = F.transform(hand, lambda p: subtract(p, wrist))
-    return F.when(_has_content(hand, eps), moved).otherwise(hand)
+    def moved(r: Column) -> Column:
+        shifted = F.transform(r["hand"], lambda p: subtract(p, point(r["hand"], WRIST)))
+        return F.when(_has_content(r["hand"], eps), shifted).otherwise(r["hand"])
+
+    return let(moved, hand=hand)
 
 
 def anchor_mouth(mouth: Column, left: int, right: int, eps: float = ANGLE_EPS) -> Column:
     """Origin between the lip corners, corner distance as unit."""
-    a, b = point(mouth, left), point(mouth, right)
-    return _anchored(mouth, _middle(a, b), l2(b, a), eps)
+    return _anchored(
+        mouth, lambda p: _middle(point(p, left), point(p, right)), lambda p: l2(point(p, right), point(p, left)), eps
+    )
+
+
+# --- the same on flat rows, as they are stored ---------------------------------------
+
+
+def flat_step(a: Column, b: Column, points: int, stride: int = 3) -> Column:
+    """Mean distance of corresponding points of two flat rows (plain columns, not expressions)."""
+    d = lambda k, i: F.get(a, k * stride + i) - F.get(b, k * stride + i)
+    apart = lambda k: F.sqrt(d(k, 0) * d(k, 0) + d(k, 1) * d(k, 1) + d(k, 2) * d(k, 2))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(points - 1)), F.lit(0.0), lambda s, k: s + apart(k)) / points
+
+
+def anchor_flat_hand(hand: Column, eps: float = ANGLE_EPS) -> Column:
+    """``anchor_hand`` of a flat row."""
+
+    def moved(r: Column) -> Column:
+        h = r["hand"]
+        shifted = F.transform(h, lambda v, i: v - F.get(h, i % 3))
+        return F.when(F.exists(h, lambda v: F.abs(v) > eps), shifted).otherwise(h)
+
+    return let(moved, hand=hand)
+
+
+def _flat_anchor(row: Column, start: int, width: int, stride: int, origin: tuple[int, int], reach: tuple[int, int] | None, eps: float) -> Column:
+    """(shift, unit) of one block: an array of ``stride`` shifts and one of ``stride`` divisors.
+
+    The origin lies between two points; the unit is the distance from there to the middle of ``reach``,
+    or between the two points themselves. Blocks without content or unit are not moved.
+    """
+    at = lambda k, i: F.get(row, F.lit(start + k * stride + i))
+    middle = lambda pair, i: (at(pair[0], i) + at(pair[1], i)) * 0.5
+    gap = (lambda i: at(origin[1], i) - at(origin[0], i)) if reach is None else (lambda i: middle(reach, i) - middle(origin, i))
+    rest = stride - 3
+
+    def placed(r: Column) -> Column:
+        ok = (r["unit"] > eps) & r["content"]
+        shift = [F.when(ok, middle(origin, i)).otherwise(F.lit(0.0)) for i in range(3)] + [F.lit(0.0)] * rest
+        unit = [F.when(ok, r["unit"]).otherwise(F.lit(1.0))] * 3 + [F.lit(1.0)] * rest
+        return F.struct(F.array(*shift).alias("shift"), F.array(*unit).alias("unit"))
+
+    content = F.size(F.filter(F.slice(row, start + 1, width), lambda v, i: (i % stride < 3) & (F.abs(v) > eps))) > 0
+    return let(placed, unit=F.sqrt(gap(0) * gap(0) + gap(1) * gap(1) + gap(2) * gap(2)), content=content)
+
+
+def _moved_blocks(row: Column, width: int, stride: int, starts: tuple[int, ...], anchors: Callable[[Column, int], Column]) -> Column:
+    """Shift and scale every value of consecutive blocks in one pass."""
+
+    def moved(r: Column) -> Column:
+        place = lambda i: F.floor(i / width).cast("int") * stride + i % stride
+        return F.transform(r["row"], lambda v, i: (v - F.get(r["shift"], place(i))) / F.get(r["unit"], place(i)))
+
+    def bound(r: Column) -> Column:
+        joined = lambda name: F.concat(*[r[f"a{s}"][name] for s in starts])
+        return let(moved, row=r["row"], shift=joined("shift"), unit=joined("unit"))
+
+    first = lambda r: let(bound, row=r["row"], **{f"a{s}": anchors(r["row"], s) for s in starts})
+    return let(first, row=row)
+
+
+def anchor_flat_pose(row: Column, starts: tuple[int, ...], width: int, stride: int = 5, eps: float = ANGLE_EPS) -> Column:
+    """``anchor_pose`` of consecutive blocks in a flat row; the scores behind each point stay."""
+    return _moved_blocks(row, width, stride, starts, lambda r, s: _flat_anchor(r, s, width, stride, SHOULDERS, EARS, eps))
+
+
+def anchor_flat_mouth(row: Column, width: int, left: int, right: int, eps: float = ANGLE_EPS) -> Column:
+    """``anchor_mouth`` of a flat row."""
+    return _moved_blocks(row, width, 3, (0,), lambda r, s: _flat_anchor(r, s, width, 3, (left, right), None, eps))
 
 
 def wrist_as_hand(pose: Column, wrist: int, copies: int = 21) -> Column:

@@ -8,13 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqatlas.distribution import exact_quantiles, tiled
-from seqatlas.operators.ranking import sample_per_group
+from seqatlas.distribution import exact_quantiles, salted_join, tiled
+from seqatlas.operators.ranking import draw_pairs, pair_count, sample_per_group
 from seqatlas.operators.scaling import centroids, pack
 from seqatlas.operators.separability import nearest_candidates
 
 WINDOW = 8
 CANDIDATES = 20
+EXHAUSTIVE_LABELS = 600  # fixed value: above it, label pairs are searched, not enumerated
+MOST_PAIRS = 20_000  # pairs of one label whose distances are all taken; of more, so many are drawn
 
 
 def warp(a: np.ndarray, b: np.ndarray, window: int | None = WINDOW) -> np.ndarray:
@@ -64,12 +66,14 @@ def warp_pairs(left: Column, right: Column, channels: int, window: int | None =
 
 
 def warp_within(
-    df: DataFrame, ident: str, trajectory: str, channels: int, groups: Sequence[str], *, window: int | None = WINDOW, block_rows: int = 256
+    df: DataFrame, ident: str, trajectory: str, channels: int, groups: Sequence[str], *, window: int | None = WINDOW, block_rows: int = 256,
+    finite_only: bool = True,
 ) -> DataFrame:
     """Distances of all unordered pairs inside each group.
 
     A tile carries two blocks of trajectories once and returns only ids and distances; a
-    large group is many tiles.
+    large group is many tiles. Pairs without a distance (an empty trajectory, values that are not
+    finite) are left out or, without ``finite_only``, returned with NULL.
     """
     groups = list(groups)
     columns = [*groups, f"{ident}_a", f"{ident}_b", "dtw_distance"]
@@ -96,7 +100,11 @@ def warp_within(
         out = pd.DataFrame({f"{ident}_a": ids[left], f"{ident}_b": ids[right], "dtw_distance": np.concatenate(parts)})
         for g, v in zip(groups, key):
             out[g] = v
-        return out[np.isfinite(out["dtw_distance"])][columns]
+        good = np.isfinite(out["dtw_distance"].to_numpy(dtype=float))
+        if finite_only:
+            return out[good][columns]
+        out["dtw_distance"] = [float(d) if ok else None for d, ok in zip(out["dtw_distance"], good)]
+        return out[columns]
 
     types = dict(df.dtypes)
     schema = ", ".join(
@@ -106,17 +114,49 @@ def warp_within(
     return cut.groupBy(*groups, "_ti", "_tj").applyInPandas(per_tile, schema)
 
 
-def intra_class(pairs: DataFrame, keys: Sequence[str] = ("dataset", "label")) -> DataFrame:
-    """Number of pairs, mean, population deviation, extremes and median per label."""
-    d = "dtw_distance"
+def pairs_of_labels(
+    df: DataFrame, ident: str, trajectory: str, channels: int, groups: Sequence[str], *, most: int = MOST_PAIRS, seed: int = 42, window: int | None = WINDOW
+) -> DataFrame:
+    """Distances of pairs inside each label: all of them where there are at most ``most``, else so many
+    drawn by ``draw_pairs``. Work and output grow with the labels, not with the squares of their sizes.
+
+    Pairs without a finite distance have NULL.
+    """
+    groups = list(groups)
+    sizes = df.groupBy(*groups).agg(pair_count(F.count(F.lit(1))).alias("_pairs"))
+    sized = salted_join(df.select(*groups, ident, trajectory), sizes, groups, salt_on=[ident])
+    whole = sized.filter(F.col("_pairs") <= most).drop("_pairs")
+    every = warp_within(whole, ident, trajectory, channels, groups, window=window, finite_only=False)
+    large = sized.filter(F.col("_pairs") > most).drop("_pairs")
+    drawn = draw_pairs(large, ident, groups, most, seed)
+    side = lambda s: large.select(*groups, F.col(ident).alias(f"{ident}_{s}"), F.col(trajectory).alias(f"_t{s}"))
+    both = drawn.join(side("a"), [*groups, f"{ident}_a"]).join(side("b"), [*groups, f"{ident}_b"])
+    distance = warp_pairs(F.col("_ta"), F.col("_tb"), channels, window)
+    found = both.select(*groups, f"{ident}_a", f"{ident}_b", distance.alias("_d"))
+    finite = F.when(F.col("_d").isNotNull() & ~F.isnan("_d") & (F.abs("_d") < float("inf")), F.col("_d"))
+    return every.unionByName(found.select(*groups, f"{ident}_a", f"{ident}_b", finite.alias("dtw_distance")))
+
+
+def intra_class(pairs: DataFrame, keys: Sequence[str] = ("dataset", "label"), samples: DataFrame | None = None) -> DataFrame:
+    """Number of pairs with a distance, mean, population deviation, extremes and median per label.
+
+    With ``samples`` also ``num_samples``, ``num_pairs_all`` (pairs the label has) and
+    ``num_pairs_failed`` (taken pairs without a finite distance).
+    """
+    d, keys = "dtw_distance", list(keys)
     base = pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("num_pairs"),
+        F.count(d).alias("num_pairs"),
+        F.count(F.when(F.col(d).isNull(), 1)).alias("num_pairs_failed"),
         F.avg(d).alias("intra_class_dtw_mean"),
         F.stddev_pop(d).alias("intra_class_dtw_std"),
         F.min(d).alias("intra_class_dtw_min"),
         F.max(d).alias("intra_class_dtw_max"),
-    )
-    return base.join(exact_quantiles(pairs, keys, d, {"intra_class_dtw_median": 0.5}), list(keys))
+    ).filter("num_pairs > 0")
+    out = base.join(exact_quantiles(pairs, keys, d, {"intra_class_dtw_median": 0.5}), keys)
+    if samples is None:
+        return out.drop("num_pairs_failed")
+    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_samples"), pair_count(F.count(F.lit(1))).alias("num_pairs_all"))
+    return out.join(sizes, keys)
 
 
 def sampled_pairs(pairs: DataFrame, keys: Sequence[str], ident: str, count: int, seed: int = 42) -> DataFrame:
@@ -146,15 +186,23 @@ def inter_class(
     groups: Sequence[str] = ("dataset",),
     *,
     exhaustive: bool = False,
+    most_labels: int = EXHAUSTIVE_LABELS,
     candidates: int = CANDIDATES,
     window: int | None = WINDOW,
 ) -> DataFrame:
-    """Warping distance of label prototypes: all pairs when asked for, else the pairs
-    that a z-scored Euclidean search finds among the nearest of either label."""
+    """Warping distance of label prototypes, with the mode that found the pair.
+
+    ``exhaustive`` takes all pairs of corpora with at most ``most_labels`` labels. Of larger ones, and without
+    it of all, those pairs that a z-scored Euclidean search finds among the nearest of either label.
+    """
     groups = list(groups)
     if exhaustive:
-        pairs = warp_within(protos, label, "prototype", channels, groups, window=window)
-        return pairs.withColumn("mode", F.lit("exhaustive"))
+        counts = protos.groupBy(*groups).agg(F.count(F.lit(1)).alias("_labels"))
+        sized = salted_join(protos, counts, groups, salt_on=[label])
+        small = sized.filter(F.col("_labels") <= most_labels).drop("_labels")
+        every = warp_within(small, label, "prototype", channels, groups, window=window).withColumn("mode", F.lit("exhaustive"))
+        large = sized.filter(F.col("_labels") > most_labels).drop("_labels")
+        return every.unionByName(inter_class(large, label, channels, groups, candidates=candidates, window=window))
     found = nearest_candidates(_z_scored(protos, groups), label, "_z", candidates, groups)
     side = lambda s: protos.select(*groups, F.col(label).alias(f"{label}_{s}"), F.col("prototype").alias(f"_p{s}"))
     both = found.join(side("a"), [*groups, f"{label}_a"]).join(side("b"), [*groups, f"{label}_b"])

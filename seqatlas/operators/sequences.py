@@ -23,7 +23,7 @@ from seqatlas.distribution import (
 )
 from seqatlas.functions import arrays as A
 from seqatlas.session import cut_lineage
-from seqatlas.sources.layout import HANDS, POSE_BLOCKS, MOUTH_CORNERS, flat_hand
+from seqatlas.sources.layout import HAND_LANDMARKS, HANDS, MOUTH_CORNERS, MOUTH_LANDMARKS, POSE_BLOCKS, POSE_STRIDE, flat_hand
 
 # Fixed values of the preprocessing rules.
 MAX_GAP = 8
@@ -37,6 +37,7 @@ MINORITY_SHARE = 0.20
 SAMPLED_FRAMES = 24
 MIN_OUTPUT_FRAMES = 60
 MIN_VALID_HAND_FRAMES = 3
+UPPER_BODY = 6  # landmarks from the first shoulder on whose motion is scored
 
 
 # --- steps ----------------------------------------------------------------------
@@ -388,18 +389,6 @@ def sample_frames(df: DataFrame, seq: Sequences, count: int = SAMPLED_FRAMES) ->
 # --- activity -------------------------------------------------------------------
 
 
-def mean_landmark_step(a: Column, b: Column) -> Column:
-    """Mean distance of corresponding landmarks of two frames."""
-    return F.aggregate(F.zip_with(a, b, A.l2), F.lit(0.0), lambda s, d: s + d) / F.size(a)
-
-
-def _border_motion(seq: Sequences, value: str, valid: str, step: Callable[[Column, Column], Column]) -> Column:
-    w = seq.window()
-    back = F.when(F.col(valid) & F.lag(valid).over(w), step(F.col(value), F.lag(value).over(w)))
-    ahead = F.when(F.col(valid) & F.lead(valid).over(w), step(F.lead(value).over(w), F.col(value)))
-    return F.greatest(F.coalesce(back, F.lit(0.0)), F.coalesce(ahead, F.lit(0.0)))
-
-
 def motion_score(
     df: DataFrame,
     seq: Sequences,
@@ -410,8 +399,12 @@ def motion_score(
 
     ``scores`` maps an output column to its (value, validity flag) columns.
     """
+    w = seq.window()
     h = with_halo(df, seq, before=1, after=1)
-    return core_only(h.withColumns({name: _border_motion(seq, v, ok, step) for name, (v, ok) in scores.items()}))
+    # The step ahead of a frame is the step back of the next one.
+    back = {name: F.when(F.col(ok) & F.lag(ok).over(w), step(F.col(v), F.lag(v).over(w))) for name, (v, ok) in scores.items()}
+    h = h.withColumns({name: F.coalesce(d, F.lit(0.0)) for name, d in back.items()})
+    return core_only(h.withColumns({name: F.greatest(F.col(name), F.coalesce(F.lead(name).over(w), F.lit(0.0))) for name in scores}))
 
 
 def _trim_bounds(
@@ -514,13 +507,50 @@ def interpolate_blocks(df: DataFrame, seq: Sequences, blocks: Mapping[str, str])
     fills = {}
     for c in blocks:
         prev, after = F.col(f"{c}_prev"), F.col(f"{c}_after")
-        share = (at - prev["at"]) / (after["at"] - prev["at"])
-        mixed = F.zip_with(prev["value"], after["value"], lambda a, b: a + (b - a) * share)
+        mixed = A.let(
+            lambda r: F.zip_with(r["a"], r["b"], lambda a, b: a + (b - a) * r["share"]),
+            a=prev["value"], b=after["value"], share=(at - prev["at"]) / (after["at"] - prev["at"]),
+        )
         inside = prev.isNotNull() & after.isNotNull() & (prev["at"] < at)
         fills[c] = F.when(inside, mixed).otherwise(F.col(c))
     return near.withColumns(fills).select(*df.columns)
 
 
+# What ``preprocess`` adds to each frame about its whole sequence.
+SEQUENCE_COUNTS = (
+    "source_total_frames", "trim_start", "trimmed_end", "frames_before_resample", "max_hand_motion", "max_pose_motion",
+    "left_source_frames", "right_source_frames",
+)
+
+
+def _frame_plan(f: DataFrame, seq: Sequences, target: int | None) -> DataFrame:
+    """Which stored frame each output frame shows: a table without landmark arrays.
+
+    Only the arrays of the hands and the upper body are read, and only to score motion.
+    """
+    upper = POSE_STRIDE * A.SHOULDERS[0]
+    narrow = f.select(
+        *seq.keys, seq.frame, "v_pose", "v_left", "v_right", "left_norm", "right_norm",
+        F.slice("pose", upper + 1, UPPER_BODY * POSE_STRIDE).alias("_upper"),
+    )
+    hands = motion_score(
+        narrow, seq, {"left_motion": ("left_norm", "v_left"), "right_motion": ("right_norm", "v_right")},
+        lambda a, b: A.flat_step(a, b, HAND_LANDMARKS),
+    ).drop("left_norm", "right_norm")
+    scored = motion_score(hands, seq, {"pose_motion": ("_upper", "v_pose")}, lambda a, b: A.flat_step(a, b, UPPER_BODY, POSE_STRIDE)).drop("_upper")
+    scored = scored.withColumn("hand_present", F.col("v_left") | F.col("v_right"))
+    moving = {
+        "max_hand_motion": (F.max(F.greatest("left_motion", "right_motion")), F.max),
+        "max_pose_motion": (F.max("pose_motion"), F.max),
+        "source_total_frames": (F.count(F.lit(1)), F.sum),
+    }
+    scored = attach_totals(with_chunks(scored, seq), seq, moving).drop("_chunk")
+    trimmed = action_trim(scored, seq).drop("left_motion", "right_motion", "pose_motion", "hand_present")
+    length = F.col("source_total_frames") - F.col("trimmed_end") - F.col("trim_start")
+    trimmed = trimmed.withColumn("frames_before_resample", length)
+    return resample_nearest(trimmed, seq, lambda n: output_frames(n, target)).drop("source_frame")
+
+
 def preprocess(
     frames: DataFrame,
     seq: Sequences,
@@ -531,55 +561,54 @@ def preprocess(
     """Trim, resample, stabilise sides, interpolate and anchor a stored frame table.
 
     ``frames`` has the declared row layout: arrays pose, hands, face, mouth and flags v_pose,
-    v_left, v_right, v_face. ``stage`` materialises the result between steps.
+    v_left, v_right, v_face. The plan of output frames and sides is made without the arrays; they
+    meet it in one join on the frame, and only the hands pass the windows that fill gaps.
+    ``stage`` materialises what is read twice. Every frame also carries ``untrimmed_frame``,
+    ``side_stabilised`` and the counts of its sequence (``SEQUENCE_COUNTS``).
     """
-    f = frames.withColumns({name: flat_hand(F.col("hands"), name) for name in HANDS})
-    f = f.withColumns(
-        {
-            "_left_points": A.reshape(F.col("left_norm"), 21),
-            "_right_points": A.reshape(F.col("right_norm"), 21),
-            "_upper_body": F.slice(A.reshape(F.col("pose"), 33, stride=5), 12, 6),
-        }
-    )
-    scored = motion_score(
-        f,
-        seq,
-        {
-            "left_motion": ("_left_points", "v_left"),
-            "right_motion": ("_right_points", "v_right"),
-            "pose_motion": ("_upper_body", "v_pose"),
-        },
-        mean_landmark_step,
-    ).drop("_left_points", "_right_points", "_upper_body")
-    scored = scored.withColumn("hand_present", F.col("v_left") | F.col("v_right"))
-    trimmed = stage(action_trim(scored, seq).drop("left_motion", "right_motion", "pose_motion", "hand_present"))
-    even = resample_nearest(trimmed, seq, lambda length: output_frames(length, target))
-    zeros = F.array_repeat(F.lit(0.0), 63)
-    sided = stabilise_sides(
-        even,
-        seq,
-        left_valid="v_left",
-        right_valid="v_right",
-        moves=[("left_norm", "right_norm"), ("left_world", "right_world")],
-        cleared=zeros,
-    )
+    numbers = {c: F.col(c).cast("array<double>") for c in ("pose", "hands", "face", "mouth")}
+    f = frames.withColumns(numbers)
+    f = f.withColumns({name: flat_hand(F.col("hands"), name) for name in HANDS}).drop("hands")
+    plan = with_chunks(_frame_plan(f, seq, target), seq)
+    sides = {
+        "left_source_frames": (F.sum(F.col("v_left").cast("long")), F.sum),
+        "right_source_frames": (F.sum(F.col("v_right").cast("long")), F.sum),
+    }
+    plan = attach_totals(plan, seq, sides).drop("_chunk").withColumns({"_from_left": F.lit("left"), "_from_right": F.lit("right")})
+    sided = stage(stabilise_sides(plan, seq, left_valid="v_left", right_valid="v_right", moves=[("_from_left", "_from_right")]))
+    carried = [c for c in frames.columns if c not in (*seq.keys, seq.frame, "hands", "v_pose", "v_left", "v_right")]
+    stored = f.select(*seq.keys, F.col(seq.frame).alias("untrimmed_frame"), *carried, *HANDS)
+    wide = sided.join(stored, [*seq.keys, "untrimmed_frame"])
+    none = F.array_repeat(F.lit(0.0), HAND_LANDMARKS * 3)
+    shown = lambda side, kind: F.when(F.col(f"_from_{side}") == "left", F.col(f"left_{kind}")).when(
+        F.col(f"_from_{side}") == "right", F.col(f"right_{kind}")
+    ).otherwise(none)
+    wide = wide.withColumns({f"{side}_{kind}": shown(side, kind) for side in ("left", "right") for kind in ("norm", "world")})
+    pose = A.anchor_flat_pose(F.col("pose"), POSE_BLOCKS, POSE_BLOCKS[1] - POSE_BLOCKS[0], POSE_STRIDE)
+    mouth = A.anchor_flat_mouth(F.col("mouth"), MOUTH_LANDMARKS * 3, *MOUTH_CORNERS)
+    wide = stage(wide.withColumns({"pose": pose, "mouth": mouth}).drop("_from_left", "_from_right"))
     filled = interpolate_blocks(
-        stage(sided),
-        seq,
-        {"left_norm": "v_left", "right_norm": "v_right", "left_world": "v_left", "right_world": "v_right"},
+        wide, seq, {"left_norm": "v_left", "right_norm": "v_right", "left_world": "v_left", "right_world": "v_right"}
+    )
+    anchored = [A.anchor_flat_hand(F.col(h)) for h in HANDS]
+    return filled.withColumn("hands", F.concat(*anchored)).drop(*HANDS)
+
+
+def preprocess_counts(processed: DataFrame, seq: Sequences) -> DataFrame:
+    """Counts before and after, one row per sequence of ``preprocess``: frames, trimmed ends, frames with
+    each hand before and after sides were stabilised, stabilised frames, valid shares."""
+    share = lambda flag: F.avg(F.col(flag).cast("double"))
+    return processed.groupBy(*seq.keys).agg(
+        *[F.max(c).alias(c) for c in SEQUENCE_COUNTS],
+        F.count(F.lit(1)).alias("frames_after_resample"),
+        F.sum(F.col("v_left").cast("long")).alias("left_result_frames"),
+        F.sum(F.col("v_right").cast("long")).alias("right_result_frames"),
+        F.sum(F.col("side_stabilised").cast("long")).alias("hand_side_stabilised_frames"),
+        share("v_pose").alias("valid_pose_ratio"),
+        share("v_left").alias("valid_left_hand_ratio"),
+        share("v_right").alias("valid_right_hand_ratio"),
+        share("v_face").alias("valid_face_ratio"),
     )
-    anchored = {h: F.flatten(A.anchor_hand(A.reshape(F.col(h), 21))) for h in HANDS}
-    pose = F.concat(*[_anchored_pose_block(F.col("pose"), start) for start in POSE_BLOCKS])
-    mouth = F.flatten(A.anchor_mouth(A.reshape(F.col("mouth"), 12), *MOUTH_CORNERS))
-    out = filled.withColumns({**anchored, "pose": pose, "mouth": mouth})
-    return out.withColumn("hands", F.concat(*[F.col(h) for h in HANDS])).drop(*HANDS)
-
-
-def _anchored_pose_block(pose: Column, start: int) -> Column:
-    """One 33x5 pose block with xyz anchored and the two scores kept."""
-    moved = A.anchor_pose(A.reshape(pose, 33, stride=5, offset=start))
-    scores = A.reshape(pose, 33, stride=5, offset=start + 3, coords=2)
-    return F.flatten(F.zip_with(moved, scores, lambda p, s: F.concat(p, s)))
 
 
 # --- body anchor and the full feature row ----------------------------------------
