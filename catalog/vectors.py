@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from catalog import R, query, r6, rounded
 from catalog.joins import mapping, MAPPING, sides
 from seqatlas.functions import text as X
+from seqatlas.distribution import attach_row
 from seqatlas.session import cut_lineage
 from seqatlas.operators import (
     clusters as CL, features as FE, joins as J, ranking as RK, report as P, scaling as SC, separability as SE, similarity as SI, variation as VA,
@@ -147,15 +148,38 @@ def sep_calinski_harabasz(t):
 SIL = silhouette_sql()
 SIL = SIL[SIL.index("a AS (SELECT dataset"):].replace("n AS (SELECT dataset, gloss, count(*) AS n FROM a GROUP BY ALL)", "n AS (SELECT dataset, gloss, count(*) AS n FROM a GROUP BY ALL)")
 _five = lambda c, p: ", ".join(f"{f}({c}) AS {p}_{n}" for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("median", "median"), ("min", "min"), ("max", "max")))
-METRIC_COLS = ["silhouette_score", "davies_bouldin_index", "calinski_harabasz_index", *[f"compactness_{s}" for s in ("mean", "std", "median")], *[f"{p}_{s}" for p in ("euclidean", "cosine") for s in ("mean", "std", "median", "min", "max")]]
+METRIC_COLS = ["pca_explained_variance_pc1", "pca_explained_variance_cumulative", "silhouette_score", "davies_bouldin_index", "calinski_harabasz_index", *[f"compactness_{s}" for s in ("mean", "std", "median")], *[f"{p}_{s}" for p in ("euclidean", "cosine") for s in ("mean", "std", "median", "min", "max")]]
+
+
+SCALED = f"""sv AS MATERIALIZED (SELECT vec_id, any_value(dataset) AS dataset, any_value(gloss) AS gloss, list(z ORDER BY dim) AS v FROM z GROUP BY vec_id)"""
+
+
+def components_sql(by: str = "") -> str:
+    """CTEs ``p1`` and ``p2`` (by, a: loadings, o: center, share) from ``sv``: a covariance matrix squared
+    again and again keeps only its first direction; the second comes from what is left."""
+    on, comma, tail = (f"USING ({by})", f"{by}, ", f"GROUP BY {by}") if by else ("ON true", "", "")
+    out = [f"""pv AS MATERIALIZED (SELECT {comma}o, [[avg_.s[(i - 1) * len(o) + j] - o[i] * o[j] FOR j IN range(1, len(o) + 1)] FOR i IN range(1, len(o) + 1)] AS c FROM
+   (SELECT {comma}list(a ORDER BY i) AS o FROM (SELECT {comma}i, avg(v[i]) AS a FROM sv, range(1, 65) t(i) GROUP BY ALL) {tail}) JOIN
+   (SELECT {comma}list(a ORDER BY i, j) AS s FROM (SELECT {comma}i, j, avg(v[i] * v[j]) AS a FROM sv, range(1, 65) t(i), range(1, 65) u(j) GROUP BY ALL) {tail}) avg_ {on}),
+q1 AS (SELECT {comma}o, c, c AS whole FROM pv)"""]
+    for n in (1, 2):
+        trace = "list_sum([list_dot_product(a, a) FOR a IN m])"
+        out.append(f"""w{n} AS (SELECT {comma}o, c, whole, c AS m, 0 AS k FROM q{n} UNION ALL SELECT {comma}o, c, whole, [[list_dot_product(a, b) / {trace} FOR b IN m] FOR a IN m], k + 1 FROM w{n} WHERE k < 24),
+b{n} AS (SELECT {comma}o, c, whole, m[list_position([m[i][i] FOR i IN range(1, len(m) + 1)], list_max([m[i][i] FOR i IN range(1, len(m) + 1)]))] AS r FROM w{n} WHERE k = 24),
+d{n} AS (SELECT {comma}o, c, whole, [x / sqrt(list_dot_product(r, r)) * sign(r[list_position([abs(y) FOR y IN r], list_max([abs(y) FOR y IN r]))]) FOR x IN r] AS a FROM b{n}),
+e{n} AS (SELECT {comma}o, c, whole, a, list_dot_product(a, [list_dot_product(a, x) FOR x IN c]) AS value FROM d{n}),
+p{n} AS (SELECT {comma}o, a, value / list_sum([whole[i][i] FOR i IN range(1, len(whole) + 1)]) AS share FROM e{n})""")
+        if n == 1:
+            out.append(f"q2 AS (SELECT {comma}o, [[c[i][j] - value * a[i] * a[j] FOR j IN range(1, len(a) + 1)] FOR i IN range(1, len(a) + 1)] AS c, whole FROM e1)")
+    return ",\n".join(out)
 
 
 @query("sep_metrics_row", f"""
-WITH {COMPACT}, {CP}, {DB}, {CH}, {SIL}, ss AS (SELECT dataset, avg(s) AS silhouette_score FROM si GROUP BY ALL),
+WITH RECURSIVE {COMPACT}, {SCALED}, {components_sql('dataset')}, px AS (SELECT dataset, p1.share AS pca_explained_variance_pc1, p1.share + p2.share AS pca_explained_variance_cumulative FROM p1 JOIN p2 USING (dataset)), {CP}, {DB}, {CH}, {SIL}, ss AS (SELECT dataset, avg(s) AS silhouette_score FROM si GROUP BY ALL),
 kk AS (SELECT dataset, avg(compactness) AS compactness_mean, stddev_pop(compactness) AS compactness_std, median(compactness) AS compactness_median FROM k GROUP BY ALL),
 pp AS (SELECT dataset, {_five('e', 'euclidean')}, {_five('o', 'cosine')} FROM cp GROUP BY ALL), nz AS (SELECT {DS} AS dataset, count(*) AS num_samples, count(DISTINCT label) AS num_glosses FROM embeddings GROUP BY ALL)
 SELECT dataset, num_samples, num_glosses, CAST(64 AS BIGINT) AS feature_dimension, {', '.join(f'{R(c, 5)} AS {c}' for c in METRIC_COLS)}
-FROM nz JOIN ss USING (dataset) JOIN db USING (dataset) JOIN ch USING (dataset) JOIN kk USING (dataset) JOIN pp USING (dataset)""")
+FROM nz JOIN px USING (dataset) JOIN ss USING (dataset) JOIN db USING (dataset) JOIN ch USING (dataset) JOIN kk USING (dataset) JOIN pp USING (dataset)""")
 def sep_metrics_row(t):
     return rounded(SE.metrics_row(rows(t), "features", "vec_id"), *METRIC_COLS, digits=5)
 
@@ -169,7 +193,17 @@ def join_knn_candidates(t):
     return SE.nearest_candidates(e, "vec_id", "features", 20)
 
 
-@query("ml_kmeans")
+def kmeans_sql(k: int = 8, rounds: int = 60, seed: int = 42) -> str:
+    """CTE ``labelled`` (vec_id, cluster) from ``sv``: Lloyd rounds until nothing moves."""
+    steps = [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('{seed}|' || vec_id), vec_id) - 1 AS c, v AS m FROM sv QUALIFY c < {k})"]
+    for i in range(rounds + 1):
+        steps.append(f"n{i} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c FROM (SELECT vec_id, v, c, list_distance(v, m) ** 2 AS d FROM sv CROSS JOIN c{i}) GROUP BY vec_id)")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(x.m, c{i}.m) AS m FROM c{i} LEFT JOIN (SELECT c, list(a ORDER BY i) AS m FROM (SELECT c, i, avg(v[i]) AS a FROM n{i}, range(1, 65) t(i) GROUP BY c, i) GROUP BY c) x USING (c))""")
+    return ",\n".join(steps) + f", labelled AS (SELECT vec_id, c AS cluster FROM n{rounds})"
+
+
+@query("ml_kmeans", f"WITH {scaled_sql(std='stddev_samp')}, {SCALED}, {kmeans_sql()} SELECT vec_id, dataset, gloss, CAST(cluster AS INTEGER) AS cluster FROM sv JOIN labelled USING (vec_id)")
 def ml_kmeans(t):
     s = cut_lineage(SC.scale(rows(t), "features", fill="median", sample=True))
     return CL.kmeans(s, "scaled").select("vec_id", "dataset", "gloss", "cluster")
@@ -192,10 +226,19 @@ def ml_cluster_profile(t):
     return rounded(CL.cluster_shares(shapes, "cluster", CL.cluster_profile(shapes, "cluster")))
 
 
-@query("ml_pca2")
+@query("ml_pca2", f"""
+WITH RECURSIVE {scaled_sql()}, {SCALED}, {components_sql()}
+SELECT s.vec_id, s.dataset, s.gloss, {R('list_dot_product(s.v, p1.a) - list_dot_product(p1.o, p1.a)')} AS pc1, {R('list_dot_product(s.v, p2.a) - list_dot_product(p2.o, p2.a)')} AS pc2,
+  {R('p1.share')} AS explained_pc1, {R('p2.share')} AS explained_pc2, {R('p1.share + p2.share')} AS cumulative FROM sv s, p1, p2""")
 def ml_pca2(t):
-    coords, _ = CL.pca2(cut_lineage(SC.scale(rows(t), "features", fill="median")), "scaled")
-    return rounded(coords.select("vec_id", "dataset", "gloss", "pc1", "pc2"))
+    """Coordinates of each vector, with the variance that the components explain."""
+    coords, explained = CL.pca2(cut_lineage(SC.scale(rows(t), "features", fill="median")), "scaled")
+    value = lambda n, c: F.max(F.when(F.col("component") == n, F.col(c)))
+    shares = explained.agg(
+        value("PC1", "explained_variance_ratio").alias("explained_pc1"), value("PC2", "explained_variance_ratio").alias("explained_pc2"),
+        value("PC2", "cumulative_explained_variance").alias("cumulative"),
+    )
+    return rounded(attach_row(coords.select("vec_id", "dataset", "gloss", "pc1", "pc2"), shares))
 
 
 LABELS = f"""e AS (SELECT vec_id % 2 AS side, CAST(label AS VARCHAR) AS g, CAST(k AS INTEGER) AS dim, CAST(embedding[k+1] AS DOUBLE) AS x FROM embeddings, range(64) t(k) WHERE vec_id % 2 = 0 OR label <> 8),

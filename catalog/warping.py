@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from catalog import R, query, rounded
-from catalog.series import USERS, centers
+from catalog.series import USERS, centers, features_sql
 from seqatlas.operators import dtw as D, report as P, sequences as S
 from seqatlas.session import cut_lineage
 
@@ -133,10 +133,36 @@ def rpt_dtw_quantiles(t):
     return rounded(intra.unionByName(inter, allowMissingColumns=True))
 
 
-@query("hand_trajectories")
+def trajectories_sql(points: int = 30) -> str:
+    """CTE ``ht``: both hand centers of ``nm`` resampled to equal spacing over all frames of a user."""
+    chans = ("lx", "ly", "rx", "ry")
+    near = ", ".join(
+        f"last_value(CASE WHEN {c} IS NOT NULL THEN frame END IGNORE NULLS) OVER b AS {c}pf, last_value({c} IGNORE NULLS) OVER b AS {c}pv, "
+        f"first_value(CASE WHEN {c} IS NOT NULL THEN frame END IGNORE NULLS) OVER f AS {c}nf, first_value({c} IGNORE NULLS) OVER f AS {c}nv" for c in chans
+    )
+    value = lambda c: f"""coalesce(CASE WHEN t = {points} THEN {c} WHEN {c}pf = frame AND fr = 0 THEN {c}pv WHEN {c}pf IS NULL THEN {c}nv WHEN {c}nf IS NULL THEN {c}pv
+      ELSE {c}pv + ({c}nv - {c}pv) / ({c}nf - {c}pf) * (frame + fr - {c}pf) END, 0)"""
+    return f"""hl AS (SELECT user_id, count(*) AS t FROM nm GROUP BY ALL), hi AS (SELECT *, unnest(range({points})) AS i FROM hl),
+hg AS (SELECT user_id, t, i, i * (t - 1) // {points - 1} AS lo, (i * (t - 1) % {points - 1}) / {points - 1}.0 AS fr FROM hi),
+hn AS (SELECT *, {near} FROM nm WINDOW b AS (PARTITION BY user_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+ht AS (SELECT hn.user_id, i AS frame, {', '.join(f'{value(c)} AS {c}' for c in chans)} FROM hn JOIN hg ON hn.user_id = hg.user_id AND frame = lo)"""
+
+
+CHANNEL_SQL = ", ".join(f"{R(c)} AS {c}" if c[1] != "z" else f"CAST(0 AS DOUBLE) AS {c}" for c in ("lx", "ly", "lz", "rx", "ry", "rz"))
+
+
+@query("hand_trajectories", f"{features_sql()}, {trajectories_sql()} SELECT user_id, frame, {CHANNEL_SQL} FROM ht")
 def hand_trajectories(t):
-    """Resampled trajectories of the users with the most motion."""
+    """Both hands of every user, resampled to 30 frames."""
+    normalised = cut_lineage(S.normalised_frames(centers(t), USERS))
+    return rounded(S.hand_trajectories(normalised, USERS))
+
+
+@query("chart_trajectories", f"""
+{features_sql()}, {trajectories_sql()}, best AS (SELECT user_id FROM base ORDER BY round(total_motion, 9) DESC NULLS LAST, user_id LIMIT 6)
+SELECT user_id, frame, {CHANNEL_SQL} FROM ht JOIN best USING (user_id)""")
+def chart_trajectories(t):
+    """Example trajectories: the six users with the most motion."""
     normalised = cut_lineage(S.normalised_frames(centers(t), USERS))
     features = S.sequence_features(normalised, USERS).select("user_id", "total_motion")
-    chosen = P.most_moving(features, normalised, ["user_id"])
-    return rounded(S.hand_trajectories(chosen, USERS))
+    return rounded(S.hand_trajectories(P.most_moving(features, normalised, ["user_id"]), USERS))

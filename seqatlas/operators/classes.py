@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seqatlas.distribution import attach_row, exact_quantiles, number_rows, salted_join
+from seqatlas.distribution import attach_row, exact_quantiles, number_rows, rank_rows, salted_join
 from seqatlas.guards import must_hold
 
 KEYS = ["dataset"]
@@ -210,13 +210,17 @@ def lorenz(counts: DataFrame, step_rows: int = 10_000) -> DataFrame:
     return curve.unionByName(origin)
 
 
-def cumulative(counts: DataFrame, *, bucket: Column) -> DataFrame:
+def cumulative(counts: DataFrame, *, bucket: Column | None = None) -> DataFrame:
     """Classes by falling size (ties by name) with rank and cumulative share of samples.
 
-    The rank is the number of larger classes plus the place among equal ones; ``bucket``
-    (not decreasing with the name) spreads the equal ones over tasks.
+    The rank is the number of larger classes plus the place among equal ones. Equal ones are numbered by
+    ranges of their names, or inside ``bucket`` (not decreasing with the name) where names are dense numbers.
     """
-    placed = number_rows(counts, ["dataset", "sample_count"], ["class_name"], bucket=bucket, into="_place")
+    equal = ["dataset", "sample_count"]
+    if bucket is None:
+        placed = rank_rows(counts, equal, ["class_name"], into="_place")
+    else:
+        placed = number_rows(counts, equal, ["class_name"], bucket=bucket, into="_place")
     h = size_histogram(counts).withColumnRenamed("size", "sample_count")
     above = F.col("num_classes") - F.col("classes_below") - F.col("classes")
     samples_above = F.col("num_samples") - F.col("samples_below") - F.col("classes") * F.col("sample_count")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqatlas.distribution import attach_row, number_rows
+from seqatlas.distribution import attach_row, rank_rows
 from seqatlas.functions.text import safe_folder
 
 
@@ -14,7 +14,7 @@ def group_files(df: DataFrame, label: str, file: str, *, bucket: Column) -> Data
     """Files of each label in order, as rows (label, position, file): a label may have
     any number of files, so they are numbered, not gathered into one list."""
     unique = df.select(label, file).distinct()
-    return number_rows(unique, [label], [file], bucket=bucket, into="position")
+    return rank_rows(unique, [label], [file], bucket=bucket, into="position")
 
 
 def copy_plan(requests: DataFrame, sources: DataFrame, targets: DataFrame, file: str, label: str = "label") -> DataFrame:
@@ -42,11 +42,11 @@ def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return inputs.join(done.select(key).distinct(), key, "left_anti")
 
 
-def number_labels(df: DataFrame, label: str, *, prefix: int = 8) -> DataFrame:
+def number_labels(df: DataFrame, label: str) -> DataFrame:
     """Distinct labels with their 1-based rank in sort order and their number."""
-    labels = df.select(label).distinct().withColumn("_all", F.lit(0))
-    ranked = number_rows(labels, ["_all"], [label], bucket=F.substring(label, 1, prefix), into="_rank")
-    total = labels.agg(F.count(F.lit(1)).alias("n_labels"))
+    labels = df.select(label).distinct()
+    ranked = rank_rows(labels, [], [label], into="_rank")
+    total = ranked.agg(F.count(F.lit(1)).alias("n_labels"))
     return attach_row(ranked, total).select(label, (F.col("_rank") + 1).alias("label_rank"), "n_labels")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqatlas.distribution import exact_quantiles, salted_join, tile_pairs, tiled
 from seqatlas.guards import must_hold
+from seqatlas.operators.clusters import components
 from seqatlas.operators.scaling import centroids, cosine, distance, scale, squared_distance
 from seqatlas.operators.variation import centroid_distance, distance_statistics
 from seqatlas.session import cut_lineage
@@ -175,7 +176,7 @@ def calinski_harabasz(scaled: DataFrame, features: str, distances: DataFrame) ->
 
 
 def metrics_row(df: DataFrame, features: str, ident: str) -> DataFrame:
-    """All separability metrics of each corpus in one row (principal components aside)."""
+    """All 22 separability metrics of each corpus in one row."""
     scaled = cut_lineage(scale(df.select(*LABEL, ident, features), features, by=DATASET, fill="median"))
     distances = label_distances(scaled, "scaled", ident)
     size = df.groupBy(*DATASET).agg(
@@ -184,7 +185,13 @@ def metrics_row(df: DataFrame, features: str, ident: str) -> DataFrame:
         F.max(F.size(features)).cast("long").alias("feature_dimension"),
     )
     pairs = cut_lineage(centroid_pairs(centroids(scaled, LABEL, "scaled")))
+    share = lambda n, c: F.max(F.when(F.col("component") == n, F.col(c)))
+    variance = components(scaled, "scaled", DATASET).groupBy(*DATASET).agg(
+        share("PC1", "explained_variance_ratio").alias("pca_explained_variance_pc1"),
+        share("PC2", "cumulative_explained_variance").alias("pca_explained_variance_cumulative"),
+    )
     parts = [
+        variance,
         silhouette_score(silhouette_samples(scaled, "scaled", ident)),
         davies_bouldin(scaled, "scaled", distances),
         calinski_harabasz(scaled, "scaled", distances),

@@ -21,8 +21,7 @@ def imbalance_job(videos: DataFrame, out: str, attributes: Sequence[str] = ("dur
     write_stage(classes.attribute_statistics(videos, list(attributes), F.col("readable")), f"{out}/video_statistics")
     write_stage(classes.imbalance(counts), f"{out}/imbalance")
     write_stage(classes.lorenz(counts), f"{out}/lorenz")
-    bucket = F.substring(F.col("class_name").cast("string"), 1, 8)
-    write_stage(classes.cumulative(counts, bucket=bucket), f"{out}/cumulative")
+    write_stage(classes.cumulative(counts), f"{out}/cumulative")
 
 
 LABEL_MEANS = {

@@ -191,7 +191,7 @@ def test_nearest_candidates_match_brute_force(points, block_rows):
 def test_kmeans_and_components(points):
     rows, df = points
     x = np.array([r[3] for r in rows])
-    labels = {r.id: r.cluster for r in CL.kmeans(df, "x", k=4).collect()}
+    labels = {r.id: r.cluster for r in CL.kmeans(df, "x", k=4, ident="id").collect()}
     lab = np.array([labels[r[2]] for r in rows])
     inertia = sum(((x[lab == c] - x[lab == c].mean(0)) ** 2).sum() for c in set(lab))
     assert len(set(lab)) <= 4 and inertia < ((x - x.mean(0)) ** 2).sum()
@@ -200,7 +200,22 @@ def test_kmeans_and_components(points):
     ratio = [r.explained_variance_ratio for r in explained.orderBy("component").collect()]
     assert np.allclose(ratio, values[:2] / values.sum())
     pc = np.array([[r.pc1, r.pc2] for r in coords.collect()])
-    assert np.allclose(pc.var(0, ddof=1), values[:2])
+    assert np.allclose(pc.var(0, ddof=1), values[:2]) and np.allclose(pc.mean(0), 0)
+    # Each group has its own components; a null group is one.
+    groups = df.withColumn("g", F.when(F.col("id") % 2 == 0, "even"))
+    parts, shares = CL.pca2(groups.filter("g = 'even'"), "x", ["g"])
+    even = x[[r[2] % 2 == 0 for r in rows]]
+    values = np.sort(np.linalg.eigvalsh(np.cov(even.T)))[::-1]
+    got = {r.component: r for r in shares.collect()}
+    assert got["PC2"].cumulative_explained_variance == pytest.approx(values[:2].sum() / values.sum()) and parts.count() == len(even)
+
+
+def test_kmeans_keeps_empty_centers_and_handles_few_rows(spark):
+    df = spark.createDataFrame([(i, [float(i // 5), 0.0]) for i in range(10)], "vec_id long, x array<double>")
+    got = {r.vec_id: r.cluster for r in CL.kmeans(df, "x", k=8).collect()}
+    # Eight starts on two places: of equal centers the first has all members, the others stay empty.
+    assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(5, 10)}) == 1
+    assert CL.kmeans(df.limit(2), "x", k=8).count() == 2 and CL.kmeans(df.limit(0), "x").count() == 0
 
 
 # --- time warping -----------------------------------------------------------------------
