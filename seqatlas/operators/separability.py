@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seqatlas.distribution import exact_quantiles, salted_join, tile_pairs, tiled
 from seqatlas.guards import must_hold
+from seqatlas.operators import blocks
 from seqatlas.operators.clusters import components
 from seqatlas.operators.scaling import centroids, cosine, distance, scale, squared_distance
 from seqatlas.operators.variation import centroid_distance, distance_statistics
@@ -144,15 +145,45 @@ def silhouette_score(samples: DataFrame) -> DataFrame:
 # --- indices --------------------------------------------------------------------
 
 
+def worst_ratios(centers: DataFrame, *, block_rows: int = 2_048, most_pivots: int = blocks.MOST_PIVOTS) -> DataFrame:
+    """(dataset, gloss, ratio, pairs): the largest (spread + spread) / distance of each label to another one of
+    its corpus, and how many labels it was compared with.
+
+    ``centers`` has dataset, gloss, centroid and spread. A block of labels is opened for a label only if its largest
+    spread over the least distance its members can have beats the ratio found so far. Labels at one place
+    count as ratio 0, labels without another one in their corpus have no row.
+    """
+    types = dict(centers.dtypes)
+    schema = f"dataset {types['dataset']}, gloss {types['gloss']}, ratio double, pairs long"
+
+    def meet(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        apart = np.sqrt(blocks._apart(blocks._stack(rows["centroid"]), blocks._stack(others["centroid"])))
+        sums = rows["spread"].to_numpy(float)[:, None] + others["spread"].to_numpy(float)[None, :]
+        ratio = np.divide(sums, apart, out=np.zeros_like(sums), where=apart > 0)
+        same = rows["gloss"].to_numpy()[:, None] == others["gloss"].to_numpy()[None, :]
+        pairs = (~same).sum(1)
+        out = pd.DataFrame({"dataset": rows["dataset"].to_numpy(), "gloss": rows["gloss"].to_numpy(), "ratio": np.where(same, -1.0, ratio).max(1), "pairs": pairs})
+        return out[pairs > 0]
+
+    def wants(rows: pd.DataFrame, away: np.ndarray, figures: dict) -> np.ndarray:
+        least = away - figures["radius"][None, :]
+        sums = rows["spread"].to_numpy(float)[:, None] + figures["weight"][None, :]
+        known = rows["_known"].to_numpy(float)[:, None]
+        return sums * (1 + blocks.SLACK) >= known * np.maximum(least, 0.0) * (1 - blocks.SLACK)
+
+    dealt = blocks.deal(centers, "gloss", "centroid", DATASET, weight="spread", block_rows=block_rows, most_pivots=most_pivots)
+    first = cut_lineage(blocks.own_tile(dealt, meet, schema))
+    known = first.select(*LABEL, F.col("ratio").alias("_known"))
+    rows = dealt.rows.join(known, LABEL, "left").fillna({"_known": -1.0})
+    more = blocks.visit(dealt, blocks.opened(dealt, rows, wants), meet, schema)
+    return first.unionByName(more).groupBy(*LABEL).agg(F.max("ratio").alias("ratio"), F.sum("pairs").alias("pairs"))
+
+
 def davies_bouldin(scaled: DataFrame, features: str, distances: DataFrame) -> DataFrame:
     """Mean over labels of the worst ratio of summed spreads to centroid distance."""
     spread = distances.groupBy(*LABEL).agg(F.avg("distance").alias("spread"))
-    centers = centroids(scaled, LABEL, features).join(spread, LABEL)
-    pairs = centroid_pairs(centers, extra=["spread"])
-    ratio = (F.col("spread_a") + F.col("spread_b")) / F.nullif("euclidean_distance", F.lit(0.0))
-    ends = F.explode(F.array("gloss_a", "gloss_b"))
-    worst = pairs.select("dataset", ends.alias("gloss"), F.coalesce(ratio, F.lit(0.0)).alias("_r")).groupBy(*LABEL).agg(F.max("_r").alias("_r"))
-    return worst.groupBy(*DATASET).agg(F.avg("_r").alias("davies_bouldin_index"))
+    centers = cut_lineage(centroids(scaled, LABEL, features).join(spread, LABEL))
+    return worst_ratios(centers).groupBy(*DATASET).agg(F.avg("ratio").alias("davies_bouldin_index"))
 
 
 def calinski_harabasz(scaled: DataFrame, features: str, distances: DataFrame) -> DataFrame:
@@ -208,52 +239,55 @@ def metrics_row(df: DataFrame, features: str, ident: str) -> DataFrame:
 
 
 def nearest_candidates(
-    df: DataFrame, ident: str, vector: str, k: int = 20, groups: Sequence[str] = ("dataset",), *, block_rows: int = 2_048
+    df: DataFrame, ident: str, vector: str, k: int = 20, groups: Sequence[str] = ("dataset",), *, block_rows: int = 2_048,
+    most_pivots: int = blocks.MOST_PIVOTS,
 ) -> DataFrame:
     """Unordered pairs in which one label is among the ``k`` nearest of the other (exact).
 
-    Each tile keeps the k nearest of its rows; only those leave it and are merged.
+    The k nearest in its own tile give each label a distance to beat; only blocks that may hold a nearer one
+    are opened. A tile keeps the k nearest of its rows; only those leave it and are merged.
     """
-    groups = list(groups)
-
-    def per_tile(key, pdf):
-        ti, tj = key[-2], key[-1]
-
-        def nearest(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-            a = np.stack(rows[vector].to_numpy()).astype(float)
-            b = np.stack(others[vector].to_numpy()).astype(float)
-            # Summed by differences and rounded as in the merge, so that ties don't depend on the tile.
-            d2 = np.zeros((len(a), len(b)))
-            for k_th in range(a.shape[1]):
-                d2 += np.square(a[:, k_th, None] - b[None, :, k_th])
-            d2 = np.round(d2, 9)
-            ids, names = rows[ident].to_numpy(), others[ident].to_numpy()
-            d2 = np.where(ids[:, None] == names[None, :], np.inf, d2)
-            order = np.argsort(names, kind="stable")
-            ranked = order[np.argsort(d2[:, order], axis=1, kind="stable")[:, :k]]
-            out = pd.DataFrame(
-                {ident: np.repeat(ids, ranked.shape[1]), "_near": names[ranked].ravel(), "_d2": np.take_along_axis(d2, ranked, 1).ravel()}
-            )
-            return out[np.isfinite(out["_d2"])]
+    best = nearest_rows(df, ident, vector, k, groups, block_rows=block_rows, most_pivots=most_pivots)
+    return best.select(
+        *groups, F.least(ident, "_near").alias(f"{ident}_a"), F.greatest(ident, "_near").alias(f"{ident}_b")
+    ).distinct()
 
-        if ti == tj:
-            out = nearest(pdf, pdf)
-        else:
-            left, right = pdf[pdf["_block"] == ti], pdf[pdf["_block"] == tj]
-            if left.empty or right.empty:
-                return pd.DataFrame(columns=[*groups, ident, "_near", "_d2"])
-            out = pd.concat([nearest(left, right), nearest(right, left)])
-        for g, v in zip(groups, key):
-            out[g] = v
-        return out[[*groups, ident, "_near", "_d2"]]
 
+def nearest_rows(
+    df: DataFrame, ident: str, vector: str, k: int, groups: Sequence[str], *, block_rows: int = 2_048, most_pivots: int = blocks.MOST_PIVOTS
+) -> DataFrame:
+    """(groups, ident, _near, _d2): the k nearest others of each row, equal ones (to nine digits) by id."""
     from seqatlas.operators.ranking import top_per_group
 
+    groups = list(groups)
+    columns = [*groups, ident, "_near", "_d2"]
+
+    def meet(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        # Summed by differences and rounded as in the merge, so that ties don't depend on the tile.
+        d2 = np.round(blocks._apart(blocks._stack(rows[vector]), blocks._stack(others[vector])), 9)
+        ids, names = rows[ident].to_numpy(), others[ident].to_numpy()
+        d2 = np.where(ids[:, None] == names[None, :], np.inf, d2)
+        order = np.argsort(names, kind="stable")
+        ranked = order[np.argsort(d2[:, order], axis=1, kind="stable")[:, :k]]
+        times = ranked.shape[1]
+        out = pd.DataFrame({g: np.repeat(rows[g].to_numpy(), times) for g in groups})
+        out[ident], out["_near"], out["_d2"] = np.repeat(ids, times), names[ranked].ravel(), np.take_along_axis(d2, ranked, 1).ravel()
+        return out.loc[np.isfinite(out["_d2"]), columns]
+
+    def wants(rows: pd.DataFrame, away: np.ndarray, figures: dict) -> np.ndarray:
+        least = np.maximum(away - figures["radius"][None, :], 0.0)
+        return least * least * (1 - blocks.SLACK) <= rows["_known"].to_numpy(float)[:, None] + 2e-9
+
     types = dict(df.dtypes)
     schema = ", ".join([*[f"{g} {types[g]}" for g in groups], f"{ident} {types[ident]}", f"_near {types[ident]}", "_d2 double"])
-    cut = tiled(df.select(*groups, ident, vector), ident, groups, block_rows=block_rows)
-    found = cut.groupBy(*groups, "_ti", "_tj").applyInPandas(per_tile, schema)
-    best = top_per_group(found, [*groups, ident], [F.round("_d2", 9), F.col("_near")], k)
-    return best.select(
-        *groups, F.least(ident, "_near").alias(f"{ident}_a"), F.greatest(ident, "_near").alias(f"{ident}_b")
-    ).distinct()
+    dealt = blocks.deal(df, ident, vector, groups, block_rows=block_rows, most_pivots=most_pivots)
+    first = cut_lineage(blocks.own_tile(dealt, meet, schema))
+    enough = F.when(F.count(F.lit(1)) >= k, F.max("_d2"))
+    known = first.groupBy(*groups, ident).agg(enough.alias("_known"))
+    same = F.col(f"_r.{ident}").eqNullSafe(F.col(f"_k.{ident}"))
+    for g in groups:
+        same = same & F.col(f"_r.{g}").eqNullSafe(F.col(f"_k.{g}"))
+    rows = dealt.rows.alias("_r").join(known.alias("_k"), same, "left")
+    rows = rows.select(*[F.col(f"_r.{c}").alias(c) for c in dealt.rows.columns], F.coalesce(F.col("_k._known"), F.lit(float("inf"))).alias("_known"))
+    more = blocks.visit(dealt, blocks.opened(dealt, rows, wants), meet, schema)
+    return top_per_group(first.unionByName(more), [*groups, ident], [F.round("_d2", 9), F.col("_near")], k)

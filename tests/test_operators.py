@@ -188,6 +188,52 @@ def test_nearest_candidates_match_brute_force(points, block_rows):
     assert got == want
 
 
+@pytest.fixture(scope="module")
+def scattered(spark):
+    """Labels in well separated places, many at one of them."""
+    rng = np.random.default_rng(11)
+    places = rng.normal(scale=50, size=(12, 5))
+    rows = [("d", i, (places[i % 12 if i % 3 else 0] + rng.normal(size=5)).tolist(), float(rng.uniform(0.5, 1.5))) for i in range(360)]
+    rows += [("e", i, rng.normal(size=5).tolist(), 1.0) for i in range(3)] + [("alone", 0, [1.0] * 5, 1.0)]
+    return rows, spark.createDataFrame(rows, "dataset string, gloss long, centroid array<double>, spread double").repartition(3)
+
+
+@pytest.mark.parametrize("block_rows", [16, 2_048])
+def test_worst_ratios_open_few_blocks(scattered, block_rows):
+    rows, df = scattered
+    got = {(r.dataset, r.gloss): r for r in SE.worst_ratios(df, block_rows=block_rows).collect()}
+    x, s = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    compared = 0
+    for name, want in (("d", 360), ("e", 3)):
+        at = [i for i, r in enumerate(rows) if r[0] == name]
+        for i in at:
+            best = max((s[i] + s[j]) / np.linalg.norm(x[i] - x[j]) for j in at if j != i)
+            assert got[name, rows[i][1]].ratio == pytest.approx(best)
+        compared += sum(got[name, rows[i][1]].pairs for i in at)
+    assert ("alone", 0) not in got and len(got) == 363
+    assert compared < 0.35 * 360 * 359
+
+
+@pytest.mark.parametrize("block_rows", [16, 2_048])
+def test_nearest_rows_open_few_blocks(scattered, block_rows):
+    from seqatlas.operators import blocks
+
+    rows, df = scattered
+    seen = []
+    real = blocks.visit
+    try:
+        blocks.visit = lambda b, queries, *rest: seen.append(queries.count()) or real(b, queries, *rest)
+        got = {(r.dataset, r.gloss, r._near) for r in SE.nearest_rows(df, "gloss", "centroid", 3, ["dataset"], block_rows=block_rows).collect()}
+    finally:
+        blocks.visit = real
+    x = np.array([r[2] for r in rows[:360]])
+    d = ((x[:, None] - x[None]) ** 2).sum(-1) + np.diag([np.inf] * 360)
+    assert {g for g in got if g[0] == "d"} == {("d", i, int(j)) for i in range(360) for j in np.argsort(d[i])[:3]}
+    assert {g for g in got if g[0] == "e"} == {("e", i, j) for i in range(3) for j in range(3) if i != j}
+    tiles = 19 + (360 // block_rows if block_rows == 16 else 0)
+    assert 0 < seen[0] < 0.6 * 360 * tiles
+
+
 def test_kmeans_and_components(points):
     rows, df = points
     x = np.array([r[3] for r in rows])
