@@ -207,6 +207,10 @@ def attach_neighbours(df: DataFrame, seq: Sequences, points: Mapping[str, tuple[
 # --- exact quantiles ------------------------------------------------------------
 
 
+GRID = 100  # steps into which a pass cuts a bracket that is still too wide
+BROADCAST_ROWS = 50_000  # brackets (a few numbers each) sent to every task; more are joined by a shuffle
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -218,40 +222,57 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, one output column per entry of ``probs``.
 
-    A mergeable sketch first brackets every wanted rank; only distinct values inside
-    the bracket are ranked. A group of n values therefore brings at most
-    ``max(2 * accuracy, 6 n / accuracy)`` values to one task, never the group itself.
+    Groups of at most ``2 * accuracy`` rows are one exact aggregate. For larger ones a mergeable sketch first
+    brackets the wanted ranks. Values below a bracket are counted inside each task and values above are
+    dropped, so only the bracket's distinct values are shuffled. A bracket that would still be larger is cut
+    by further passes, each to a few hundredths; none ever brings more than about ``2 * accuracy``
+    values to one task. ``few_groups`` says that the large groups are certainly few.
     """
-    names = list(probs)
+    keys, names = list(keys), list(probs)
     wanted = [float(probs[k]) for k in names]
-    slack = 2.0 / accuracy
-    lows = [max(p - slack, 0.0) for p in wanted]
-    highs = [min(p + slack, 1.0) for p in wanted]
-    keys = list(keys)
-
+    limit = 2 * accuracy
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    weighted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", lows + highs, accuracy).alias("_marks"),
-    )
-    whole = F.col("_n") <= 2 * accuracy
-    m = len(names)
-    sketch = sketch.select(
-        *keys,
-        "_n",
-        F.when(whole, F.array_repeat("_min", m)).otherwise(F.slice("_marks", 1, m)).alias("_lows"),
-        F.when(whole, F.array_repeat("_max", m)).otherwise(F.slice("_marks", m + 1, m)).alias("_highs"),
-    )
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= limit:
+        return _quantiles_at_once(rows, keys, names, wanted)
+    large = cut_lineage(counts.filter(F.col("_n") > limit))
+    sent = few_groups or large.count() <= BROADCAST_ROWS
+
+    def matched(big: DataFrame, state: DataFrame) -> DataFrame:
+        if not keys:
+            return attach_row(big, state)
+        return big.join(F.broadcast(state), keys) if sent else salted_join(big, state, keys, salt_on=["_v"])
+
+    state = cut_lineage(_first_brackets(matched(rows, large), keys, wanted, accuracy))
+    share = (2 * 2.0 + 2.0) / accuracy
+    # How many values the widest bracket holds, by the sketch's guarantee.
+    widest = large.agg(F.max("_n")).first()[0] * share
+    while widest > limit:
+        state = cut_lineage(_narrowed(matched(rows, state), keys, wanted))
+        widest = widest * (6.0 / GRID)
+    found = _ranked_in_brackets(matched(rows, state), keys, names, wanted)
     if not keys:
-        joined = attach_row(weighted, sketch)
-    elif few_groups:
-        joined = weighted.join(sketch, keys)
-    else:
-        joined = salted_join(weighted, sketch, keys, salt_on=["_v"])
+        return found
+    small = rows.join(F.broadcast(large.select(*keys)) if sent else large.select(*keys), keys, "left_anti")
+    return found.unionByName(_quantiles_at_once(small, keys, names, wanted))
+
+
+def _quantiles_at_once(rows: DataFrame, keys: list[str], names: list[str], wanted: list[float]) -> DataFrame:
+    one = F.percentile("_v", F.array(*[F.lit(p) for p in wanted])).alias("_q")
+    out = rows.groupBy(*keys).agg(one)
+    return out.select(*keys, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
+
+def _first_brackets(rows: DataFrame, keys: list[str], wanted: list[float], accuracy: int) -> DataFrame:
+    """(keys, _n, _lows, _highs) from a sketch of each group."""
+    slack, m = 2.0 / accuracy, len(wanted)
+    marks = [max(p - slack, 0.0) for p in wanted] + [min(p + slack, 1.0) for p in wanted]
+    sketch = rows.groupBy(*keys).agg(F.max("_n").alias("_n"), F.percentile_approx("_v", marks, accuracy).alias("_marks"))
+    return sketch.select(*keys, "_n", F.slice("_marks", 1, m).alias("_lows"), F.slice("_marks", m + 1, m).alias("_highs"))
+
+
+def _slots(joined: DataFrame, keys: list[str], m: int) -> DataFrame:
+    """(keys, _n, _q, _s): every value at or below the top of bracket q; _s is NULL below its bottom."""
     slots = F.array(
         *[
             F.struct(
@@ -259,17 +280,39 @@ def exact_quantiles(
                 (F.col("_v") <= F.col("_highs")[i]).alias("near"),
                 F.when(F.col("_v") >= F.col("_lows")[i], F.col("_v")).alias("s"),
             )
-            for i in range(len(names))
+            for i in range(m)
         ]
     )
-    counted = (
-        joined.select(*keys, "_n", "_c", F.explode(F.filter(slots, lambda x: x["near"])).alias("_x"))
-        .groupBy(*keys, "_n", F.col("_x.q").alias("_q"), F.col("_x.s").alias("_s"))
-        .agg(F.sum("_c").alias("_c"))
+    near = joined.select(*keys, "_n", "_lows", "_highs", F.explode(F.filter(slots, lambda x: x["near"])).alias("_x"))
+    return near.select(*keys, "_n", F.col("_x.q").alias("_q"), F.col("_x.s").alias("_s"))
+
+
+def _rank(wanted: list[float]) -> Column:
+    return F.element_at(F.array(*[F.lit(p) for p in wanted]), F.col("_q") + 1) * (F.col("_n") - 1)
+
+
+def _narrowed(joined: DataFrame, keys: list[str], wanted: list[float]) -> DataFrame:
+    """The same brackets, cut to the grid steps around the wanted rank."""
+    grid = [i / GRID for i in range(GRID + 1)]
+    figures = _slots(joined, keys, len(wanted)).groupBy(*keys, "_n", "_q").agg(
+        F.count(F.when(F.col("_s").isNull(), 1)).alias("_below"), F.count("_s").alias("_m"),
+        F.percentile_approx("_s", grid, 10 * GRID).alias("_grid"),
     )
+    # A step more than the sketch's error on either side.
+    at = (_rank(wanted) - F.col("_below")) / F.greatest(F.col("_m"), F.lit(1)) * GRID
+    step = lambda i: F.least(F.greatest(i, F.lit(0)), F.lit(GRID)).cast("int")
+    low, high = F.get("_grid", step(F.floor(at) - 2)), F.get("_grid", step(F.ceil(at) + 2))
+    cut = figures.select(*keys, "_n", "_q", low.alias("_low"), high.alias("_high"))
+    ordered = F.array_sort(F.collect_list(F.struct("_q", "_low", "_high")))
+    packed = cut.groupBy(*keys).agg(F.max("_n").alias("_n"), ordered.alias("_b"))
+    return packed.select(*keys, "_n", F.col("_b._low").alias("_lows"), F.col("_b._high").alias("_highs"))
+
+
+def _ranked_in_brackets(joined: DataFrame, keys: list[str], names: list[str], wanted: list[float]) -> DataFrame:
+    """The quantiles, from the distinct values inside each bracket and the number below it."""
+    counted = _slots(joined, keys, len(wanted)).groupBy(*keys, "_n", "_q", "_s").agg(F.count(F.lit(1)).alias("_c"))
     up_to = Window.partitionBy(*keys, "_q").orderBy(F.col("_s").asc_nulls_first())
-    h = F.element_at(F.array(*[F.lit(p) for p in wanted]), F.col("_q") + 1) * (F.col("_n") - 1)
-    ranked = counted.withColumn("_cum", F.sum("_c").over(up_to.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_h", h)
+    ranked = counted.withColumn("_cum", F.sum("_c").over(up_to.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_h", _rank(wanted))
     picked = ranked.groupBy(*keys, "_q", "_h").agg(
         F.max(F.when(F.col("_s").isNull(), F.col("_cum"))).alias("_below"),
         F.min(F.when(F.col("_cum") > F.floor("_h"), F.col("_s"))).alias("_a"),
@@ -278,8 +321,7 @@ def exact_quantiles(
     inside = (F.coalesce(F.col("_below"), F.lit(0)) <= F.floor("_h")) & F.col("_a").isNotNull() & F.col("_b").isNotNull()
     q = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))
     checked = picked.filter(must_hold(inside, "a quantile fell outside its bracket")).withColumn("_value", q)
-    out = checked.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == i, F.col("_value"))).alias(n) for i, n in enumerate(names)])
-    return out
+    return checked.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == i, F.col("_value"))).alias(n) for i, n in enumerate(names)])
 
 
 # --- pairs ----------------------------------------------------------------------

@@ -31,6 +31,22 @@ def test_exact_quantiles_match_numpy(spark, accuracy):
             assert got[key][name] == pytest.approx(np.quantile(values, p), abs=1e-12)
 
 
+def test_large_groups_are_cut_by_several_passes(spark):
+    """Accuracy 60: groups over 120 rows are bracketed, and the largest brackets are cut again."""
+    rng = np.random.default_rng(5)
+    data = {"normal": rng.normal(size=9000), "ties": np.repeat([1.0, 2.0, 3.0], 700), "few": rng.normal(size=50), "wide": rng.lognormal(sigma=9, size=4000)}
+    df = spark.createDataFrame([(k, float(v)) for k, values in data.items() for v in values], "k string, v double").repartition(4)
+    probs = {"a": 0.0, "p1": 0.01, "m": 0.5, "p9": 0.9, "z": 1.0}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, accuracy=60).collect()}
+    assert set(got) == set(data)
+    for key, values in data.items():
+        for name, p in probs.items():
+            assert got[key][name] == pytest.approx(np.quantile(values, p), rel=1e-12), (key, name)
+    # Only the bracket leaves the tasks.
+    bracketed = exact_quantiles(df.filter("k = 'normal'"), ["k"], "v", {"m": 0.5}, accuracy=200)
+    assert bracketed.collect()[0].m == pytest.approx(np.median(data["normal"]))
+
+
 def test_exact_quantiles_without_keys(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("v"))
     assert exact_quantiles(df, [], "v", {"m": 0.5}).collect()[0].m == 50.0
