@@ -93,13 +93,19 @@ def join_intra_pairs(t):
 
 
 @query("join_attach_label", """
-SELECT s_suppkey, s_name, n_name, p.mean_price IS NOT NULL AS has_price, round(p.mean_price + 1e-9, 4) + 0.0 AS mean_price FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 3 > 0
-LEFT JOIN (SELECT l_suppkey, avg(l_extendedprice) AS mean_price FROM lineitem WHERE l_suppkey % 4 > 0 GROUP BY ALL) p ON l_suppkey = s_suppkey""")
+SELECT s_suppkey, s_name, n_name, p.mean_price IS NOT NULL AS has_price, round(p.mean_price + 1e-9, 4) + 0.0 AS mean_price FROM supplier LEFT JOIN nation ON n_nationkey = CASE WHEN s_suppkey % 3 = 0 THEN -1 - s_nationkey ELSE s_nationkey END
+LEFT JOIN (SELECT l_suppkey, avg(l_extendedprice) AS mean_price FROM lineitem GROUP BY ALL) p ON l_suppkey = CASE WHEN s_suppkey % 4 = 0 THEN -s_suppkey ELSE s_suppkey END""")
 def join_attach_label(t):
-    nations = t("nation").filter("n_nationkey % 3 > 0").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    prices = t("lineitem").filter("l_suppkey % 4 > 0").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.avg("l_extendedprice").alias("mean_price"))
-    rows = J.attach_small(t("supplier").select("s_suppkey", "s_name", "s_nationkey"), nations, "s_nationkey")
-    out = J.attach_salted(rows, prices, ["s_suppkey"], ["s_name"])
+    """All nations and line items; suppliers whose key is turned negative find none."""
+    nations = t("nation").select(F.col("n_nationkey").cast("long").alias("nation_key"), "n_name")
+    prices = t("lineitem").groupBy(F.col("l_suppkey").cast("long").alias("price_key")).agg(F.avg("l_extendedprice").alias("mean_price"))
+    key = lambda lost, c, other: F.when(lost, other).otherwise(F.col(c)).cast("long")
+    suppliers = t("supplier").select(
+        "s_suppkey", "s_name", key(F.col("s_suppkey") % 3 == 0, "s_nationkey", -1 - F.col("s_nationkey")).alias("nation_key"),
+        key(F.col("s_suppkey") % 4 == 0, "s_suppkey", -F.col("s_suppkey")).alias("price_key"),
+    )
+    rows = J.attach_small(suppliers, nations, "nation_key")
+    out = J.attach_salted(rows, prices, ["price_key"], ["s_name"])
     return out.select("s_suppkey", "s_name", "n_name", F.col("mean_price").isNotNull().alias("has_price"), r6("mean_price", 4).alias("mean_price"))
 
 

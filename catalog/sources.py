@@ -15,26 +15,34 @@ SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS video, 'é' || n_name AS la
 UNION ALL SELECT 'ID', 'VIDEO', 'LABEL', 'utf-8'
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, 'ok ' || c_mktsegment, 'utf-8' FROM customer
 UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, 'đ' || s_suppkey, 'cp1258' FROM supplier
-UNION ALL SELECT CAST(r_regionkey AS VARCHAR), r_name, NULL, 'latin1' FROM region""")
+UNION ALL SELECT CAST(r_regionkey AS VARCHAR), r_name, NULL, 'latin1' FROM region
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_brand, 'first,' || chr(10) || 'second "' || p_name || '"' || chr(10) || chr(10) || 'é', 'utf-8' FROM part
+UNION ALL SELECT CAST(n_nationkey AS VARCHAR), NULL, 'đ' || chr(10) || n_name, 'cp1258' FROM nation""")
 def src_csv_fallback(t):
-    """Tables written as CSV and read back: upper-case headers, two column orders, a missing
-    column, three encodings, a byte-order mark and a row that repeats the header."""
+    """Tables written as CSV and read back: upper-case headers, column orders that differ, a missing column, three
+    encodings, a byte-order mark, a row that repeats the header, and quoted fields over several lines."""
     path = folder(t, "csv")
-    nation = t("nation").select(F.concat_ws(",", "n_nationkey", "n_name", F.concat(F.lit("é"), "n_name")).alias("value"))
-    customer = t("customer").select(F.concat_ws(",", "c_custkey", "c_name", F.concat(F.lit("ok "), "c_mktsegment")).alias("value"))
-    def write(header, rows, charset="UTF-8", repeat=1):
-        """The lines of one file, with its header first."""
-        head = t.spark.createDataFrame([(i, header if i == repeat - 1 or i else f"{T.BOM if charset == 'UTF-8' else ''}{header}") for i in range(repeat)], "_n int, value string")
-        lines = head.unionByName(rows.select(F.lit(repeat).alias("_n"), "value")).coalesce(1).sortWithinPartitions("_n").select("value")
-        lines.write.mode("append").option("encoding", charset).option("quote", "\u0000").option("sep", "\u0001").option("escapeQuotes", "false").csv(path)
-
-    supplier = t("supplier").select(F.concat_ws(",", F.concat(F.lit("ð"), "s_suppkey"), "s_suppkey", "s_name").alias("value"))
-    region = t("region").select(F.concat(F.concat_ws(",", "r_regionkey", "r_name"), F.lit(",é\u008a")).alias("value"))
+
+    def write(header, rows, charset="UTF-8"):
+        """Lines as they stand, in as many files as there are tasks, each with its header."""
+        raw = {"encoding": charset, "quote": "\u0000", "sep": "\u0001", "escapeQuotes": "false", "header": "true"}
+        rows.select(F.col("value").alias(header)).write.mode("append").options(**raw).csv(path)
+
+    line = lambda df, *parts: df.select(F.concat_ws(",", *parts).alias("value"))
+    write(f"{T.BOM}ID,VIDEO,LABEL", line(t("nation"), "n_nationkey", "n_name", F.concat(F.lit("é"), "n_name")))
+    write("ID,VIDEO,LABEL", t.spark.createDataFrame([("ID,VIDEO,LABEL",)], "value string"))
+    write("id,video,label", line(t("customer"), "c_custkey", "c_name", F.concat(F.lit("ok "), "c_mktsegment")))
     # The byte of this Latin-1 letter is another letter in code page 1258.
-    write("ID,VIDEO,LABEL", nation, repeat=2)
-    write("id,video,label", customer)
-    write("Label,Id,Video", supplier, "ISO-8859-1")
-    write("id,VIDEO,note", region, "ISO-8859-1")
+    write("Label,Id,Video", line(t("supplier"), F.concat(F.lit("ð"), "s_suppkey"), "s_suppkey", "s_name"), "ISO-8859-1")
+    write("id,VIDEO,note", line(t("region"), "r_regionkey", "r_name", F.lit("é\u008a")), "ISO-8859-1")
+
+    def broken(rows, charset="UTF-8"):
+        """Rows with line breaks inside quotes."""
+        rows.write.mode("append").options(encoding=charset, header="true", escape='"').csv(path)
+
+    part = F.concat(F.lit("first,\nsecond \""), "p_name", F.lit('"\n\né'))
+    broken(t("part").select(F.col("p_partkey").alias("ID"), part.alias("Label"), F.col("p_brand").alias("Video")))
+    broken(t("nation").select(F.concat(F.lit("ð\n"), "n_name").alias("label"), F.col("n_nationkey").alias("id")), "ISO-8859-1")
     return T.read_csv_any_encoding(t.spark, path, columns=["id", "video", "label"])
 
 
@@ -128,10 +136,45 @@ def src_layout_decode(t):
 K = "CAST(json_extract(props, '$.k') AS DOUBLE)"
 
 
+def _extracted(batches):
+    for batch in batches:
+        out = []
+        for ident, values in zip(batch["vec_id"], batch["embedding"]):
+            buffer, n = io.BytesIO(), 8 + ident % 3
+            rows = np.tile(np.asarray(values, dtype=np.float32), (n, 1))
+            mask = np.array([[values[4 * f + p] > 0 for p in range(4)] for f in range(n)])
+            more = {"video_name": np.array(f"{ident}.mp4"), "source_fps": np.array(ident % 30 + 0.5), "source_total_frames": np.array(3 * ident)}
+            if ident % 4:
+                more["target_frames"] = np.array(n)
+            if ident % 7:
+                more["valid_mask"] = mask
+            np.savez(buffer, pose=rows, hands=rows, **more)
+            out.append((f"label/{ident}.npz", b"broken" if ident % 50 == 0 else buffer.getvalue()))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+MASK_SQL = ", ".join(f"{R(f'CASE WHEN vec_id % 7 > 0 THEN (SELECT avg(CAST(embedding[4 * f + {i + 1}] > 0 AS INT)) FROM range(8 + vec_id % 3) r(f)) END')} AS valid_{p}_ratio" for i, p in enumerate(L.MASK))
+
+
 @query("src_npz_metadata", f"""
+SELECT 'label/' || vec_id || '.npz' AS path, 8 + vec_id % 3 AS num_frames, vec_id || '.mp4' AS video_name, CAST(vec_id % 30 + 0.5 AS DOUBLE) AS source_fps, 3 * vec_id AS source_total_frames,
+  CASE WHEN vec_id % 4 > 0 THEN 8 + vec_id % 3 END AS target_frames, {MASK_SQL}, false AS failed FROM embeddings WHERE vec_id % 50 > 0
+UNION ALL SELECT 'label/' || vec_id || '.npz', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true FROM embeddings WHERE vec_id % 50 = 0""")
+def src_npz_metadata(t):
+    """Scalars and mask shares of extraction archives, one in four without the frame target, one in seven without mask."""
+    from pyspark import cloudpickle
+    import catalog
+
+    cloudpickle.register_pickle_by_value(catalog)
+    files = t("embeddings").select("vec_id", "embedding").mapInPandas(_extracted, "path string, content binary")
+    meta = KP.archive_metadata(KP.decode_frames(files))
+    return rounded(meta.withColumn("failed", F.col("error").isNotNull()).drop("error"), *[f"valid_{p}_ratio" for p in L.MASK])
+
+
+@query("src_mask_ratios", f"""
 SELECT user_id, count(*) AS num_frames, {R("avg(CAST(value > 40 AS INT))")} AS valid_pose_ratio, {R(f"avg(CAST({K} > 50 AS INT))")} AS valid_left_hand_ratio,
   {R("avg(CAST(event_type = 'click' AS INT))")} AS valid_right_hand_ratio, {R("avg(CAST(event_id % 3 = 0 AS INT))")} AS valid_face_ratio FROM events GROUP BY user_id""")
-def src_npz_metadata(t):
+def src_mask_ratios(t):
     k = F.get_json_object("props", "$.k").cast("double")
     flags = {"pose": F.col("value") > 40, "left_hand": k > 50, "right_hand": F.col("event_type") == "click", "face": F.col("event_id") % 3 == 0}
     rows = t("events").withColumns({f"v_{p}": c for p, c in flags.items()})

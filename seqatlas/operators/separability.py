@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from seqatlas.distribution import exact_quantiles, salted_join, tile_pairs, tiled
+from seqatlas.distribution import exact_quantiles, rank_rows, salted_join, tile_pairs
 from seqatlas.guards import must_hold
 from seqatlas.operators import blocks
 from seqatlas.operators.clusters import components
@@ -69,8 +69,10 @@ def distance_matrix(pairs: DataFrame, value: str, labels: Sequence[str]) -> Data
 # --- silhouette -----------------------------------------------------------------
 
 
-def _block_sums(ident: str, label: str, features: str):
-    """Sums of distances from each row of a tile to the rows of each label in its other block."""
+def _block_sums(ident: str, features: str):
+    """What each row of a tile keeps of its other block: the least mean distance to a label that lies wholly in it
+    (``_b``), and sums for its own label and those at the block's ends (``_other``, ``_sum``, ``_n``)."""
+    names = ["dataset", ident, "gloss", "_other", "_sum", "_n", "_b"]
 
     def sums(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         a = np.stack(rows[features].to_numpy()).astype(float)
@@ -78,19 +80,24 @@ def _block_sums(ident: str, label: str, features: str):
         squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
         same = rows[ident].to_numpy()[:, None] == others[ident].to_numpy()[None, :]
         dist = np.where(same, 0.0, np.sqrt(np.maximum(squares, 0.0)))
-        codes, names = pd.factorize(others[label])
-        onehot = np.zeros((len(others), len(names)))
+        codes, labels = pd.factorize(others["gloss"])
+        labels = np.asarray(labels, dtype=object)
+        onehot = np.zeros((len(others), len(labels)))
         onehot[np.arange(len(others)), codes] = 1.0
         totals, counts = dist @ onehot, onehot.sum(0)
-        return pd.DataFrame(
-            {
-                ident: np.repeat(rows[ident].to_numpy(), len(names)),
-                label: np.repeat(rows[label].to_numpy(), len(names)),
-                "_other": np.tile(names.to_numpy() if hasattr(names, "to_numpy") else np.asarray(names), len(rows)),
-                "_sum": totals.ravel(),
-                "_n": np.tile(counts, len(rows)).astype("int64"),
-            }
-        )
+        sizes = np.zeros(len(labels))
+        sizes[codes] = others["_size"].to_numpy()
+        own = rows["gloss"].to_numpy()[:, None] == labels[None, :]
+        whole = (counts == sizes)[None, :] & ~own
+        means = np.where(whole, totals / counts, np.inf).min(1)
+        row, label = np.nonzero(~whole)
+        near = np.flatnonzero(np.isfinite(means))
+        data = rows["dataset"].to_numpy(), rows[ident].to_numpy(), rows["gloss"].to_numpy()
+        parts = pd.DataFrame({n: d[row] for n, d in zip(names, data)})
+        parts["_other"], parts["_sum"], parts["_n"], parts["_b"] = labels[label], totals[row, label], counts[label].astype("int64"), np.nan
+        least = pd.DataFrame({n: d[near] for n, d in zip(names, data)})
+        least["_other"], least["_sum"], least["_n"], least["_b"] = None, np.nan, 0, means[near]
+        return pd.concat([p for p in (parts, least) if len(p)] or [parts])
 
     def per_tile(key, pdf):
         ti, tj = key[-2], key[-1]
@@ -99,33 +106,51 @@ def _block_sums(ident: str, label: str, features: str):
         else:
             left, right = pdf[pdf["_block"] == ti], pdf[pdf["_block"] == tj]
             if left.empty or right.empty:
-                return pd.DataFrame(columns=["dataset", ident, label, "_other", "_sum", "_n"])
+                return pd.DataFrame(columns=names)
             out = pd.concat([sums(left, right), sums(right, left)])
-        out.insert(0, "dataset", key[0])
-        return out
+        for c in ("_sum", "_b"):
+            out[c] = out[c].astype(object).where(out[c].notna(), None)
+        return out[names]
 
     return per_tile
 
 
+def silhouette_tiles(scaled: DataFrame, features: str, ident: str, *, block_rows: int = 2_048) -> DataFrame:
+    """What leaves the tiles of ``silhouette_samples``: for each sample and block one least mean, and sums for its own label and
+    the at most two labels that go on in another block.
+
+    Blocks are runs of samples in label order, so a label lies in one block or in neighbouring ones.
+    """
+    shape = scaled.groupBy(*DATASET).agg(F.count(F.lit(1)).alias("_rows"), F.count_distinct("gloss").alias("_k"))
+    usable = shape.filter((F.col("_rows") >= 3) & F.col("_k").between(2, F.col("_rows") - 1)).select(*DATASET, "_rows")
+    kept = scaled.select(*LABEL, ident, F.col(features).alias("_x"))
+    ranked = rank_rows(kept.select(*LABEL, ident), DATASET, ["gloss", ident], into="_rank")
+    sizes = ranked.groupBy(*LABEL).agg(F.count(F.lit(1)).alias("_size"))
+    placed = salted_join(ranked, sizes, LABEL, salt_on=[ident]).join(usable, DATASET)
+    cut = kept.join(placed, [*LABEL, ident]).withColumns({"_block": F.floor(F.col("_rank") / block_rows), "_last": F.floor((F.col("_rows") - 1) / block_rows)})
+    cut = (
+        cut.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+        .withColumns({"_ti": F.least("_block", "_with"), "_tj": F.greatest("_block", "_with")})
+        .drop("_with", "_last", "_rank", "_rows")
+    )
+    types = dict(scaled.dtypes)
+    schema = f"dataset {types['dataset']}, {ident} {types[ident]}, gloss {types['gloss']}, _other {types['gloss']}, _sum double, _n long, _b double"
+    return cut.groupBy("dataset", "_ti", "_tj").applyInPandas(_block_sums(ident, "_x"), schema)
+
+
 def silhouette_samples(scaled: DataFrame, features: str, ident: str, *, block_rows: int = 2_048) -> DataFrame:
     """Exact Euclidean silhouette of every sample inside its corpus.
 
-    Distances are summed by label inside tiles of two blocks; no pair leaves a tile. The
+    Distances are reduced by label inside tiles of two blocks; no pair leaves a tile. The
     result is written once for the summaries. A sample alone in its label has silhouette 0. Corpora need 2 to n-1 labels.
     """
-    shape = scaled.groupBy(*DATASET).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("gloss").alias("_k"))
-    usable = shape.filter((F.col("_n") >= 3) & F.col("_k").between(2, F.col("_n") - 1)).select(*DATASET)
-    kept = scaled.select(*LABEL, ident, F.col(features).alias("_x")).join(usable, DATASET, "left_semi")
-    types = dict(scaled.dtypes)
-    schema = f"dataset {types['dataset']}, {ident} {types[ident]}, gloss {types['gloss']}, _other {types['gloss']}, _sum double, _n long"
-    cut = tiled(kept, ident, DATASET, block_rows=block_rows)
-    sums = cut.groupBy("dataset", "_ti", "_tj").applyInPandas(_block_sums(ident, "gloss", "_x"), schema)
-    by_label = sums.groupBy("dataset", ident, "gloss", "_other").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+    sums = silhouette_tiles(scaled, features, ident, block_rows=block_rows)
+    by_label = sums.groupBy("dataset", ident, "gloss", "_other").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.min("_b").alias("_least"))
     own = F.col("gloss") == F.col("_other")
     scores = by_label.groupBy("dataset", ident, "gloss").agg(
         F.max(F.when(own, F.col("_n"))).alias("_size"),
         F.max(F.when(own & (F.col("_n") > 1), F.col("_sum") / (F.col("_n") - 1))).alias("_a"),
-        F.min(F.when(~own, F.col("_sum") / F.col("_n"))).alias("_b"),
+        F.min(F.least(F.when(~own, F.col("_sum") / F.col("_n")), F.col("_least"))).alias("_b"),
     )
     a, b = F.col("_a"), F.col("_b")
     widest = F.greatest(a, b)

@@ -696,9 +696,9 @@ def sequence_features(
     for name in pairs:
         a, b = F.col(f"_left_{name}"), F.col(f"_right_{name}")
         pooled += [
-            (F.count(a) + F.count(b)).alias(f"_{name}_n"),
-            sum_if_any(F.sum(a), F.sum(b)).alias(f"_{name}_sum"),
-            sum_if_any(F.sum(a * a), F.sum(b * b)).alias(f"_{name}_squares"),
+            *[F.count(x).alias(f"_{name}_n{i}") for i, x in enumerate((a, b))],
+            *[F.avg(x).alias(f"_{name}_m{i}") for i, x in enumerate((a, b))],
+            *[F.var_pop(x).alias(f"_{name}_v{i}") for i, x in enumerate((a, b))],
         ]
     base = core.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_frames"),
@@ -722,9 +722,12 @@ def sequence_features(
     )
     spread = {}
     for name in pairs:
-        n, s, q = (F.col(f"_{name}_{x}") for x in ("n", "sum", "squares"))
-        spread[f"{name}_dist_mean"] = s / F.nullif(n, F.lit(0))
-        spread[f"{name}_dist_std"] = F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), q / n - (s / n) * (s / n))))
+        # Two sides are pooled by their moments; sums of squares would lose the digits of far values.
+        part = lambda x: [F.coalesce(F.col(f"_{name}_{x}{i}"), F.lit(0.0)) for i in (0, 1)]
+        (n0, n1), (m0, m1), (v0, v1) = part("n"), part("m"), part("v")
+        n = F.nullif(n0 + n1, F.lit(0.0))
+        spread[f"{name}_dist_mean"] = (n0 * m0 + n1 * m1) / n
+        spread[f"{name}_dist_std"] = F.sqrt((n0 * v0 + n1 * v1) / n + (n0 / n) * (n1 / n) * (m0 - m1) * (m0 - m1))
     hands = normalised.select(
         *keys,
         seq.frame,
@@ -751,7 +754,7 @@ def sequence_features(
                 "has_right_hand": F.col("right_valid_frames").isNotNull(),
             }
         )
-        .drop(*[f"_{name}_{x}" for name in pairs for x in ("n", "sum", "squares")])
+        .drop(*[f"_{name}_{x}{i}" for name in pairs for x in "nmv" for i in (0, 1)])
         .join(both, keys, "left")
     )
 

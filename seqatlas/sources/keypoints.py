@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Array names tried in this order when the four declared arrays are absent.
 SEQUENCE_NAMES = (
@@ -119,6 +119,18 @@ def read_frames(spark: SparkSession, root: str, pattern: str = "*.npz") -> DataF
     return decode_frames(reader.load(root))
 
 
+def archive_metadata(frames: DataFrame) -> DataFrame:
+    """One row per archive from its decoded frames: number of frames, scalars, and the share of valid
+    frames of each part (NULL without a mask). A file that failed keeps its error."""
+    flags = {"pose": "v_pose", "left_hand": "v_left", "right_hand": "v_right", "face": "v_face"}
+    return frames.groupBy("path").agg(
+        F.count("frame").alias("num_frames"),
+        *[F.max(c).alias(c) for c in SCALARS],
+        *[F.avg(F.col(flag).cast("double")).alias(f"valid_{part}_ratio") for part, flag in flags.items()],
+        F.max("error").alias("error"),
+    )
+
+
 def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = []

@@ -31,14 +31,24 @@ def _vietnamese_table() -> tuple[str, str, str]:
     return "".join(source), "".join(target), "".join(undefined)
 
 
+def _open_quotes(line: Column) -> Column:
+    """An odd number of quotes: a quoted field goes on in the next line."""
+    return F.pmod(F.length(line) - F.length(F.replace(line, F.lit('"'))), F.lit(2)) == 1
+
+
+def _split_line(line: Column) -> Column:
+    return F.transform(F.split(line, ","), lambda h: F.trim(F.regexp_replace(h, '^\\s*"|"\\s*$', "")))
+
+
 def read_csv_any_encoding(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """CSV files in UTF-8 (with or without byte-order mark), code page 1258 or Latin-1.
 
     Every file has its own header, its first line; columns are matched by name without regard
     to case, in any order, and one that a file lacks is NULL. Without ``columns`` the names are those
     of the first file by path. The encoding is decided per file from all of its lines. Lines
-    are split and decoded by Spark, so a large file is read in parallel; a quoted field that spans lines
-    fails the query. Values stay text; ``_encoding`` tells what was used.
+    are split and decoded by Spark, so a large file is read in parallel. Only files with a quoted field that
+    spans lines are read again as a whole, each by one task, in the encoding found. Values stay text;
+    ``_encoding`` tells what was used.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
@@ -53,32 +63,54 @@ def read_csv_any_encoding(spark: SparkSession, paths: str | Sequence[str], colum
         F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
         F.bool_or(F.when(~F.is_valid_utf8("value"), as_latin.rlike(pattern)).otherwise(False)).alias("_not_1258"),
         F.min(F.when((F.col("_block") == 0) & (F.length(F.trim("value")) > 0), F.col("_at"))).alias("_first"),
+        F.bool_or(_open_quotes(as_latin)).alias("_spans"),
     )
     encoding = F.when(F.col("_utf8"), "utf-8").when(~F.col("_not_1258"), "cp1258").otherwise("latin1")
-    marked = lines.join(files.select("_file", "_first", encoding.alias("_encoding")), "_file")
+    files = cut_lineage(files.select("_file", "_first", "_spans", encoding.alias("_encoding")))
+    marked = lines.join(files, "_file")
     decoded = (
         F.when(F.col("_encoding") == "utf-8", F.regexp_replace("value", f"^{BOM}", ""))
         .when(F.col("_encoding") == "cp1258", F.translate(as_latin, source, target))
         .otherwise(as_latin)
     )
-    marked = marked.select("_file", "_at", "_first", "_encoding", F.regexp_replace(decoded, "\r$", "").alias("_line")).filter(F.length(F.trim("_line")) > 0)
-    heads = marked.filter(F.col("_at") == F.col("_first")).select(
-        "_file", F.transform(F.split("_line", ","), lambda h: F.trim(F.regexp_replace(h, '^\\s*"|"\\s*$', ""))).alias("_head")
-    )
+    marked = marked.select("_file", "_at", "_first", "_encoding", "_spans", F.regexp_replace(decoded, "\r$", "").alias("_line")).filter(F.length(F.trim("_line")) > 0)
+    heads = marked.filter(F.col("_at") == F.col("_first")).select("_file", _split_line(F.col("_line")).alias("_head"))
     # One row, whatever the number of files.
     shape = heads.agg(F.max(F.size("_head")).alias("width"), F.min_by("_head", "_file").alias("names")).first()
     if shape["width"] is None:
         raise InputError("the CSV files are empty")
-    names = list(columns) if columns else shape["names"]
-    fields = ", ".join(f"_c{i} string" for i in range(shape["width"]))
-    whole = F.pmod(F.length("_line") - F.length(F.replace("_line", F.lit('"'))), F.lit(2)) == 0
-    rows = marked.filter(F.col("_at") != F.col("_first")).filter(must_hold(whole, "a quoted CSV field spans lines"))
-    parsed = rows.join(heads, "_file").select(
-        "_encoding", F.transform("_head", lambda h: F.lower(h)).alias("_head"), F.from_csv("_line", F.lit(fields), {"quote": '"', "escape": '"'}).alias("_r")
-    )
-    values = F.array(*[F.col(f"_r._c{i}") for i in range(shape["width"])])
+    names, width = list(columns) if columns else shape["names"], shape["width"]
+    fields = ", ".join(f"_c{i} string" for i in range(width))
+    rows = marked.filter((F.col("_at") != F.col("_first")) & ~F.col("_spans"))
+    parsed = rows.select("_file", "_encoding", F.from_csv("_line", F.lit(fields), {"quote": '"', "escape": '"'}).alias("_r"))
+    values = F.array(*[F.col(f"_r._c{i}") for i in range(width)])
+    cells = parsed.select("_file", "_encoding", values.alias("_values"))
+    # The names of the files that are read as a whole; there are as many as such files.
+    whole: dict[str, list[str]] = {}
+    for row in files.filter("_spans").select("_file", "_encoding").collect():
+        whole.setdefault(row["_encoding"], []).append(row["_file"])
+    for name, paths_ in sorted(whole.items()):
+        cells = cells.unionByName(_records(spark, paths_, name, width))
+    joined = cells.join(heads.select("_file", F.transform("_head", lambda h: F.lower(h)).alias("_head")), "_file")
     place = lambda n: F.array_position("_head", F.lit(n.lower())).cast("int")
-    return parsed.select(*[F.when(place(n) > 0, F.get(values, place(n) - 1)).alias(n) for n in names], "_encoding")
+    return joined.select(*[F.when(place(n) > 0, F.get("_values", place(n) - 1)).alias(n) for n in names], "_encoding")
+
+
+def _records(spark: SparkSession, paths: Sequence[str], encoding: str, width: int) -> DataFrame:
+    """(_file, _encoding, _values) of the records of whole files, without their headers."""
+    fields = ", ".join(f"_c{i} string" for i in range(width))
+    charset = "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
+    reader = spark.read.schema(fields).options(multiLine="true", quote='"', escape='"', encoding=charset)
+    # A file with line breaks in fields is never split; its first record is the header.
+    rows = reader.csv(list(paths)).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    rows = cut_lineage(rows)
+    first = rows.groupBy("_file").agg(F.min("_at").alias("_first"))
+    body = rows.join(first, "_file").filter(F.col("_at") != F.col("_first"))
+    source, target, _ = _vietnamese_table()
+    # Spark's reader does not know code page 1258: its letters are translated from Latin-1 as in split lines.
+    letters = lambda c: F.translate(c, source, target) if encoding == "cp1258" else c
+    clean = lambda c: letters(F.regexp_replace(c, "\r$", ""))
+    return body.select("_file", F.lit(encoding).alias("_encoding"), F.array(*[clean(F.col(f"_c{i}")) for i in range(width)]).alias("_values"))
 
 
 def discover_files(spark: SparkSession, roots: Sequence[str], pattern: str = "*.csv", skip: str | None = None) -> DataFrame:

@@ -194,6 +194,14 @@ def test_silhouette_matches_brute_force(points, block_rows):
     assert all(-1 <= v <= 1 for v in got.values())
 
 
+def test_silhouette_tiles_send_few_rows(spark):
+    """Labels of two samples: pairs are not sent; a sample leaves a tile with its least mean and the border labels."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([("d", f"g{i // 2:03d}", i, rng.normal(size=4).tolist()) for i in range(300)], "dataset string, gloss string, id long, x array<double>")
+    sent = SE.silhouette_tiles(df, "x", "id", block_rows=51).count()
+    assert sent <= 300 * 6 * 4 < 300 * 150 / 4
+
+
 @pytest.mark.parametrize("block_rows", [13, 1000])
 def test_nearest_candidates_match_brute_force(points, block_rows):
     rows, df = points
@@ -392,6 +400,33 @@ def test_declared_archive_and_layout(spark):
     assert info["pose"].shape == "(2, 330)" and info["pose"].has_nan is False
 
 
+def test_csv_fields_over_several_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('\ufeffID,Label\r\n1,"one\r\n\r\ntwo, ""three"""\r\n2,é\r\n3,\r\n'.encode())
+    (tmp_path / "b.csv").write_bytes("label,id\n\"\xf0\nx\",4\nplain,5\n".encode("latin1"))
+    (tmp_path / "c.csv").write_text("id,label\n6,on one line\n")
+    got = {r.id: (r.label, r._encoding) for r in T.read_csv_any_encoding(spark, str(tmp_path), columns=["id", "label"]).collect()}
+    assert {k: v[0].replace("\r", "") if v[0] else v[0] for k, v in got.items()} == {
+        "1": 'one\n\ntwo, "three"', "2": "é", "3": None, "4": "đ\nx", "5": "plain", "6": "on one line",
+    }
+    assert {k: v[1] for k, v in got.items()} == {"1": "utf-8", "2": "utf-8", "3": "utf-8", "4": "cp1258", "5": "cp1258", "6": "utf-8"}
+
+
+def test_pooled_distances_far_from_zero(spark):
+    """Deviations of distances near a million keep their digits."""
+    from seqatlas.distribution import Sequences
+    from seqatlas.operators import sequences as S
+
+    rng = np.random.default_rng(7)
+    left, right = rng.normal(size=40), rng.normal(size=40)
+    point = lambda x: (float(x), 0.0, 0.0)
+    rows = [(1, f, point(1e6 + a), point(1e6 + b), point(0), point(0), True, True, True, True, 0.0, 0.0, 0.0, 0.0, 1.0) for f, (a, b) in enumerate(zip(left, right))]
+    p = "struct<x:double,y:double,z:double>"
+    df = spark.createDataFrame(rows, f"v long, frame long, left {p}, right {p}, pose {p}, face {p}, has_left boolean, has_right boolean, has_pose boolean, has_face boolean, left_invalid double, right_invalid double, pose_invalid double, face_invalid double, scale double")
+    got = S.sequence_features(df, Sequences(("v",))).collect()[0]
+    both = np.concatenate([1e6 + left, 1e6 + right])
+    assert got.hand_face_dist_std == pytest.approx(both.std(), rel=1e-6) and got.hand_body_dist_mean == pytest.approx(both.mean())
+
+
 def test_label_map_files(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"7": "seven"}')
     (tmp_path / "m.txt").write_text("7 seven\n\n12 a dozen\n")
