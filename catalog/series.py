@@ -6,7 +6,8 @@ from seqatlas.functions import arrays as A
 from seqatlas.operators import sequences as S
 from seqatlas.session import cut_lineage
 
-USERS = Sequences(("user_id",))
+# Short chunks, so that sequences of a few dozen frames already cross borders.
+USERS = Sequences(("user_id",), chunk_rows=48)
 BLOCK = 65_536
 
 K = "CAST(json_extract(props, '$.k') AS DOUBLE)"

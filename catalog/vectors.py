@@ -121,7 +121,7 @@ si AS (SELECT dataset, gloss, vec_id, CASE WHEN n = 1 THEN 0 WHEN greatest(a, b)
 
 @query("sep_silhouette", f"WITH {silhouette_sql()} SELECT dataset, gloss, {R('avg(s)')} AS silhouette_mean, {R('median(s)')} AS silhouette_median, count(*) AS num_samples FROM si GROUP BY ALL")
 def sep_silhouette(t):
-    return rounded(SE.silhouette_by_label(SE.silhouette_samples(by_dataset(t), "scaled", "vec_id")))
+    return rounded(SE.silhouette_by_label(SE.silhouette_samples(by_dataset(t), "scaled", "vec_id", block_rows=100)))
 
 
 DB = f"""sp AS (SELECT dataset, gloss, compactness AS s FROM k), r2 AS (SELECT cp.dataset, gloss_a, gloss_b, (a.s + b.s) / e AS r FROM cp JOIN sp a ON a.dataset = cp.dataset AND a.gloss = gloss_a JOIN sp b ON b.dataset = cp.dataset AND b.gloss = gloss_b),
@@ -190,7 +190,7 @@ d AS (SELECT a.dataset, a.vec_id AS i, b.vec_id AS j, row_number() OVER (PARTITI
 SELECT DISTINCT dataset, least(i, j) AS vec_id_a, greatest(i, j) AS vec_id_b FROM d WHERE r <= 20""")
 def join_knn_candidates(t):
     e = rows(t, planted=False).select((F.col("vec_id") % 2).alias("dataset"), "vec_id", "features")
-    return SE.nearest_candidates(e, "vec_id", "features", 20)
+    return SE.nearest_candidates(e, "vec_id", "features", 20, block_rows=100)
 
 
 def kmeans_sql(k: int = 8, rounds: int = 60, seed: int = 42) -> str:
