@@ -19,13 +19,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that occur more than once go; every document stays."""
-    return suffix_dedup.without_repeats(docs)
+    """Bytes of 250-byte strings that occur more than once go; every document stays.
+
+    Passages of over fifty words have at least about 280 bytes, so the window lies inside each.
+    """
+    return suffix_dedup.without_repeats(docs, window=250, gram=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with at least one word in twenty inside a benchmark window go; the others stay as they are."""
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents with at least one word in twenty inside a benchmark window go; from the others, runs of hit words
+    as long as a window or longer are cut."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut_longer_than=12)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import pickle
 import re
 import sys
 import types
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqatlas.session import shared_folder
 
@@ -26,18 +31,37 @@ _WORD_BYTE[0x80:] = True
 _PRIME = 0x9E3779B97F4A7C15 | 1
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back.
+def files_for(rows: int, each: int = 20_000) -> int:
+    """Files (and last tasks) for a stage table of about so many rows: few small ones, and ever more with the rows."""
+    return max(8, -(-rows // each))
+
+
+def stage(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write the rows to the shared folder and read them back, in at most ``files`` files.
 
     A lost executor then costs no recomputation, and several passes read the same rows.
     """
+    if files is not None:
+        df = df.coalesce(files)
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand Python about BATCH_BYTES at a time, unless the session sets a smaller bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = str(spark.conf.get(name)).lower().rstrip("b")
+    if not have.isdigit() or int(have) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def whole_documents(docs: DataFrame, *more: str) -> DataFrame:
     """The columns an operator reads: doc_id and text (null: empty), without any other column."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
@@ -46,6 +70,48 @@ def process_cache() -> dict:
     return sys.modules.setdefault("_seqatlas_process_cache", types.ModuleType("_seqatlas_process_cache")).__dict__
 
 
+def release(*keep: str) -> None:
+    """Let go of what earlier operators cached in this Python worker, but for the named entries and small tables."""
+    cache = process_cache()
+    for name in [k for k in cache if k not in ("powers", "byte_values", "gamma", "sent", *keep) and not k.startswith("__")]:
+        del cache[name]
+    # Freed memory goes back to the system: a worker is kept for many tasks, beside the JVM's own memory.
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+class Sent:
+    """A value for all tasks, broadcast as bytes.
+
+    Spark pickles what it broadcasts by reference to its module; these bytes hold the class itself, so
+    workers need not be able to import the package. A worker opens them once.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self._name = uuid.uuid4().hex
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        opened = process_cache().setdefault("sent", {})
+        if self._name not in opened:
+            while len(opened) >= 4:
+                opened.pop(next(iter(opened)))
+            opened[self._name] = pickle.loads(self._bytes.value)
+        return opened[self._name]
+
+
+def unused(name: str, columns: Sequence[str]) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash so that all its bits depend on all bits of ``h``."""
     h = h ^ (h >> np.uint64(30))

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from seqatlas.llm.common import whole_documents, words_of
+from seqatlas.llm.common import Sent, bounded_batches, release, whole_documents, words_of
 
 HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<first:long,last:long>>"
 
@@ -166,9 +166,10 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_word
     but such items are not among the items found; repeated rows give repeated rows.
     """
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(a) for a in automata(benchmark, width, block_words)]
+    blocks = [Sent(spark, a) for a in automata(benchmark, width, block_words)]
 
     def scan(batches):
+        release()
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -190,17 +191,19 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_word
     return whole_documents(docs).mapInPandas(scan, HITS)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, cut_longer_than: int | None = None, block_words: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, cut_longer_than: int | None = None, block_words: int = 500_000, size_column: str | None = "n_chars") -> DataFrame:
     """The documents that stay, with all their columns.
 
     Contaminated documents go. With ``cut_longer_than`` the hit spans of more than so many words
-    are also cut from the texts that stay (the words and what stands between them).
+    are also cut from the texts that stay (the words and what stands between them), and
+    ``size_column``, if there is one, gets the new length of such a text.
     """
     import re
 
     from seqatlas.llm.common import WORD_CLASS
 
-    blocks = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, width, block_words)]
+    bounded_batches(docs.sparkSession)
+    blocks = [Sent(docs.sparkSession, a) for a in automata(benchmark, width, block_words)]
     word, schema, at = re.compile(WORD_CLASS.encode()), docs.schema, docs.columns.index("text")
 
     def clean(text: str | None) -> str | None:
@@ -224,12 +227,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
             return data.decode()
         return text
 
+    names = docs.columns
+
     def keep(batches):
         import pyarrow as pa
 
+        release()
+
         for batch in batches:
-            texts = [clean(t) for t in batch.column(at).to_pylist()]
-            stays = pa.array([t is not False for t in texts])
+            before = batch.column(at).to_pylist()
+            texts = [clean(t) for t in before]
+            stays = pa.array([t is not False for t in texts], pa.bool_())
+            if size_column in names:
+                k = names.index(size_column)
+                sizes = [c if a == b or not b else len(b) for c, a, b in zip(batch.column(k).to_pylist(), before, texts)]
+                batch = batch.set_column(k, batch.schema.field(k), pa.array(sizes, batch.schema.field(k).type))
             batch = batch.set_column(at, batch.schema.field(at), pa.array([t or (None if t is None else "") for t in texts], batch.schema.field(at).type))
             yield batch.filter(stays)
 

@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from seqatlas.llm.common import Sent, bounded_batches, release
+
 DIMENSIONS = 1 << 12
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 
@@ -170,9 +172,11 @@ def identify(docs: DataFrame, model: Model, ambiguous_below: float = 0.5) -> Dat
     A null text and one without a letter are ``und`` with score 0 and not ambiguous, as is every
     text when nothing could be learned. Repeated rows give repeated rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
+    shared = Sent(docs.sparkSession, model)
 
     def run(batches):
+        release()
         m = shared.value
         for batch in batches:
             names, scores, unclear = predictions(m, batch["text"].tolist(), ambiguous_below)
@@ -209,12 +213,14 @@ def label_documents(docs: DataFrame, per_language: int = 400, ambiguous_below: f
 
 def reject_unidentified(docs: DataFrame, per_language: int = 400, ambiguous_below: float = 0.5) -> DataFrame:
     """The documents whose language is known and clear, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out()), per_language))
+    bounded_batches(docs.sparkSession)
+    model = Sent(docs.sparkSession, train(docs.where(~held_out()), per_language))
     at = docs.columns.index("text")
 
     def keep(batches):
         import pyarrow as pa
 
+        release()
         for batch in batches:
             names, _, unclear = predictions(model.value, batch.column(at).to_pylist(), ambiguous_below)
             yield batch.filter(pa.array([n != "und" and not u for n, u in zip(names, unclear)]))

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from seqatlas.llm.common import mix, process_cache, shingle_table, slices, stage, whole_documents
+from seqatlas.llm.common import files_for, mix, process_cache, release, shingle_table, slices, stage, unused, whole_documents
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 2
@@ -44,6 +44,7 @@ def document_frequencies(texts: DataFrame, width: int = WIDTH) -> tuple[np.ndarr
     part = BUCKETS // 64
 
     def count(batches):
+        release()
         table, documents = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             documents += len(batch)
@@ -144,6 +145,7 @@ def band_rows(texts: DataFrame, idf, width: int = WIDTH, bands: int = BANDS, row
     def run(batches):
         import hashlib
 
+        release()
         for batch in batches:
             ids, texts_ = batch["doc_id"].astype("Int64"), batch["text"].tolist()
             bands_out, digests, sizes = [], [], []
@@ -172,6 +174,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf, width: int = WIDTH) ->
     both = pairs.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches):
+        release()
         for batch in batches:
             found = np.zeros(len(batch))
             for first, part in _pairs_of(batch):
@@ -203,35 +206,35 @@ def _pairs_of(batch: pd.DataFrame, size: int = 1 << 20):
         yield first, part
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(node, component) of all nodes of edges (a, b): the smallest node reachable.
 
     Each round every node takes the smallest label among itself and its neighbours, and then
     the label of its label; labels are written to the shared folder, so the plan stays short.
     """
-    both = stage(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("node"), F.least("a", "_m").alias("component")), "labels")
+    both = stage(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges", files)
+    labels = stage(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("node"), F.least("a", "_m").alias("component")), "labels", files)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("_near"))
         hop = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", "_near").alias("_to"), F.col("component").alias("_was"))
         names = labels.select(F.col("node").alias("_node"), F.col("component").alias("_of"))
         new = hop.join(names, F.col("_to") == F.col("_node"), "left").select("node", F.least("_to", "_of").alias("component"), "_was")
-        new = stage(new, "labels")
+        new = stage(new, "labels", files)
         if new.where("component < _was").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")
 
 
-def _open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
+def _open_buckets(members: DataFrame, links: DataFrame, files: int | None = None) -> DataFrame:
     """The members of buckets that hold several components, with their component.
 
     They have the number of members of the bucket (``_n``) and ``inner``: outside the bucket's largest component.
     """
-    linked = components(links)
+    linked = components(links, files)
     sizes = linked.groupBy("component").agg(F.count("*").alias("_size"))
     placed = members.join(linked.join(sizes, "component"), F.col("key") == F.col("node"), "left")
     placed = placed.select("band", "hash", "key", "_order", "center", F.coalesce("component", "key").alias("component"), F.coalesce("_size", F.lit(1)).alias("_size"))
-    placed = stage(placed, "placed")
+    placed = stage(placed, "placed", files)
     largest = F.max(F.struct("_size", "component"))["component"].alias("_largest")
     apart = placed.groupBy("band", "hash").agg(F.count("*").alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"), largest)
     apart = apart.where("_low <> _high").drop("_low", "_high")
@@ -248,6 +251,7 @@ def prefixes(texts: DataFrame, idf, table, threshold: float = THRESHOLD, width:
     """
 
     def run(batches):
+        release()
         for batch in batches:
             for first, part in slices(batch["text"], 1 << 20):
                 text, shingle, weight = weighted_shingles(part, idf.value, width)
@@ -263,7 +267,7 @@ def prefixes(texts: DataFrame, idf, table, threshold: float = THRESHOLD, width:
     return texts.select("key", "text").mapInPandas(run, "key string, token long, before double, total double")
 
 
-def _prefix_pairs(open_: DataFrame, classes: DataFrame, reps: DataFrame, idf, table, threshold: float, width: int) -> DataFrame:
+def _prefix_pairs(open_: DataFrame, classes: DataFrame, reps: DataFrame, idf, table, threshold: float, width: int, files: int | None = None) -> DataFrame:
     """Pairs (x, y, component, _of) of members of different components that may still be similar enough.
 
     x is outside the largest component of one of its buckets. The first shingle that two texts share must leave
@@ -271,10 +275,10 @@ def _prefix_pairs(open_: DataFrame, classes: DataFrame, reps: DataFrame, idf, ta
     carry 64-bit hashes of keys and components.
     """
     keys = open_.groupBy("key").agg(F.max("inner").alias("inner"), F.first("component").alias("component"))
-    keys = stage(keys.join(classes.select("key", "bands"), "key").withColumn("id", F.xxhash64("key")), "open")
+    keys = stage(keys.join(classes.select("key", "bands"), "key").withColumn("id", F.xxhash64("key")), "open", files)
     tokens = prefixes(reps.join(keys.select("key"), "key", "left_semi"), idf, table, threshold, width)
     tokens = tokens.join(keys.select("key", "id", "inner", F.xxhash64("component").alias("of")), "key").drop("key")
-    tokens = stage(tokens, "tokens")
+    tokens = stage(tokens, "tokens", files)
     # Only shingles of several components, at least one of them outside the largest, can link anything.
     of_token = tokens.groupBy("token").agg(F.min("of").alias("_low"), F.max("of").alias("_high"), F.max("inner").alias("_any"))
     tokens = tokens.join(of_token.where("_low <> _high and _any").select("token"), "token")
@@ -300,33 +304,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     spark = docs.sparkSession
     texts = whole_documents(docs)
     table, n = document_frequencies(texts, width)
+    # Every table below has about as many rows as there are documents, or fewer.
+    files = files_for(n)
     idf = spark.sparkContext.broadcast(inverse_frequencies(table, n, common))
-    rows = stage(band_rows(texts, idf, width), "bands")
-    classes = stage(rows.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n_shingles")), "classes")
+    rows = stage(band_rows(texts, idf, width), "bands", files)
+    classes = stage(rows.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n_shingles")), "classes", files)
     keys = classes.where("n_shingles > 0").select("key", F.posexplode("bands").alias("band", "hash"))
     # Buckets with more than one class. A text that others were copied from shares more bands with
     # them than they do among each other, so members are compared with those of the largest buckets.
     sizes = keys.groupBy("band", "hash").agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = stage(keys.join(sizes, ["band", "hash"]), "shared")
-    degree = stage(shared.groupBy("key").agg(F.sum("_n").alias("degree")), "degrees")
+    shared = stage(keys.join(sizes, ["band", "hash"]), "shared", files)
+    degree = stage(shared.groupBy("key").agg(F.sum("_n").alias("degree")), "degrees", files)
     ranked = shared.select("band", "hash", "key").join(degree, "key").withColumn("_order", F.struct(F.col("degree").alias("d"), F.col("key").alias("k")))
     buckets = ranked.groupBy("band", "hash").agg(F.max("_order").alias("_center"))
     members = ranked.join(buckets, ["band", "hash"]).select("band", "hash", "key", "_order", F.col("_center.k").alias("center"), "_center")
-    members = stage(members, "members")
+    members = stage(members, "members", files)
     candidates = members.select("key").distinct()
-    reps = stage(texts.select(F.md5("text").alias("key"), "text").join(candidates, "key").groupBy("key").agg(F.first("text").alias("text")), "candidates")
+    reps = stage(texts.select(F.md5("text").alias("key"), "text").join(candidates, "key").groupBy("key").agg(F.first("text").alias("text")), "candidates", files)
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return stage(similarities(pairs, reps, idf, width), "similar")
+        return stage(similarities(pairs, reps, idf, width), "similar", files)
 
     # First each member with the foremost center of its buckets, which is the same one for most of a group.
     first = members.groupBy("key").agg(F.max("_center")["k"].alias("y")).withColumnRenamed("key", "x").where("x <> y")
     tested = verify(first.select(*pair).distinct())
     for step in ("center", *range(STARS), "rest"):
-        open_ = _open_buckets(members, tested.where(F.col("similarity") >= threshold))
+        open_ = _open_buckets(members, tested.where(F.col("similarity") >= threshold), files)
         if step == "rest":
-            pairs = _prefix_pairs(open_, classes, reps, idf, spark.sparkContext.broadcast(table), threshold, width)
+            pairs = _prefix_pairs(open_, classes, reps, idf, spark.sparkContext.broadcast(table), threshold, width, files)
         elif step == "center":
             pairs = open_.select(F.col("key").alias("x"), F.col("center").alias("y"), "component", F.lit("").alias("_of"))
         else:
@@ -338,10 +344,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         pairs = pairs.where("x <> y and component <> _of").select(*pair).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = tested.unionByName(verify(pairs))
     close = tested.where(F.col("similarity") >= threshold)
-    linked = components(close)
+    linked = components(close, files)
     best = close.select("a", "similarity").union(close.select("b", "similarity")).groupBy("a").agg(F.max("similarity").alias("best_similarity"))
     of_class = classes.select("key", "class_id").join(linked, F.col("key") == F.col("node"), "left").join(best, F.col("key") == F.col("a"), "left")
-    of_class = stage(of_class.select("key", "class_id", F.coalesce("component", "key").alias("component"), "best_similarity"), "classes")
+    of_class = stage(of_class.select("key", "class_id", F.coalesce("component", "key").alias("component"), "best_similarity"), "classes", files)
     first_row = F.min(F.struct(F.col("class_id").isNull().alias("n"), F.col("class_id").alias("c"), F.col("key").alias("k")))
     clusters = of_class.groupBy("component").agg(first_row.alias("_f")).select("component", F.col("_f.c").alias("cluster_id"), F.col("_f.k").alias("keeps"))
     of_class = of_class.join(clusters, "component").select("key", "class_id", "cluster_id", "best_similarity", "keeps")
@@ -351,9 +357,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """One document of each cluster, that with the smallest doc_id, with all its columns; of repeated rows one stays."""
+    identity, key = (unused(n, docs.columns) for n in ("_id", "_key"))
     found = near_duplicates(docs, threshold, width)
-    kept = found.where("key = keeps and doc_id <=> cluster_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    kept = found.where("key = keeps and doc_id <=> cluster_id").select(F.col("doc_id").alias(identity), F.col("key").alias(key)).distinct()
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_key")), "left_semi")
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(identity)) & (digest == F.col(key)), "left_semi")
     # Copies that share the id as well: any one of them.
-    return rows.withColumn("_key", digest).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return rows.withColumn(key, digest).dropDuplicates(["doc_id", key]).drop(key)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seqatlas.llm.common import crc32, stage, whole_documents
+from seqatlas.llm.common import crc32, release, Sent, stage, whole_documents
 from seqatlas.llm.tokens import WordEncoder, encoder, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int, place long"
@@ -34,6 +34,7 @@ def tokenised_pieces(docs: DataFrame, size: int = 2048, path: str | None = None,
     end = np.zeros(1, "<u4").tobytes()
 
     def cut(batches):
+        release("encoders")
         encode = encoder(WordEncoder, path)
         shard, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
@@ -212,7 +213,7 @@ def pack(pieces: DataFrame, size: int = 2048, most: int = 3) -> DataFrame:
     # At most ``size`` rows, whatever the input.
     for row in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect():
         histogram[row["length"]] = row["n"]
-    plan = pieces.sparkSession.sparkContext.broadcast(plan_packing(histogram, most))
+    plan = Sent(pieces.sparkSession, plan_packing(histogram, most))
     # A shard holds one task's pieces: no length, however common, is one group here.
     joined = pieces.join(numbered.select("length", "shard", "_before"), ["length", "shard"])
     columns = [f for f in pieces.schema.fields if f.name not in ("shard", "place")]

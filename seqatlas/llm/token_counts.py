@@ -17,7 +17,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from seqatlas.llm.common import process_cache, whole_documents
+from seqatlas.llm.common import process_cache, release, whole_documents
 from seqatlas.llm.tokens import Recent, _byte_letters, vocabulary
 
 # Fixed value: how the byte-level vocabulary cuts a text. White space is the Unicode property, which
@@ -110,6 +110,7 @@ def count_tokens(docs: DataFrame, limit: int = 512, path: str | None = None) ->
     path = path or vocabulary("byte_bpe_50k.json")
 
     def run(batches):
+        release("merge_counters")
         count = counter(path)
         for batch in batches:
             texts = batch["text"].tolist()

@@ -20,7 +20,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seqatlas.llm.common import crc32, stage, whole_documents
+from seqatlas.llm.common import crc32, release, stage, whole_documents
 from seqatlas.llm.tokens import ByteEncoder, encoder, vocabulary
 
 MAGIC = b"WMX1"
@@ -162,6 +162,7 @@ def write_files(docs: DataFrame, path: str | None = None, end_id: int = 2, shard
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        release("encoders")
         encode = encoder(ByteEncoder, path)
         task, shard, parts, ids, starts = TaskContext.get().partitionId(), 0, [], [], [0]
 
