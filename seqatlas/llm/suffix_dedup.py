@@ -29,12 +29,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from seqatlas.llm.common import Prefix, mix, stage, whole_documents
+from seqatlas.llm.common import Prefix, files_for, mix, release, stage, unused, whole_documents
 
 WINDOW, GRAM = 400, 200
 SEGMENT = 1 << 23
+RANGE_BYTES = 1 << 24
+_ODD = 0x9E3779B97F4A7C15
 SMALL = 12
-SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -226,6 +228,18 @@ def window_hashes(right: list[bytes], left: list[bytes], room: int) -> tuple[np.
     return out[0], out[1]
 
 
+def _matched(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Rows with their key's columns from ``counted`` (one row a key, ``n`` rows of ``rows`` at most each).
+
+    Keys with more than a thousandth of all rows, a thousand at most, are broadcast; the others
+    are joined by a shuffle in which none of them is large.
+    """
+    limit = max(total // 1000, 1)
+    hot, rest = counted.where(F.col(n) > limit), counted.where(F.col(n) <= limit)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(others.join(rest, keys))
+
+
 def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int | None = None, most: int = 4096) -> DataFrame:
     """(doc_id, text_hash, first, last) of byte runs that repeat; runs may touch and overlap.
 
@@ -235,6 +249,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
     texts = whole_documents(docs).withColumn("text_hash", F.xxhash64("text"))
 
     def find(batches):
+        release()
         for batch in batches:
             out = [[] for _ in range(5)]
             for doc_id, text_hash, text in zip(batch["doc_id"].astype("Int64"), batch["text_hash"], batch["text"]):
@@ -249,18 +264,24 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
 
     # A null id counts as 0 here; text_hash and place still tell its rows apart.
     found = stage(texts.where(F.octet_length("text") >= window).mapInPandas(find, "doc_id long, text_hash long, place int, gram long, around long"), "anchors")
+    total = found.count()
+    files = files_for(total, 500_000)
+    # Most grams occur once; they are counted alone, and only anchors with a repeated one travel.
+    grams = stage(found.groupBy("gram").agg(F.count("*").alias("all")).where("all > 1"), "grams", files)
+    found = stage(_matched(found, grams, ["gram"], "all", total).drop("all"), "repeated", files)
     classes = found.groupBy("gram", "around").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "place")).alias("one"))
-    classes = stage(classes, "surroundings")
-    grams = classes.groupBy("gram").agg(F.sum("times").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    known = stage(classes.join(grams, "gram").select("gram", "around", "times", "one", "kinds"), "repeated")
+    classes = stage(classes, "surroundings", files)
+    kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    known = stage(_matched(classes, kinds, ["gram"], "kinds", total), "kinds", files)
     # Every anchor with the same gram and surroundings elsewhere: all its windows repeat.
-    settled = found.join(known.where("times > 1").select("gram", "around"), ["gram", "around"])
+    settled = _matched(found, classes.where("times > 1").select("gram", "around", "times"), ["gram", "around"], "times", total)
     settled = settled.select("doc_id", "text_hash", (F.col("place") - room).alias("first"), (F.col("place") + window).alias("last"))
     # One suffix for each different surrounding of a gram that has several.
-    wanted = known.where("kinds > 1").select("one.doc_id", "one.text_hash", F.struct(F.col("one.place").alias("place"), "gram", "times", (F.col("kinds") > most).alias("hot")).alias("s"))
+    wanted = known.select("one.doc_id", "one.text_hash", F.struct(F.col("one.place").alias("place"), "gram", "times", (F.col("kinds") > most).alias("hot")).alias("s"))
     wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("s").alias("suffixes"))
     own = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    parts = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
+    # Ranges are sized by what is sorted: each holds about RANGE_BYTES.
+    parts = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known.count() * 2 * room // RANGE_BYTES))
 
     def make_runs(batches):
         """Sorted, front-coded runs of the suffixes of a task, one row for each range; hot grams by window."""
@@ -269,7 +290,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
             for doc_id, text_hash, text, suffixes in zip(batch["doc_id"], batch["text_hash"], batch["text"], batch["suffixes"]):
                 data = text.encode()
                 for s in suffixes:
-                    place, g = s["place"], int(s["gram"]) % (1 << 64)
+                    # Anchors have the smallest hashes of their windows; multiplied, these fill all ranges evenly.
+                    place, g = s["place"], int(s["gram"]) * _ODD % (1 << 64)
                     right, left = data[place + gram : place + window], data[max(place - room, 0) : place]
                     rows.append((_suffix(g, right, left), int(doc_id), int(text_hash), place, int(s["times"])))
             rows.sort()
@@ -333,8 +355,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
     hot = own.withColumn("suffixes", F.filter("suffixes", lambda s: s["hot"])).where(F.size("suffixes") > 0)
     runs = normal.mapInPandas(make_runs, "range int, shared array<int>, rest binary, sizes array<int>, ids array<long>, hashes array<long>, places array<int>, times array<long>")
     spans = "doc_id long, text_hash long, first int, last int"
-    merged = stage(runs.groupBy("range").applyInPandas(merge, spans), "merged")
-    windows = stage(hot.mapInPandas(hot_windows, "gram long, h1 long, h2 long, offset int, doc_id long, text_hash long, place int"), "windows")
+    merged = stage(runs.repartition(parts, "range").groupBy("range").applyInPandas(merge, spans), "merged", files)
+    windows = stage(hot.mapInPandas(hot_windows, "gram long, h1 long, h2 long, offset int, doc_id long, text_hash long, place int"), "windows", files)
     seen = ["gram", "h1", "h2", "offset"]
     repeated = windows.groupBy(*seen).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     hot_spans = windows.join(repeated, seen).select("doc_id", "text_hash", (F.col("place") - F.col("offset")).alias("first"), (F.col("place") - F.col("offset") + window).alias("last"))
@@ -361,34 +383,36 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def _with_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """The documents with an array column _spans (null: none)."""
-    found = removed_spans(docs, window, gram).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_spans")
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(found, on, "left").drop("_id", "_hash")
+def _with_spans(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, str]:
+    """The documents with an array column of spans (null: none) as the last one, and its name."""
+    identity, digest, spans = (unused(n, docs.columns) for n in ("_id", "_hash", "_spans"))
+    found = removed_spans(docs, window, gram).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias(spans))
+    found = found.select(F.col("doc_id").alias(identity), F.col("text_hash").alias(digest), spans)
+    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col(identity)) & (F.xxhash64("text") == F.col(digest))
+    return docs.join(found, on, "left").drop(identity, digest).select(*docs.columns, spans), spans
 
 
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text.
 
+    text is what remains, without characters of which a part goes; the digest is of the remaining bytes.
     Null texts count as empty; repeated rows are copies of each other, so the strings of long
     ones repeat and go.
     """
-    joined = _with_spans(whole_documents(docs), window, gram)
+    joined, name = _with_spans(whole_documents(docs), window, gram)
 
     def digest(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(batch["text"], batch["_spans"]):
+            for text, spans in zip(batch["text"], batch[name]):
                 data = text.encode()
                 kept, removed, runs = cut(data, [] if spans is None else [(s["first"], s["last"]) for s in spans])
-                out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest()))
-            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if removed else text))
+            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
             frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(object))
             yield frame.astype({"doc_id": "Int64"})
 
-    return joined.select("doc_id", "text", "_spans").mapInPandas(digest, SPANS)
+    return joined.mapInPandas(digest, SPANS)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, size_column: str | None = "n_chars") -> DataFrame:
@@ -396,7 +420,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, siz
 
     A character of which a part goes, goes whole. ``size_column``, if there is one, gets the new length.
     """
-    joined = _with_spans(docs, window, gram)
+    joined, _ = _with_spans(docs, window, gram)
     at, schema = docs.columns.index("text"), docs.schema
     names = docs.columns
 
@@ -415,4 +439,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, siz
                 columns[k] = pa.array([c if f is None else len(t) for c, f, t in zip(columns[k].to_pylist(), spans, texts)], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*docs.columns, "_spans").mapInArrow(clean, schema)
+    return joined.mapInArrow(clean, schema)
