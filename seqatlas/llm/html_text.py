@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from seqatlas.llm.common import Sent, bounded_batches
+
 # HTML element names and their roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -48,7 +50,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -187,6 +189,47 @@ def told_labels(nodes: list[Node]) -> np.ndarray | None:
     return holds
 
 
+# Of a block that counts as running text when nothing tells: characters of its own, and the most of them in links.
+LEAST_TEXT, MOST_LINKED = 60, 0.3
+
+
+def weak_labels(nodes: list[Node]) -> np.ndarray | None:
+    """Labels by text and link density, for tables in which no page tells any; None for a page without text.
+
+    Blocks of running text that neither they nor an element around them sets apart, headings beside them,
+    and all elements that hold these. A page of short texts only has its longest one.
+    """
+    n = len(nodes)
+    apart = np.zeros(n, bool)
+    text, link = np.zeros(n), np.zeros(n)
+    for i, node in enumerate(nodes):
+        apart[i] = (node.parent >= 0 and apart[node.parent]) or node.tag in _APART or any(w in _BAD for w in node.words)
+    # Text of a block itself: what stands in its inline elements counts, what stands in blocks inside it doesn't.
+    for i in range(n - 1, -1, -1):
+        node = nodes[i]
+        text[i] += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if node.tag == "a":
+            link[i] = text[i]
+        if node.parent >= 0 and node.tag not in BLOCK:
+            text[node.parent] += text[i]
+            link[node.parent] += link[i]
+    block = np.array([m.tag in BLOCK or i == 0 for i, m in enumerate(nodes)]) & ~apart
+    running = block & (text >= LEAST_TEXT) & (link <= MOST_LINKED * text)
+    if not running.any():
+        if not (block & (text > 0)).any():
+            return None
+        running[np.where(block, text, -1).argmax()] = True
+    holds = running.copy()
+    for i in range(n - 1, 0, -1):
+        holds[nodes[i].parent] |= holds[i]
+    for i, node in enumerate(nodes):
+        heading = len(node.tag) == 2 and node.tag[0] == "h" and node.tag[1].isdigit()
+        inline = node.parent >= 0 and holds[node.parent] and node.tag not in BLOCK and not apart[i] and running[node.parent]
+        if node.parent >= 0 and (inline or (heading and holds[node.parent] and not apart[i] and text[i] > 0)):
+            holds[i] = running[i] = True
+    return holds
+
+
 def _under(nodes: list[Node], i: int) -> bool:
     i = nodes[i].parent
     while i > 0:
@@ -342,8 +385,8 @@ def main_text(nodes: list[Node], keep: np.ndarray) -> str:
     return "\n".join(b for b in joined if b)
 
 
-def training_pages(pages: DataFrame, most_pages: int = 300) -> list[str]:
-    """The ``most_pages`` first different pages that tell labels, in the order of a hash of their html.
+def training_pages(pages: DataFrame, most_pages: int = 300, labels=told_labels) -> list[str]:
+    """The ``most_pages`` first different pages that have ``labels``, in the order of a hash of their html.
 
     Pages are parsed where they are, in growing ranges of the hash, until enough tell labels or
     all are read. Copies are told by their hash.
@@ -357,7 +400,7 @@ def training_pages(pages: DataFrame, most_pages: int = 300) -> list[str]:
             for source, h in zip(batch["html"], batch["_hash"].tolist()):
                 if h not in known:
                     known.add(h)
-                    if told_labels(parse(source)) is not None:
+                    if labels(parse(source)) is not None:
                         out.append(h)
             yield pd.DataFrame({"_hash": np.array(out, np.int64)})
 
@@ -374,11 +417,15 @@ def training_pages(pages: DataFrame, most_pages: int = 300) -> list[str]:
 
 
 def train(pages: DataFrame, most_pages: int = 300) -> BoostedTrees:
-    """Trees fitted on the training pages; when no page of the table tells labels, unfitted trees that keep nothing."""
+    """Trees fitted on the training pages, by labels of text and link density when no page of the table tells any;
+    unfitted trees, which keep nothing, when there is no text at all."""
     rng, xs, ys = random.Random(11), [], []
-    for source in training_pages(pages, most_pages):
+    label_of, sources = told_labels, training_pages(pages, most_pages)
+    if not sources:
+        label_of, sources = weak_labels, training_pages(pages, most_pages, weak_labels)
+    for source in sources:
         nodes = parse(source)
-        labels = told_labels(nodes)
+        labels = label_of(nodes)
         if labels is None:
             continue
         for n, y in ((nodes, labels), disguised(nodes, labels, rng)):
@@ -405,9 +452,10 @@ def extract_texts(model: BoostedTrees, sources: list[str | None]) -> list[str]:
 def main_texts(pages: DataFrame, most_pages: int = 300) -> DataFrame:
     """page_id, url and text of every page. A null or empty page, and one without main text, has an empty text.
 
-    So has every page when no page of the table tells labels.
+    When no page of the table tells labels by its own elements, text and link density give them.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(train(pages, most_pages))
+    bounded_batches(pages.sparkSession)
+    shared = Sent(pages.sparkSession, train(pages, most_pages))
 
     def run(batches):
         for batch in batches:
