@@ -90,20 +90,28 @@ WITH RECURSIVE c AS (
 k AS (SELECT c.*, coalesce(a.call_id, b.call_id) AS parent_id
       FROM c LEFT JOIN c a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN c b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2),
 v(call_id, level) AS (SELECT call_id, 0 FROM k WHERE parent_id IS NULL UNION ALL SELECT k.call_id, level + 1 FROM k JOIN v ON k.parent_id = v.call_id),
-r AS (SELECT conv_id, turn, text, 'call_' || conv_id || '_' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
-j AS (SELECT k.*, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name, v.level, r.turn AS result_turn, r.text AS content
-      FROM k JOIN v USING (call_id) LEFT JOIN r USING (call_id)),
+r AS (SELECT conv_id, turn, text, 'call_' || conv_id || '_' || (turn - 1) AS call_id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM conversations WHERE role = 'assistant'),
+j AS (SELECT k.*, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name, v.level, r.turn AS result_turn, r.text AS content, coalesce(r.n, 0) AS n_results
+      FROM k JOIN v USING (call_id) LEFT JOIN r ON r.call_id = k.call_id AND r.nth = 1),
 e AS (SELECT *, concat_ws('; ', CASE WHEN text IS NULL THEN 'text is missing' END, CASE WHEN text = '' THEN 'text is too small' END,
       CASE WHEN name = 'configure' AND turn > 0 THEN 'turn is too large' END, CASE WHEN length(text) > 4000 THEN 'chars is too large' END,
       CASE WHEN result_turn IS NULL THEN 'no result' END) AS errors FROM j)
-SELECT conv_id, call_id, name, turn, parent_id, CAST(level AS BIGINT) AS level, result_turn, CAST(CASE WHEN result_turn IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_results,
+SELECT conv_id, call_id, name, turn, parent_id, CAST(level AS BIGINT) AS level, result_turn, n_results,
   errors = '' AS valid, errors,
   CAST(json_object('arguments', json_object('chars', length(text), 'text', text, 'turn', turn), 'id', call_id, 'name', name, 'parent', parent_id, 'result', content) AS VARCHAR) AS canonical
 FROM e
 UNION ALL
 SELECT conv_id, call_id, NULL, NULL, NULL, NULL, turn, 1, false, 'no call',
   CAST(json_object('arguments', NULL, 'id', call_id, 'name', NULL, 'parent', NULL, 'result', text) AS VARCHAR)
-FROM r WHERE call_id NOT IN (SELECT call_id FROM c)"""
+FROM r WHERE call_id NOT IN (SELECT call_id FROM c)
+UNION ALL
+SELECT conv_id, call_id, NULL, NULL, NULL, NULL, turn, 1, false, 'further result',
+  CAST(json_object('arguments', NULL, 'id', call_id, 'name', NULL, 'parent', NULL, 'result', text) AS VARCHAR)
+FROM r WHERE nth > 1 AND call_id IN (SELECT call_id FROM c)
+UNION ALL
+SELECT conv_id, NULL, NULL, turn, NULL, NULL, NULL, 0, false, 'unknown role',
+  CAST(json_object('arguments', json_object('chars', length(text), 'role', role, 'text', text, 'turn', turn), 'id', NULL, 'name', NULL, 'parent', NULL, 'result', NULL) AS VARCHAR)
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'system', 'assistant')"""
 
 ORACLE = {
     "op5_license_join": licenses.scan_sql(), "op7_tool_calls": TOOL_CALLS_SQL,

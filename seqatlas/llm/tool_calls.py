@@ -91,15 +91,18 @@ def levels(calls: DataFrame) -> DataFrame:
     return state.select("call_id", F.when(F.col("up").isNull(), F.col("steps")).alias("level"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """One row per call, and per result without a call.
+def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS, others: DataFrame | None = None) -> DataFrame:
+    """One row per call, per result without a call, and per further result of a call.
 
     ``calls``: conv_id, call_id, name, arguments (JSON text), parent_id, turn. ``results``:
     conv_id, call_id, turn, content. A call with several results takes the one of the smallest turn (then
-    content) and counts them. Errors, joined by ``; ``: schema violations, no result, result
-    before the call, parent missing, cycle, repeated identifier, no identifier, no call. Rows
-    with a null identifier are kept and linked to nothing; repeated rows give repeated rows.
+    content) and counts them; each of the others has a row of its own, so no number of results of
+    one call ever is one row. Errors, joined by ``; ``: schema violations, no result, result
+    before the call, parent missing, cycle, repeated identifier, no identifier, no call, further result. Rows
+    with a null identifier are kept and linked to nothing; repeated rows give repeated rows. ``others`` (conv_id, turn,
+    arguments) are turns that neither call nor answer: they are returned with the error ``unknown role``.
     """
+    none = F.lit(None)
     first = F.min(F.struct("turn", "content")).alias("_r")
     answers = results.where("call_id is not null").groupBy("call_id").agg(first, F.count("*").alias("n_results"), F.min("conv_id").alias("_conv"))
     distinct = calls.where("call_id is not null").groupBy("call_id").agg(F.min("parent_id").alias("parent_id"), F.count("*").alias("_repeats"))
@@ -110,14 +113,21 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
     joined = keyed.join(answers, F.col("_id") == F.col("_a"), "left").join(ranked, F.col("_id") == F.col("_c"), "left").join(there, F.col("_up") == F.col("_q"), "left")
     linked = joined.select(
         "conv_id", "call_id", "name", "turn", "parent_id", "level", F.col("_r.turn").alias("result_turn"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
-        "arguments", F.col("_r.content").alias("content"), F.col("_repeats").alias("repeats"), F.col("_q").isNotNull().alias("has_parent"), F.lit(True).alias("is_call"),
+        "arguments", F.col("_r.content").alias("content"), F.col("_repeats").alias("repeats"), F.col("_q").isNotNull().alias("has_parent"), none.cast("string").alias("problem"),
     )
-    orphans = results.join(distinct.select("call_id"), "call_id", "left_anti")
-    none = F.lit(None)
+    orphans = results.join(distinct.select("call_id"), "call_id", "left_anti").withColumn("_problem", F.lit("no call"))
+    # Results after the first one: equal ones are counted, and one of those equal to the first is that itself.
+    same = results.join(distinct.select("call_id"), "call_id", "left_semi").groupBy("conv_id", "call_id", "turn", "content").agg(F.count("*").alias("_n"))
+    firsts = answers.select("_a", F.col("_r.turn").alias("_turn"), F.col("_r.content").alias("_content"), F.col("_conv").alias("_first"))
+    kept = same.join(firsts, _named("call_id") == F.col("_a"))
+    is_first = F.col("turn").eqNullSafe(F.col("_turn")) & F.col("content").eqNullSafe(F.col("_content")) & F.col("conv_id").eqNullSafe(F.col("_first"))
+    more = kept.withColumn("_more", F.when(is_first, F.col("_n") - 1).otherwise(F.col("_n"))).where("_more > 0")
+    more = more.select("conv_id", "call_id", "turn", "content", F.lit("further result").alias("_problem"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_more")))).drop("col")
+    orphans = orphans.select("conv_id", "call_id", "turn", "content", "_problem").unionByName(more)
     orphans = orphans.select(
         "conv_id", "call_id", none.cast("string").alias("name"), none.cast("long").alias("turn"), none.cast("string").alias("parent_id"), none.cast("long").alias("level"),
         F.col("turn").alias("result_turn"), F.lit(1).cast("long").alias("n_results"), none.cast("string").alias("arguments"), "content", none.cast("long").alias("repeats"),
-        F.lit(False).alias("has_parent"), F.lit(False).alias("is_call"),
+        F.lit(False).alias("has_parent"), F.col("_problem").alias("problem"),
     )
 
     def serialise(batches):
@@ -125,8 +135,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
             out = []
             for r in batch.astype(object).where(batch.notna(), None).to_dict("records"):
                 errors, arguments = [], None
-                if not r["is_call"]:
-                    errors.append("no call")
+                if r["problem"] is not None:
+                    errors.append(r["problem"])
+                    arguments = json.loads(r["arguments"]) if r["arguments"] is not None else None
                 else:
                     try:
                         arguments = json.loads(r["arguments"]) if r["arguments"] is not None else None
@@ -150,7 +161,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
             yield frame.astype({c: "Int64" for c in ("conv_id", "turn", "level", "result_turn", "n_results")})
 
-    return linked.unionByName(orphans).mapInPandas(serialise, RESULT)
+    rows = linked.unionByName(orphans)
+    if others is not None:
+        rows = rows.unionByName(others.select(
+            "conv_id", none.cast("string").alias("call_id"), none.cast("string").alias("name"), "turn", none.cast("string").alias("parent_id"), none.cast("long").alias("level"),
+            none.cast("long").alias("result_turn"), F.lit(0).cast("long").alias("n_results"), "arguments", none.cast("string").alias("content"), none.cast("long").alias("repeats"),
+            F.lit(False).alias("has_parent"), F.lit("unknown role").alias("problem"),
+        ))
+    return rows.mapInPandas(serialise, RESULT)
 
 
 def _none(rows: DataFrame) -> Column:
@@ -158,8 +176,9 @@ def _none(rows: DataFrame) -> Column:
     return F.concat(F.lit("none_"), F.xxhash64(*rows.columns).cast("string"))
 
 
-def calls_of_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of chat turns: user and system turns call, the next turn of an assistant is the result.
+def calls_of_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, results and other turns of chats: user and system turns call, the next turn of an assistant is the result.
+    Turns with another role or none are the others.
 
     A call needs the call one turn before it, or else the one two turns before (whose result came between).
     """
@@ -172,8 +191,13 @@ def calls_of_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFra
     arguments = F.to_json(F.struct("turn", "text", F.length("text").alias("chars")))
     calls = calls.select("conv_id", "call_id", F.when(F.col("role") == "user", "ask").otherwise("configure").alias("name"), arguments.alias("arguments"), F.coalesce("_1", "_2").alias("parent_id"), "turn")
     results = rows.where("role = 'assistant'").select("conv_id", name_of(F.col("conv_id"), F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return calls, results
+    others = rows.where(~F.coalesce(F.col("role").isin("user", "system", "assistant"), F.lit(False)))
+    # Null fields are written too.
+    whole = F.to_json(F.struct(F.length("text").alias("chars"), "role", "text", "turn"), {"ignoreNullFields": "false"})
+    return calls, results, others.select("conv_id", "turn", whole.alias("arguments"))
 
 
 def link_conversations(conversations: DataFrame) -> DataFrame:
-    return link(*calls_of_conversations(conversations))
+    """One row per turn that calls, per assistant turn without a call or after the first result, and per turn of another role."""
+    calls, results, others = calls_of_conversations(conversations)
+    return link(calls, results, others=others)
