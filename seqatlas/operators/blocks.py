@@ -32,6 +32,7 @@ class Blocks:
     ident: str
     vector: str
     block_rows: int
+    single: bool = False  # every group is one tile, so nothing has to be opened besides
 
     @property
     def tile(self) -> list[str]:
@@ -55,13 +56,19 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def deal(df: DataFrame, ident: str, vector: str, groups: Sequence[str], *, weight: str | None = None, block_rows: int = 2_048, most_pivots: int = MOST_PIVOTS) -> Blocks:
-    """Deal the rows of each group to about sqrt(n) pivots, ``most_pivots`` at most, chosen by a hash of the id."""
+    """Deal the rows of each group to about sqrt(n) pivots, ``most_pivots`` at most, chosen by a hash of the id.
+
+    Groups that all fit one tile of ``block_rows`` rows need none.
+    """
     from seqatlas.operators.ranking import top_per_group
 
     groups = list(groups)
     columns = [*groups, ident, vector, *([weight] if weight else [])]
     rows = df.select(*columns)
     sizes = {_key(r[:-1]): r[-1] for r in rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if max(sizes.values(), default=0) <= block_rows:
+        one = rows.withColumns({"_p": F.lit(0), "_away": F.lit(0.0), "_part": F.lit(0)})
+        return Blocks(one, {}, tuple(groups), ident, vector, block_rows, single=True)
     wanted = {g: int(min(max(round(n**0.5), 1), most_pivots)) for g, n in sizes.items()}
     first = top_per_group(rows, groups, [F.xxhash64(ident), F.col(ident)], max(wanted.values(), default=1), rank="_nth")
     chosen: dict = {g: [] for g in wanted}

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seqatlas.distribution import attach_row, rank_rows
+from seqatlas.distribution import attach_row, number_rows, rank_rows
 from seqatlas.functions.text import safe_folder
 
 
@@ -14,7 +14,7 @@ def group_files(df: DataFrame, label: str, file: str, *, bucket: Column) -> Data
     """Files of each label in order, as rows (label, position, file): a label may have
     any number of files, so they are numbered, not gathered into one list."""
     unique = df.select(label, file).distinct()
-    return rank_rows(unique, [label], [file], bucket=bucket, into="position")
+    return number_rows(unique, [label], [file], bucket=bucket, into="position")
 
 
 def copy_plan(requests: DataFrame, sources: DataFrame, targets: DataFrame, file: str, label: str = "label") -> DataFrame:

@@ -197,6 +197,8 @@ def worst_ratios(centers: DataFrame, *, block_rows: int = 2_048, most_pivots: in
         return sums * (1 + blocks.SLACK) >= known * np.maximum(least, 0.0) * (1 - blocks.SLACK)
 
     dealt = blocks.deal(centers, "gloss", "centroid", DATASET, weight="spread", block_rows=block_rows, most_pivots=most_pivots)
+    if dealt.single:
+        return blocks.own_tile(dealt, meet, schema)
     first = cut_lineage(blocks.own_tile(dealt, meet, schema))
     known = first.select(*LABEL, F.col("ratio").alias("_known"))
     rows = dealt.rows.join(known, LABEL, "left").fillna({"_known": -1.0})
@@ -306,6 +308,9 @@ def nearest_rows(
     types = dict(df.dtypes)
     schema = ", ".join([*[f"{g} {types[g]}" for g in groups], f"{ident} {types[ident]}", f"_near {types[ident]}", "_d2 double"])
     dealt = blocks.deal(df, ident, vector, groups, block_rows=block_rows, most_pivots=most_pivots)
+    if dealt.single:
+        # A tile already keeps the k nearest of its rows.
+        return blocks.own_tile(dealt, meet, schema)
     first = cut_lineage(blocks.own_tile(dealt, meet, schema))
     enough = F.when(F.count(F.lit(1)) >= k, F.max("_d2"))
     known = first.groupBy(*groups, ident).agg(enough.alias("_known"))

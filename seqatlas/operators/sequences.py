@@ -523,10 +523,11 @@ SEQUENCE_COUNTS = (
 )
 
 
-def _frame_plan(f: DataFrame, seq: Sequences, target: int | None) -> DataFrame:
+def _frame_plan(f: DataFrame, seq: Sequences, target: int | None, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Which stored frame each output frame shows: a table without landmark arrays.
 
-    Only the arrays of the hands and the upper body are read, and only to score motion.
+    Only the arrays of the hands and the upper body are read, and only to score motion. The scores are
+    materialised: each total of a sequence reads them twice, so their plan would double with every one.
     """
     upper = POSE_STRIDE * A.SHOULDERS[0]
     narrow = f.select(
@@ -538,7 +539,7 @@ def _frame_plan(f: DataFrame, seq: Sequences, target: int | None) -> DataFrame:
         lambda a, b: A.flat_step(a, b, HAND_LANDMARKS),
     ).drop("left_norm", "right_norm")
     scored = motion_score(hands, seq, {"pose_motion": ("_upper", "v_pose")}, lambda a, b: A.flat_step(a, b, UPPER_BODY, POSE_STRIDE)).drop("_upper")
-    scored = scored.withColumn("hand_present", F.col("v_left") | F.col("v_right"))
+    scored = stage(scored.withColumn("hand_present", F.col("v_left") | F.col("v_right")))
     moving = {
         "max_hand_motion": (F.max(F.greatest("left_motion", "right_motion")), F.max),
         "max_pose_motion": (F.max("pose_motion"), F.max),
@@ -547,7 +548,7 @@ def _frame_plan(f: DataFrame, seq: Sequences, target: int | None) -> DataFrame:
     scored = attach_totals(with_chunks(scored, seq), seq, moving).drop("_chunk")
     trimmed = action_trim(scored, seq).drop("left_motion", "right_motion", "pose_motion", "hand_present")
     length = F.col("source_total_frames") - F.col("trimmed_end") - F.col("trim_start")
-    trimmed = trimmed.withColumn("frames_before_resample", length)
+    trimmed = stage(trimmed.withColumn("frames_before_resample", length))
     return resample_nearest(trimmed, seq, lambda n: output_frames(n, target)).drop("source_frame")
 
 
@@ -569,7 +570,7 @@ def preprocess(
     numbers = {c: F.col(c).cast("array<double>") for c in ("pose", "hands", "face", "mouth")}
     f = frames.withColumns(numbers)
     f = f.withColumns({name: flat_hand(F.col("hands"), name) for name in HANDS}).drop("hands")
-    plan = with_chunks(_frame_plan(f, seq, target), seq)
+    plan = with_chunks(_frame_plan(f, seq, target, stage), seq)
     sides = {
         "left_source_frames": (F.sum(F.col("v_left").cast("long")), F.sum),
         "right_source_frames": (F.sum(F.col("v_right").cast("long")), F.sum),

@@ -222,7 +222,7 @@ def scattered(spark):
     return rows, spark.createDataFrame(rows, "dataset string, gloss long, centroid array<double>, spread double").repartition(3)
 
 
-@pytest.mark.parametrize("block_rows", [16, 2_048])
+@pytest.mark.parametrize("block_rows", [16, 300])
 def test_worst_ratios_open_few_blocks(scattered, block_rows):
     rows, df = scattered
     got = {(r.dataset, r.gloss): r for r in SE.worst_ratios(df, block_rows=block_rows).collect()}
@@ -238,7 +238,7 @@ def test_worst_ratios_open_few_blocks(scattered, block_rows):
     assert compared < 0.35 * 360 * 359
 
 
-@pytest.mark.parametrize("block_rows", [16, 2_048])
+@pytest.mark.parametrize("block_rows", [16, 300])
 def test_nearest_rows_open_few_blocks(scattered, block_rows):
     from seqatlas.operators import blocks
 
@@ -258,6 +258,16 @@ def test_nearest_rows_open_few_blocks(scattered, block_rows):
     assert 0 < seen[0] < 0.6 * 360 * tiles
 
 
+def test_small_groups_are_one_tile(scattered):
+    """Without other blocks to open the results are the same."""
+    _, df = scattered
+    few = lambda f, **more: {tuple(r) for r in f(**more).collect()}
+    near = lambda **more: SE.nearest_rows(df, "gloss", "centroid", 3, ["dataset"], **more).select("dataset", "gloss", "_near")
+    assert few(near) == few(near, block_rows=16)
+    worst = lambda **more: SE.worst_ratios(df, **more).select("dataset", "gloss", F.round("ratio", 9))
+    assert few(worst) == few(worst, block_rows=16)
+
+
 def test_kmeans_and_components(points):
     rows, df = points
     x = np.array([r[3] for r in rows])

@@ -11,7 +11,7 @@ QUERIES, ORACLE = catalog.QUERIES, catalog.ORACLE
 PYTHON = ("MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "ArrowEvalPython", "BatchEvalPython")
 # Unicode composition, archive decoding, distances in tiles and time warping.
 MAY_USE_PYTHON = {
-    "fn_text_key", "src_keypoint_frames", "join_knn_candidates", "sep_silhouette", "sep_davies_bouldin", "sep_metrics_row",
+    "fn_text_key", "src_keypoint_frames", "src_npz_metadata", "join_knn_candidates", "sep_silhouette", "sep_davies_bouldin", "sep_metrics_row",
     "dtw_distance", "dtw_intra_class", "dtw_inter_class", "dtw_pair_sample", "rpt_dtw_quantiles",
 }
 
