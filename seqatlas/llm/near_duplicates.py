@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     texts = whole_documents(docs)
     table, n = document_frequencies(texts, width)
     # Every table below has about as many rows as there are documents, or fewer.
-    files = files_for(n)
+    files = files_for(n, 5_000)
     idf = spark.sparkContext.broadcast(inverse_frequencies(table, n, common))
     rows = stage(band_rows(texts, idf, width), "bands", files)
     classes = stage(rows.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n_shingles")), "classes", files)

@@ -355,8 +355,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
     hot = own.withColumn("suffixes", F.filter("suffixes", lambda s: s["hot"])).where(F.size("suffixes") > 0)
     runs = normal.mapInPandas(make_runs, "range int, shared array<int>, rest binary, sizes array<int>, ids array<long>, hashes array<long>, places array<int>, times array<long>")
     spans = "doc_id long, text_hash long, first int, last int"
-    merged = stage(runs.repartition(parts, "range").groupBy("range").applyInPandas(merge, spans), "merged", files)
-    windows = stage(hot.mapInPandas(hot_windows, "gram long, h1 long, h2 long, offset int, doc_id long, text_hash long, place int"), "windows", files)
+    merged = stage(runs.repartition(parts, "range").groupBy("range").applyInPandas(merge, spans), "merged")
+    windows = stage(hot.mapInPandas(hot_windows, "gram long, h1 long, h2 long, offset int, doc_id long, text_hash long, place int"), "windows")
     seen = ["gram", "h1", "h2", "offset"]
     repeated = windows.groupBy(*seen).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     hot_spans = windows.join(repeated, seen).select("doc_id", "text_hash", (F.col("place") - F.col("offset")).alias("first"), (F.col("place") - F.col("offset") + window).alias("last"))
