@@ -233,7 +233,8 @@ def exact_quantiles(
     limit = 2 * accuracy
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if (counts.agg(F.max("_n")).first()[0] or 0) <= limit:
+    most, least = counts.agg(F.max("_n"), F.min("_n")).first()
+    if (most or 0) <= limit:
         return _quantiles_at_once(rows, keys, names, wanted)
     large = cut_lineage(counts.filter(F.col("_n") > limit))
     sent = few_groups or large.count() <= BROADCAST_ROWS
@@ -246,12 +247,12 @@ def exact_quantiles(
     state = cut_lineage(_first_brackets(matched(rows, large), keys, wanted, accuracy))
     share = (2 * 2.0 + 2.0) / accuracy
     # How many values the widest bracket holds, by the sketch's guarantee.
-    widest = large.agg(F.max("_n")).first()[0] * share
+    widest = most * share
     while widest > limit:
         state = cut_lineage(_narrowed(matched(rows, state), keys, wanted))
         widest = widest * (6.0 / GRID)
     found = _ranked_in_brackets(matched(rows, state), keys, names, wanted)
-    if not keys:
+    if not keys or least > limit:
         return found
     small = rows.join(F.broadcast(large.select(*keys)) if sent else large.select(*keys), keys, "left_anti")
     return found.unionByName(_quantiles_at_once(small, keys, names, wanted))
