@@ -29,20 +29,22 @@ def kmeans(
     """Lloyd's algorithm; min(k, n) rows with the smallest MD5 of ``<seed>|<ident>`` start it.
 
     A round is one scan with partial means: one row per center comes to the driver. A center without
-    members stays. Rounds end when no center moves by more than the tolerance (absolute and relative),
-    after ``rounds`` at most. Scanned again each round, ``df`` should be a stage table.
+    members stays. Rounds end when no row changes its center or no center moves by more than the tolerance (absolute
+    and relative), after ``rounds`` at most. Scanned again each round, ``df`` should be a stage table.
     """
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(ident).cast("string")).cast("binary"))
     start = df.orderBy(order, ident).limit(k).select(features).collect()
     centers = np.array([r[0] for r in start], float)
+    members = None
     for _ in range(rounds if len(centers) else 0):
-        near = df.select(F.col(features).alias("_x"), _nearest_center(features, centers).alias("_c"))
-        means = near.groupBy("_c").agg(*[F.avg(F.get("_x", F.lit(i))).alias(f"_{i}") for i in range(centers.shape[1])])
-        moved = centers.copy()
+        near = df.select(F.col(features).alias("_x"), _nearest_center(features, centers).alias("_c"), F.xxhash64(ident).alias("_h"))
+        means = near.groupBy("_c").agg(
+            F.count(F.lit(1)).alias("_n"), F.bit_xor("_h").alias("_h"), *[F.avg(F.get("_x", F.lit(i))).alias(f"_{i}") for i in range(centers.shape[1])]
+        )
+        moved, were, members = centers.copy(), members, {}
         for row in means.collect():
-            moved[row["_c"]] = row[1:]
-        still = np.allclose(centers, moved, rtol=tolerance, atol=tolerance)
-        if still:
+            moved[row["_c"]], members[row["_c"]] = row[3:], row[1:3]
+        if members == were or np.allclose(centers, moved, rtol=tolerance, atol=tolerance):
             break
         centers = moved
     return df.withColumn(into, _nearest_center(features, centers) if len(centers) else F.lit(None).cast("int"))

@@ -437,6 +437,24 @@ def test_pooled_distances_far_from_zero(spark):
     assert got.hand_face_dist_std == pytest.approx(both.std(), rel=1e-6) and got.hand_body_dist_mean == pytest.approx(both.mean())
 
 
+def test_the_kmeans_query_runs_the_rounds_of_its_sql(tables, monkeypatch):
+    """On 10,256 vectors centers still move after 60 rounds; a tolerance or more rounds give other clusters."""
+    from catalog import ORACLE, vectors as V
+
+    asked = {}
+    real = CL.kmeans
+    monkeypatch.setattr(CL, "kmeans", lambda df, features, **more: asked.update(more) or real(df, features, **{**more, "rounds": 1}))
+    V.ml_kmeans(tables)
+    assert asked["tolerance"] == 0 and f"n{asked['rounds']} AS" in ORACLE["ml_kmeans"] and f"n{asked['rounds'] + 1} AS" not in ORACLE["ml_kmeans"]
+
+
+def test_kmeans_ends_when_members_stay(points):
+    """A further round changes nothing, however many are allowed."""
+    rows, df = points
+    runs = [{r.id: r.cluster for r in CL.kmeans(df, "x", k=4, ident="id", rounds=n, tolerance=0.0).collect()} for n in (60, 61)]
+    assert runs[0] == runs[1]
+
+
 def test_label_map_files(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"7": "seven"}')
     (tmp_path / "m.txt").write_text("7 seven\n\n12 a dozen\n")
