@@ -182,12 +182,16 @@ def worst_ratios(centers: DataFrame, *, block_rows: int = 2_048, most_pivots: in
     schema = f"dataset {types['dataset']}, gloss {types['gloss']}, ratio double, pairs long"
 
     def meet(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        apart = np.sqrt(blocks._apart(blocks._stack(rows["centroid"]), blocks._stack(others["centroid"])))
-        sums = rows["spread"].to_numpy(float)[:, None] + others["spread"].to_numpy(float)[None, :]
-        ratio = np.divide(sums, apart, out=np.zeros_like(sums), where=apart > 0)
-        same = rows["gloss"].to_numpy()[:, None] == others["gloss"].to_numpy()[None, :]
-        pairs = (~same).sum(1)
-        out = pd.DataFrame({"dataset": rows["dataset"].to_numpy(), "gloss": rows["gloss"].to_numpy(), "ratio": np.where(same, -1.0, ratio).max(1), "pairs": pairs})
+        a, b, widths = blocks._stack(rows["centroid"]), blocks._stack(others["centroid"]), others["spread"].to_numpy(float)
+        names, mine, spread = others["gloss"].to_numpy(), rows["gloss"].to_numpy(), rows["spread"].to_numpy(float)
+        most, pairs = np.empty(len(a)), np.empty(len(a), dtype="int64")
+        for at in blocks.slabs(len(a), len(b)):
+            apart = np.sqrt(blocks._apart(a[at], b))
+            sums = spread[at, None] + widths[None, :]
+            ratio = np.divide(sums, apart, out=np.zeros_like(sums), where=apart > 0)
+            same = mine[at, None] == names[None, :]
+            most[at], pairs[at] = np.where(same, -1.0, ratio).max(1), (~same).sum(1)
+        out = pd.DataFrame({"dataset": rows["dataset"].to_numpy(), "gloss": mine, "ratio": most, "pairs": pairs})
         return out[pairs > 0]
 
     def wants(rows: pd.DataFrame, away: np.ndarray, figures: dict) -> np.ndarray:
@@ -290,16 +294,39 @@ def nearest_rows(
     columns = [*groups, ident, "_near", "_d2"]
 
     def meet(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        # Summed by differences and rounded as in the merge, so that ties don't depend on the tile.
-        d2 = np.round(blocks._apart(blocks._stack(rows[vector]), blocks._stack(others[vector])), 9)
+        others = others.iloc[np.argsort(others[ident].to_numpy(), kind="stable")]
+        a, b = blocks._stack(rows[vector]), blocks._stack(others[vector])
         ids, names = rows[ident].to_numpy(), others[ident].to_numpy()
-        d2 = np.where(ids[:, None] == names[None, :], np.inf, d2)
-        order = np.argsort(names, kind="stable")
-        ranked = order[np.argsort(d2[:, order], axis=1, kind="stable")[:, :k]]
-        times = ranked.shape[1]
-        out = pd.DataFrame({g: np.repeat(rows[g].to_numpy(), times) for g in groups})
-        out[ident], out["_near"], out["_d2"] = np.repeat(ids, times), names[ranked].ravel(), np.take_along_axis(d2, ranked, 1).ravel()
-        return out.loc[np.isfinite(out["_d2"]), columns]
+        known = rows["_known"].to_numpy(float) if "_known" in rows else np.full(len(a), np.inf)
+        shared = np.isin(ids, names)
+        middle = b.mean(0)
+        ca, cb = a - middle, b - middle
+        na, nb = (ca * ca).sum(1), (cb * cb).sum(1)
+        found = []
+        for at in blocks.slabs(len(a), len(b)):
+            # Products find who may be among the nearest; only these are measured.
+            near = na[at, None] + nb[None, :] - 2.0 * (ca[at] @ cb.T)
+            if shared[at].any():
+                near[ids[at, None] == names[None, :]] = np.inf
+            error = 2e-9 + 1e-12 * (na[at] + nb.max())
+            beat = known[at]
+            if not np.isfinite(beat).all():
+                beat = np.minimum(beat, np.partition(near, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1] + error)
+            row, other = np.nonzero((near <= (beat + error)[:, None]) & np.isfinite(near))
+            row = row + at.start
+            # Summed by differences and rounded as in the merge, so that ties don't depend on the tile.
+            d2 = np.zeros(len(row))
+            for i in range(a.shape[1]):
+                d2 += np.square(a[row, i] - b[other, i])
+            d2 = np.round(d2, 9)
+            order = np.lexsort((other, d2, row))
+            row, other, d2 = row[order], other[order], d2[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            found.append((row[nth < k], other[nth < k], d2[nth < k]))
+        row, other, d2 = (np.concatenate(x) for x in zip(*found))
+        out = pd.DataFrame({g: rows[g].to_numpy()[row] for g in groups})
+        out[ident], out["_near"], out["_d2"] = ids[row], names[other], d2
+        return out[columns]
 
     def wants(rows: pd.DataFrame, away: np.ndarray, figures: dict) -> np.ndarray:
         least = np.maximum(away - figures["radius"][None, :], 0.0)

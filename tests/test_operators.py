@@ -268,6 +268,24 @@ def test_small_groups_are_one_tile(scattered):
     assert few(worst) == few(worst, block_rows=16)
 
 
+def test_rows_that_no_bound_tells_apart_go_to_few_tiles(spark):
+    """In many dimensions every block has to be opened; a row is then sent to a few tiles, not to each of them."""
+    from seqatlas.operators import blocks
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 24))
+    df = spark.createDataFrame([("d", i, v.tolist()) for i, v in enumerate(x)], "dataset string, id long, x array<double>")
+    seen, real = [], blocks.visit
+    try:
+        blocks.visit = lambda b, queries, *rest: seen.append(queries.count()) or real(b, queries, *rest)
+        got = {(r.id, r._near) for r in SE.nearest_rows(df, "id", "x", 3, ["dataset"], block_rows=10).collect()}
+    finally:
+        blocks.visit = real
+    d = ((x[:, None] - x[None]) ** 2).sum(-1) + np.diag([np.inf] * 600)
+    assert got == {(i, int(j)) for i in range(600) for j in np.argsort(d[i])[:3]}
+    assert seen[0] <= 600 * 2 * blocks.TILES
+
+
 def test_kmeans_and_components(points):
     rows, df = points
     x = np.array([r[3] for r in rows])
