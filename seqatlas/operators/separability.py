@@ -75,26 +75,38 @@ def _block_sums(ident: str, features: str):
     names = ["dataset", ident, "gloss", "_other", "_sum", "_n", "_b"]
 
     def sums(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        a = np.stack(rows[features].to_numpy()).astype(float)
-        b = np.stack(others[features].to_numpy()).astype(float)
-        squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-        same = rows[ident].to_numpy()[:, None] == others[ident].to_numpy()[None, :]
-        dist = np.where(same, 0.0, np.sqrt(np.maximum(squares, 0.0)))
         codes, labels = pd.factorize(others["gloss"])
+        others, codes = others.iloc[np.argsort(codes, kind="stable")], np.sort(codes)
         labels = np.asarray(labels, dtype=object)
-        onehot = np.zeros((len(others), len(labels)))
-        onehot[np.arange(len(others)), codes] = 1.0
-        totals, counts = dist @ onehot, onehot.sum(0)
-        sizes = np.zeros(len(labels))
-        sizes[codes] = others["_size"].to_numpy()
-        own = rows["gloss"].to_numpy()[:, None] == labels[None, :]
-        whole = (counts == sizes)[None, :] & ~own
-        means = np.where(whole, totals / counts, np.inf).min(1)
-        row, label = np.nonzero(~whole)
+        starts = np.searchsorted(codes, np.arange(len(labels)))
+        counts, sizes = np.diff(np.append(starts, len(codes))), others["_size"].to_numpy()[starts]
+        a = np.stack(rows[features].to_numpy()).astype(float)
+        b = np.stack(others[features].to_numpy()).astype(float)
+        na, nb = (a * a).sum(1), (b * b).sum(1)
+        ids, names_ = rows[ident].to_numpy(), others[ident].to_numpy()
+        shared = np.isin(ids, names_)
+        glosses = rows["gloss"].to_numpy()
+        found, nearest = [], []
+        for at in blocks.slabs(len(a), len(b)):
+            dist = a[at] @ b.T
+            dist *= -2.0
+            dist += na[at, None]
+            dist += nb[None, :]
+            np.sqrt(np.maximum(dist, 0.0, out=dist), out=dist)
+            if shared[at].any():
+                dist[ids[at, None] == names_[None, :]] = 0.0
+            totals = np.add.reduceat(dist, starts, axis=1)
+            whole = (counts == sizes)[None, :] & (glosses[at, None] != labels[None, :])
+            means = np.where(whole, totals / counts, np.inf).min(1)
+            row, label = np.nonzero(~whole)
+            found.append((row + at.start, label, totals[row, label]))
+            nearest.append(means)
+        row, label, total = (np.concatenate(x) for x in zip(*found))
+        means = np.concatenate(nearest)
         near = np.flatnonzero(np.isfinite(means))
-        data = rows["dataset"].to_numpy(), rows[ident].to_numpy(), rows["gloss"].to_numpy()
+        data = rows["dataset"].to_numpy(), ids, glosses
         parts = pd.DataFrame({n: d[row] for n, d in zip(names, data)})
-        parts["_other"], parts["_sum"], parts["_n"], parts["_b"] = labels[label], totals[row, label], counts[label].astype("int64"), np.nan
+        parts["_other"], parts["_sum"], parts["_n"], parts["_b"] = labels[label], total, counts[label].astype("int64"), np.nan
         least = pd.DataFrame({n: d[near] for n, d in zip(names, data)})
         least["_other"], least["_sum"], least["_n"], least["_b"] = None, np.nan, 0, means[near]
         return pd.concat([p for p in (parts, least) if len(p)] or [parts])
@@ -119,7 +131,8 @@ def silhouette_tiles(scaled: DataFrame, features: str, ident: str, *, block_rows
     """What leaves the tiles of ``silhouette_samples``: for each sample and block one least mean, and sums for its own label and
     the at most two labels that go on in another block.
 
-    Blocks are runs of samples in label order, so a label lies in one block or in neighbouring ones.
+    Blocks are runs of samples in label order, so a label lies in one block or in neighbouring ones. Large corpora
+    have larger blocks (``blocks.tile_rows``), so that a sample is not sent to ever more tiles.
     """
     shape = scaled.groupBy(*DATASET).agg(F.count(F.lit(1)).alias("_rows"), F.count_distinct("gloss").alias("_k"))
     usable = shape.filter((F.col("_rows") >= 3) & F.col("_k").between(2, F.col("_rows") - 1)).select(*DATASET, "_rows")
@@ -127,7 +140,8 @@ def silhouette_tiles(scaled: DataFrame, features: str, ident: str, *, block_rows
     ranked = rank_rows(kept.select(*LABEL, ident), DATASET, ["gloss", ident], into="_rank")
     sizes = ranked.groupBy(*LABEL).agg(F.count(F.lit(1)).alias("_size"))
     placed = salted_join(ranked, sizes, LABEL, salt_on=[ident]).join(usable, DATASET)
-    cut = kept.join(placed, [*LABEL, ident]).withColumns({"_block": F.floor(F.col("_rank") / block_rows), "_last": F.floor((F.col("_rows") - 1) / block_rows)})
+    wide = F.least(F.greatest(F.ceil(F.col("_rows") / blocks.TILES), F.lit(block_rows)), F.lit(max(block_rows, blocks.MOST_ROWS)))
+    cut = kept.join(placed, [*LABEL, ident]).withColumns({"_block": F.floor(F.col("_rank") / wide), "_last": F.floor((F.col("_rows") - 1) / wide)})
     cut = (
         cut.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
         .withColumns({"_ti": F.least("_block", "_with"), "_tj": F.greatest("_block", "_with")})

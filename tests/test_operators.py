@@ -202,6 +202,16 @@ def test_silhouette_tiles_send_few_rows(spark):
     assert sent <= 300 * 6 * 4 < 300 * 150 / 4
 
 
+def test_silhouettes_send_a_sample_to_few_tiles(spark):
+    rng = np.random.default_rng(5)
+    rows = [("d", f"g{i % 3}", i, rng.normal(size=4).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "dataset string, gloss string, id long, x array<double>")
+    assert SE.silhouette_tiles(df, "x", "id", block_rows=5).count() <= 400 * 9 * 4
+    got = {r.id: r.silhouette for r in SE.silhouette_samples(df, "x", "id", block_rows=5).collect()}
+    want = brute_silhouette(rows)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 @pytest.mark.parametrize("block_rows", [13, 1000])
 def test_nearest_candidates_match_brute_force(points, block_rows):
     rows, df = points
@@ -258,16 +268,6 @@ def test_nearest_rows_open_few_blocks(scattered, block_rows):
     assert 0 < seen[0] < 0.6 * 360 * tiles
 
 
-def test_small_groups_are_one_tile(scattered):
-    """Without other blocks to open the results are the same."""
-    _, df = scattered
-    few = lambda f, **more: {tuple(r) for r in f(**more).collect()}
-    near = lambda **more: SE.nearest_rows(df, "gloss", "centroid", 3, ["dataset"], **more).select("dataset", "gloss", "_near")
-    assert few(near) == few(near, block_rows=16)
-    worst = lambda **more: SE.worst_ratios(df, **more).select("dataset", "gloss", F.round("ratio", 9))
-    assert few(worst) == few(worst, block_rows=16)
-
-
 def test_rows_that_no_bound_tells_apart_go_to_few_tiles(spark):
     """In many dimensions every block has to be opened; a row is then sent to a few tiles, not to each of them."""
     from seqatlas.operators import blocks
@@ -286,6 +286,16 @@ def test_rows_that_no_bound_tells_apart_go_to_few_tiles(spark):
     assert seen[0] <= 600 * 2 * blocks.TILES
 
 
+def test_small_groups_are_one_tile(scattered):
+    """Without other blocks to open the results are the same."""
+    _, df = scattered
+    few = lambda f, **more: {tuple(r) for r in f(**more).collect()}
+    near = lambda **more: SE.nearest_rows(df, "gloss", "centroid", 3, ["dataset"], **more).select("dataset", "gloss", "_near")
+    assert few(near) == few(near, block_rows=16)
+    worst = lambda **more: SE.worst_ratios(df, **more).select("dataset", "gloss", F.round("ratio", 9))
+    assert few(worst) == few(worst, block_rows=16)
+
+
 def test_kmeans_and_components(points):
     rows, df = points
     x = np.array([r[3] for r in rows])
