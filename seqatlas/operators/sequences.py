@@ -499,21 +499,59 @@ def stabilise_sides(
 def interpolate_blocks(df: DataFrame, seq: Sequences, blocks: Mapping[str, str]) -> DataFrame:
     """Interior interpolation of whole landmark rows (arrays); ``blocks`` maps an array
     column to its validity flag. A row without content counts as missing."""
-    content = lambda c: F.exists(F.col(c), lambda v: F.abs(v) > A.ANGLE_EPS)
     near = attach_neighbours(
-        with_chunks(df, seq), seq, {c: (F.col(c), F.col(ok) & content(c)) for c, ok in blocks.items()}
+        with_chunks(df, seq), seq, {c: (F.col(c), F.col(ok) & _content(c)) for c, ok in blocks.items()}
     )
-    at = F.col(seq.frame)
-    fills = {}
-    for c in blocks:
-        prev, after = F.col(f"{c}_prev"), F.col(f"{c}_after")
-        mixed = A.let(
-            lambda r: F.zip_with(r["a"], r["b"], lambda a, b: a + (b - a) * r["share"]),
-            a=prev["value"], b=after["value"], share=(at - prev["at"]) / (after["at"] - prev["at"]),
-        )
-        inside = prev.isNotNull() & after.isNotNull() & (prev["at"] < at)
-        fills[c] = F.when(inside, mixed).otherwise(F.col(c))
-    return near.withColumns(fills).select(*df.columns)
+    return near.withColumns({c: _filled_block(c, f"{c}_prev", f"{c}_after", F.col(seq.frame)) for c in blocks}).select(*df.columns)
+
+
+def _content(c: str) -> Column:
+    return F.exists(F.col(c), lambda v: F.abs(v) > A.ANGLE_EPS)
+
+
+def with_sources(plan: DataFrame, seq: Sequences, valid: Sequence[str]) -> DataFrame:
+    """Chunked rows, with copies of the rows a chunk needs from others to fill its gaps: for each flag of
+    ``valid``, the last row before the chunk and the first row after it that have it. ``_core`` marks the originals.
+
+    The flags decide, so the arrays need not be read for it; a chunk gets two copies per flag at most.
+    """
+    chunked = with_chunks(plan, seq)
+    at = lambda ok: F.when(F.col(ok), F.col(seq.frame))
+    ends = chunked.groupBy(*seq.parts).agg(
+        *[F.min(at(ok)).alias(f"{ok}_first") for ok in valid], *[F.max(at(ok)).alias(f"{ok}_last") for ok in valid]
+    )
+    earlier = seq.between_chunks().rowsBetween(Window.unboundedPreceding, -1)
+    later = seq.between_chunks(backwards=True).rowsBetween(Window.unboundedPreceding, -1)
+    near = [F.last(f"{ok}_last", ignorenulls=True).over(earlier) for ok in valid] + [F.last(f"{ok}_first", ignorenulls=True).over(later) for ok in valid]
+    wanted = ends.select(*seq.parts, F.array(*near).alias("_near"))
+    wanted = wanted.select(*seq.parts, F.explode(F.array_distinct(F.filter("_near", lambda x: x.isNotNull()))).alias(seq.frame))
+    copies = plan.join(wanted, [*seq.keys, seq.frame]).withColumn("_core", F.lit(False))
+    return chunked.withColumn("_core", F.lit(True)).unionByName(copies)
+
+
+def fill_blocks(h: DataFrame, seq: Sequences, blocks: Mapping[str, str]) -> DataFrame:
+    """Interior interpolation of landmark rows (arrays) of a table ``with_sources``; ``blocks`` maps an array column to
+    the flag of its valid rows. The rows are read once."""
+    points = {c: F.when(F.col(ok), F.struct(F.col(seq.frame).alias("at"), F.col(c).alias("value"))) for c, ok in blocks.items()}
+    back = seq.window().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = seq.backwards().rowsBetween(Window.unboundedPreceding, -1)
+    near = h.select(
+        "*",
+        *[F.last(x, ignorenulls=True).over(back).alias(f"_{c}_prev") for c, x in points.items()],
+        *[F.last(x, ignorenulls=True).over(ahead).alias(f"_{c}_after") for c, x in points.items()],
+    )
+    return core_only(near.withColumns({c: _filled_block(c, f"_{c}_prev", f"_{c}_after", F.col(seq.frame)) for c in blocks})).drop(
+        *[f"_{c}_{s}" for c in blocks for s in ("prev", "after")]
+    )
+
+
+def _filled_block(c: str, before: str, behind: str, at: Column) -> Column:
+    prev, after = F.col(before), F.col(behind)
+    mixed = A.let(
+        lambda r: F.zip_with(r["a"], r["b"], lambda a, b: a + (b - a) * r["share"]),
+        a=prev["value"], b=after["value"], share=(at - prev["at"]) / (after["at"] - prev["at"]),
+    )
+    return F.when(prev.isNotNull() & after.isNotNull() & (prev["at"] < at), mixed).otherwise(F.col(c))
 
 
 # What ``preprocess`` adds to each frame about its whole sequence.
@@ -531,7 +569,7 @@ def _frame_plan(f: DataFrame, seq: Sequences, target: int | None, stage: Callabl
     """
     upper = POSE_STRIDE * A.SHOULDERS[0]
     narrow = f.select(
-        *seq.keys, seq.frame, "v_pose", "v_left", "v_right", "left_norm", "right_norm",
+        *seq.keys, seq.frame, "v_pose", "v_left", "v_right", "left_norm", "right_norm", *[_content(h).alias(f"_has_{h}") for h in HANDS],
         F.slice("pose", upper + 1, UPPER_BODY * POSE_STRIDE).alias("_upper"),
     )
     hands = motion_score(
@@ -562,8 +600,9 @@ def preprocess(
     """Trim, resample, stabilise sides, interpolate and anchor a stored frame table.
 
     ``frames`` has the declared row layout: arrays pose, hands, face, mouth and flags v_pose,
-    v_left, v_right, v_face. The plan of output frames and sides is made without the arrays; they
-    meet it in one join on the frame, and only the hands pass the windows that fill gaps.
+    v_left, v_right, v_face. The plan of output frames, sides and the frames that fill gaps is made
+    without the arrays. They meet it in one join on the frame and are never materialised, so a reader who
+    needs only some columns moves only those.
     ``stage`` materialises what is read twice. Every frame also carries ``untrimmed_frame``,
     ``side_stabilised`` and the counts of its sequence (``SEQUENCE_COUNTS``).
     """
@@ -576,23 +615,24 @@ def preprocess(
         "right_source_frames": (F.sum(F.col("v_right").cast("long")), F.sum),
     }
     plan = attach_totals(plan, seq, sides).drop("_chunk").withColumns({"_from_left": F.lit("left"), "_from_right": F.lit("right")})
-    sided = stage(stabilise_sides(plan, seq, left_valid="v_left", right_valid="v_right", moves=[("_from_left", "_from_right")]))
+    sided = stabilise_sides(plan, seq, left_valid="v_left", right_valid="v_right", moves=[("_from_left", "_from_right")])
+    origin = lambda side, left, right, none: F.when(F.col(f"_from_{side}") == "left", left).when(F.col(f"_from_{side}") == "right", right).otherwise(none)
+    blocks = {f"{side}_{kind}": (side, kind) for side in ("left", "right") for kind in ("norm", "world")}
+    usable = {
+        f"_ok_{c}": F.col(f"v_{side}") & origin(side, F.col(f"_has_left_{kind}"), F.col(f"_has_right_{kind}"), F.lit(False))
+        for c, (side, kind) in blocks.items()
+    }
+    sided = stage(sided.withColumns(usable).drop(*[f"_has_{h}" for h in HANDS]))
     carried = [c for c in frames.columns if c not in (*seq.keys, seq.frame, "hands", "v_pose", "v_left", "v_right")]
     stored = f.select(*seq.keys, F.col(seq.frame).alias("untrimmed_frame"), *carried, *HANDS)
-    wide = sided.join(stored, [*seq.keys, "untrimmed_frame"])
+    wide = with_sources(sided, seq, list(usable)).join(stored, [*seq.keys, "untrimmed_frame"])
     none = F.array_repeat(F.lit(0.0), HAND_LANDMARKS * 3)
-    shown = lambda side, kind: F.when(F.col(f"_from_{side}") == "left", F.col(f"left_{kind}")).when(
-        F.col(f"_from_{side}") == "right", F.col(f"right_{kind}")
-    ).otherwise(none)
-    wide = wide.withColumns({f"{side}_{kind}": shown(side, kind) for side in ("left", "right") for kind in ("norm", "world")})
+    wide = wide.withColumns({c: origin(side, F.col(f"left_{kind}"), F.col(f"right_{kind}"), none) for c, (side, kind) in blocks.items()})
+    filled = fill_blocks(wide.drop("_from_left", "_from_right"), seq, {c: f"_ok_{c}" for c in blocks}).drop(*usable)
     pose = A.anchor_flat_pose(F.col("pose"), POSE_BLOCKS, POSE_BLOCKS[1] - POSE_BLOCKS[0], POSE_STRIDE)
     mouth = A.anchor_flat_mouth(F.col("mouth"), MOUTH_LANDMARKS * 3, *MOUTH_CORNERS)
-    wide = stage(wide.withColumns({"pose": pose, "mouth": mouth}).drop("_from_left", "_from_right"))
-    filled = interpolate_blocks(
-        wide, seq, {"left_norm": "v_left", "right_norm": "v_right", "left_world": "v_left", "right_world": "v_right"}
-    )
     anchored = [A.anchor_flat_hand(F.col(h)) for h in HANDS]
-    return filled.withColumn("hands", F.concat(*anchored)).drop(*HANDS)
+    return filled.withColumns({"pose": pose, "mouth": mouth, "hands": F.concat(*anchored)}).drop(*HANDS)
 
 
 def preprocess_counts(processed: DataFrame, seq: Sequences) -> DataFrame:
