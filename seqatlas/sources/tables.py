@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from seqatlas.distribution import salted_join
 from seqatlas.functions import text as X
 from seqatlas.guards import InputError, must_hold, require_columns
 from seqatlas.session import cut_lineage
@@ -66,32 +67,38 @@ def read_csv_any_encoding(spark: SparkSession, paths: str | Sequence[str], colum
         F.bool_or(_open_quotes(as_latin)).alias("_spans"),
     )
     encoding = F.when(F.col("_utf8"), "utf-8").when(~F.col("_not_1258"), "cp1258").otherwise("latin1")
-    files = cut_lineage(files.select("_file", "_first", "_spans", encoding.alias("_encoding")))
-    marked = lines.join(files, "_file")
     decoded = (
         F.when(F.col("_encoding") == "utf-8", F.regexp_replace("value", f"^{BOM}", ""))
         .when(F.col("_encoding") == "cp1258", F.translate(as_latin, source, target))
         .otherwise(as_latin)
     )
-    marked = marked.select("_file", "_at", "_first", "_encoding", "_spans", F.regexp_replace(decoded, "\r$", "").alias("_line")).filter(F.length(F.trim("_line")) > 0)
-    heads = marked.filter(F.col("_at") == F.col("_first")).select("_file", _split_line(F.col("_line")).alias("_head"))
+    line = F.regexp_replace(decoded, "\r$", "")
+    # The number of a line is unique: its header finds a file without gathering its lines.
+    headers = lines.filter(F.col("_block") == 0).select(F.col("_at").alias("_first"), "value")
+    files = files.withColumn("_encoding", encoding).join(headers, "_first").select("_file", "_first", "_spans", "_encoding", _split_line(line).alias("_head"))
+    files = cut_lineage(files)
+    # A file's lines meet its row block by block, so that no task sorts a whole file.
+    blocks = lines.select("_file", "_block").distinct().join(files, "_file")
+    marked = lines.join(blocks, ["_file", "_block"])
+    marked = marked.select("_at", "_first", "_encoding", "_spans", "_head", line.alias("_line")).filter(F.length(F.trim("_line")) > 0)
     # One row, whatever the number of files.
-    shape = heads.agg(F.max(F.size("_head")).alias("width"), F.min_by("_head", "_file").alias("names")).first()
+    shape = files.agg(F.max(F.size("_head")).alias("width"), F.min_by("_head", "_file").alias("names")).first()
     if shape["width"] is None:
         raise InputError("the CSV files are empty")
     names, width = list(columns) if columns else shape["names"], shape["width"]
     fields = ", ".join(f"_c{i} string" for i in range(width))
     rows = marked.filter((F.col("_at") != F.col("_first")) & ~F.col("_spans"))
-    parsed = rows.select("_file", "_encoding", F.from_csv("_line", F.lit(fields), {"quote": '"', "escape": '"'}).alias("_r"))
+    parsed = rows.select("_encoding", "_head", F.from_csv("_line", F.lit(fields), {"quote": '"', "escape": '"'}).alias("_r"))
     values = F.array(*[F.col(f"_r._c{i}") for i in range(width)])
-    cells = parsed.select("_file", "_encoding", values.alias("_values"))
+    joined = parsed.select("_encoding", "_head", values.alias("_values"))
     # The names of the files that are read as a whole; there are as many as such files.
     whole: dict[str, list[str]] = {}
     for row in files.filter("_spans").select("_file", "_encoding").collect():
         whole.setdefault(row["_encoding"], []).append(row["_file"])
     for name, paths_ in sorted(whole.items()):
-        cells = cells.unionByName(_records(spark, paths_, name, width))
-    joined = cells.join(heads.select("_file", F.transform("_head", lambda h: F.lower(h)).alias("_head")), "_file")
+        records = _records(spark, paths_, name, width)
+        joined = joined.unionByName(salted_join(records, files.filter("_spans").select("_file", "_head"), ["_file"], salt_on=["_values"]).drop("_file"))
+    joined = joined.withColumn("_head", F.transform("_head", lambda h: F.lower(h)))
     place = lambda n: F.array_position("_head", F.lit(n.lower())).cast("int")
     return joined.select(*[F.when(place(n) > 0, F.get("_values", place(n) - 1)).alias(n) for n in names], "_encoding")
 
@@ -100,12 +107,9 @@ def _records(spark: SparkSession, paths: Sequence[str], encoding: str, width: in
     """(_file, _encoding, _values) of the records of whole files, without their headers."""
     fields = ", ".join(f"_c{i} string" for i in range(width))
     charset = "UTF-8" if encoding == "utf-8" else "ISO-8859-1"
-    reader = spark.read.schema(fields).options(multiLine="true", quote='"', escape='"', encoding=charset)
-    # A file with line breaks in fields is never split; its first record is the header.
-    rows = reader.csv(list(paths)).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    rows = cut_lineage(rows)
-    first = rows.groupBy("_file").agg(F.min("_at").alias("_first"))
-    body = rows.join(first, "_file").filter(F.col("_at") != F.col("_first"))
+    # A file with line breaks in fields is never split; the reader drops its first record, the header.
+    reader = spark.read.schema(fields).options(multiLine="true", header="true", enforceSchema="true", quote='"', escape='"', encoding=charset)
+    body = reader.csv(list(paths)).select("*", F.col("_metadata.file_path").alias("_file"))
     source, target, _ = _vietnamese_table()
     # Spark's reader does not know code page 1258: its letters are translated from Latin-1 as in split lines.
     letters = lambda c: F.translate(c, source, target) if encoding == "cp1258" else c

@@ -3,6 +3,7 @@
 import io
 import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -511,3 +512,24 @@ def test_preprocess_keeps_length_and_anchors_wrists(spark):
     neck = (pose[:, 11, :3] + pose[:, 12, :3]) / 2
     head = (pose[:, 7, :3] + pose[:, 8, :3]) / 2
     assert np.allclose(neck, 0, atol=1e-9) and np.allclose(np.linalg.norm(head - neck, axis=1), 1)
+
+
+def test_no_join_of_csv_lines_gathers_a_file(spark, tmp_path):
+    from seqatlas.sources import tables as T
+
+    (tmp_path / "a.csv").write_text("id,label\n1,x\n2,y\n")
+    (tmp_path / "b.csv").write_text('Label,ID\n"two\nlines",3\n')
+    df = T.read_csv_any_encoding(spark, str(tmp_path), columns=["id", "label"])
+    assert {(r.id, r.label) for r in df.collect()} == {("1", "x"), ("2", "y"), ("3", "two\nlines")}
+    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().optimizedPlan().toString())
+    # Blocks find the row of their file; lines and records are joined by block and salt.
+    assert "_block = _block" in plan and "_salt = _salt" in plan and len(re.findall(r"Join \w+, \(_file = _file\)", plan)) <= 1
+
+
+def test_archives_are_made_in_small_batches():
+    import pandas as pd
+    from catalog import sources as CS
+
+    rows = pd.DataFrame({"vec_id": range(1, 1201), "embedding": [[0.5] * 64] * 1200})
+    sizes = [len(b) for b in CS._extracted([rows])]
+    assert sum(sizes) == 1200 and max(sizes) <= 500
