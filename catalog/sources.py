@@ -136,6 +136,9 @@ def src_layout_decode(t):
 K = "CAST(json_extract(props, '$.k') AS DOUBLE)"
 
 
+ARCHIVES = 500  # of a batch; each is much larger than the row it is made of
+
+
 def _extracted(batches):
     for batch in batches:
         out = []
@@ -150,6 +153,9 @@ def _extracted(batches):
                 more["valid_mask"] = mask
             np.savez(buffer, pose=rows, hands=rows, **more)
             out.append((f"label/{ident}.npz", b"broken" if ident % 50 == 0 else buffer.getvalue()))
+            if len(out) == ARCHIVES:
+                yield pd.DataFrame(out, columns=["path", "content"])
+                out = []
         yield pd.DataFrame(out, columns=["path", "content"])
 
 
