@@ -54,6 +54,23 @@ def salted_join(
 # --- sequences ------------------------------------------------------------------
 
 
+TASK_ROWS = 131_072  # rows of a task that sorts whole frames
+
+
+def in_small_tasks(df: DataFrame, by: Sequence[str], rows: int | None = None) -> DataFrame:
+    """``df`` dealt by ``by`` to so many tasks that each gets about ``TASK_ROWS`` of its rows.
+
+    The number of shuffle partitions is fixed, and small partitions are joined but large ones are not cut, so the sorts
+    of a task would otherwise grow with the table. A table that is one such task stays as it is. ``rows`` is counted when
+    not given.
+    """
+    tasks = -(-(df.count() if rows is None else rows) // TASK_ROWS)
+    if tasks <= 1:
+        return df
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, least), *by)
+
+
 @dataclass(frozen=True)
 class Sequences:
     """Rows that form ordered sequences: one sequence per key, dense frames from 0.

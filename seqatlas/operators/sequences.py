@@ -17,6 +17,7 @@ from seqatlas.distribution import (
     attach_totals,
     core_only,
     exact_quantiles,
+    in_small_tasks,
     salted_join,
     with_chunks,
     with_halo,
@@ -276,7 +277,7 @@ def _fill_gaps_in_halo(h: DataFrame, seq: Sequences, parts: Sequence[str], max_g
 def interpolate_gaps(df: DataFrame, seq: Sequences, parts: Sequence[str], max_gap: int = MAX_GAP) -> DataFrame:
     """Fill runs of at most ``max_gap`` missing frames linearly; an edge run takes the
     nearest value; sequences with fewer than two valid frames stay as they are."""
-    h = with_halo(df, seq, before=max_gap + 1, after=max_gap + 1)
+    h = in_small_tasks(with_halo(df, seq, before=max_gap + 1, after=max_gap + 1), seq.parts, df.count())
     return core_only(_fill_gaps_in_halo(h, seq, parts, max_gap))
 
 
@@ -322,9 +323,9 @@ def resample_linear(df: DataFrame, seq: Sequences, columns: Sequence[str], point
 
     Each frame itself yields the targets that fall between it and the next frame.
     """
-    near = attach_neighbours(
-        _with_length(df, seq), seq, {c: (F.col(c), F.col(c).isNotNull()) for c in columns}
-    )
+    spread = in_small_tasks(with_chunks(df, seq), seq.parts, df.count())
+    sized = attach_totals(spread, seq, {"_length": (F.max(seq.frame) + 1, F.max)})
+    near = attach_neighbours(sized, seq, {c: (F.col(c), F.col(c).isNotNull()) for c in columns})
     f, t, n = F.col(seq.frame), F.col("_length"), F.lit(points).cast("long")
     floor_div = lambda a, b: F.floor(a / b).cast("long")
     first = F.when(t == 1, F.lit(0)).otherwise(floor_div(f * (n - 1) + t - 2, t - 1))
