@@ -56,7 +56,7 @@ def _chunk_steps(df: DataFrame, seq: Sequences, point: str) -> DataFrame:
     before the row inside the same chunk."""
     here = F.when(F.col(point).isNotNull(), F.struct(F.col(seq.frame).alias("at"), F.col(point).alias("value")))
     back = seq.window().rowsBetween(Window.unboundedPreceding, -1)
-    return with_chunks(df, seq).withColumn("_here", here).withColumn(
+    return in_small_tasks(with_chunks(df, seq), seq.parts).withColumn("_here", here).withColumn(
         "_past", F.when(F.col("_here").isNotNull(), F.last("_here", ignorenulls=True).over(back))
     )
 
@@ -719,7 +719,7 @@ def sequence_features(
     keys = list(seq.keys)
     rate = F.lit(1.0) if fps is None else F.when(fps > 0, fps).otherwise(F.lit(1.0))
     w = seq.window()
-    h = with_halo(normalised, seq, before=2)
+    h = in_small_tasks(with_halo(normalised, seq, before=2), seq.parts, normalised.count())
     steps = [A.step(F.col(p), F.lag(p).over(w)) for p in ("left", "right")]
     h = h.withColumn("_motion", sum_if_any(*steps)).withColumn("_velocity", F.col("_motion") * rate)
     h = h.withColumn("_acceleration", F.col("_velocity") - F.lag("_velocity").over(w))

@@ -1,13 +1,17 @@
 """Chunked sequence operators give the same result whatever the chunk size."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from catalog.series import centers, frames
 from oracle import rows_of
+from seqatlas import distribution
 from seqatlas.distribution import Sequences, number_rows
 from seqatlas.operators import sequences as S
+from seqatlas.session import cut_lineage
 
 WIDE = Sequences(("user_id",))
 SMALL = 12
@@ -108,3 +112,26 @@ def test_first_two_detections_fill_the_slots(spark):
     df = spark.createDataFrame(rows, "f int, i int, side string, hand string")
     got = {r.f: (r.left, r.right) for r in S.assign_hand_slots(df, ["f"], order="i", side="side", payload="hand").collect()}
     assert got == {1: ("b", "a"), 2: ("c", "d"), 3: ("e", None)}
+
+
+@pytest.mark.parametrize("name", ["gaps", "linear", "trajectory", "valid_steps"])
+def test_more_rows_are_more_tasks(long_frames, name, monkeypatch):
+    run, seq = OPERATORS[name], Sequences(("user_id",), chunk_rows=SMALL)
+    whole = rounded_rows(run(long_frames, seq))
+    monkeypatch.setattr(distribution, "TASK_ROWS", 20)
+    plan = run(long_frames, seq)
+    tasks = -(-long_frames.count() // 20)
+    assert f"hashpartitioning(user_id, _chunk, {tasks})" in re.sub(r"#\d+L?", "", plan._jdf.queryExecution().sparkPlan().toString())
+    assert rounded_rows(plan) == whole
+
+
+def test_features_and_trajectories_in_small_tasks(tables, monkeypatch):
+    seq = Sequences(("user_id",), chunk_rows=13)
+
+    def run():
+        normalised = cut_lineage(S.normalised_frames(centers(tables), seq))
+        return rounded_rows(S.sequence_features(normalised, seq)), rounded_rows(S.hand_trajectories(normalised, seq))
+
+    whole = run()
+    monkeypatch.setattr(distribution, "TASK_ROWS", 50)
+    assert run() == whole and whole[1]
