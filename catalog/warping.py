@@ -165,4 +165,5 @@ def chart_trajectories(t):
     """Example trajectories: the six users with the most motion."""
     normalised = cut_lineage(S.normalised_frames(centers(t), USERS))
     features = S.sequence_features(normalised, USERS).select("user_id", "total_motion")
-    return rounded(S.hand_trajectories(P.most_moving(features, normalised, ["user_id"]), USERS))
+    best = cut_lineage(P.most_moving(features, normalised, ["user_id"]))
+    return rounded(S.hand_trajectories(best, USERS))
