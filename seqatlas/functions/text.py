@@ -153,10 +153,17 @@ def section_group(section: Column) -> Column:
     return group
 
 
+HIGH_BYTES = "".join(map(chr, range(128, 256)))
+
+
 def fourcc(code: Column) -> Column:
-    """Codec tag packed in a 32-bit integer, lowest byte first; NULL when not positive."""
+    """Codec tag packed in a 32-bit integer, lowest byte first; NULL when not positive.
+
+    The four bytes are read at once: an expression for each letter would repeat ``code`` so often that the code
+    Spark generates is too long to be compiled.
+    """
     n = code.cast("long")
-    bytes_ = [F.shiftright(n, 8 * i).bitwiseAND(F.lit(255)) for i in range(4)]
-    letters = [F.when(b < 128, F.char(b)).otherwise(F.lit("")) for b in bytes_]
-    tag = F.btrim(F.concat(*letters), F.lit(" \t\n\r\x0b\x0c"))
+    word = F.unhex(F.lpad(F.hex(n.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    letters = F.translate(F.reverse(F.decode(word, "ISO-8859-1")), HIGH_BYTES, "")
+    tag = F.btrim(letters, F.lit(" \t\n\r\x0b\x0c"))
     return F.when(n > 0, F.nullif(tag, F.lit("")))

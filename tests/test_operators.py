@@ -533,3 +533,18 @@ def test_archives_are_made_in_small_batches():
     rows = pd.DataFrame({"vec_id": range(1, 1201), "embedding": [[0.5] * 64] * 1200})
     sizes = [len(b) for b in CS._extracted([rows])]
     assert sum(sizes) == 1200 and max(sizes) <= 500
+
+
+def test_codec_tags_of_all_bytes_name_the_code_few_times(spark):
+    rng = np.random.default_rng(0)
+    codes = [None, -5, 0, 1, 32, 2**31, 2**32 - 1, 2**32, 2**40 + 97, *(b << 8 * i for b in range(256) for i in range(4)), *rng.integers(1, 2**33, 2000).tolist()]
+    codes += [int.from_bytes(rng.choice([0, 9, 11, 28, 32, 97, 200], 4).astype(np.uint8).tobytes(), "little") for _ in range(500)]
+
+    def tag(n):
+        if n is None or n <= 0:
+            return None
+        return bytes(b for b in (n % 2**32).to_bytes(4, "little") if b < 128).decode().strip(" \t\n\r\x0b\x0c") or None
+
+    df = spark.createDataFrame([(c,) for c in codes], "c long").withColumn("tag", X.fourcc(F.col("c")))
+    assert [r.tag for r in df.collect()] == [tag(c) for c in codes]
+    assert df._jdf.queryExecution().analyzed().toString().count("c#") <= 6
