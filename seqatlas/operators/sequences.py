@@ -395,13 +395,14 @@ def motion_score(
     seq: Sequences,
     scores: Mapping[str, tuple[str, str]],
     step: Callable[[Column, Column], Column] = A.step,
+    rows: int | None = None,
 ) -> DataFrame:
     """Per frame, the larger step to the frame before or after, 0 unless both are valid.
 
-    ``scores`` maps an output column to its (value, validity flag) columns.
+    ``scores`` maps an output column to its (value, validity flag) columns. ``rows`` is counted when not given.
     """
     w = seq.window()
-    h = with_halo(df, seq, before=1, after=1)
+    h = in_small_tasks(with_halo(df, seq, before=1, after=1), seq.parts, df.count() if rows is None else rows)
     # The step ahead of a frame is the step back of the next one.
     back = {name: F.when(F.col(ok) & F.lag(ok).over(w), step(F.col(v), F.lag(v).over(w))) for name, (v, ok) in scores.items()}
     h = h.withColumns({name: F.coalesce(d, F.lit(0.0)) for name, d in back.items()})
@@ -568,16 +569,17 @@ def _frame_plan(f: DataFrame, seq: Sequences, target: int | None, stage: Callabl
     Only the arrays of the hands and the upper body are read, and only to score motion. The scores are
     materialised: each total of a sequence reads them twice, so their plan would double with every one.
     """
-    upper = POSE_STRIDE * A.SHOULDERS[0]
+    upper, rows = POSE_STRIDE * A.SHOULDERS[0], f.count()
     narrow = f.select(
         *seq.keys, seq.frame, "v_pose", "v_left", "v_right", "left_norm", "right_norm", *[_content(h).alias(f"_has_{h}") for h in HANDS],
         F.slice("pose", upper + 1, UPPER_BODY * POSE_STRIDE).alias("_upper"),
     )
     hands = motion_score(
         narrow, seq, {"left_motion": ("left_norm", "v_left"), "right_motion": ("right_norm", "v_right")},
-        lambda a, b: A.flat_step(a, b, HAND_LANDMARKS),
+        lambda a, b: A.flat_step(a, b, HAND_LANDMARKS), rows,
     ).drop("left_norm", "right_norm")
-    scored = motion_score(hands, seq, {"pose_motion": ("_upper", "v_pose")}, lambda a, b: A.flat_step(a, b, UPPER_BODY, POSE_STRIDE)).drop("_upper")
+    upper_step = lambda a, b: A.flat_step(a, b, UPPER_BODY, POSE_STRIDE)
+    scored = motion_score(hands, seq, {"pose_motion": ("_upper", "v_pose")}, upper_step, rows).drop("_upper")
     scored = stage(scored.withColumn("hand_present", F.col("v_left") | F.col("v_right")))
     moving = {
         "max_hand_motion": (F.max(F.greatest("left_motion", "right_motion")), F.max),

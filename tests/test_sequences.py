@@ -114,7 +114,7 @@ def test_first_two_detections_fill_the_slots(spark):
     assert got == {1: ("b", "a"), 2: ("c", "d"), 3: ("e", None)}
 
 
-@pytest.mark.parametrize("name", ["gaps", "linear", "trajectory", "valid_steps"])
+@pytest.mark.parametrize("name", ["gaps", "linear", "score", "trajectory", "valid_steps"])
 def test_more_rows_are_more_tasks(long_frames, name, monkeypatch):
     run, seq = OPERATORS[name], Sequences(("user_id",), chunk_rows=SMALL)
     whole = rounded_rows(run(long_frames, seq))
