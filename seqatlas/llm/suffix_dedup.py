@@ -16,8 +16,12 @@ compared again. In the merged order suffixes with the same gram are neighbours;
 share a window when the bytes they share to the left of the gram and to the right of it make
 up ``WINDOW - GRAM``.
 
-A gram with more than ``most`` different surroundings isn't merged in one task: its windows are
-hashed instead (128 bits) and counted by a distributed aggregation, which gives the same bytes.
+A gram with more than ``most`` different surroundings, or a thousandth of all (256 at least), isn't merged in one task: blocks of its neighbouring
+windows are told apart by what all windows of a block share and by all they cover, as grams are by their surroundings;
+windows of blocks that are still open are hashed (128 bits) and counted by a distributed aggregation, which gives the same bytes.
+
+Repeats of a shorter length, ``passage``, come from the same pass: anchors are then picked in windows of that
+length, and those of longer windows are among them; only the surroundings keep the longer reach.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ RANGE_BYTES = 1 << 24
 _ODD = 0x9E3779B97F4A7C15
 SMALL = 12
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+PASSAGES = "n_passage_bytes long, passage_text string"
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -50,17 +55,19 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def anchors(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, window: int = WINDOW, gram: int = GRAM, side: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, gram hash, hash of the surroundings) of the anchors of one text of bytes.
 
+    Surroundings are ``side`` bytes on either side of the gram, by default as far as its windows reach.
     The leftmost of equal smallest hashes is picked. Very long texts are read in segments that
     overlap by a window, so that every window lies in one.
     """
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     n, reach = len(data), window - gram
+    side = reach if side is None else side
     for first in range(0, max(n - window + 1, 0), SEGMENT):
         # Bytes before the segment are read too: they belong to the surroundings.
-        begin, end = max(first - reach, 0), min(first + SEGMENT + window - 1 + reach, n)
+        begin, end = max(first - side, 0), min(first + SEGMENT + window - 1 + side, n)
         part = Prefix(data[begin:end])
         last = min(first + SEGMENT, n - window + 1)  # windows start in [first, last)
         start = np.arange(first, last + reach) - begin
@@ -70,7 +77,7 @@ def anchors(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[n
         at = (np.unique(smallest) & np.uint64((1 << 24) - 1)).astype(np.int64)
         at.sort()
         place = at + first
-        left, right = np.minimum(place, reach), np.minimum(n - place, window)
+        left, right = np.minimum(place, side), np.minimum(n - place, gram + side)
         around = mix(part.raw(place - left - begin, place + right - begin) + left.astype(np.uint64) * np.uint64(1 << 20) + right.astype(np.uint64))
         found.append((place, h[at], around))
     if not found:
@@ -171,6 +178,8 @@ def _suffix(gram: int, right: bytes, left: bytes) -> bytes:
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of rows of two byte tables."""
+    if not a.shape[1]:
+        return np.zeros(len(a), np.int64)
     differ = a != b
     return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
@@ -219,7 +228,7 @@ def window_hashes(right: list[bytes], left: list[bytes], room: int) -> tuple[np.
 
     Only those with enough bytes on both sides mean anything.
     """
-    data = np.frombuffer(b"".join(x.rjust(room, b"\0") + y.ljust(room, b"\0") for x, y in zip(left, right)), np.uint8).reshape(-1, 2 * room)
+    data = np.frombuffer(b"".join(x.rjust(room, b"\0") + y.ljust(room, b"\0") for x, y in zip(left, right)), np.uint8).reshape(len(right), 2 * room)
     start = room - np.arange(room + 1)
     out = []
     for values in (data, data * np.uint8(167) + (data >> 3) + np.uint8(91)):
@@ -240,12 +249,14 @@ def _matched(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, total
     return rows.join(F.broadcast(hot), keys).unionByName(others.join(rest, keys))
 
 
-def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int | None = None, most: int = 4096) -> DataFrame:
-    """(doc_id, text_hash, first, last) of byte runs that repeat; runs may touch and overlap.
+def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int | None = None, most: int = 4096, passage: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, first, last, long) of byte runs that repeat; runs may touch and overlap.
 
-    text_hash tells rows apart that share an id; repeated rows share their spans.
+    text_hash tells rows apart that share an id; repeated rows share their spans. With ``passage``,
+    at most ``window``, runs of that length count too; those of whole windows are the long ones, in texts that hold a window.
     """
-    spark, room = docs.sparkSession, window - gram
+    spark, room, least = docs.sparkSession, window - gram, passage or window
+    rooms = sorted({least - gram, room})
     texts = whole_documents(docs).withColumn("text_hash", F.xxhash64("text"))
 
     def find(batches):
@@ -254,16 +265,16 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
             out = [[] for _ in range(5)]
             for doc_id, text_hash, text in zip(batch["doc_id"].astype("Int64"), batch["text_hash"], batch["text"]):
                 data = np.frombuffer(text.encode(), np.uint8)
-                if len(data) < window:
+                if len(data) < least:
                     continue
-                place, h, around = anchors(data, window, gram)
+                place, h, around = anchors(data, least, gram, room)
                 for column, x in zip(out, (np.full(len(place), 0 if doc_id is pd.NA else doc_id), np.full(len(place), text_hash), place, h.astype(np.int64), around.astype(np.int64))):
                     column.append(x)
             if out[0]:
                 yield pd.DataFrame(dict(zip(("doc_id", "text_hash", "place", "gram", "around"), map(np.concatenate, out))))
 
     # A null id counts as 0 here; text_hash and place still tell its rows apart.
-    found = stage(texts.where(F.octet_length("text") >= window).mapInPandas(find, "doc_id long, text_hash long, place int, gram long, around long"), "anchors")
+    found = stage(texts.where(F.octet_length("text") >= least).mapInPandas(find, "doc_id long, text_hash long, place int, gram long, around long"), "anchors")
     total = found.count()
     files = files_for(total, 500_000)
     # Most grams occur once; they are counted alone, and only anchors with a repeated one travel.
@@ -273,15 +284,21 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
     classes = stage(classes, "surroundings", files)
     kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
     known = stage(_matched(classes, kinds, ["gram"], "kinds", total), "kinds", files)
+    suffixes = known.count()
+    most = min(most, max(suffixes // 1000, 256))
     # Every anchor with the same gram and surroundings elsewhere: all its windows repeat.
     settled = _matched(found, classes.where("times > 1").select("gram", "around", "times"), ["gram", "around"], "times", total)
-    settled = settled.select("doc_id", "text_hash", (F.col("place") - room).alias("first"), (F.col("place") + window).alias("last"))
+    settled = settled.select("doc_id", "text_hash", (F.col("place") - room).alias("first"), (F.col("place") + window).alias("last"), F.lit(True).alias("long"))
     # One suffix for each different surrounding of a gram that has several.
     wanted = known.select("one.doc_id", "one.text_hash", F.struct(F.col("one.place").alias("place"), "gram", "times", (F.col("kinds") > most).alias("hot")).alias("s"))
     wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("s").alias("suffixes"))
-    own = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        return texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(rows, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+
+    own = with_texts(wanted)
     # Ranges are sized by what is sorted: each holds about RANGE_BYTES.
-    parts = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known.count() * 2 * room // RANGE_BYTES))
+    parts = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes * 2 * room // RANGE_BYTES))
 
     def make_runs(batches):
         """Sorted, front-coded runs of the suffixes of a task, one row for each range; hot grams by window."""
@@ -314,15 +331,26 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
             at += size
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, int, int, int, bool]] = []
         group: list[tuple[bytes, bytes, tuple]] = []
 
         def close() -> None:
             if len(group) > 1 and any(g[2][3] == 1 for g in group):
-                for member, to_left, to_right in covered_in_group([g[0] for g in group], [g[1] for g in group], room):
-                    doc_id, text_hash, place, times = group[member][2]
-                    if times == 1:  # the others are settled
-                        out.append((doc_id, text_hash, place - to_left, place + gram + to_right))
+                members = range(len(group))
+                for size in rooms:
+                    reach: dict[int, tuple[int, int]] = {}
+                    found = covered_in_group([group[m][0][:size] for m in members], [group[m][1][max(len(group[m][1]) - size, 0) :] for m in members], size)
+                    # All runs of a member hold its gram, so together they are one run.
+                    for m, to_left, to_right in found:
+                        before = reach.get(members[m], (0, 0))
+                        reach[members[m]] = max(before[0], to_left), max(before[1], to_right)
+                    for m, (to_left, to_right) in reach.items():
+                        doc_id, text_hash, place, times = group[m][2]
+                        if times == 1:  # the others are settled
+                            out.append((doc_id, text_hash, place - to_left, place + gram + to_right, size == room))
+                    members = sorted(reach)  # who shares no short run shares no long one
+                    if not members:
+                        break
             group.clear()
 
         for n, text, value in merge_runs([open_run(r) for r in frame.to_dict("records")]):
@@ -332,34 +360,86 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
             size = int.from_bytes(text[8:10], "little")
             group.append((text[10 : 10 + size], text[10 + size :][::-1], value))
         close()
-        return pd.DataFrame(out, columns=["doc_id", "text_hash", "first", "last"])
+        return pd.DataFrame(out, columns=["doc_id", "text_hash", "first", "last", "long"])
+
+    # Blocks of windows: (bytes they take beside the gram, least and most of them on its left).
+    blocks = np.array([(size, a, min(a + size // 5, size)) for size in rooms for a in range(0, size + 1, size // 5 + 1)]).T
+
+    def opened(data: bytes, place: int) -> tuple[np.ndarray, int, int]:
+        """The bytes around an anchor, and how many there are on the left and on the right of the gram."""
+        left = min(place, room)
+        piece = np.frombuffer(data[place - left : place + window], np.uint8)
+        return piece, left, len(piece) - left - gram
+
+    def hot_blocks(batches):
+        """One row for each block of windows of each suffix of a hot gram: its core lies in all of them, its span holds all."""
+        names = ["gram", "block", "core", "around", "doc_id", "text_hash", "place", "first", "last"]
+        for batch in batches:
+            out = []
+            for doc_id, text_hash, text, suffixes in zip(batch["doc_id"], batch["text_hash"], batch["text"], batch["suffixes"]):
+                data = text.encode()
+                for s in suffixes:
+                    place = s["place"]
+                    piece, left, right = opened(data, place)
+                    k = np.flatnonzero(np.maximum(blocks[1], blocks[0] - right) <= np.minimum(blocks[2], left))
+                    size, a, b = blocks[:, k]
+                    to_left, to_right = np.minimum(b, left), np.minimum(size - a, right)
+                    sums = Prefix(piece)
+                    core = sums.of(left - a, left + gram + size - b)
+                    around = mix(sums.raw(left - to_left, left + gram + to_right) + to_left.astype(np.uint64) * np.uint64(1 << 20) + to_right.astype(np.uint64))
+                    ids = (np.full(len(k), x, np.int64) for x in (doc_id, text_hash, place))
+                    out.append((np.full(len(k), s["gram"], np.int64), k, core.astype(np.int64), around.astype(np.int64), *ids, place - to_left, place + gram + to_right))
+            if out:
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
 
     def hot_windows(batches):
-        """One row for each window of each suffix of a hot gram."""
+        """One row for each window of the open blocks."""
+        names = ["gram", "block", "h1", "h2", "offset", "doc_id", "text_hash", "place"]
         for batch in batches:
+            out, n = [], 0
             for doc_id, text_hash, text, suffixes in zip(batch["doc_id"], batch["text_hash"], batch["text"], batch["suffixes"]):
                 data = text.encode()
                 for s in suffixes:
                     place = s["place"]
-                    right, left = data[place + gram : place + window], data[max(place - room, 0) : place]
-                    offsets = np.arange(max(room - len(right), 0), len(left) + 1)
-                    if not len(offsets):
-                        continue
-                    a, b = window_hashes([right], [left], room)
-                    yield pd.DataFrame({
-                        "gram": s["gram"], "h1": a[0, offsets].astype(np.int64), "h2": b[0, offsets].astype(np.int64), "offset": offsets,
-                        "doc_id": doc_id, "text_hash": text_hash, "place": place,
-                    })
+                    piece, left, right = opened(data, place)
+                    size, a, b = blocks[:, s["block"]]
+                    offsets = np.arange(max(a, size - right), min(b, left) + 1)
+                    # The second hash is of other values for the same bytes.
+                    both = (Prefix(x).of(left - offsets, left + gram + size - offsets).astype(np.int64) for x in (piece, piece * np.uint8(167) + (piece >> 3) + np.uint8(91)))
+                    ids = (np.full(len(offsets), x, np.int64) for x in (doc_id, text_hash, place))
+                    out.append((np.full(len(offsets), s["gram"], np.int64), np.full(len(offsets), s["block"]), *both, offsets, *ids))
+                    n += len(offsets)
+                    if n > 100_000:
+                        yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
+                        out, n = [], 0
+            if out:
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
 
     normal = own.withColumn("suffixes", F.filter("suffixes", lambda s: ~s["hot"])).where(F.size("suffixes") > 0)
     hot = own.withColumn("suffixes", F.filter("suffixes", lambda s: s["hot"])).where(F.size("suffixes") > 0)
     runs = normal.mapInPandas(make_runs, "range int, shared array<int>, rest binary, sizes array<int>, ids array<long>, hashes array<long>, places array<int>, times array<long>")
-    spans = "doc_id long, text_hash long, first int, last int"
+    spans = "doc_id long, text_hash long, first int, last int, long boolean"
     merged = stage(runs.repartition(parts, "range").groupBy("range").applyInPandas(merge, spans), "merged")
-    windows = stage(hot.mapInPandas(hot_windows, "gram long, h1 long, h2 long, offset int, doc_id long, text_hash long, place int"), "windows")
-    seen = ["gram", "h1", "h2", "offset"]
-    repeated = windows.groupBy(*seen).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    hot_spans = windows.join(repeated, seen).select("doc_id", "text_hash", (F.col("place") - F.col("offset")).alias("first"), (F.col("place") - F.col("offset") + window).alias("last"))
+    if known.where(F.col("kinds") > most).isEmpty():
+        return settled.unionByName(merged)
+    long = F.col("block").isin([int(k) for k in np.flatnonzero(blocks[0] == room)])
+    block = ["gram", "block", "core"]
+    parted = stage(hot.mapInPandas(hot_blocks, "gram long, block int, core long, around long, doc_id long, text_hash long, place int, first int, last int"), "blocks")
+    total = parted.count()
+    classes = stage(parted.groupBy(*block, "around").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "place")).alias("one")), "spans", files_for(total, 500_000))
+    kinds = classes.groupBy(*block).agg(F.count("*").alias("kinds")).where("kinds > 1")
+    whole = _matched(parted, classes.where("times > 1").drop("one"), [*block, "around"], "times", total)
+    whole = whole.select("doc_id", "text_hash", "place", "first", "last", long.alias("long"))
+    wanted = _matched(classes, kinds, block, "kinds", total).select("one.doc_id", "one.text_hash", F.struct(F.col("one.place").alias("place"), "gram", "block").alias("s"))
+    wanted = with_texts(wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("s").alias("suffixes")))
+    windows = stage(wanted.mapInPandas(hot_windows, "gram long, block int, h1 long, h2 long, offset int, doc_id long, text_hash long, place int"), "windows")
+    seen = ["gram", "block", "h1", "h2", "offset"]
+    repeated = windows.groupBy(*seen).agg(F.count("*").alias("_n")).where("_n > 1")
+    sizes = F.element_at(F.array(*(F.lit(int(x)) for x in blocks[0])), F.col("block") + 1)
+    first = F.col("place") - F.col("offset")
+    single = _matched(windows, repeated, seen, "_n", windows.count())
+    single = single.select("doc_id", "text_hash", "place", first.alias("first"), (first + gram + sizes).alias("last"), long.alias("long"))
+    hot_spans = whole.unionByName(single).groupBy("doc_id", "text_hash", "place", "long").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("place")
     return settled.unionByName(merged).unionByName(hot_spans)
 
 
@@ -383,36 +463,44 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def _with_spans(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, str]:
+def _with_spans(docs: DataFrame, window: int, gram: int, **more) -> tuple[DataFrame, str]:
     """The documents with an array column of spans (null: none) as the last one, and its name."""
     identity, digest, spans = (unused(n, docs.columns) for n in ("_id", "_hash", "_spans"))
-    found = removed_spans(docs, window, gram).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias(spans))
+    found = removed_spans(docs, window, gram, **more).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last", "long")).alias(spans))
     found = found.select(F.col("doc_id").alias(identity), F.col("text_hash").alias(digest), spans)
     on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col(identity)) & (F.xxhash64("text") == F.col(digest))
     return docs.join(found, on, "left").drop(identity, digest).select(*docs.columns, spans), spans
 
 
-def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, passage: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text.
 
     text is what remains, without characters of which a part goes; the digest is of the remaining bytes.
     Null texts count as empty; repeated rows are copies of each other, so the strings of long
-    ones repeat and go.
+    ones repeat and go. With ``passage``, a shorter length, n_passage_bytes and passage_text follow: the bytes
+    that strings of that length cover, and the text without them.
     """
-    joined, name = _with_spans(whole_documents(docs), window, gram)
+    joined, name = _with_spans(whole_documents(docs), window, gram, **({} if passage is None else {"passage": passage}))
+    schema = SPANS if passage is None else f"{SPANS}, {PASSAGES}"
+    columns = [c.split()[0] for c in schema.split(", ")][1:]
 
     def digest(batches):
         for batch in batches:
             out = []
             for text, spans in zip(batch["text"], batch[name]):
                 data = text.encode()
-                kept, removed, runs = cut(data, [] if spans is None else [(s["first"], s["last"]) for s in spans])
-                out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if removed else text))
-            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+                every = [] if spans is None else [(s["first"], s["last"], s["long"]) for s in spans]
+                kept, removed, runs = cut(data, [x[:2] for x in every if x[2]] if len(data) >= window else [])
+                row = (len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if removed else text)
+                if passage is not None:
+                    kept, removed, _ = cut(data, [x[:2] for x in every])
+                    row += (removed, kept.decode(errors="ignore") if removed else text)
+                out.append(row)
+            frame = pd.DataFrame(out, columns=columns)
             frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(object))
             yield frame.astype({"doc_id": "Int64"})
 
-    return joined.mapInPandas(digest, SPANS)
+    return joined.mapInPandas(digest, schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, size_column: str | None = "n_chars") -> DataFrame:

@@ -660,6 +660,52 @@ def test_repeated_bytes_by_brute_force(spark, rows, none, window, gram, most):
     assert suffix_dedup.repeated_bytes(none, window, gram).count() == 0
 
 
+@pytest.mark.parametrize("window, gram, passage, most", [(400, 80, 250, 4096), (400, 80, 250, 3), (40, 16, 24, 4096), (40, 16, 24, 3), (40, 16, 16, 4096)])
+def test_passages_and_repeated_bytes_by_brute_force(spark, rows, window, gram, passage, most):
+    rnd = random.Random(window + passage + most)
+    more, base = [], sentence(rnd, 80)
+    for i in range(30):
+        edited = base.split()
+        for _ in range(rnd.randint(1, 3)):
+            edited[rnd.randrange(len(edited))] = "né" * rnd.randint(0, 4)
+        more.append((100 + i, " ".join(edited[rnd.randint(0, 30) :]), None, None, None, None, None))
+    more += [(200, "aaaa" * 300, None, None, None, None, None), (201, "ab" * 200 + "c" + "ab" * 100, None, None, None, None, None), (202, base[:300], None, None, None, None, None)]
+    more += [(203, "x" * 260, None, None, None, None, None), (204, "x" * 260, None, None, None, None, None), (None, base, None, None, None, None, None), (0, base, None, None, None, None, None)]
+    every = [*rows, *more]
+    df = spark.createDataFrame(every, DOCS).repartition(4)
+    original = suffix_dedup.removed_spans
+    try:
+        suffix_dedup.removed_spans = lambda d, w, g, **more: original(d, w, g, most=most, **more)
+        found = suffix_dedup.repeated_bytes(df, window, gram, passage).collect()
+    finally:
+        suffix_dedup.removed_spans = original
+    texts = [(t or "").encode() for _, t, *_ in every]
+    long, short = brute_removed(texts, window), brute_removed(texts, passage)
+    want = Counter((d, *r, s[1]) for (d, *_), r, s in zip(every, long, short))
+    assert Counter((*tuple(r)[:5], r.n_passage_bytes) for r in found) == want
+    assert any(s[1] > r[1] for r, s in zip(long, short))
+    kept = {(d, s[0], s[1], s[3]) for (d, *_), s in zip(every, short)}
+    whole = [r for r in found if len(r.passage_text.encode()) == r.n_bytes - r.n_passage_bytes]
+    assert len(whole) > len(every) // 2
+    assert all((r.doc_id, r.n_bytes, r.n_passage_bytes, hashlib.sha256(r.passage_text.encode()).hexdigest()) in kept for r in whole)
+
+
+def test_op9_tells_passages_of_over_fifty_words(spark, tmp_path):
+    """A passage of 55 words and under 400 bytes stays by the contract's columns and is out of passage_text."""
+    rnd = random.Random(3)
+    passage = " ".join(f"{rnd.choice('bcdfgh')}{rnd.randrange(1000, 10000)}" for _ in range(55))
+    others = [" ".join(f"w{rnd.randrange(10**9)}" for _ in range(60)) for _ in range(3)]
+    assert 250 < len(passage) < 400
+    texts = [f"{others[0]} {passage}", f"{passage} {others[1]}", others[2]]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in entries.op9_sorted_suffixes(spark, str(tmp_path)).collect()}
+    assert [found[i].text for i in range(3)] == texts and all(r.n_removed == 0 for r in found.values())
+    for i in range(2):
+        assert passage not in found[i].passage_text and others[i] in found[i].passage_text
+        assert found[i].n_passage_bytes in (len(passage), len(passage) + 1)
+    assert found[2].passage_text == texts[2] and found[2].n_passage_bytes == 0
+
+
 @pytest.mark.parametrize("segment, small", [(7, 1), (30, 12), (1 << 23, 1), (1 << 23, 12)])
 def test_anchor_pairs_find_every_window(monkeypatch, segment, small):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
