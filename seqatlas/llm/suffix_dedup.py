@@ -27,6 +27,7 @@ length, and those of longer windows are among them; only the surroundings keep t
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,9 +189,17 @@ def covered_in_group(right: list[bytes], left: list[bytes], room: int) -> list[t
     """(member, bytes to the left, bytes to the right of the gram) covered for members of one gram.
 
     Two members cover when what they share to the left and right makes up ``room``.
-    Small groups compare all pairs; larger ones count the windows at each offset by hash.
+    Small groups compare all pairs; larger ones count the windows at each offset by hash, in blocks of offsets if there are many members.
     """
     n, out = len(right), []
+    if n <= min(SMALL, 4):
+        back = [x[::-1] for x in left]
+        for a, b in itertools.combinations(range(n), 2):
+            to_right = shared(right[a], right[b], 0)
+            to_left = shared(back[a], back[b], 0)
+            if to_right + to_left >= room:
+                out += [(a, to_left, to_right), (b, to_left, to_right)]
+        return out
     if n <= SMALL:
         r = np.zeros((n, room), np.uint8)
         l = np.zeros((n, room), np.uint8)
@@ -204,37 +213,40 @@ def covered_in_group(right: list[bytes], left: list[bytes], room: int) -> list[t
         for i in np.flatnonzero(to_right + to_left >= room):
             out += [(int(a[i]), int(to_left[i]), int(to_right[i])), (int(b[i]), int(to_left[i]), int(to_right[i]))]
         return out
-    h = window_hashes(right, left, room)[0]
-    offsets = np.arange(room + 1)
+    data = np.frombuffer(b"".join(x.rjust(room, b"\0") + y.ljust(room, b"\0") for x, y in zip(left, right)), np.uint8).reshape(n, 2 * room)
+    sums = Prefix.of_rows(data)
     sizes_r, sizes_l = np.array([len(x) for x in right]), np.array([len(x) for x in left])
-    whole = (sizes_l[:, None] >= offsets) & (sizes_r[:, None] >= room - offsets)
-    # Windows that don't lie in the text get values of their own.
-    h[~whole] = mix(np.arange(1, (~whole).sum() + 1, dtype=np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    order = np.argsort(h, axis=0)
-    ranked = np.take_along_axis(h, order, 0)
-    same = np.zeros((n + 1, room + 1), bool)
-    same[1:n] = ranked[1:] == ranked[:-1]
-    repeated = np.zeros((n, room + 1), bool)
-    np.put_along_axis(repeated, order, same[1:] | same[:-1], 0)
-    # Neighbouring offsets of a member are one span.
-    step = np.diff(np.pad(repeated & whole, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    member, begin = np.nonzero(step == 1)
-    end = np.nonzero(step == -1)[1]
-    return out + [(int(m), int(b) - 1, room - int(a)) for m, a, b in zip(member, begin, end)]
-
+    # Windows of a block share their core; only members whose core repeats are opened.
+    wide = room // 5 if n >= 128 else room
+    for first in range(0, room + 1, wide + 1):
+        last = min(first + wide, room)
+        member = np.flatnonzero(np.maximum(first, room - sizes_r) <= np.minimum(last, sizes_l))
+        core = Prefix.between(sums[member], np.array([room - first]), np.array([2 * room - last]))[:, 0]
+        member = member[_repeated(core[:, None])[:, 0]]
+        if not len(member):
+            continue
+        offsets = np.arange(first, last + 1)
+        h = mix(Prefix.between(sums[member], room - offsets, 2 * room - offsets))
+        whole = (sizes_l[member, None] >= offsets) & (sizes_r[member, None] >= room - offsets)
+        # Windows that don't lie in the text get values of their own.
+        h[~whole] = mix(np.arange(1, (~whole).sum() + 1, dtype=np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        # Neighbouring offsets of a member are one span.
+        step = np.diff(np.pad(_repeated(h) & whole, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, begin = np.nonzero(step == 1)
+        end = np.nonzero(step == -1)[1]
+        out += [(int(m), first + int(b) - 1, room - first - int(a)) for m, a, b in zip(member[row], begin, end)]
+    return out
 
-def window_hashes(right: list[bytes], left: list[bytes], room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every window of each member, by the bytes it takes to the left of the gram.
 
-    Only those with enough bytes on both sides mean anything.
-    """
-    data = np.frombuffer(b"".join(x.rjust(room, b"\0") + y.ljust(room, b"\0") for x, y in zip(left, right)), np.uint8).reshape(len(right), 2 * room)
-    start = room - np.arange(room + 1)
-    out = []
-    for values in (data, data * np.uint8(167) + (data >> 3) + np.uint8(91)):
-        sums = Prefix.of_rows(values)
-        out.append(mix(Prefix.between(sums, start, start + room)))
-    return out[0], out[1]
+def _repeated(h: np.ndarray) -> np.ndarray:
+    """Whether a value occurs again in its column."""
+    order = np.argsort(h, axis=0)
+    ranked = np.take_along_axis(h, order, 0)
+    same = np.zeros((len(h) + 1, h.shape[1]), bool)
+    same[1:-1] = ranked[1:] == ranked[:-1]
+    out = np.zeros(h.shape, bool)
+    np.put_along_axis(out, order, same[1:] | same[:-1], 0)
+    return out
 
 
 def _matched(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
