@@ -16,7 +16,7 @@ compared again. In the merged order suffixes with the same gram are neighbours;
 share a window when the bytes they share to the left of the gram and to the right of it make
 up ``WINDOW - GRAM``.
 
-A gram with more than ``most`` different surroundings, or a thousandth of all (256 at least), isn't merged in one task: blocks of its neighbouring
+A gram with more than ``most`` different surroundings, or a five-hundredth of all (256 at least), isn't merged in one task: blocks of its neighbouring
 windows are told apart by what all windows of a block share and by all they cover, as grams are by their surroundings;
 windows of blocks that are still open are hashed (128 bits) and counted by a distributed aggregation, which gives the same bytes.
 
@@ -297,7 +297,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
     kinds = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
     known = stage(_matched(classes, kinds, ["gram"], "kinds", total), "kinds", files)
     suffixes = known.count()
-    most = min(most, max(suffixes // 1000, 256))
+    most = min(most, max(suffixes // 500, 256))
     # Every anchor with the same gram and surroundings elsewhere: all its windows repeat.
     settled = _matched(found, classes.where("times > 1").select("gram", "around", "times"), ["gram", "around"], "times", total)
     settled = settled.select("doc_id", "text_hash", (F.col("place") - room).alias("first"), (F.col("place") + window).alias("last"), F.lit(True).alias("long"))
@@ -405,8 +405,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
                 yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
 
     def hot_windows(batches):
-        """One row for each window of the open blocks."""
-        names = ["gram", "block", "h1", "h2", "offset", "doc_id", "text_hash", "place"]
+        """One row for each window of the open blocks; the hashes are of the gram, too."""
+        names = ["block", "h1", "h2", "offset", "doc_id", "text_hash", "place"]
         for batch in batches:
             out, n = [], 0
             for doc_id, text_hash, text, suffixes in zip(batch["doc_id"], batch["text_hash"], batch["text"], batch["suffixes"]):
@@ -419,7 +419,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
                     # The second hash is of other values for the same bytes.
                     both = (Prefix(x).of(left - offsets, left + gram + size - offsets).astype(np.int64) for x in (piece, piece * np.uint8(167) + (piece >> 3) + np.uint8(91)))
                     ids = (np.full(len(offsets), x, np.int64) for x in (doc_id, text_hash, place))
-                    out.append((np.full(len(offsets), s["gram"], np.int64), np.full(len(offsets), s["block"]), *both, offsets, *ids))
+                    out.append((np.full(len(offsets), s["block"]), *both, offsets, *ids))
                     n += len(offsets)
                     if n > 100_000:
                         yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
@@ -442,10 +442,10 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, range
     kinds = classes.groupBy(*block).agg(F.count("*").alias("kinds")).where("kinds > 1")
     whole = _matched(parted, classes.where("times > 1").drop("one"), [*block, "around"], "times", total)
     whole = whole.select("doc_id", "text_hash", "place", "first", "last", long.alias("long"))
-    wanted = _matched(classes, kinds, block, "kinds", total).select("one.doc_id", "one.text_hash", F.struct(F.col("one.place").alias("place"), "gram", "block").alias("s"))
+    wanted = _matched(classes, kinds, block, "kinds", total).select("one.doc_id", "one.text_hash", F.struct(F.col("one.place").alias("place"), "block").alias("s"))
     wanted = with_texts(wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("s").alias("suffixes")))
-    windows = stage(wanted.mapInPandas(hot_windows, "gram long, block int, h1 long, h2 long, offset int, doc_id long, text_hash long, place int"), "windows")
-    seen = ["gram", "block", "h1", "h2", "offset"]
+    windows = stage(wanted.mapInPandas(hot_windows, "block int, h1 long, h2 long, offset int, doc_id long, text_hash long, place int"), "windows")
+    seen = ["block", "h1", "h2", "offset"]
     repeated = windows.groupBy(*seen).agg(F.count("*").alias("_n")).where("_n > 1")
     sizes = F.element_at(F.array(*(F.lit(int(x)) for x in blocks[0])), F.col("block") + 1)
     first = F.col("place") - F.col("offset")
